@@ -135,6 +135,13 @@ def assigned(chosen: str) -> str:
     JOIN people p ON p.person = c.person"""
 
 
+DRAW = "CAST('0x' || substr(md5('0/' || Metadata_Plate || '/' || Metadata_Well), 1, 12) AS BIGINT)"
+MIXED = (
+    f"mixed AS (SELECT c.Metadata_Plate, c.Metadata_Well, CASE WHEN {DRAW} / power(16, 12) < 0.5 "
+    "THEN c.person ELSE w.idx % (SELECT count(*) FROM people) END AS person FROM chosen c "
+    "JOIN wells w USING (Metadata_Plate, Metadata_Well))"
+)
+
 # --- quality control ------------------------------------------------------------------
 
 
@@ -145,10 +152,11 @@ def drift(by: str) -> str:
     )
 
 
-def missing(table: str) -> str:
+def missing(table: str, features: list[str] = FEATURES) -> str:
     return union(
         "SELECT '$f' AS feature, count(*) - count($f) AS n_missing, "
-        f"(count(*) - count($f)) / CAST(count(*) AS DOUBLE) AS fraction_missing FROM {table}"
+        f"(count(*) - count($f)) / CAST(count(*) AS DOUBLE) AS fraction_missing FROM {table}",
+        features,
     )
 
 
@@ -229,34 +237,40 @@ def consensus(operation: str, table: str) -> str:
     )
 
 
-def frequencies() -> str:
+def frequencies(table: str = "wells", features: list[str] = FEATURES) -> str:
     return union(
-        "SELECT '$f' AS feature, (SELECT count(*) FROM wells) AS n_rows, "
-        "(SELECT count(DISTINCT $f) FROM wells) AS n_distinct, "
-        "(SELECT max(c) FROM (SELECT count(*) AS c FROM wells WHERE $f IS NOT NULL GROUP BY $f)) "
-        "AS first, "
-        "(SELECT c FROM (SELECT count(*) AS c FROM wells WHERE $f IS NOT NULL GROUP BY $f) "
-        "ORDER BY c DESC LIMIT 1 OFFSET 1) AS second"
+        f"SELECT '$f' AS feature, (SELECT count(*) FROM {table}) AS n_rows, "
+        f"(SELECT count(DISTINCT $f) FROM {table}) AS n_distinct, (SELECT max(c) FROM "
+        f"(SELECT count(*) AS c FROM {table} WHERE $f IS NOT NULL GROUP BY $f)) AS first, "
+        f"(SELECT c FROM (SELECT count(*) AS c FROM {table} WHERE $f IS NOT NULL GROUP BY $f) "
+        "ORDER BY c DESC LIMIT 1 OFFSET 1) AS second",
+        features,
     )
 
 
-COMPLETE_ROWS = " AND ".join(f"{f} IS NOT NULL" for f in FEATURES)
-PAIRS = " UNION ALL ".join(
-    f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM wells WHERE {COMPLETE_ROWS}"
-    for a in FEATURES
-    for b in FEATURES
-)
-SELECTED = f"""freq AS ({frequencies()}), pairs AS ({PAIRS}),
-total AS (SELECT a, sum(abs(r)) AS t FROM pairs GROUP BY a),
+def correlations(table: str = "wells", features: list[str] = FEATURES) -> str:
+    complete = " AND ".join(f"{f} IS NOT NULL" for f in features)
+    return " UNION ALL ".join(
+        f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM {table} WHERE {complete}"
+        for a in features
+        for b in features
+    )
+
+
+def selection(table: str = "wells", features: list[str] = FEATURES) -> str:
+    """CTEs up to ``dropped``, what the default operations exclude."""
+    return f"""freq AS ({frequencies(table, features)}), corrs AS ({correlations(table, features)}),
+total AS (SELECT a, sum(abs(r)) AS t FROM corrs GROUP BY a),
 dropped AS (
     SELECT feature FROM freq WHERE n_distinct < 2 OR second / CAST(first AS DOUBLE) < 0.05
         OR n_distinct / CAST(n_rows AS DOUBLE) < 0.01
-    UNION SELECT feature FROM ({missing("wells")}) WHERE fraction_missing > 0.05
+    UNION SELECT feature FROM ({missing(table, features)}) WHERE fraction_missing > 0.05
     UNION SELECT CASE WHEN ta.t > tb.t OR (ta.t = tb.t AND p.a > p.b) THEN p.a ELSE p.b END
-    FROM pairs p JOIN total ta ON ta.a = p.a JOIN total tb ON tb.a = p.b
+    FROM corrs p JOIN total ta ON ta.a = p.a JOIN total tb ON tb.a = p.b
     WHERE p.a < p.b AND abs(p.r) > 0.9)"""
 
-#: Modulated consensus, the definition: Spearman correlation of every pair of replicates.
+
+#: Moderated consensus, the definition: Spearman correlation of every pair of replicates.
 MODZ = f"""numbered AS (SELECT row_number() OVER (ORDER BY Metadata_PatientID, Metadata_SampleID)
     AS id, Metadata_PatientID AS p, Metadata_DiseaseGroup AS d, {", ".join(COMPLETE_FEATURES)}
     FROM normalized),
@@ -305,6 +319,113 @@ def mixing(column: str, skip: int, name: str) -> str:
     WHERE k > {skip} AND k <= {15 + skip})"""
 
 
+def classifier(column: str, name: str) -> str:
+    """CTEs up to ``name`` with the cross-validated balanced accuracy for a label."""
+    smallest = f"(SELECT min(n) FROM (SELECT count(*) AS n FROM v GROUP BY {column}))"
+    return f"""{name}_folds AS (SELECT row_id, {column} AS own, e,
+        (row_number() OVER (PARTITION BY {column} ORDER BY md5('0/' || row_id || '/' || row_id)) - 1)
+            % least(5, {smallest}) AS fold FROM v),
+    {name}_near AS (SELECT a.row_id, a.fold, a.own, b.own AS other, row_number() OVER (
+            PARTITION BY a.row_id ORDER BY list_distance(a.e, b.e), b.row_id) AS k
+        FROM {name}_folds a JOIN {name}_folds b ON a.fold <> b.fold),
+    {name}_votes AS (SELECT row_id, fold, own, other, count(*) AS n FROM {name}_near
+        WHERE k <= least(5, {smallest}) GROUP BY ALL),
+    {name}_guess AS (SELECT row_id, fold, own, first(other ORDER BY n DESC, other) AS guess
+        FROM {name}_votes GROUP BY ALL),
+    {name}_recall AS (SELECT fold, own, avg(CAST(guess = own AS DOUBLE)) AS r FROM {name}_guess
+        GROUP BY ALL),
+    {name} AS (SELECT avg(b) AS value FROM (SELECT fold, avg(r) AS b FROM {name}_recall
+        GROUP BY fold))"""
+
+
+#: The scorecard's labels are those of the embeddings; the patient is the label again.
+SCORECARD = (
+    with_tables(
+        COSINE,
+        SILHOUETTE.removeprefix(VECTORS + ", "),
+        classifier("label", "by_label"),
+        classifier("batch", "by_batch"),
+        mixing("batch", 0, "mix"),
+        "rows AS ("
+        + " UNION ALL ".join(
+            f"SELECT '{metric}' AS metric, ({value}) AS value, {text} AS interpretation"
+            for metric, value, text in (
+                (
+                    "replicate_reproducibility_map",
+                    MAP_VALUE,
+                    "'higher is better (same-replicate profiles look alike)'",
+                ),
+                (
+                    "disease_silhouette",
+                    SILHOUETTE_VALUE,
+                    "'higher is better (disease groups separate)'",
+                ),
+                (
+                    "disease_classifier_balacc",
+                    "SELECT value FROM by_label",
+                    "format('higher is better; chance={:.3f}', "
+                    "(SELECT 1.0 / count(DISTINCT label) FROM v))",
+                ),
+                (
+                    "batch_classifier_balacc",
+                    "SELECT value FROM by_batch",
+                    "format('lower is better (batch leakage); chance={:.3f}', "
+                    "(SELECT 1.0 / count(DISTINCT batch) FROM v))",
+                ),
+                (
+                    "batch_mixing_ratio",
+                    "SELECT value FROM mix",
+                    "'1.0 = mixed, toward 0 = batch-separated'",
+                ),
+            )
+        )
+        + ")",
+    )
+    + "SELECT metric, round(value, 6) + 0.0 AS value, interpretation FROM rows"
+)
+
+#: Wells of the batch job: the joined compartments with the round-robin patients.
+JOB_FEATURES = JOINED_FEATURES.split(", ")
+JOB_STRATA = (
+    "Metadata_PatientID, Metadata_SampleID, Metadata_Plate, Metadata_Well, Metadata_Batch, "
+    "Metadata_DiseaseGroup, Metadata_FailureType, Metadata_Age, Metadata_Sex, Metadata_Compound, "
+    "Metadata_Concentration, Metadata_MoA"
+)
+
+
+def job_summary() -> str:
+    everyone = (
+        "(SELECT Metadata_Plate, Metadata_Well, idx % (SELECT count(*) FROM people) AS person "
+        "FROM wells)"
+    )
+    flagged = "(Cells_AreaShape_Area - m) / s > 1.0"
+    profiles = (
+        f"profiles AS (SELECT {JOB_STRATA}, {columns('median($f) AS $f', JOB_FEATURES)} "
+        f"FROM job_cells GROUP BY {JOB_STRATA})"
+    )
+    selected = selection("profiles", JOB_FEATURES)
+    return (
+        with_tables(
+            ASSIGN,
+            f"located AS ({assigned(everyone)})",
+            JOINED,
+            "job_cells AS (SELECT j.*, l.* EXCLUDE (Metadata_ImageNumber) FROM joined j "
+            "LEFT JOIN located l USING (Metadata_ImageNumber))",
+            profiles,
+            selected,
+        )
+        + "SELECT (SELECT count(DISTINCT Metadata_Plate) FROM sites) AS n_plates, "
+        "(SELECT count(*) FROM pairs) AS n_wells, count(*) AS n_cells, "
+        "count(DISTINCT Metadata_PatientID) AS n_patients, "
+        f"count(*) FILTER (WHERE {flagged}) AS n_outlier_cells, "
+        f"count(*) FILTER (WHERE {flagged}) AS n_outlier_flags, "
+        "(SELECT count(*) FROM patients) AS n_integrated_rows, "
+        f"{len(JOB_FEATURES)} - (SELECT count(*) FROM dropped) AS n_features_selected "
+        "FROM job_cells, (SELECT avg(Cells_AreaShape_Area) AS m, "
+        "stddev_pop(Cells_AreaShape_Area) AS s FROM job_cells)"
+    )
+
+
 ORACLES: dict[str, str] = {
     "csv_roundtrip": (
         "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders"
@@ -365,6 +486,7 @@ ORACLES: dict[str, str] = {
         "FROM wells)"
     ),
     "assign_confounded": with_tables(ASSIGN, HOMES) + assigned("chosen"),
+    "assign_mixed": with_tables(ASSIGN, HOMES, MIXED) + assigned("mixed"),
     "select_groups": with_tables(CELLS)
     + "SELECT * FROM cells WHERE Metadata_DiseaseGroup IN ('BUILDING', 'MACHINERY')",
     "select_patients": with_tables(CELLS)
@@ -446,8 +568,8 @@ ORACLES: dict[str, str] = {
     + "SELECT feature, n_missing, round(fraction_missing, 9) + 0.0 AS fraction_missing "
     f"FROM ({missing('wells')})",
     "select_correlation": with_tables(CELLS, wells())
-    + f"SELECT a, b, round(r, 6) + 0.0 AS r FROM ({PAIRS})",
-    "selected_features": with_tables(CELLS, wells(), SELECTED)
+    + f"SELECT a, b, round(r, 6) + 0.0 AS r FROM ({correlations()})",
+    "selected_features": with_tables(CELLS, wells(), selection())
     + "SELECT feature, n, round(mean, 6) + 0.0 AS mean FROM ("
     + union("SELECT '$f' AS feature, count($f) AS n, avg($f) AS mean FROM wells")
     + ") WHERE feature NOT IN (SELECT feature FROM dropped)",
@@ -457,7 +579,7 @@ ORACLES: dict[str, str] = {
     "consensus_modz": with_tables(
         CELLS, wells(), normalized(*STANDARD, features=COMPLETE_FEATURES), MODZ
     ),
-    "patient_profiles": with_tables(CELLS, wells(), normalized(*STANDARD), SELECTED)
+    "patient_profiles": with_tables(CELLS, wells(), normalized(*STANDARD), selection())
     + "SELECT * FROM ("
     + union(
         "SELECT Metadata_PatientID, '$f' AS feature, round(median($f), 6) + 0.0 AS value "
@@ -466,6 +588,10 @@ ORACLES: dict[str, str] = {
     + ") WHERE feature NOT IN (SELECT feature FROM dropped)",
     "replicate_map": with_tables(COSINE) + f"SELECT round(({MAP_VALUE}), 6) AS value",
     "silhouette": with_tables(SILHOUETTE) + f"SELECT round(({SILHOUETTE_VALUE}), 6) AS value",
+    "label_classifiability": with_tables(VECTORS, classifier("label", "by_label"))
+    + "SELECT round(value, 6) + 0.0 AS value FROM by_label",
+    "scorecard": SCORECARD,
+    "job_summary": job_summary(),
     "batch_mixing": with_tables(VECTORS, mixing("batch", 0, "mix"))
     + "SELECT round(value, 6) AS value FROM mix",
     "batch_mixing_shifted": with_tables(VECTORS, mixing("label", 1, "mix"))

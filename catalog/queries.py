@@ -133,7 +133,7 @@ def image_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def compartment_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    joined = attach_sites(spark, sf)
+    joined = materialize(attach_sites(spark, sf), "cells")
     path = scratch_path(spark, "compartments")
     cp.write_compartment_csvs(joined, roles.for_spark(spark, sf, roles.ASSIGNED_SITES), path)
     return cp.join_compartments(cp.read_compartment_csvs(spark, path))
@@ -241,7 +241,8 @@ def normalize_spherize(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def select_variance(spark: SparkSession, sf: str) -> DataFrame:
-    return features.value_frequencies(well_table(spark, sf), FEATURES)
+    wells = materialize(well_table(spark, sf), "wells")
+    return features.value_frequencies(wells, FEATURES)
 
 
 def select_correlation(spark: SparkSession, sf: str) -> DataFrame:

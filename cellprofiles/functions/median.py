@@ -1,8 +1,8 @@
 """Exact medians for groups of any size.
 
-Spark's ``median`` keeps every distinct value of a group in one task's memory. That is the
-fastest way for ordinary groups (a well, a patient) and cannot work for a group that holds
-a large part of a big table. Groups above ``hot_rows`` rows therefore take another exact
+Ordinary groups (a well, a patient) are collected and sorted per group, which is bounded and
+faster than Spark's ``median``. Neither can work for a group that holds a large part of a
+big table, because all its values would meet in one task. Such hot groups take another exact
 way: a mergeable quantile sketch brackets the median, values below the bracket are only
 counted, and the few values inside it are counted per value, spread over all tasks.
 """
@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 
 from .missing import one_row
 
-#: Groups with more rows than this take the bracketed way.
-HOT_GROUP_ROWS = 100_000
+#: Values (rows times columns) that a task may hold for one group, about 100 MB. Larger
+#: groups are hot.
+GROUP_VALUES = 4_000_000
 
-#: Up to this many hot groups are split off with a broadcast of their keys; with more, all
+#: Up to this many hot groups are told apart by literals in the plan; with more, all
 #: groups take the bracketed way with shuffled joins.
-MAX_BROADCAST_GROUPS = 10_000
+MAX_HOT_GROUPS = 2_000
 
 #: Accuracy of the sketch, and half width of the bracket in multiples of its rank error.
 _SKETCH_ACCURACY = 10_000
@@ -34,37 +35,50 @@ def grouped_median(
     columns: Sequence[str],
     extra: Sequence[Column] = (),
     *,
-    hot_rows: int = HOT_GROUP_ROWS,
-    max_broadcast: int = MAX_BROADCAST_GROUPS,
+    hot_rows: int | None = None,
+    max_hot: int = MAX_HOT_GROUPS,
 ) -> DataFrame:
     """``keys``, then ``extra`` aggregates, then the median of each column.
 
     NULLs are skipped and NULL keys form groups of their own. One job counts the rows per
-    group beforehand; it reads the key columns only.
+    group beforehand, by a hash of the keys and without reading other columns. Two groups
+    with the same hash are at worst both treated as hot, which changes no result.
     """
     if not columns:
         return df.groupBy(*keys).agg(*extra)
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("_size"))
-        .where(F.col("_size") > hot_rows)
-        .limit(max_broadcast + 1)
-        .collect()
-    )
-    if not hot:
-        medians = [F.median(c).alias(c) for c in columns]
-        return df.groupBy(*keys).agg(*extra, *medians)
-    if not keys or len(hot) > max_broadcast:
-        return _bracketed(df, keys, columns, extra, small=len(hot) <= max_broadcast)
-
-    schema = df.select(*keys).schema
-    hot_keys = df.sparkSession.createDataFrame([tuple(r)[:-1] for r in hot], schema)
-    hot_keys = F.broadcast(hot_keys.select(F.struct(*keys).alias("_key")))
-    keyed = df.withColumn("_key", F.struct(*keys))
-    cold = keyed.join(hot_keys, "_key", "left_anti").drop("_key")
-    cold = cold.groupBy(*keys).agg(*extra, *[F.median(c).alias(c) for c in columns])
-    split = keyed.join(hot_keys, "_key", "left_semi").drop("_key")
-    return cold.unionByName(_bracketed(split, keys, columns, extra, small=True))
+    limit = GROUP_VALUES // len(columns) if hot_rows is None else hot_rows
+    group = F.xxhash64(*keys) if keys else F.lit(0)
+    sizes = df.groupBy(group.alias("_group")).agg(F.count("*").alias("_size"))
+    large = sizes.where(F.col("_size") > limit).limit(max_hot + 1).collect()
+    if not large:
+        return _collected(df, keys, columns, extra)
+    if not keys or len(large) > max_hot:
+        return _bracketed(df, keys, columns, extra, few=len(large) <= max_hot)
+    hot = group.isin([row["_group"] for row in large])
+    cold = _collected(df.where(~hot), keys, columns, extra)
+    return cold.unionByName(_bracketed(df.where(hot), keys, columns, extra, few=True))
+
+
+def _collected(
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], extra: Sequence[Column]
+) -> DataFrame:
+    """Median by sorting each group's values.
+
+    Lists do not shrink when combined, so rows are shuffled as they are and collected
+    once, behind the shuffle.
+    """
+    if keys:
+        df = df.repartition(*keys)
+    values = [F.sort_array(F.collect_list(c)).alias(c) for c in columns]
+    lists = df.groupBy(*keys).agg(*extra, *values)
+
+    def middle(c: str) -> Column:
+        n = F.size(c)
+        low, high = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
+        return ((F.get(c, low) + F.get(c, high)) / 2).alias(c)
+
+    other = lists.columns[: -len(columns)]
+    return lists.select(*other, *[middle(c) for c in columns])
 
 
 def _bracketed(
@@ -73,9 +87,9 @@ def _bracketed(
     columns: Sequence[str],
     extra: Sequence[Column],
     *,
-    small: bool,
+    few: bool,
 ) -> DataFrame:
-    """Median by bracketing; ``small`` says that the table of groups may be broadcast."""
+    """Median by bracketing; ``few`` says that the table of groups may be broadcast."""
     margin = _BRACKET_ERRORS / _SKETCH_ACCURACY
     ends = [0.5 - margin, 0.5 + margin]
     sketches = [
@@ -91,7 +105,7 @@ def _bracketed(
     if keys:
         key = F.struct(*keys).alias("_key")
         side = brackets.select(key, *names)
-        rows = df.select(key, *columns).join(F.broadcast(side) if small else side, "_key")
+        rows = df.select(key, *columns).join(F.broadcast(side) if few else side, "_key")
     else:
         rows = df.select(F.lit(0).alias("_key"), *columns).withColumn(
             "_s", one_row(brackets.select(*names))

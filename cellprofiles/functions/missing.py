@@ -33,3 +33,10 @@ def tidy(entries: Sequence[Sequence[Column]], names: Sequence[str]) -> Column:
         for entry in entries
     ]
     return F.inline(F.array(*rows))
+
+
+def hash_draw(seed: int, *columns: str) -> Column:
+    """Hexadecimal digest of the columns and a seed: a repeatable random order, and the
+    same in any engine that has MD5."""
+    text = F.concat_ws("/", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns])
+    return F.md5(text)

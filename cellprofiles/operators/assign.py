@@ -7,13 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.missing import hash_draw
 from ..functions.ranking import global_row_index
 from ..schema import DISEASE_GROUPS
 from ..session import materialize
 from ..sources.tables import as_table
 
 _PLATE, _WELL = "Metadata_Plate", "Metadata_Well"
-_DRAW_RANGE = 1 << 53
+_DRAW_DIGITS = 12
 
 
 def assign_patients(
@@ -53,8 +54,10 @@ def assign_patients(
     if disease_plate_confounding > 0.0:
         wells, home = _home_person(wells, people, n_people, disease_order)
         if disease_plate_confounding < 1.0:
-            draw = F.pmod(F.xxhash64(_PLATE, _WELL, F.lit(seed)), F.lit(_DRAW_RANGE))
-            chosen = draw / F.lit(_DRAW_RANGE) < disease_plate_confounding
+            # The leading hex digits as a fraction of their range.
+            head = F.substring(hash_draw(seed, _PLATE, _WELL), 1, _DRAW_DIGITS)
+            draw = F.conv(head, 16, 10).cast("double") / float(16**_DRAW_DIGITS)
+            chosen = draw < disease_plate_confounding
             person = F.when(chosen, home).otherwise(person)
         else:
             person = home

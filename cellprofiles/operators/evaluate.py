@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.missing import one_row
+from ..functions.missing import hash_draw, one_row
 from ..functions.ranking import bucketed_row_number
 from .pairs import (
     Block,
@@ -41,7 +41,7 @@ MIN_SAMPLES_FOR_MAP = 3
 #: what a profile can send on: at most 2 * 10 ** decimals counts, however many profiles.
 SIMILARITY_DECIMALS = 6
 
-_FOLD_BUCKETS = 4096
+_FOLD_BUCKET_DIGITS = 3  # hex digits of the draw, i.e. 4096 buckets per class
 
 
 def _prepared(
@@ -309,12 +309,12 @@ def label_classifiability(
     if data.n_features == 0 or n_classes < MIN_CLASSES or folds < MIN_FOLDS:
         return _nan(spark)
 
-    draw = F.xxhash64("_tie", "_row", F.lit(seed))
+    draw = hash_draw(seed, "_tie", "_row")
     dealt = bucketed_row_number(
         data.table,
         [label_col],
-        F.pmod(draw, F.lit(_FOLD_BUCKETS)),
-        [draw.asc(), F.col("_tie").asc(), F.col("_row").asc()],
+        F.substring(draw, 1, _FOLD_BUCKET_DIGITS),
+        [draw.asc(), F.col("_row").asc()],
         "_turn",
     ).withColumn("_fold", F.pmod(F.col("_turn") - 1, F.lit(folds)).cast("int"))
     split = Profiles(dealt, data.n_rows, data.n_features, (*data.labels, "_fold"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.median import HOT_GROUP_ROWS, grouped_median
+from ..functions.median import grouped_median
 from ..functions.missing import clean_features, one_row
 from ..schema import metadata_columns, numeric_features
 
@@ -54,7 +54,7 @@ def aggregate_to_wells(
     operation: str = "median",
     features: Sequence[str] | None = None,
     strata: Sequence[str] = WELL_STRATA,
-    hot_rows: int = HOT_GROUP_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """One row per combination of the ``strata`` that ``cells`` has: the number of cells
     and the median or mean of every feature. NULL strata form groups of their own."""
@@ -71,7 +71,7 @@ def _collapse(
     names: Sequence[str],
     operation: str,
     extra: Sequence[Column],
-    hot_rows: int,
+    hot_rows: int | None,
 ) -> DataFrame:
     if operation == "mean":
         return rows.groupBy(*keys).agg(*extra, *[F.avg(f).alias(f) for f in names])
@@ -89,7 +89,7 @@ def normalize_profiles(
     method: str = "standardize",
     samples: str = "all",
     features: Sequence[str] | None = None,
-    hot_rows: int = HOT_GROUP_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Metadata and normalised features; ``samples`` picks the rows to fit on.
 
@@ -202,7 +202,7 @@ def consensus_profiles(
     replicate_columns: Sequence[str] = PATIENT_REPLICATE_COLUMNS,
     operation: str = "median",
     features: Sequence[str] | None = None,
-    hot_rows: int = HOT_GROUP_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """One row per combination of the replicate columns that ``profiles`` has.
 
