@@ -587,6 +587,7 @@ ORACLES: dict[str, str] = {
     )
     + ") WHERE feature NOT IN (SELECT feature FROM dropped)",
     "replicate_map": with_tables(COSINE) + f"SELECT round(({MAP_VALUE}), 6) AS value",
+    "replicate_map_hot": with_tables(COSINE) + f"SELECT round(({MAP_VALUE}), 6) AS value",
     "silhouette": with_tables(SILHOUETTE) + f"SELECT round(({SILHOUETTE_VALUE}), 6) AS value",
     "label_classifiability": with_tables(VECTORS, classifier("label", "by_label"))
     + "SELECT round(value, 6) + 0.0 AS value FROM by_label",

@@ -392,6 +392,7 @@ QUERIES: dict[str, Query] = {
     "consensus_modz": consensus_modz,
     "patient_profiles": patient_profiles,
     "replicate_map": metric(cp.replicate_reproducibility, "label"),
+    "replicate_map_hot": metric(cp.replicate_reproducibility, "label", max_listed=8),
     "silhouette": metric(cp.silhouette, "label"),
     "label_classifiability": metric(cp.label_classifiability, "label"),
     "batch_mixing": metric(cp.batch_mixing, "batch"),

@@ -37,10 +37,12 @@ MIN_SAMPLES = 2
 MIN_SAMPLES_FOR_MAP = 3
 # End of fixed values.
 
-#: Cosine similarities equal to this many decimals count as one threshold. It also bounds
-#: what a profile can send on: at most 2 * 10 ** decimals counts, however many profiles.
+#: Cosine similarities equal to this many decimals count as one threshold.
 SIMILARITY_DECIMALS = 6
 
+#: Replicate groups with up to this many others are scored from listed similarities.
+LISTED_REPLICATES = 1024
+
 _FOLD_BUCKET_DIGITS = 3  # hex digits of the draw, i.e. 4096 buckets per class
 
 
@@ -77,54 +79,164 @@ def replicate_reproducibility(
     *,
     row_id: str | None = None,
     decimals: int = SIMILARITY_DECIMALS,
+    max_listed: int = LISTED_REPLICATES,
 ) -> DataFrame:
     """Mean average precision of finding same-replicate profiles by cosine similarity.
 
     Every profile ranks all others; profiles with none, or with only such others, are left
-    out. A tile counts its candidates per (query, rounded similarity), which is all that
-    precision needs, and equal similarities share one threshold.
+    out. Similarities count in steps of ``decimals`` digits; equal ones share a threshold.
+
+    Precision is needed at a profile's own replicates only. So for replicate groups of up
+    to ``max_listed`` others, the similarities to those are listed first (one task holds
+    one such group) and a tile then just counts its candidates per listed threshold.
+    Profiles of larger groups are never gathered: there a tile counts candidates per
+    similarity step, which is as exact and bounded by the number of steps.
     """
     data = _prepared(profiles, replicate_col, features, row_id)
     spark = data.table.sparkSession
     if data.n_rows < MIN_SAMPLES_FOR_MAP or data.n_features == 0:
         return _nan(spark)
+    key = F.struct(F.col(replicate_col).alias("l"))
+    sizes = data.table.groupBy(key.alias("_key")).agg(F.count("*").alias("_size"))
+    scorable = (F.col("_size") > 1) & (F.col("_size") < data.n_rows)
+    few = scorable & (F.col("_size") <= max_listed + 1)
+    many = scorable & ~few
+    n_few, n_many = sizes.agg(F.count_if(few), F.count_if(many)).first()
+    sized = data.table.withColumn("_key", key).join(sizes, "_key", "left").drop("_key")
+    scores = []
+    if n_few:
+        scores.append(_listed_precision(data, sized, few, replicate_col, decimals))
+    if n_many:
+        scores.append(_stepwise_precision(data, sized, many, replicate_col, decimals))
+    if not scores:
+        return _nan(spark)
+    precision = scores[0] if len(scores) == 1 else scores[0].unionByName(scores[1])
+    return precision.agg(_or_nan(F.avg("_precision")))
+
+
+def _listed_precision(
+    data: Profiles, sized: DataFrame, few: Column, label: str, decimals: int
+) -> DataFrame:
+    """Average precision per profile from listed thresholds."""
+    listed = (
+        sized.where(few)
+        .select("_row", "_tie", label, "_vec")
+        .groupBy(label)
+        .applyInArrow(
+            _replicate_levels(10**decimals),
+            "_row bigint, _levels array<bigint>, _ranks array<bigint>",
+        )
+    )
+    asking = Profiles(
+        data.table.join(listed, "_row", "left"), data.n_rows, data.n_features, data.labels
+    )
     counted = tiles(
-        data,
-        [replicate_col],
-        _similarity_counts(replicate_col, decimals),
+        asking,
+        [],
+        _counts_above(10**decimals),
+        "_row bigint, _above array<bigint>, _ranks array<bigint>",
+        query_columns=["_levels", "_ranks"],
+        queries=F.col("_levels").isNotNull(),
+    )
+    # One list of counts per tile of the query, added up place by place.
+    lists = counted.groupBy("_row").agg(
+        F.collect_list("_above").alias("_lists"), F.any_value("_ranks").alias("_ranks")
+    )
+    nothing = F.transform("_ranks", lambda _: F.lit(0).cast("bigint"))
+    above = F.aggregate(
+        "_lists", nothing, lambda total, one: F.zip_with(total, one, lambda x, y: x + y)
+    )
+    precision = F.aggregate(
+        F.zip_with("_ranks", above, lambda rank, count: rank / count),
+        F.lit(0.0),
+        lambda total, one: total + one,
+    )
+    return lists.select((precision / F.size("_ranks")).alias("_precision"))
+
+
+def _levels(left: np.ndarray, right: np.ndarray, scale: int) -> np.ndarray:
+    return np.rint(unit_vectors(left) @ unit_vectors(right).T * scale).astype(np.int64)
+
+
+def _replicate_levels(scale: int) -> Callable[[pa.Table], pa.Table]:
+    """For one label: each row's similarities to the others, ascending, and how many of
+    the others are at least as similar."""
+
+    def per_label(group: pa.Table) -> pa.Table:
+        block = Block(group)
+        n = len(block.rows)
+        level = _levels(block.vectors, block.vectors, scale)
+        level = np.sort(level[~np.eye(n, dtype=bool)].reshape(n, n - 1), axis=1)
+        place = np.arange(n - 1)
+        fresh = np.ones_like(level, dtype=bool)
+        fresh[:, 1:] = level[:, 1:] != level[:, :-1]
+        first = np.maximum.accumulate(np.where(fresh, place, 0), axis=1)
+        return pa.table(
+            {
+                "_row": block.rows,
+                "_levels": pa.array(list(level), pa.list_(pa.int64())),
+                "_ranks": pa.array(list(n - 1 - first), pa.list_(pa.int64())),
+            }
+        )
+
+    return per_label
+
+
+def _counts_above(scale: int) -> Callable[[Block, Block], pa.Table]:
+    def reduce_tile(left: Block, right: Block) -> pa.Table:
+        listed = left.column("_levels").to_numpy(zero_copy_only=False)
+        counts = []
+        for s in slices(len(left.rows)):
+            level = _levels(left.vectors[s], right.vectors, scale)
+            level[left.rows[s][:, None] == right.rows[None, :]] = -2 * scale  # not itself
+            for thresholds, row in zip(listed[s], level):
+                reached = np.searchsorted(thresholds, row, side="right")
+                exactly = np.bincount(reached, minlength=len(thresholds) + 1)
+                counts.append(exactly[::-1].cumsum()[-2::-1])
+        return pa.table(
+            {
+                "_row": left.rows,
+                "_above": pa.array(counts, pa.list_(pa.int64())),
+                "_ranks": left.column("_ranks"),
+            }
+        )
+
+    return reduce_tile
+
+
+def _stepwise_precision(
+    data: Profiles, sized: DataFrame, many: Column, label: str, decimals: int
+) -> DataFrame:
+    """Average precision per profile from counts per similarity step."""
+    asking = Profiles(sized, data.n_rows, data.n_features, data.labels)
+    counted = tiles(
+        asking,
+        [label],
+        _similarity_counts(label, 10**decimals),
         "_row bigint, _level bigint, _same bigint, _all bigint",
+        queries=many,
     )
     levels = counted.groupBy("_row", "_level").agg(
         F.sum("_same").alias("_same"), F.sum("_all").alias("_all")
     )
     down = Window.partitionBy("_row").orderBy(F.desc("_level"))
     down = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    precision = F.sum("_same").over(down) / F.sum("_all").over(down)
-    scored = (
-        levels.withColumn("_precision", precision)
-        .groupBy("_row")
-        .agg(
-            F.sum("_same").alias("_same"),
-            F.sum("_all").alias("_all"),
-            F.sum(F.col("_same") * F.col("_precision")).alias("_hits"),
-        )
-        .where((F.col("_same") > 0) & (F.col("_same") < F.col("_all")))
-    )
-    return scored.agg(_or_nan(F.avg(F.col("_hits") / F.col("_same"))))
+    at_level = F.sum("_same").over(down) / F.sum("_all").over(down)
+    hits = F.sum(F.col("_same") * F.col("_at")) / F.sum("_same")
+    return (
+        levels.withColumn("_at", at_level).groupBy("_row").agg(hits.alias("_precision"))
+    ).select("_precision")
 
 
-def _similarity_counts(label: str, decimals: int) -> Callable[[Block, Block], pa.Table]:
-    scale = 10**decimals
+def _similarity_counts(label: str, scale: int) -> Callable[[Block, Block], pa.Table]:
     width = 4 * scale
 
     def reduce_tile(left: Block, right: Block) -> pa.Table:
         own, other, _ = label_codes(left, right, label)
-        queries, candidates = unit_vectors(left.vectors), unit_vectors(right.vectors)
         parts = []
         for s in slices(len(left.rows)):
-            level = np.rint(queries[s] @ candidates.T * scale).astype(np.int64)
-            others = left.rows[s][:, None] != right.rows[None, :]
-            q, c = np.nonzero(others)
+            level = _levels(left.vectors[s], right.vectors, scale)
+            q, c = np.nonzero(left.rows[s][:, None] != right.rows[None, :])
             key, where = np.unique(q * width + (level[q, c] + 2 * scale), return_inverse=True)
             same = (own[s][q] == other[c]).astype(np.int64)
             parts.append(

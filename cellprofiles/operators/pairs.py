@@ -154,10 +154,15 @@ def tiles(
     columns: Sequence[str],
     reduce_tile: Callable[[Block, Block], pa.Table],
     schema: str,
+    *,
+    query_columns: Sequence[str] = (),
+    queries: Column | None = None,
 ) -> DataFrame:
     """Run ``reduce_tile(queries, candidates)`` on every tile.
 
     Each row is sent once per block of the other side: n / BLOCK_ROWS copies at scale.
+    ``query_columns`` travel with the copies that act as queries only, and ``queries``
+    says which rows act as queries at all.
     """
     n_blocks = profiles.blocks()
     own = F.pmod(F.xxhash64("_row"), F.lit(n_blocks)).cast("int").alias("_own")
@@ -169,20 +174,24 @@ def tiles(
         )
 
     sides = F.array(place("_own", "_other", True), place("_other", "_own", False))
-    carried = ["_row", "_tie", *columns, "_vec"]
+    carried = ["_row", "_tie", *columns, "_vec", *query_columns]
+    asks = F.lit(True) if queries is None else queries
     rows = (
-        profiles.table.select(*carried, own)
+        profiles.table.select(*carried, own, asks.alias("_asks"))
         .select("*", other)
-        .select(*carried, F.inline(sides))
+        .select(*carried, "_asks", F.inline(sides))
+        .where(~F.col("_query") | F.col("_asks"))
+        .withColumns({c: F.when(F.col("_query"), F.col(c)) for c in query_columns})
+        .drop("_asks")
     )
-    fields = pa.schema(_parse(schema))
+    fields = pa.schema(parse_schema(schema))
 
     def run(tile: pa.Table) -> pa.Table:
         query = tile.column("_query")
-        queries, candidates = tile.filter(query), tile.filter(pc.invert(query))
-        if not len(queries) or not len(candidates):
+        asking, candidates = tile.filter(query), tile.filter(pc.invert(query))
+        if not len(asking) or not len(candidates):
             return fields.empty_table()
-        return reduce_tile(Block(queries), Block(candidates)).select(fields.names)
+        return reduce_tile(Block(asking), Block(candidates)).select(fields.names)
 
     return rows.groupBy("_q", "_c").applyInArrow(run, schema)
 
@@ -193,10 +202,11 @@ _ARROW_TYPES = {
     "double": pa.float64(),
     "string": pa.string(),
     "boolean": pa.bool_(),
+    "array<bigint>": pa.list_(pa.int64()),
 }
 
 
-def _parse(schema: str) -> list[pa.Field]:
+def parse_schema(schema: str) -> list[pa.Field]:
     pairs = [part.split() for part in schema.split(",")]
     return [pa.field(name, _ARROW_TYPES[kind]) for name, kind in pairs]
 
