@@ -25,8 +25,9 @@ from ..functions.missing import clean_features, one_row
 from ..schema import numeric_features
 from ..session import materialize
 
-#: Rows per block at most (about); two blocks of 40 doubles a row are then 10 MB.
+#: Rows and values per block at most (about), i.e. 8 MB of vectors on each side of a tile.
 BLOCK_ROWS = 16_384
+BLOCK_VALUES = 1 << 20
 
 #: Query rows compared at a time inside a tile, bounds the scratch matrices.
 _SLICE = 256
@@ -47,7 +48,8 @@ class Profiles:
         """Enough blocks to bound their size and to give every core a tile."""
         cores = self.table.sparkSession.sparkContext.defaultParallelism
         useful = min(math.ceil(math.sqrt(4 * cores)), math.ceil(self.n_rows / _MIN_BLOCK_ROWS))
-        return max(1, useful, math.ceil(self.n_rows / BLOCK_ROWS))
+        rows = max(_MIN_BLOCK_ROWS, min(BLOCK_ROWS, BLOCK_VALUES // max(self.n_features, 1)))
+        return max(1, useful, math.ceil(self.n_rows / rows))
 
 
 def prepare_profiles(

@@ -6,11 +6,12 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.missing import clean_features, one_row, tidy, valid
 from ..schema import numeric_features
+from ..session import materialize
 from .select import cell_counts
 
 # Outlier features with their z-score cutoffs, and the label's name.
@@ -84,31 +85,30 @@ def feature_drift(
     deviation of the group means over that of all rows.
 
     Rows with a NULL group count for the overall spread only; a zero or undefined spread
-    gives 0.
+    gives 0. One job stores the moments of the groups, so the cells are scanned once.
     """
-    return drift_from_moments(feature_moments(cells, [by], features), by)
+    moments = materialize(feature_moments(cells, [by], features), "moments")
+    return drift_from_moments(moments, by)
 
 
 def drift_from_moments(moments: DataFrame, by: str) -> DataFrame:
-    """:func:`feature_drift` from :func:`feature_moments` over ``by`` or a finer grain.
+    """:func:`feature_drift` from stored :func:`feature_moments` over ``by`` or a finer grain.
 
     The spread within and between groups adds up to the overall one around the common
-    mean. The window is per feature over groups, which are few next to cells.
+    mean. The common means are one row per feature, hence the broadcast.
     """
-    everything = Window.partitionBy("feature")
-    weighted = F.col("n") * F.col("mean")
-    center = F.sum(weighted).over(everything) / F.sum("n").over(everything)
+    weighted = F.sum(F.col("n") * F.col("mean"))
+    centers = moments.groupBy("feature").agg(
+        F.try_divide(weighted, F.sum("n")).alias("center")
+    )
+    squares = F.col("n") * (F.col("variance") + F.pow(F.col("mean") - F.col("center"), 2))
     groups = (
-        moments.withColumn("center", center)
-        .withColumn(
-            "squares",
-            F.col("n") * (F.col("variance") + F.pow(F.col("mean") - F.col("center"), 2)),
-        )
+        moments.join(F.broadcast(centers), "feature")
         .groupBy("feature", by)
         .agg(
             F.sum("n").alias("n"),
-            F.try_divide(F.sum(weighted), F.sum("n")).alias("mean"),
-            F.sum("squares").alias("squares"),
+            F.try_divide(weighted, F.sum("n")).alias("mean"),
+            F.sum(squares).alias("squares"),
         )
     )
     group_mean = F.when(F.col(by).isNotNull(), F.col("mean"))
