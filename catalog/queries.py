@@ -120,7 +120,8 @@ def compartment_join(spark: SparkSession, sf: str) -> DataFrame:
 
 def attach_sites(spark: SparkSession, sf: str) -> DataFrame:
     assigned = roles.for_spark(spark, sf, roles.ASSIGNED_SITES)
-    return cp.canonical_single_cells(compartment_join(spark, sf), assigned)
+    joined = cp.join_compartments(compartment_tables(spark, sf), file_names=False)
+    return cp.canonical_single_cells(joined, assigned)
 
 
 def compartment_split(spark: SparkSession, sf: str) -> DataFrame:

@@ -55,5 +55,5 @@ def build_single_cell_parquet(
     partition_by: str | None = None,
 ) -> str:
     """Compartment CSVs to the single-cell table in one plan, without an interim table."""
-    joined = join_compartments(read_compartment_csvs(spark, csv_dir))
+    joined = join_compartments(read_compartment_csvs(spark, csv_dir), file_names=False)
     return to_canonical_single_cells(joined, sites, dest_path, partition_by=partition_by)

@@ -203,7 +203,7 @@ def run_from_subset(
         disease_plate_confounding=config.disease_plate_confounding,
     )
     to_canonical_single_cells(
-        join_compartments(compartments),
+        join_compartments(compartments, file_names=False),
         assigned,
         out["single_cell"],
         partition_by=config.partition_cells_by,

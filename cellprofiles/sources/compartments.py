@@ -37,11 +37,15 @@ def read_compartment_csvs(
     return tables
 
 
-def join_compartments(tables: Mapping[str, DataFrame]) -> DataFrame:
+def join_compartments(
+    tables: Mapping[str, DataFrame], *, file_names: bool = True
+) -> DataFrame:
     """One row per cytoplasm with its cell, its nucleus and the file names of its image.
 
     All joins are left joins from the cytoplasm. Cells and nuclei match on (image, parent
     object); the two-part key also spreads an image with very many objects over tasks.
+    Without ``file_names`` the image table is not needed, which saves a shuffle of the
+    joined rows.
     """
     image, parent = "Metadata_ImageNumber", "_parent"
 
@@ -68,14 +72,13 @@ def join_compartments(tables: Mapping[str, DataFrame]) -> DataFrame:
         side = renamed(name).withColumnRenamed(parent, reference)
         joined = joined.join(side, [image, reference], "left")
     joined = joined.drop(*PARENT_COLUMNS.values())
-    files = [c for c in tables["Image"].columns if c.startswith("Image_FileName_")]
-    images = tables["Image"].select(F.col(IMAGE_KEY).alias(image), *files)
-    ordered = [image, "Metadata_ObjectNumber", *files]
-    joined = joined.join(images, image, "left")
-    ordered += [
-        c for name in COMPARTMENTS for c in joined.columns if c.startswith(f"{name}_")
-    ]
-    return joined.select(*ordered)
+    files = []
+    if file_names:
+        files = [c for c in tables["Image"].columns if c.startswith("Image_FileName_")]
+        images = tables["Image"].select(F.col(IMAGE_KEY).alias(image), *files)
+        joined = joined.join(images, image, "left")
+    measured = [c for name in COMPARTMENTS for c in joined.columns if c.startswith(f"{name}_")]
+    return joined.select(image, "Metadata_ObjectNumber", *files, *measured)
 
 
 def convert_compartment_csvs(spark: SparkSession, csv_dir: str, dest_path: str) -> str:
