@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .missing import one_row
+from .missing import each, one_row, quoted
 
 #: Values (rows times columns) that a task may hold for one group, about 100 MB. Larger
 #: groups are hot.
@@ -69,16 +69,11 @@ def _collected(
     """
     if keys:
         df = df.repartition(*keys)
-    values = [F.sort_array(F.collect_list(c)).alias(c) for c in columns]
-    lists = df.groupBy(*keys).agg(*extra, *values)
-
-    def middle(c: str) -> Column:
-        n = F.size(c)
-        low, high = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
-        return ((F.get(c, low) + F.get(c, high)) / 2).alias(c)
-
-    other = lists.columns[: -len(columns)]
-    return lists.select(*other, *[middle(c) for c in columns])
+    lists = df.groupBy(*keys).agg(*extra, *each("sort_array(collect_list($))", columns))
+    other = [F.col(quoted(c)) for c in lists.columns[: -len(columns)]]
+    low = "get($, CAST(floor((size($) - 1) / 2) AS INT))"
+    high = "get($, CAST(floor(size($) / 2) AS INT))"
+    return lists.select(*other, *each(f"({low} + {high}) / 2", columns))
 
 
 def _bracketed(

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.missing import clean_features, tidy
+from ..functions.missing import clean_features, quoted, text, tidy
 from ..schema import numeric_features
 from .profile import feature_correlation
 from .qc import missingness
@@ -37,7 +37,7 @@ def value_frequencies(profiles: DataFrame, features: Sequence[str] | None = None
     """
     names = numeric_features(profiles, features)
     rows = clean_features(profiles.select(*names), names)
-    entries = [(F.lit(f), F.col(f)) for f in names]
+    entries = [(text(f), quoted(f)) for f in names]
     long = rows.select(tidy(entries, ["feature", "value"]))
     counts = long.groupBy("feature", "value").agg(F.count("*").alias("c"))
     used = F.when(F.col("value").isNotNull(), F.col("c"))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.median import grouped_median
-from ..functions.missing import clean_features, one_row
+from ..functions.missing import array_of, clean_features, one_row
 from ..schema import numeric_features
 from ..session import materialize
 
@@ -74,18 +74,20 @@ def prepare_profiles(
     else:
         tie = row = F.col(row_id).cast("long")
     rows = clean_features(profiles, names).select(
-        row.alias("_row"), tie.alias("_tie"), *[F.col(c).cast("string").alias(c) for c in labels], *names
+        row.alias("_row"),
+        tie.alias("_tie"),
+        *[F.col(c).cast("string").alias(c) for c in labels],
+        *names,
     )
     if names:
         filled = rows.withColumn("_m", one_row(grouped_median(rows.select(*names), [], names)))
-        vector = F.array(
-            *[F.coalesce(F.col(f), F.col("_m").getField(f), F.lit(0.0)) for f in names]
-        )
+        vector = array_of("coalesce($, _m.$, 0D)", names)
     else:
         filled, vector = rows, F.array().cast("array<double>")
     table = materialize(filled.select("_row", "_tie", *labels, vector.alias("_vec")), "vectors")
-    counts = rows.agg(F.count("*").alias("_n"), *[F.count(f).alias(f) for f in names]).first()
-    return Profiles(table, counts["_n"], sum(counts[f] > 0 for f in names), labels)
+    present = array_of("count($)", names) if names else F.array().cast("array<bigint>")
+    n_rows, counts = rows.agg(F.count("*"), present).first()
+    return Profiles(table, n_rows, sum(n > 0 for n in counts), labels)
 
 
 def prepare_vectors(

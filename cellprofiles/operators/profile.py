@@ -13,7 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.median import grouped_median
-from ..functions.missing import clean_features, one_row
+from ..functions.missing import (
+    array_of,
+    clean_features,
+    each,
+    one_row,
+    quoted,
+    struct_of,
+)
 from ..schema import metadata_columns, numeric_features
 
 # Grouping columns, method names and the name of the count.
@@ -47,6 +54,8 @@ MAD_EPSILON = 1e-18
 SPHERIZE_EPSILON = 1e-6
 MODZ_MIN_WEIGHT = 0.01
 
+_OR_NAN = "coalesce($, CAST('NaN' AS DOUBLE))"
+
 
 def aggregate_to_wells(
     cells: DataFrame,
@@ -74,7 +83,7 @@ def _collapse(
     hot_rows: int | None,
 ) -> DataFrame:
     if operation == "mean":
-        return rows.groupBy(*keys).agg(*extra, *[F.avg(f).alias(f) for f in names])
+        return rows.groupBy(*keys).agg(*extra, *each("avg($)", names))
     if operation == "median":
         return grouped_median(rows, keys, names, extra, hot_rows=hot_rows)
     raise ValueError(f"unknown operation '{operation}'")
@@ -105,31 +114,21 @@ def normalize_profiles(
     if method == "mad_robustize":
         centers = grouped_median(fit.select(*names), [], names, hot_rows=hot_rows)
         deviations = fit.select(*names).withColumn("_c", one_row(centers))
-        deviations = deviations.select(
-            *[F.abs(F.col(f) - F.col(f"_c.{f}")).alias(f) for f in names]
-        )
+        deviations = deviations.select(*each("abs($ - _c.$)", names))
         scales = grouped_median(deviations, [], names, hot_rows=hot_rows)
-        factor, epsilon = MAD_TO_SIGMA, MAD_EPSILON
+        fitted = rows.withColumns({"_c": one_row(centers), "_s": one_row(scales)})
+        divisor = f"_s.$ * {MAD_TO_SIGMA!r}D + {MAD_EPSILON!r}D"
     else:
-        centers = fit.agg(*[F.avg(f).alias(f) for f in names])
-        scales = fit.agg(*[F.stddev_pop(f).alias(f) for f in names])
-        factor, epsilon = 1.0, 0.0
-
-    def scaled(f: str) -> Column:
-        scale = F.col(f"_s.{f}")
-        value = F.try_divide(F.col(f) - F.col(f"_c.{f}"), scale * factor + epsilon)
-        return F.when((scale == 0.0) & F.col(f).isNotNull(), 0.0).otherwise(value).alias(f)
-
-    if method == "standardize":
+        # Both statistics come from one pass.
         both = fit.agg(
-            F.struct(*[F.avg(f).alias(f) for f in names]).alias("c"),
-            F.struct(*[F.stddev_pop(f).alias(f) for f in names]).alias("s"),
+            struct_of("avg($)", names).alias("c"), struct_of("stddev_pop($)", names).alias("s")
         )
         fitted = rows.withColumn("_f", one_row(both))
         fitted = fitted.withColumns({"_c": F.col("_f.c"), "_s": F.col("_f.s")})
-    else:
-        fitted = rows.withColumns({"_c": one_row(centers), "_s": one_row(scales)})
-    return fitted.select(*metadata_columns(profiles.columns), *[scaled(f) for f in names])
+        divisor = "_s.$"
+    constant = "_s.$ = 0D AND $ IS NOT NULL"
+    scaled = f"CASE WHEN {constant} THEN 0D ELSE try_divide($ - _c.$, {divisor}) END"
+    return fitted.select(*metadata_columns(profiles.columns), *each(scaled, names))
 
 
 def _spherize(rows: DataFrame, fit: DataFrame, names: list[str]) -> DataFrame:
@@ -155,11 +154,11 @@ def _spherize(rows: DataFrame, fit: DataFrame, names: list[str]) -> DataFrame:
             yield pd.Series(list((matrix - center) @ weights))
 
     kept = metadata_columns(rows.columns)
-    filled = F.array(*[F.coalesce(F.col(f), F.lit(float("nan"))) for f in names])
-    out = rows.select(*kept, transform(filled).alias("_v"))
-    spread = {f: F.col("_v")[i] for i, f in enumerate(names)}
-    nothing = F.lit(None).cast("double")
-    return out.select(*kept, *[F.nanvl(v, nothing).alias(f) for f, v in spread.items()])
+    out = rows.select(*kept, transform(array_of(_OR_NAN, names)).alias("_v"))
+    values = [
+        f"nanvl(_v[{i}], CAST(NULL AS DOUBLE)) AS {quoted(f)}" for i, f in enumerate(names)
+    ]
+    return out.selectExpr(*[quoted(c) for c in kept], *values)
 
 
 def feature_correlation(rows: DataFrame, names: Sequence[str]) -> np.ndarray | None:
@@ -252,22 +251,15 @@ def _modz(rows: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     of the others' vectors. So no pair of replicates is ever formed: one aggregate sums
     the vectors of a group, a second one takes the weighted mean.
     """
-    filled = F.array(*[F.coalesce(F.col(f), F.lit(float("nan"))) for f in names])
-    ranked = rows.withColumn("_key", F.struct(*keys)).withColumn("_u", _unit_ranks(filled))
-    sums = [F.sum(F.col("_u")[i]) for i in range(len(names))]
-    totals = ranked.groupBy("_key").agg(
-        F.array(*sums).alias("_total"), F.count("*").alias("_n")
-    )
+    ranked = rows.withColumn("_key", F.struct(*keys))
+    ranked = ranked.withColumn("_u", _unit_ranks(array_of(_OR_NAN, names)))
+    sums = F.expr(f"array({', '.join(f'sum(_u[{i}])' for i in range(len(names)))})")
+    totals = ranked.groupBy("_key").agg(sums.alias("_total"), F.count("*").alias("_n"))
     dot = F.aggregate(
         F.zip_with("_u", "_total", lambda u, t: u * (t - u)), F.lit(0.0), lambda a, x: a + x
     )
-    weight = F.greatest(F.coalesce(F.try_divide(dot, F.col("_n") - 1), F.lit(0.0)), F.lit(MODZ_MIN_WEIGHT))
+    agreement = F.coalesce(F.try_divide(dot, F.col("_n") - 1), F.lit(0.0))
+    weight = F.greatest(agreement, F.lit(MODZ_MIN_WEIGHT))
     weighted = ranked.join(totals, "_key").withColumn("_w", weight)
-    return weighted.groupBy(*keys).agg(
-        *[
-            F.try_divide(
-                F.sum(F.col("_w") * F.col(f)), F.sum(F.when(F.col(f).isNotNull(), F.col("_w")))
-            ).alias(f)
-            for f in names
-        ]
-    )
+    present = "sum(CASE WHEN $ IS NOT NULL THEN _w END)"
+    return weighted.groupBy(*keys).agg(*each(f"try_divide(sum(_w * $), {present})", names))

@@ -9,7 +9,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.missing import clean_features, one_row, tidy, valid
+from ..functions.missing import clean_features, each, one_row, quoted, text, tidy, valid
 from ..schema import numeric_features
 from ..session import materialize
 from .select import cell_counts
@@ -41,16 +41,11 @@ def feature_moments(
     from this small table, for ``by`` and for every subset of its columns.
     """
     names = numeric_features(cells, features)
-    stats = [
-        F.struct(
-            F.count(f).alias("n"), F.avg(f).alias("mean"), F.var_pop(f).alias("variance")
-        ).alias(f)
-        for f in names
-    ]
+    stats = each("named_struct('n', count($), 'mean', avg($), 'variance', var_pop($))", names)
     wide = clean_features(cells.select(*by, *names), names)
     wide = wide.groupBy(*by).agg(F.count("*").alias("_rows"), *stats)
     entries = [
-        (F.lit(f), F.col("_rows"), *[F.col(f"{f}.{s}") for s in ("n", "mean", "variance")])
+        (text(f), "_rows", *[f"{quoted(f)}.{s}" for s in ("n", "mean", "variance")])
         for f in names
     ]
     return wide.select(*by, tidy(entries, ["feature", "rows", "n", "mean", "variance"]))
@@ -59,8 +54,9 @@ def feature_moments(
 def missingness(cells: DataFrame, features: Sequence[str] | None = None) -> DataFrame:
     """Missing values (NULL or NaN) per feature, worst first, from one pass."""
     names = numeric_features(cells, features)
-    counts = cells.agg(F.count("*").alias("_rows"), *[F.count(valid(f)).alias(f) for f in names])
-    entries = [(F.lit(f), F.col("_rows"), F.col(f)) for f in names]
+    cleaned = clean_features(cells.select(*names), names)
+    counts = cleaned.agg(F.count("*").alias("_rows"), *each("count($)", names))
+    entries = [(text(f), "_rows", quoted(f)) for f in names]
     return _missing_fractions(counts.select(tidy(entries, ["feature", "rows", "n"])))
 
 
@@ -168,13 +164,9 @@ def detect_outliers(
         .withColumn("_stats", center)
         .agg(F.count("*").alias("_rows"), *[F.count_if(x).alias(f) for f, x in flags.items()])
     )
+    fraction = "coalesce(try_divide(CAST($ AS DOUBLE), _rows), 0D)"
     entries = [
-        (
-            F.lit(f),
-            F.lit(cut),
-            F.col(f),
-            F.coalesce(F.try_divide(F.col(f).cast("double"), F.col("_rows")), F.lit(0.0)),
-        )
+        (text(f), f"CAST({cut!r} AS DOUBLE)", quoted(f), fraction.replace("$", quoted(f)))
         for f, cut in present.items()
     ]
     names = ["feature", "threshold", "n_outliers", "fraction_outliers"]

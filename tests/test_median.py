@@ -86,5 +86,5 @@ def test_nan_becomes_null_and_helpers_compose(spark):
     assert cleaned.agg(F.avg("x"), F.count("x")).collect() == [(2.0, 1)]
     stats = one_row(cleaned.agg(F.max("x").alias("m")))
     assert df.select("k", stats["m"].alias("m")).collect() == [(1, 2.0), (2, 2.0)]
-    rows = df.limit(1).select(tidy([(F.lit("a"), F.lit(1)), (F.lit("b"), F.lit(2))], ["n", "v"]))
+    rows = df.limit(1).select(tidy([("'a'", "1"), ("'b'", "2")], ["n", "v"]))
     assert rows.collect() == [("a", 1), ("b", 2)]
