@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +16,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.ansi.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -32,27 +35,57 @@ def build_session(
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables, taken from ``spark.checkpoint.dir``.
+    """This application's shared folder for intermediate tables.
 
-    A local session without the setting (as in unit tests) gets a temporary folder. A
-    cluster session without it is an error: executors could not read each other's files.
+    It lies below ``spark.checkpoint.dir``; where that is unset, below the warehouse folder,
+    which the executors share as well. The folder is removed when the driver ends;
+    :func:`scratch_scope` removes tables earlier.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getCheckpointDir()
     if not configured:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(
-                "set spark.checkpoint.dir to a folder that all executors can reach"
-            )
-        configured = tempfile.mkdtemp(prefix="cellprofiles-")
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured.rstrip("/")
+        configured = spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+    root = f"{configured.rstrip('/')}/cellprofiles-{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        _roots.add(root)
+        atexit.register(_delete, spark, root)
+    return root
+
+
+_roots: set[str] = set()
+_scopes: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder through Spark's file system layer, if the session still runs."""
+    context = spark.sparkContext
+    if context._jsc is None or context._jsc.sc().isStopped():
+        return
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the scratch tables made inside the block at its end.
+
+    Only for callers that have written or collected what they need by then.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _delete(spark, path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below :func:`scratch_root`."""
-    return f"{scratch_root(spark)}/cellprofiles/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
