@@ -39,4 +39,44 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM summed
 """
 
-ORACLES: dict[str, str] = {"op5_mixing": _MIXING}
+#: Every window and every stretch of a document of the same length, compared as text.
+_DECONTAMINATION = r"""
+WITH items AS (
+    SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM benchmark
+), placed AS (
+    SELECT item_id, words, least(13, len(words)) AS size,
+           unnest(range(1, len(words) - least(13, len(words)) + 2)) AS place
+    FROM items WHERE len(words) > 0
+), windows AS (
+    SELECT DISTINCT item_id, size, array_to_string(words[place:place + size - 1], ' ') AS phrase
+    FROM placed
+), docs AS (
+    SELECT row_number() OVER () AS n, doc_id, coalesce(regexp_extract_all(translate(text,
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words
+    FROM documents
+), stretches AS (
+    SELECT n, size, place, array_to_string(words[place:place + size - 1], ' ') AS phrase
+    FROM (
+        SELECT n, words, size, unnest(range(1, len(words) - size + 2)) AS place
+        FROM docs, (SELECT DISTINCT size FROM windows) WHERE len(words) >= size
+    )
+), found AS (
+    SELECT n, item_id, place, size FROM stretches JOIN windows USING (size, phrase)
+), hits AS (
+    SELECT n, count(DISTINCT word) AS n_hit
+    FROM (SELECT n, unnest(range(place, place + size)) AS word FROM found) GROUP BY n
+), named AS (
+    SELECT n, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+    FROM (SELECT DISTINCT n, CAST(item_id AS VARCHAR) AS name FROM found WHERE item_id IS NOT NULL)
+    GROUP BY n
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+       coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM docs LEFT JOIN hits USING (n) LEFT JOIN named USING (n)
+"""
+
+ORACLES: dict[str, str] = {"op5_mixing": _MIXING, "op8_decontamination": _DECONTAMINATION}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import decontamination, mixing, sharding
 from .common import read_table
 
 #: Shards that the corpus is written to.
@@ -33,7 +33,25 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in passages of the benchmark."""
+    docs, benchmark = (read_table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    found = docs.select(
+        "doc_id", decontamination.overlap(F.col("text"), benchmark).alias("found")
+    )
+    named = F.array_join(F.array_sort(F.col("found.items").cast("array<string>")), ",")
+    return found.select(
+        "doc_id",
+        "found.n_words",
+        "found.n_hit",
+        F.size("found.items").cast("long").alias("n_items"),
+        F.sha2(named, 256).alias("items_sha256"),
+        decontamination.contaminated(F.col("found")).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op5_mixing": op5_mixing,
+    "op8_decontamination": op8_decontamination,
 }
