@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, sharding
+from . import decontamination, mixing, sharding, simhash
 from .common import read_table
 
 #: Shards that the corpus is written to.
@@ -33,6 +33,13 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return found.select("doc_id", digits, "component_id")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in passages of the benchmark."""
     docs, benchmark = (read_table(spark, sf_dir, name) for name in ("documents", "benchmark"))
@@ -53,5 +60,6 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op5_mixing": op5_mixing,
+    "op7_simhash": op7_simhash,
     "op8_decontamination": op8_decontamination,
 }
