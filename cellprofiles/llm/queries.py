@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, sharding, simhash
+from . import decontamination, language, mixing, sharding, simhash
 from .common import read_table
 
 #: Shards that the corpus is written to.
@@ -33,6 +33,18 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from those that are not held out."""
+    docs = read_table(spark, sf_dir, "documents")
+    learnable = language.learnable(F.col("doc_id"))
+    model = language.fit_documents(docs.filter(learnable))
+    return docs.select(
+        "doc_id",
+        (~learnable).alias("held_out"),
+        language.predict(F.col("text"), model, docs).alias("found"),
+    ).select("doc_id", "held_out", "found.lang_pred", "found.score")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
@@ -60,6 +72,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op5_mixing": op5_mixing,
+    "op6_language": op6_language,
     "op7_simhash": op7_simhash,
     "op8_decontamination": op8_decontamination,
 }
