@@ -7,12 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, mixing, sharding, simhash
+from ..session import scratch_path
+from . import attribution, decontamination, language, mixing, sharding, simhash, token_output
 from .common import read_table
 
 #: Shards that the corpus is written to.
 N_SHARDS = 16
 
+#: File of the installed package of public tokenizers.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document to one of 16 shards of nearly equal bytes."""
@@ -69,10 +79,24 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document, from the encoding of the whole document."""
+    return attribution.attribute_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place and checksum of the ids of every document, read back from the token files."""
+    path = scratch_path(spark, "tokens")
+    token_output.write_tokens(read_table(spark, sf_dir, "documents"), path, tokenizer_path())
+    return token_output.read_documents(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op5_mixing": op5_mixing,
     "op6_language": op6_language,
     "op7_simhash": op7_simhash,
     "op8_decontamination": op8_decontamination,
+    "op9_token_counts": op9_token_counts,
+    "op10_token_output": op10_token_output,
 }
