@@ -12,22 +12,20 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 
 #: Parts in the cache before it is emptied.
-CACHE = 200_000
+CACHE = 500_000
 
 #: Parts that are encoded as one text.
 JOINED = 2_000
 
 #: Characters of texts whose parts are looked up together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 21
 
 _MARK = "\0"
-_WIDE = re.compile(r"\s\s|^\s|\s$|\0")
-_PLAIN = re.compile(r" \S+")
 _BREAK = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -35,8 +33,9 @@ def parts_of(text: str) -> list[str]:
     """Parts of a text that can be encoded one by one."""
     if not text:
         return []
-    if _WIDE.search(text):
-        return _BREAK.split(text)
+    flat = text.replace("\n", " ")
+    if not flat.isprintable() or "  " in flat or flat[0] == " " or flat[-1] == " ":
+        return _BREAK.split(text)  # there is white space besides single spaces and line breaks
     marked = text.replace(" ", f"{_MARK} ").replace("\n", f"{_MARK}\n{_MARK}")
     return marked.split(_MARK)
 
@@ -58,12 +57,14 @@ class Encoder:
         for token, number in vocabulary.items():  # a character of the vocabulary is a byte
             self.sizes[number] = len(token)
 
-    def _learn(self, parts: Iterable[str]) -> None:
+    def _learn(self, group: list[list[str]]) -> None:
         if len(self.ids) > CACHE:
             self.ids, self.spans = {}, {}
-        new = list({part for part in parts if part not in self.ids})
-        plain = [part for part in new if _PLAIN.fullmatch(part)]
-        others = [part for part in new if not _PLAIN.fullmatch(part)]
+        new: set[str] = set().union(*group).difference(self.ids)
+        plain, others = [], []
+        for part in new:
+            one = part[0] == " " and part.count(" ") == 1 and len(part) > 1 and part.isprintable()
+            (plain if one else others).append(part)
         for at in range(0, len(plain), JOINED):
             self._learn_joined(plain[at : at + JOINED])
         encode = self.tokenizer.encode_batch if self.offsets else self.tokenizer.encode_batch_fast
@@ -108,16 +109,16 @@ class Encoder:
     def encode(self, texts: Sequence[str | None]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; none for NULL."""
         for group in self._groups(texts):
-            self._learn(part for parts in group for part in parts)
+            self._learn(group)
             for parts in group:
-                yield b"".join([self.ids[part] for part in parts])
+                yield b"".join(map(self.ids.__getitem__, parts))
 
     def encode_spans(self, texts: Sequence[str | None]) -> Iterator[np.ndarray]:
         """First and last character (excluded) of each token of each text."""
         for group in self._groups(texts):
-            self._learn(part for parts in group for part in parts)
+            self._learn(group)
             for parts in group:
-                found = b"".join([self.spans[part] for part in parts])
+                found = b"".join(map(self.spans.__getitem__, parts))
                 spans = np.frombuffer(found, dtype="<i8").reshape(-1, 2)
                 tokens = np.array([len(self.ids[part]) // 4 for part in parts], dtype=np.int64)
                 sizes = np.array([len(part) for part in parts], dtype=np.int64)
