@@ -26,9 +26,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 #: Documents per language and their most bytes in the training sample.
 SAMPLE_PER_LANGUAGE, SAMPLE_BYTES = 1500, 50_000
 
+#: Up to so many languages their shares go to every task; more are joined by a shuffle.
+BROADCAST_LANGUAGES = 10_000
+
 #: A text is rejected below this calibrated score.
 REJECT_BELOW = 0.4
 
@@ -168,7 +173,10 @@ def training_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) ->
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
     counts = labelled.groupBy("lang").count()
     share = F.lit(float(per_language * (1 << 30))) / F.col("count")
-    drawn = labelled.join(counts.select("lang", share.alias("_share")), "lang")
+    shares = materialize(counts.select("lang", share.alias("_share")), "language-shares")
+    if shares.count() <= BROADCAST_LANGUAGES:
+        shares = F.broadcast(shares)
+    drawn = labelled.join(shares, "lang")
     drawn = drawn.filter(draw < F.col("_share")).select("text", "lang").distinct()
     return drawn.toPandas().sort_values(["lang", "text"], ignore_index=True)
 
