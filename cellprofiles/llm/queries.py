@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import attribution, decontamination, language, mixing, sharding, simhash, token_output
+from . import attribution, decontamination, extraction, language, mixing, sharding, simhash, token_output
 from .common import read_table
 
 #: Shards that the corpus is written to.
@@ -37,6 +37,14 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Article text of every page."""
+    pages = read_table(spark, sf_dir, "pages")
+    text = F.coalesce(extraction.main_text(F.col("html"), pages), F.lit("")).alias("text")
+    found = pages.select("page_id", "url", text)
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix by source weights takes of every document."""
     counts = mixing.mix_counts(read_table(spark, sf_dir, "documents"))
@@ -93,6 +101,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
+    "op4_extraction": op4_extraction,
     "op5_mixing": op5_mixing,
     "op6_language": op6_language,
     "op7_simhash": op7_simhash,
