@@ -8,7 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import attribution, decontamination, extraction, language, mixing, sharding, simhash, token_output
+from . import (
+    attribution,
+    decontamination,
+    extraction,
+    language,
+    mixing,
+    secrets,
+    sharding,
+    simhash,
+    token_output,
+)
 from .common import read_table
 
 #: Shards that the corpus is written to.
@@ -24,6 +34,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate secret of every document, with the forest's verdict."""
+    found = secrets.scan_secrets(read_table(spark, sf_dir, "documents"), F.col("source"))
+    digest = F.sha2("value", 256).alias("value_sha256")
+    return found.select("doc_id", "start", "n_chars", digest, "score", "secret")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document to one of 16 shards of nearly equal bytes."""
     return sharding.shard_slots(read_table(spark, sf_dir, "documents"), N_SHARDS).select(
@@ -100,6 +117,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op2_sharding": op2_sharding,
     "op4_extraction": op4_extraction,
     "op5_mixing": op5_mixing,
