@@ -5,7 +5,9 @@ non-space characters on both sides: such a space starts a piece, such a line bre
 a text may be cut before these spaces and around these line breaks, and the ids of the text
 are those of the parts, one after the other. Parts are encoded by the tokenizers library, each
 different one once while it is in the cache; new parts that start with a space go to it joined
-to one text, and the bytes that each id stands for tell where a part ends.
+to one text, and the bytes that each id stands for tell where a part ends. Parts that are a
+single word of Latin letters need no cutting into words: they go to the file's BPE model with
+white space as the only rule, in the byte alphabet of its vocabulary.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ JOINED = 2_000
 TOGETHER = 1 << 21
 
 _MARK = "\0"
+_WORD = re.compile(r" [A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")
 _BREAK = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -40,15 +43,26 @@ def parts_of(text: str) -> list[str]:
     return marked.split(_MARK)
 
 
+def byte_alphabet() -> dict[int, str]:
+    """Character of the vocabulary for each byte: itself if it prints, else the next from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [byte for byte in range(256) if byte not in set(prints)]
+    return {b: chr(b) for b in prints} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
 class Encoder:
     """Encodes texts with a tokenizer given as its JSON; special tokens are ordinary text."""
 
     def __init__(self, tokenizer_json: str, offsets: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = WhitespaceSplit()
+        self.alphabet = byte_alphabet()
         self.offsets = offsets
         self.ids: dict[str, bytes] = {}
         self.spans: dict[str, bytes] = {}
@@ -61,40 +75,54 @@ class Encoder:
         if len(self.ids) > CACHE:
             self.ids, self.spans = {}, {}
         new: set[str] = set().union(*group).difference(self.ids)
-        plain, others = [], []
+        words, plain, others = [], [], []
         for part in new:
-            one = part[0] == " " and part.count(" ") == 1 and len(part) > 1 and part.isprintable()
-            (plain if one else others).append(part)
+            if _WORD.fullmatch(part):
+                words.append(part)
+            elif part[0] == " " and part.count(" ") == 1 and len(part) > 1 and part.isprintable():
+                plain.append(part)
+            else:
+                others.append(part)
+        for at in range(0, len(words), JOINED):
+            self._learn_joined(words[at : at + JOINED], True)
         for at in range(0, len(plain), JOINED):
-            self._learn_joined(plain[at : at + JOINED])
+            self._learn_joined(plain[at : at + JOINED], False)
         encode = self.tokenizer.encode_batch if self.offsets else self.tokenizer.encode_batch_fast
         for part, found in zip(others, encode(others, add_special_tokens=False), strict=True):
             self.ids[part] = np.array(found.ids, dtype="<u4").tobytes()
             if self.offsets:
                 self.spans[part] = np.array(found.offsets, dtype="<i8").tobytes()
 
-    def _learn_joined(self, parts: list[str]) -> None:
+    def _learn_joined(self, parts: list[str], words: bool) -> None:
+        """``words``: each part is a space and letters."""
         joined = "".join(parts)
-        ids = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, dtype="<u4")
-        data, ends = ids.tobytes(), np.cumsum(self.sizes[ids])
         raw = joined.encode()
-        stops = np.cumsum([len(p) for p in parts])
-        starts = stops - [len(p) for p in parts]
-        if len(raw) == len(joined):
-            byte_stops, spans = stops, np.stack([ends - self.sizes[ids], ends], axis=1)
+        if words:
+            shown = raw.decode("latin-1").replace(" ", "\n ")  # line breaks between the words
+            shown = shown.translate({b: c for b, c in self.alphabet.items() if b != 10})
+            found = self.words.encode(shown, add_special_tokens=False)
         else:
+            found = self.tokenizer.encode(joined, add_special_tokens=False)
+        ids = np.array(found.ids, dtype="<u4")
+        data, ends = ids.tobytes(), np.cumsum(self.sizes[ids])
+        stops = np.cumsum([len(p) for p in parts])
+        leads = None
+        if len(raw) != len(joined):
             leads = np.frombuffer(raw, dtype=np.uint8) & 0xC0 != 0x80
-            place = np.cumsum(leads) - 1  # character of each byte
-            byte_starts = np.append(np.flatnonzero(leads), len(raw))
-            byte_stops = byte_starts[stops]
-            first = place[np.minimum(ends - self.sizes[ids], len(raw) - 1)]
+            byte_stops = np.append(np.flatnonzero(leads), len(raw))[stops]
+        cuts = np.searchsorted(ends, stops if leads is None else byte_stops) + 1
+        slices = list(zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True))
+        self.ids.update(zip(parts, [data[4 * a : 4 * b] for a, b in slices], strict=True))
+        if not self.offsets:
+            return
+        spans = np.stack([ends - self.sizes[ids], ends], axis=1)
+        if leads is not None:  # from bytes to the characters that hold them
+            place = np.cumsum(leads) - 1
+            first = place[np.minimum(spans[:, 0], len(raw) - 1)]
             spans = np.stack([first, place[ends - 1] + 1], axis=1)
-        cuts = np.searchsorted(ends, byte_stops) + 1
-        firsts = [0, *cuts[:-1].tolist()]
-        for part, a, b, start in zip(parts, firsts, cuts.tolist(), starts.tolist(), strict=True):
-            self.ids[part] = data[4 * a : 4 * b]
-            if self.offsets:
-                self.spans[part] = (spans[a:b] - start).astype("<i8").tobytes()
+        spans -= np.repeat(stops - [len(p) for p in parts], np.diff([0, *cuts]))[:, None]
+        data = spans.astype("<i8").tobytes()
+        self.spans.update(zip(parts, [data[16 * a : 16 * b] for a, b in slices], strict=True))
 
     def _groups(self, texts: Sequence[str | None]) -> Iterator[list[list[str]]]:
         group, size = [], 0

@@ -30,11 +30,10 @@ class WaveletMatrix:
             bits = max(int(symbols.max()).bit_length(), 1) if length else 1
         planes = np.zeros((bits, length // 64 + 1), dtype="<u8")
         for plane in range(bits):
-            bit = (symbols >> (bits - 1 - plane)).astype(np.uint8) & 1
+            bit = symbols & symbols.dtype.type(1 << (bits - 1 - plane)) != 0
             packed = np.packbits(bit, bitorder="little")
             planes[plane].view(np.uint8)[: len(packed)] = packed
-            bit = bit.view(bool)
-            symbols = np.concatenate([symbols[~bit], symbols[bit]])
+            symbols = np.concatenate([symbols.compress(~bit), symbols.compress(bit)])
         return cls(planes, length)
 
     def _rank1(self, plane: int, at: np.ndarray) -> np.ndarray:
@@ -101,13 +100,14 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """The whole sequence, plane by plane from the lowest bit."""
-        symbols = np.zeros(self.length, dtype=np.uint32)
+        symbols = np.zeros(self.length, dtype=np.uint16 if len(self.planes) <= 16 else np.uint32)
         for plane in reversed(range(len(self.planes))):
             packed = self.planes[plane].view(np.uint8)
             bit = np.unpackbits(packed, count=self.length, bitorder="little").view(bool)
             back = np.empty_like(symbols)
-            back[~bit] = symbols[: self.zeros[plane]]
-            back[bit] = symbols[self.zeros[plane] :] | np.uint32(1 << (len(self.planes) - 1 - plane))
+            high = symbols.dtype.type(1 << (len(self.planes) - 1 - plane))
+            back[np.flatnonzero(~bit)] = symbols[: self.zeros[plane]]
+            back[np.flatnonzero(bit)] = symbols[self.zeros[plane] :] | high
             symbols = back
         return symbols
 
