@@ -4,12 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellprofiles.llm import mixing, sharding
+from cellprofiles.llm import decontamination, language, mixing, sharding, simhash
 from cellprofiles.llm.common import document_columns, read_table
 from cellprofiles.llm.queries import N_SHARDS
 from cellprofiles.session import materialize
 
 
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the model does not reject."""
+    return language.keep_identified(docs).select(*document_columns(docs))
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return simhash.drop_near_duplicates(docs).select(*document_columns(docs))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by the benchmark."""
+    benchmark = read_table(spark, sf_dir, "benchmark")
+    return decontamination.remove_contaminated(docs, benchmark).select(*document_columns(docs))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights; a document appears as often as the mix takes it."""
     return mixing.mix_documents(docs).select(*document_columns(docs))
@@ -21,7 +37,10 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("mixing", mix),
+    ("language ID", identify),
+    ("SimHash near-dedup", deduplicate),
+    ("benchmark decontamination", decontaminate),
+    ("mixing sources to target weights", mix),
     ("sharding", shard),
 ]
 
@@ -32,6 +51,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``, each written and read again before the next one."""
     docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), "stage")
     return STAGES[-1][1](spark, docs, sf_dir)
