@@ -14,6 +14,7 @@ from . import (
     extraction,
     language,
     mixing,
+    search,
     secrets,
     sharding,
     simhash,
@@ -54,6 +55,13 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every twentieth document as a query."""
+    docs = read_table(spark, sf_dir, "documents")
+    queries = docs.filter(F.col("doc_id") % 20 == 0).withColumnRenamed("doc_id", "query_id")
+    return search.top_k(docs, queries)
+
+
 def op4_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Article text of every page."""
     pages = read_table(spark, sf_dir, "pages")
@@ -119,6 +127,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_sharding": op2_sharding,
+    "op3_search": op3_search,
     "op4_extraction": op4_extraction,
     "op5_mixing": op5_mixing,
     "op6_language": op6_language,
