@@ -40,11 +40,12 @@ REJECT_BELOW = 0.4
 #: Lengths of the n-grams in bytes, buckets (a power of two) and width of an embedding.
 NGRAMS, BUCKET_BITS, WIDTH = (2, 3, 4), 18, 16
 
-#: Steps of the descent: passes, texts in a step, n-grams drawn from a text, step size.
-EPOCHS, BATCH, DRAWN, RATE = 8, 32, 192, 0.5
+#: Steps of the descent, however small the sample is, texts in a step, n-grams drawn from a text,
+#: and step size.
+STEPS, BATCH, DRAWN, RATE = 2000, 32, 192, 2.0
 
 #: Share of the sample that calibrates, and temperatures tried.
-CALIBRATION, TEMPERATURES = 0.2, tuple(float(t) for t in np.geomspace(0.05, 20, 61))
+CALIBRATION, TEMPERATURES = 0.2, tuple(float(t) for t in np.geomspace(0.02, 20, 61))
 
 #: Bytes of a text that are looked up at once.
 CHUNK = 1 << 20
@@ -85,11 +86,10 @@ def buckets_of(letters: bytes, start: int = 0, stop: int | None = None) -> np.nd
 
 @dataclass
 class LanguageModel:
-    """``logits`` has a row for each bucket; a text's logits are their mean plus ``bias``."""
+    """``logits`` has a row for each bucket; a text's logits are their mean."""
 
     languages: list[str]
     logits: np.ndarray
-    bias: np.ndarray
     temperature: float
 
     def text_logits(self, letters: bytes) -> np.ndarray:
@@ -98,7 +98,7 @@ class LanguageModel:
             buckets = buckets_of(letters, start, min(start + CHUNK, len(letters)))
             total += self.logits[buckets].sum(axis=0, dtype=np.float64)
             count += len(buckets)
-        return total / max(count, 1) + self.bias
+        return total / max(count, 1)
 
     def predict(self, texts: list[str | None]) -> pd.DataFrame:
         rows = []
@@ -131,32 +131,28 @@ def fit(texts: list[str], languages: list[str], seed: int = 7) -> LanguageModel:
     size = 1 << BUCKET_BITS
     table = draw.uniform(-1 / WIDTH, 1 / WIDTH, (size, WIDTH)).astype(np.float32)
     layer = np.zeros((len(names), WIDTH), dtype=np.float32)
-    bias = np.zeros(len(names), dtype=np.float32)
     met = np.zeros(size, dtype=bool)
-    steps, step = EPOCHS * -(-len(learnt) // BATCH), 0
-    for _ in range(EPOCHS):
-        for at in range(0, len(learnt), BATCH):
-            rows = learnt[at : at + BATCH]
-            drawn = np.stack([draw.choice(grams[i], DRAWN) for i in rows])
-            met[drawn] = True
-            mean = table[drawn].mean(axis=1)
-            error = _softmax(mean @ layer.T + bias)
-            error[np.arange(len(rows)), target[rows]] -= 1
-            error *= RATE * (1 - step / steps) / len(rows)
-            back = error @ layer
-            layer -= error.T @ mean
-            bias -= error.sum(axis=0)
-            np.subtract.at(table, drawn.ravel(), np.repeat(back * len(rows) / DRAWN, DRAWN, axis=0))
-            step += 1
-        draw.shuffle(learnt)
+    for step in range(STEPS if len(learnt) else 0):
+        rows = draw.choice(learnt, BATCH)
+        drawn = np.stack([draw.choice(grams[i], DRAWN) for i in rows])
+        met[drawn] = True
+        mean = table[drawn].mean(axis=1)
+        error = _softmax(mean @ layer.T)
+        error[np.arange(BATCH), target[rows]] -= 1
+        error *= RATE * (1 - step / STEPS) / BATCH
+        back = error @ layer
+        layer -= error.T @ mean
+        np.subtract.at(table, drawn.ravel(), np.repeat(back * BATCH / DRAWN, DRAWN, axis=0))
     table[~met] = 0
-    model = LanguageModel(names, table @ layer.T, bias.astype(np.float64), 1.0)
+    model = LanguageModel(names, table @ layer.T, 1.0)
     if len(held):
         logits = np.stack([model.text_logits(letters_of(texts[i])) for i in held])
-        losses = [
-            -np.log(_softmax(logits / t)[np.arange(len(held)), target[held]] + 1e-12).mean()
-            for t in TEMPERATURES
-        ]
+        losses, doubt = [], 1 / (len(held) + 2)  # as if one more text had been taken for another
+        for t in TEMPERATURES:
+            right = _softmax(logits / t)[np.arange(len(held)), target[held]]
+            wrong = (1 - right) / max(len(names) - 1, 1)
+            loss = (1 - doubt) * np.log(right + 1e-12) + doubt * np.log(wrong + 1e-12)
+            losses.append(-loss.mean())
         model.temperature = TEMPERATURES[int(np.argmin(losses))]
     return model
 
@@ -185,7 +181,7 @@ def fit_documents(docs: DataFrame) -> LanguageModel:
     """A model trained on a sample of the labelled rows of ``docs`` (``text``, ``lang``)."""
     sample = training_sample(docs)
     if sample.empty:
-        return LanguageModel([], np.zeros((0, 0)), np.zeros(0), 1.0)
+        return LanguageModel([], np.zeros((0, 0)), 1.0)
     return fit(sample.text.tolist(), sample.lang.tolist())
 
 
