@@ -9,10 +9,9 @@ bounded by ``SAMPLE_PER_LANGUAGE`` and ``SAMPLE_BYTES``. Prediction uses every t
 Because everything after the lookup is linear, a trained model is one table with a row of
 logits per bucket. Buckets that training never met are zero, so a text in an unknown language
 gets nearly equal logits. The softmax is calibrated by a temperature fitted on documents that
-the descent did not see, and a text is rejected if its calibrated score stays below
-``REJECT_BELOW``. The bound lies between the score of a text that tells nothing, one over the
-number of languages for the four of a small corpus, and one half, the score of a text that is
-written in two of them.
+the descent did not see, and a text is rejected if its calibrated score does not exceed
+the score of a text that tells nothing, one over the number of languages, by ``REJECT_MARGIN``
+of the way to certainty. A text written in two or three of the languages is above that.
 """
 
 from __future__ import annotations
@@ -34,8 +33,8 @@ SAMPLE_PER_LANGUAGE, SAMPLE_BYTES = 1500, 50_000
 #: Up to so many languages their shares go to every task; more are joined by a shuffle.
 BROADCAST_LANGUAGES = 10_000
 
-#: A text is rejected below this calibrated score.
-REJECT_BELOW = 0.4
+#: Share of the way from chance to certainty that a score must make.
+REJECT_MARGIN = 0.1
 
 #: Lengths of the n-grams in bytes, buckets (a power of two) and width of an embedding.
 NGRAMS, BUCKET_BITS, WIDTH = (2, 3, 4), 18, 16
@@ -44,6 +43,9 @@ NGRAMS, BUCKET_BITS, WIDTH = (2, 3, 4), 18, 16
 #: and step size.
 STEPS, BATCH, DRAWN, RATE = 2000, 32, 192, 2.0
 
+#: N-grams of a text that are kept, at random, for the steps to draw from.
+KEPT_GRAMS = 2000
+
 #: Share of the sample that calibrates, and temperatures tried.
 CALIBRATION, TEMPERATURES = 0.2, tuple(float(t) for t in np.geomspace(0.02, 20, 61))
 
@@ -53,7 +55,7 @@ CHUNK = 1 << 20
 #: Language of a text without letters.
 UNDETERMINED = "und"
 
-RESULT = "lang_pred string, score double"
+RESULT = "lang_pred string, score double, rejected boolean"
 
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 _MULTIPLIER = 2654435761  # odd, near 2 ** 32 divided by the golden ratio
@@ -105,12 +107,17 @@ class LanguageModel:
         for text in texts:
             letters = letters_of(text)
             if not letters or not self.languages:
-                rows.append((UNDETERMINED, 0.0))
+                rows.append((UNDETERMINED, 0.0, True))
                 continue
             chance = _softmax(self.text_logits(letters)[None] / self.temperature)[0]
             best = int(chance.argmax())
-            rows.append((self.languages[best], float(chance[best])))
-        return pd.DataFrame(rows, columns=["lang_pred", "score"])
+            score = float(chance[best])
+            rows.append((self.languages[best], score, score < self.least_score()))
+        return pd.DataFrame(rows, columns=["lang_pred", "score", "rejected"])
+
+    def least_score(self) -> float:
+        chance = 1 / len(self.languages)
+        return chance + REJECT_MARGIN * (1 - chance)
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -123,7 +130,11 @@ def fit(texts: list[str], languages: list[str], seed: int = 7) -> LanguageModel:
     names = sorted(set(languages))
     target = np.array([names.index(name) for name in languages], dtype=np.int64)
     draw = np.random.default_rng(seed)
-    grams = [buckets_of(letters_of(text)) for text in texts]
+    grams = []
+    for text in texts:
+        own = buckets_of(letters_of(text))
+        kept = draw.choice(own, KEPT_GRAMS, replace=False) if len(own) > KEPT_GRAMS else own
+        grams.append(kept.astype(np.int32))
     usable = np.array([i for i, g in enumerate(grams) if len(g)], dtype=np.int64)
     draw.shuffle(usable)
     held = usable[: int(len(usable) * CALIBRATION)]
@@ -192,9 +203,9 @@ def learnable(doc_id: Column) -> Column:
 
 
 def predict(text: Column, model: LanguageModel, docs: DataFrame) -> Column:
-    """``lang_pred`` and calibrated ``score`` of a text.
+    """``lang_pred``, calibrated ``score`` and ``rejected`` of a text.
 
-    NULL, empty texts and texts without a letter are ``und`` with score 0, and so is every
+    NULL, empty texts and texts without a letter are ``und`` with score 0 and rejected, and so is every
     text if the model knows no language. Nothing but the text is used; ``docs`` gives the
     session.
     """
@@ -208,11 +219,6 @@ def predict(text: Column, model: LanguageModel, docs: DataFrame) -> Column:
     return scan(text)
 
 
-def rejected(found: Column) -> Column:
-    """The rejection rule on the result of :func:`predict`."""
-    return (found["lang_pred"] == UNDETERMINED) | (found["score"] < REJECT_BELOW)
-
-
 def keep_identified(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose language the model does not reject, columns as before.
 
@@ -225,4 +231,4 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     if not model.languages:
         return packed.filter(F.rlike(F.col("_row.text"), F.lit(r"\p{L}"))).select("_row.*")
     found = packed.withColumn("_found", predict(F.col("_row.text"), model, docs))
-    return found.filter(~rejected(F.col("_found"))).select("_row.*")
+    return found.filter(~F.col("_found.rejected")).select("_row.*")

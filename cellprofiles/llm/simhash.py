@@ -267,21 +267,30 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     whatever their names.
     """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    hashed = F.xxhash64(F.to_json("_row"))
+    parts = [
+        F.to_json(F.col(f"_row.`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"_row.`{f.name}`")
+        for f in docs.schema
+    ]
+    packed = packed.withColumn("_hash", F.xxhash64(*parts)).withColumn("_id", F.col("_row.doc_id"))
     rows = packed.select(
-        F.col("_row.doc_id").alias("doc_id"),
-        hashed.alias("_hash"),
-        fingerprint(F.col("_row.text")).alias("fp"),
+        F.col("_id").alias("doc_id"), "_hash", fingerprint(F.col("_row.text")).alias("fp")
     )
     rows = materialize(rows, "simhash-rows")
-    grouped = rows.join(fingerprint_groups(rows, radius).withColumn("known", F.lit(1)), "fp")
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_hash"))
-    kept = grouped.groupBy(F.coalesce("component_id", "fp"), F.col("component_id").isNull())
-    kept = kept.agg(F.min(order).alias("_kept")).select(
-        F.col("_kept.doc_id").alias("_id"), F.col("_kept._hash").alias("_hash")
-    )
-    found = packed.withColumn("_hash", hashed).withColumn("_id", F.col("_row.doc_id"))
-    found = found.alias("f").join(
-        kept.alias("k"), F.expr("f._id <=> k._id AND f._hash = k._hash"), "left_semi"
-    )
-    return found.dropDuplicates(["_id", "_hash"]).select("_row.*")
+    grouped = rows.join(fingerprint_groups(rows, radius), "fp")
+    grouped = grouped.groupBy("component_id", F.when(F.isnull("component_id"), F.col("fp")), "doc_id", "_hash")
+    grouped = grouped.agg(F.count("*").alias("copies"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_hash", "copies")
+    kept = grouped.groupBy(*grouped.columns[:2]).agg(F.min(order).alias("k"))
+    kept = kept.select(F.col("k.doc_id").alias("id"), F.col("k._hash").alias("hash"), "k.copies")
+    kept = materialize(kept, "simhash-kept")
+
+    def chosen(which: DataFrame) -> DataFrame:
+        # the ids are the small side; hashing them spares sorting whole documents
+        right = which.hint("shuffle_hash").alias("k")
+        return packed.alias("f").join(right, F.expr("f._id <=> k.id AND f._hash = k.hash"), "left_semi")
+
+    found = chosen(kept.filter("copies = 1"))
+    repeated = kept.filter("copies > 1")
+    if not repeated.isEmpty():
+        found = found.unionByName(chosen(repeated).dropDuplicates(["_id", "_hash"]))
+    return found.select("_row.*")
