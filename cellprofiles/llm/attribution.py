@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 
 from .tokens import Encoder, tokenizer_json
 
-SECTION = "struct<start: long, stop: long>"
-COUNTED = "array<struct<start: long, stop: long, n_tokens: long, n_crossing: long>>"
+COUNTED = "start array<long>, stop array<long>, n_tokens array<long>, n_crossing array<long>"
 
 
 def line_starts(text: str | None) -> np.ndarray:
@@ -29,17 +28,18 @@ def line_starts(text: str | None) -> np.ndarray:
     return np.cumsum(sizes) - sizes
 
 
-def allocate(spans: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def allocate(
+    spans: np.ndarray, starts: np.ndarray, stops: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
     """Section of every token, and whether it crosses an edge.
 
-    ``starts`` are the ascending first characters of sections that cover the text, the
-    first one 0. A token may lie across any number of sections.
+    ``starts`` are ascending, and every token starts in a section. A token may lie across any
+    number of sections.
     """
     first = np.searchsorted(starts, spans[:, 0], side="right") - 1
     last = np.searchsorted(starts, np.maximum(spans[:, 1] - 1, spans[:, 0]), side="right") - 1
     crossing = last > first
     section = first.copy()
-    stops = np.append(starts[1:], length)
     for token in np.flatnonzero(crossing):
         own = np.arange(first[token], last[token] + 1)
         held = np.minimum(stops[own], spans[token, 1]) - np.maximum(starts[own], spans[token, 0])
@@ -47,25 +47,33 @@ def allocate(spans: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.nda
     return section, crossing
 
 
-def count_sections(encoder: Encoder, texts: list[str | None], starts: list[np.ndarray]) -> list:
-    """Per text, a record per section."""
-    found = []
-    for text, own, spans in zip(texts, starts, encoder.encode_spans(texts), strict=True):
-        length = len(text or "")
-        section, crossing = allocate(spans, own, length)
-        tokens = np.bincount(section, minlength=len(own))
-        crossed = np.bincount(section[crossing], minlength=len(own))
-        stops = np.append(own[1:], length)
-        rows = zip(own.tolist(), stops.tolist(), tokens.tolist(), crossed.tolist(), strict=True)
-        names = ("start", "stop", "n_tokens", "n_crossing")
-        found.append([dict(zip(names, row, strict=True)) for row in rows])
-    return found
+def count_sections(
+    encoder: Encoder, texts: list[str | None], starts: list[np.ndarray]
+) -> pd.DataFrame:
+    """A row of arrays per text, with an entry per section."""
+    rows, at = [], 0
+    for spans, bases in encoder.encode_spans(texts):
+        own = starts[at : at + len(bases)]
+        lengths = np.array([len(text or "") for text in texts[at : at + len(bases)]])
+        at += len(bases)
+        many = np.array([len(s) for s in own], dtype=np.int64)
+        cuts = np.cumsum(many)
+        begin = np.concatenate([*own, np.zeros(0, dtype=np.int64)]) + np.repeat(bases, many)
+        end = np.append(begin[1:], 0)
+        end[cuts - 1] = bases + lengths
+        section, crossing = allocate(spans, begin, end)
+        tokens = np.bincount(section, minlength=len(begin))
+        crossed = np.bincount(section[crossing], minlength=len(begin))
+        values = (begin - np.repeat(bases, many), end - np.repeat(bases, many), tokens, crossed)
+        rows += zip(*(np.split(v, cuts[:-1]) for v in values), strict=True) if len(bases) else []
+    return pd.DataFrame(rows, columns=["start", "stop", "n_tokens", "n_crossing"])
 
 
 def section_tokens(
     text: Column, docs: DataFrame, tokenizer: str, starts: Column | None = None
 ) -> Column:
-    """Sections of a text with their tokens: ``start``, ``stop``, ``n_tokens``, ``n_crossing``.
+    """Sections of a text with their tokens: a struct of the arrays ``start``, ``stop``,
+    ``n_tokens`` and ``n_crossing``, an entry for each section.
 
     ``starts`` is an array of the first characters of the sections, ascending from 0 (positions
     count code points); without it every line is a section and keeps its line break.
@@ -75,18 +83,18 @@ def section_tokens(
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json(tokenizer))
 
     @F.pandas_udf(COUNTED)
-    def by_line(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def by_line(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(shared.value, offsets=True)
         for batch in batches:
             texts = list(batch)
-            yield pd.Series(count_sections(encoder, texts, [line_starts(t) for t in texts]))
+            yield count_sections(encoder, texts, [line_starts(t) for t in texts])
 
     @F.pandas_udf(COUNTED)
-    def by_start(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def by_start(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(shared.value, offsets=True)
         for batch, given in batches:
             own = [np.array(s if s is not None and len(s) else [0], dtype=np.int64) for s in given]
-            yield pd.Series(count_sections(encoder, list(batch), own))
+            yield count_sections(encoder, list(batch), own)
 
     return by_line(text) if starts is None else by_start(text, starts)
 
@@ -99,6 +107,7 @@ def attribute_tokens(docs: DataFrame, tokenizer: str) -> DataFrame:
     and NULL ids included. Empty in, empty out.
     """
     found = docs.select("doc_id", section_tokens(F.col("text"), docs, tokenizer).alias("_found"))
-    return found.select("doc_id", F.posexplode("_found").alias("section", "_one")).select(
-        "doc_id", "section", "_one.*"
-    )
+    names = ("start", "stop", "n_tokens", "n_crossing")
+    zipped = F.arrays_zip(*[F.col(f"_found.{name}").alias(name) for name in names])
+    rows = found.select("doc_id", F.posexplode(zipped).alias("section", "_one"))
+    return rows.select("doc_id", "section", *[F.col(f"_one.{name}").alias(name) for name in names])

@@ -12,6 +12,7 @@ white space as the only rule, in the byte alphabet of its vocabulary.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 from collections.abc import Iterator, Sequence
@@ -141,16 +142,21 @@ class Encoder:
             for parts in group:
                 yield b"".join(map(self.ids.__getitem__, parts))
 
-    def encode_spans(self, texts: Sequence[str | None]) -> Iterator[np.ndarray]:
-        """First and last character (excluded) of each token of each text."""
+    def encode_spans(self, texts: Sequence[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Per group of consecutive texts, first and last character (excluded) of each token, and
+        where each text starts; positions count through the group, with one between texts."""
         for group in self._groups(texts):
             self._learn(group)
-            for parts in group:
-                found = b"".join(map(self.spans.__getitem__, parts))
-                spans = np.frombuffer(found, dtype="<i8").reshape(-1, 2)
-                tokens = np.array([len(self.ids[part]) // 4 for part in parts], dtype=np.int64)
-                sizes = np.array([len(part) for part in parts], dtype=np.int64)
-                yield spans + np.repeat(np.cumsum(sizes) - sizes, tokens)[:, None]
+            parts = list(itertools.chain.from_iterable(group))
+            data = list(map(self.spans.__getitem__, parts))
+            spans = np.frombuffer(b"".join(data), dtype="<i8").reshape(-1, 2)
+            tokens = np.fromiter(map(len, data), dtype=np.int64, count=len(parts)) // 16
+            sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+            many = np.array([len(own) for own in group], dtype=np.int64)
+            text = np.repeat(np.arange(len(group)), many)
+            at = np.cumsum(sizes) - sizes + text
+            lengths = np.bincount(text, sizes, len(group)).astype(np.int64) + 1
+            yield spans + np.repeat(at, tokens)[:, None], np.cumsum(lengths) - lengths
 
 
 def tokenizer_json(path: str) -> str:
