@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import Encoder, tokenizer_json
+from .tokens import Encoder, EncoderSource
 
 COUNTED = "start array<long>, stop array<long>, n_tokens array<long>, n_crossing array<long>"
 
@@ -80,18 +80,18 @@ def section_tokens(
     ``n_crossing`` counts those tokens of a section that reach into another one. NULL and
     empty texts have one empty section. ``tokenizer`` is the path of a byte-level BPE file.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json(tokenizer))
+    shared = docs.sparkSession.sparkContext.broadcast(EncoderSource(tokenizer, offsets=True))
 
     @F.pandas_udf(COUNTED)
     def by_line(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(shared.value, offsets=True)
+        encoder = shared.value.encoder()
         for batch in batches:
             texts = list(batch)
             yield count_sections(encoder, texts, [line_starts(t) for t in texts])
 
     @F.pandas_udf(COUNTED)
     def by_start(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(shared.value, offsets=True)
+        encoder = shared.value.encoder()
         for batch, given in batches:
             own = [np.array(s if s is not None and len(s) else [0], dtype=np.int64) for s in given]
             yield count_sections(encoder, list(batch), own)

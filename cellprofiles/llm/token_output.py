@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tokens import Encoder, tokenizer_json
+from .tokens import Encoder, EncoderSource
 from .wavelet import WaveletMatrix
 
 #: Tokens from which on a shard is full; it ends with the document that fills it.
@@ -66,10 +66,10 @@ def write_tokens(
     Order is by ``doc_id``, NULL first, then by a hash of the text; repeated rows are written
     each. NULL and empty texts are the end id alone. An empty table writes no record.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json(tokenizer))
+    shared = docs.sparkSession.sparkContext.broadcast(EncoderSource(tokenizer))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return _shards(batches, Encoder(shared.value), end_id, shard_tokens)
+        return _shards(batches, shared.value.encoder(), end_id, shard_tokens)
 
     order = [F.col("doc_id"), F.xxhash64("text")]
     ordered = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)

@@ -20,7 +20,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 #: Parts in the cache before it is emptied.
-CACHE = 500_000
+CACHE = 800_000
 
 #: Parts that are encoded as one text.
 JOINED = 2_000
@@ -159,7 +159,22 @@ class Encoder:
             yield spans + np.repeat(at, tokens)[:, None], np.cumsum(lengths) - lengths
 
 
-def tokenizer_json(path: str) -> str:
-    """Content of a tokenizer file, to be sent to the tasks; a few megabytes."""
-    with open(path, encoding="utf-8") as file:
-        return file.read()
+class EncoderSource:
+    """What is broadcast for an encoder: the tokenizer's JSON, a few megabytes.
+
+    A worker process keeps the value of a broadcast from task to task, so it makes the encoder
+    once and its cache stays warm.
+    """
+
+    def __init__(self, path: str, offsets: bool = False):
+        with open(path, encoding="utf-8") as file:
+            self.json = file.read()
+        self.offsets, self._made = offsets, None
+
+    def __getstate__(self) -> dict:
+        return {"json": self.json, "offsets": self.offsets, "_made": None}
+
+    def encoder(self) -> Encoder:
+        if self._made is None:
+            self._made = Encoder(self.json, self.offsets)
+        return self._made

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cellprofiles.llm import attribution, token_output
-from cellprofiles.llm.tokens import Encoder, tokenizer_json
+from cellprofiles.llm.tokens import EncoderSource
 from cellprofiles.llm.wavelet import WaveletMatrix
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,7 +29,7 @@ def test_parts_encode_like_the_whole(library):
     draw = random.Random(3)
     letters = "aaaBBé éø'sé    1²½\n\n \t\xa0_-,日\x1c<|endoftext|>🙂ا\0"
     texts = ["".join(draw.choice(letters) for _ in range(draw.randint(0, 25))) for _ in range(3000)] + TEXTS
-    encoder = Encoder(tokenizer_json(PATH), offsets=True)
+    encoder = EncoderSource(PATH, offsets=True).encoder()
     of_text = []
     for spans, bases in encoder.encode_spans(texts):
         cuts = np.searchsorted(spans[:, 0], bases)
