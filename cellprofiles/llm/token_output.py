@@ -95,7 +95,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for row in batch.itertuples(index=False):
-            data = WaveletMatrix.from_bytes(row.matrix).decode().astype("<u4").tobytes()
+            data = memoryview(WaveletMatrix.from_bytes(row.matrix).decode().astype("<u4").tobytes())
             sizes = np.array(row.sizes, dtype=np.int64)
             stops = np.cumsum(sizes)
             ends = zip((4 * (stops - sizes)).tolist(), (4 * stops).tolist(), strict=True)

@@ -101,10 +101,10 @@ class Encoder:
         if words:
             shown = raw.decode("latin-1").replace(" ", "\n ")  # line breaks between the words
             shown = shown.translate({b: c for b, c in self.alphabet.items() if b != 10})
-            found = self.words.encode(shown, add_special_tokens=False)
+            found = self.words.encode_batch_fast([shown], add_special_tokens=False)
         else:
-            found = self.tokenizer.encode(joined, add_special_tokens=False)
-        ids = np.array(found.ids, dtype="<u4")
+            found = self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)
+        ids = np.array(found[0].ids, dtype="<u4")
         data, ends = ids.tobytes(), np.cumsum(self.sizes[ids])
         stops = np.cumsum([len(p) for p in parts])
         leads = None
