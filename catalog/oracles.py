@@ -6,7 +6,7 @@ Rounded numbers add 0.0 so that a negative zero compares equal to zero.
 from __future__ import annotations
 
 from . import roles
-from .roles import COMPLETE_FEATURES, FEATURES, SEGMENTS, for_oracle
+from .roles import FEATURES, SEGMENTS, for_oracle
 
 CELLS = f"cells AS ({for_oracle(roles.CELLS)})"
 STRATA = (
@@ -208,9 +208,9 @@ DEFAULT_CUTS = (
 
 
 def normalized(center: str, scale: str, fit: str = "wells", features: list[str] = FEATURES) -> str:
-    """CTE ``normalized``: (x - center) / scale, 0 where the scale is 0."""
+    """CTE ``normalized``: (x - center) / scale, and over 1 where the scale is 0."""
     stats = columns(f"({center}) AS c_$f, ({scale}) AS s_$f", features).replace("$rows", fit)
-    scaled = columns("CASE WHEN s_$f = 0 THEN 0.0 ELSE ($f - c_$f) / s_$f END AS $f", features)
+    scaled = columns("($f - c_$f) / CASE WHEN s_$f = 0 THEN 1.0 ELSE s_$f END AS $f", features)
     return (
         f"stats AS (SELECT {stats}), normalized AS (SELECT {STRATA}, Metadata_Object_Count, "
         f"{scaled} FROM wells, stats)"
@@ -220,7 +220,7 @@ def normalized(center: str, scale: str, fit: str = "wells", features: list[str]
 STANDARD = ("SELECT avg($f) FROM $rows", "SELECT stddev_pop($f) FROM $rows")
 ROBUST = (
     "SELECT median($f) FROM $rows",
-    "SELECT 1.4826 * median(abs($f - (SELECT median($f) FROM $rows))) FROM $rows",
+    "SELECT 1.4826 * median(abs($f - (SELECT median($f) FROM $rows))) + 1e-18 FROM $rows",
 )
 
 
@@ -230,7 +230,7 @@ def final_normalized(features: list[str] = FEATURES) -> str:
 
 
 def consensus(operation: str, table: str) -> str:
-    picked = columns(f"round({operation}($f), 6) + 0.0 AS $f", COMPLETE_FEATURES)
+    picked = columns(f"round({operation}($f), 6) + 0.0 AS $f")
     return (
         f"SELECT Metadata_PatientID, Metadata_DiseaseGroup, {picked} FROM {table} "
         "GROUP BY Metadata_PatientID, Metadata_DiseaseGroup"
@@ -249,9 +249,11 @@ def frequencies(table: str = "wells", features: list[str] = FEATURES) -> str:
 
 
 def correlations(table: str = "wells", features: list[str] = FEATURES) -> str:
-    complete = " AND ".join(f"{f} IS NOT NULL" for f in features)
+    """Pairwise: ``corr`` takes the rows that have both."""
     return " UNION ALL ".join(
-        f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM {table} WHERE {complete}"
+        f"SELECT '{a}' AS a, '{b}' AS b, 1.0 AS r"
+        if a == b
+        else f"SELECT '{a}' AS a, '{b}' AS b, coalesce(corr({a}, {b}), 0.0) AS r FROM {table}"
         for a in features
         for b in features
     )
@@ -262,37 +264,64 @@ def selection(table: str = "wells", features: list[str] = FEATURES) -> str:
     return f"""freq AS ({frequencies(table, features)}), corrs AS ({correlations(table, features)}),
 total AS (SELECT a, sum(abs(r)) AS t FROM corrs GROUP BY a),
 dropped AS (
-    SELECT feature FROM freq WHERE n_distinct < 2 OR second / CAST(first AS DOUBLE) < 0.05
+    SELECT 'variance_threshold' AS operation, feature FROM freq WHERE n_distinct < 2 OR second / CAST(first AS DOUBLE) < 0.05
         OR n_distinct / CAST(n_rows AS DOUBLE) < 0.01
-    UNION SELECT feature FROM ({missing(table, features)}) WHERE fraction_missing > 0.05
-    UNION SELECT CASE WHEN ta.t > tb.t OR (ta.t = tb.t AND p.a > p.b) THEN p.a ELSE p.b END
+    UNION SELECT 'drop_na_columns', feature FROM ({missing(table, features)}) WHERE fraction_missing > 0.05
+    UNION SELECT 'correlation_threshold', CASE WHEN ta.t > tb.t OR (ta.t = tb.t AND p.a > p.b) THEN p.a ELSE p.b END
     FROM corrs p JOIN total ta ON ta.a = p.a JOIN total tb ON tb.a = p.b
     WHERE p.a < p.b AND abs(p.r) > 0.9)"""
 
 
-#: Moderated consensus, the definition: Spearman correlation of every pair of replicates.
+#: Moderated consensus by its definition: the correlation of the ranks of every pair of
+#: replicates, where a missing value has the mean rank, and means over what is there.
 MODZ = f"""numbered AS (SELECT row_number() OVER (ORDER BY Metadata_PatientID, Metadata_SampleID)
-    AS id, Metadata_PatientID AS p, Metadata_DiseaseGroup AS d, {", ".join(COMPLETE_FEATURES)}
+    AS id, Metadata_PatientID AS p, Metadata_DiseaseGroup AS d, {", ".join(FEATURES)}
     FROM normalized),
-long AS ({union("SELECT id, p, d, '$f' AS f, $f AS v FROM numbered", COMPLETE_FEATURES)}),
+long AS ({union("SELECT id, p, d, '$f' AS f, $f AS v FROM numbered WHERE $f IS NOT NULL")}),
 ranked AS (SELECT *, rank() OVER (PARTITION BY id ORDER BY v)
     + (count(*) OVER (PARTITION BY id, v) - 1) / 2.0 AS rk FROM long),
-agreed AS (SELECT a.id, a.p, coalesce(CASE WHEN stddev_pop(a.rk) > 0 AND stddev_pop(b.rk) > 0
-    THEN corr(a.rk, b.rk) END, 0.0) AS r
-    FROM ranked a JOIN ranked b ON a.p = b.p AND a.f = b.f AND a.id <> b.id
-    GROUP BY a.id, a.p, b.id),
-weights AS (SELECT n.id, greatest(coalesce((SELECT avg(r) FROM agreed g WHERE g.id = n.id), 0.0),
-    0.01) AS w FROM numbered n)
+centred AS (SELECT *, rk - avg(rk) OVER (PARTITION BY id) AS c FROM ranked),
+united AS (SELECT *, coalesce(c / nullif(sqrt(sum(c * c) OVER (PARTITION BY id)), 0), 0.0) AS u
+    FROM centred),
+agreed AS (SELECT a.id, sum(a.u * b.u) AS r
+    FROM united a JOIN united b ON a.p = b.p AND a.f = b.f AND a.id <> b.id GROUP BY a.id, b.id),
+others AS (SELECT id, count(*) OVER (PARTITION BY p, d) - 1 AS n FROM numbered),
+weights AS (SELECT n.id, greatest(coalesce((SELECT sum(r) FROM agreed g WHERE g.id = n.id)
+    / nullif(o.n, 0), 0.0), 0.01) AS w FROM numbered n JOIN others o ON n.id = o.id)
 SELECT p AS Metadata_PatientID, d AS Metadata_DiseaseGroup,
-    {columns("round(sum(w * $f) / sum(w), 6) + 0.0 AS $f", COMPLETE_FEATURES)}
+    {columns("round(sum(w * $f) / sum(CASE WHEN $f IS NOT NULL THEN w END), 6) + 0.0 AS $f")}
 FROM numbered JOIN weights USING (id) GROUP BY p, d"""
 
+
+def flat_controls() -> str:
+    """CTEs ``wells`` with one feature constant in the controls, and ``controls``."""
+    flat, *others = FEATURES
+    return (
+        f"wells AS (SELECT {STRATA}, Metadata_Object_Count, CASE WHEN Metadata_DiseaseGroup = "
+        f"'BUILDING' THEN 7.0 ELSE {flat} END AS {flat}, {', '.join(others)} FROM raw_wells), "
+        "controls AS (SELECT * FROM wells WHERE Metadata_DiseaseGroup = 'BUILDING')"
+    )
+
+
+def white_pair(a: str, b: str) -> str:
+    """The inverse root of a 2 x 2 correlation matrix has the eigenvalues 1 + r and 1 - r."""
+    filled = f"coalesce(({{0}} - avg({{0}}) OVER ()) / stddev_pop({{0}}) OVER (), 0.0) AS z_{{0}}"
+    return (
+        f"SELECT {STRATA}, Metadata_Object_Count, round(z_{a} * same + z_{b} * mixed, 6) + 0.0 AS {a}, "
+        f"round(z_{a} * mixed + z_{b} * same, 6) + 0.0 AS {b} FROM ("
+        f"SELECT {STRATA}, Metadata_Object_Count, {filled.format(a)}, {filled.format(b)} FROM wells), "
+        "(SELECT (1 / sqrt(1 + r + 1e-6) + 1 / sqrt(1 - r + 1e-6)) / 2 AS same, "
+        "(1 / sqrt(1 + r + 1e-6) - 1 / sqrt(1 - r + 1e-6)) / 2  AS mixed "
+        f"FROM (SELECT corr({a}, {b}) AS r FROM wells))"
+    )
+
+
 # --- evaluation -----------------------------------------------------------------------
 
 VECTORS = f"v AS (SELECT row_id, label, batch, CAST(embedding AS DOUBLE[]) AS e FROM ({for_oracle(roles.EMBEDDINGS)}))"
 COSINE = f"""{VECTORS}, ranked AS (
     SELECT a.row_id, CAST(a.label = b.label AS INTEGER) AS same,
-           round(list_cosine_similarity(a.e, b.e), 6) AS s
+           round(list_cosine_similarity(a.e, b.e), 12) AS s
     FROM v a JOIN v b ON a.row_id <> b.row_id),
 precise AS (SELECT row_id, same, sum(same) OVER w / CAST(count(*) OVER w AS DOUBLE) AS p
     FROM ranked WINDOW w AS (PARTITION BY row_id ORDER BY s DESC
@@ -428,9 +457,14 @@ def job_summary() -> str:
 
 ORACLES: dict[str, str] = {
     "csv_roundtrip": (
-        "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders"
+        "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, "
+        "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate FROM orders"
     ),
     "parquet_roundtrip": with_tables(CELLS) + "SELECT * FROM cells",
+    "validate_schema": (
+        "SELECT * FROM (VALUES ('absent', 'c_region'), ('surplus', 'c_mktsegment'), "
+        "('retyped', 'c_nationkey'), ('retyped', 'c_acctbal')) AS t(difference, \"column\")"
+    ),
     "cast_to_schema": (
         "SELECT CAST(l_partkey AS VARCHAR) AS l_partkey, CAST(l_quantity AS INTEGER) AS l_quantity, "
         "CAST(l_linenumber AS DOUBLE) AS l_linenumber, l_returnflag FROM lineitem"
@@ -544,7 +578,7 @@ ORACLES: dict[str, str] = {
     + f"SELECT {STRATA}, Metadata_Object_Count, {columns('round($f, 6) + 0.0 AS $f')} FROM wells",
     "well_profiles_mean": with_tables(CELLS, wells("avg"))
     + f"SELECT {STRATA}, Metadata_Object_Count, "
-    f"{columns('round($f, 6) + 0.0 AS $f', FEATURES[:-1])} FROM wells",
+    f"{columns('round($f, 9) + 0.0 AS $f')} FROM wells",
     "well_profiles_hot": with_tables(CELLS)
     + "SELECT Metadata_Plate, Metadata_Well, Metadata_Batch, count(*) AS Metadata_Object_Count, "
     f"{columns('round(median($f), 6) + 0.0 AS $f')} FROM cells "
@@ -561,6 +595,19 @@ ORACLES: dict[str, str] = {
         normalized(*STANDARD, "controls"),
     )
     + final_normalized(),
+    "normalize_controls_constant": with_tables(
+        CELLS, wells().replace("wells AS", "raw_wells AS"), flat_controls(), normalized(*STANDARD, "controls")
+    )
+    + final_normalized(),
+    "normalize_controls_constant_mad": with_tables(
+        CELLS, wells().replace("wells AS", "raw_wells AS"), flat_controls(), normalized(*ROBUST, "controls")
+    )
+    + f"SELECT {STRATA}, Metadata_Object_Count, "
+    + columns(
+        "CASE WHEN abs($f) > 1e9 THEN sign($f) * round(log10(abs($f)), 6) ELSE round($f, 6) + 0.0 END AS $f"
+    )
+    + " FROM normalized",
+    "normalize_spherize_pair": with_tables(CELLS, wells()) + white_pair(*FEATURES[1:3]),
     "normalize_mad": with_tables(CELLS, wells(), normalized(*ROBUST)) + final_normalized(),
     "normalize_mad_hot": with_tables(CELLS, wells(), normalized(*ROBUST)) + final_normalized(),
     "select_variance": with_tables(CELLS, wells()) + frequencies(),
@@ -569,15 +616,28 @@ ORACLES: dict[str, str] = {
     f"FROM ({missing('wells')})",
     "select_correlation": with_tables(CELLS, wells())
     + f"SELECT a, b, round(r, 6) + 0.0 AS r FROM ({correlations()})",
+    "select_correlation_gaps": with_tables(
+        CELLS,
+        wells(),
+        "gappy AS (SELECT *, CAST(NULL AS DOUBLE) AS Cells_Empty, CASE WHEN Metadata_Object_Count > 1 "
+        f"THEN {FEATURES[0]} * 2 END AS Cells_Half FROM wells)",
+    )
+    + "SELECT a, b, round(r, 6) + 0.0 AS r FROM "
+    f"({correlations('gappy', [*FEATURES, 'Cells_Empty', 'Cells_Half'])})",
     "selected_features": with_tables(CELLS, wells(), selection())
-    + "SELECT feature, n, round(mean, 6) + 0.0 AS mean FROM ("
-    + union("SELECT '$f' AS feature, count($f) AS n, avg($f) AS mean FROM wells")
-    + ") WHERE feature NOT IN (SELECT feature FROM dropped)",
+    + "SELECT operation, feature, max(dropped) AS dropped FROM ("
+    + " UNION ALL ".join(
+        f"SELECT '{op}' AS operation, '{f}' AS feature, EXISTS (SELECT 1 FROM dropped d "
+        f"WHERE d.operation = '{op}' AND d.feature = '{f}') AS dropped"
+        for op in ("variance_threshold", "correlation_threshold", "drop_na_columns")
+        for f in FEATURES
+    )
+    + ") GROUP BY operation, feature",
     "consensus_median": with_tables(CELLS, wells()) + consensus("median", "wells"),
     "consensus_mean": with_tables(CELLS, wells(), normalized(*STANDARD))
     + consensus("avg", "normalized"),
     "consensus_modz": with_tables(
-        CELLS, wells(), normalized(*STANDARD, features=COMPLETE_FEATURES), MODZ
+        CELLS, wells(), normalized(*STANDARD), MODZ
     ),
     "patient_profiles": with_tables(CELLS, wells(), normalized(*STANDARD), selection())
     + "SELECT * FROM ("
@@ -588,6 +648,10 @@ ORACLES: dict[str, str] = {
     + ") WHERE feature NOT IN (SELECT feature FROM dropped)",
     "replicate_map": with_tables(COSINE) + f"SELECT round(({MAP_VALUE}), 6) AS value",
     "replicate_map_hot": with_tables(COSINE) + f"SELECT round(({MAP_VALUE}), 6) AS value",
+    "silhouette_many_labels": with_tables(
+        SILHOUETTE.replace(VECTORS, VECTORS.replace("SELECT row_id, label,", "SELECT row_id, row_id // 4 AS label,"))
+    )
+    + f"SELECT round(({SILHOUETTE_VALUE}), 6) AS value",
     "silhouette": with_tables(SILHOUETTE) + f"SELECT round(({SILHOUETTE_VALUE}), 6) AS value",
     "label_classifiability": with_tables(VECTORS, classifier("label", "by_label"))
     + "SELECT round(value, 6) + 0.0 AS value FROM by_label",

@@ -15,7 +15,7 @@ from cellprofiles.session import materialize, scratch_path
 from cellprofiles.sources import compartments, tables
 
 from . import roles
-from .roles import COMPLETE_FEATURES, FEATURES, SEGMENTS
+from .roles import FEATURES, SEGMENTS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,12 +56,13 @@ def compartment_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
 def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     schema = T.StructType.fromDDL(
         "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
-        "o_orderpriority string"
+        "o_orderdate timestamp, o_orderpriority string"
     )
     path = scratch_path(spark, "orders-csv")
     orders = spark.read.parquet(f"{sf}/orders.parquet").select(*schema.names)
     orders.write.option("header", True).csv(path)
-    return tables.read_csv(spark, path, schema)
+    back = tables.read_csv(spark, path, schema)
+    return back.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
 
 
 def parquet_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
@@ -83,6 +84,18 @@ CELL_METADATA = [
 ]
 
 
+def validate_schema(spark: SparkSession, sf: str) -> DataFrame:
+    """Differences of the customers from a schema: a column too few, one too many, two retyped."""
+    table = spark.read.parquet(f"{sf}/customer.parquet")
+    given = [f for f in table.schema if f.name != "c_mktsegment"]
+    types = {"c_nationkey": T.StringType(), "c_acctbal": T.FloatType()}
+    wanted = [T.StructField(f.name, types.get(f.name, f.dataType)) for f in given]
+    wanted.append(T.StructField("c_region", T.StringType()))
+    found = cp.schema.schema_differences(table, T.StructType(wanted))
+    rows = [(kind, name) for kind, names in found.items() for name in names]
+    return spark.createDataFrame(rows, "difference string, column string")
+
+
 def cast_to_schema(spark: SparkSession, sf: str) -> DataFrame:
     schema = T.StructType.fromDDL("l_partkey string, l_quantity int, l_linenumber double")
     source = spark.read.parquet(f"{sf}/lineitem.parquet").select(
@@ -235,12 +248,36 @@ def normalized(digits: int = 6, **options: object) -> Query:
 
 
 def normalize_spherize(spark: SparkSession, sf: str) -> DataFrame:
+    """Whitening of all features, the mean in place of gaps."""
     wells = materialize(well_table(spark, sf), "wells")
     return rounded(
-        cp.normalize_profiles(wells, method="spherize", features=COMPLETE_FEATURES), 6
+        cp.normalize_profiles(wells, method="spherize", features=FEATURES, impute=True), 6
     )
 
 
+def normalize_spherize_pair(spark: SparkSession, sf: str) -> DataFrame:
+    """Whitening of two features, one of them with gaps, for which SQL has a closed form."""
+    wells = materialize(well_table(spark, sf), "wells")
+    white = cp.normalize_profiles(wells, method="spherize", features=FEATURES[1:3], impute=True)
+    return rounded(white.select(*cp.schema.metadata_columns(white.columns), *FEATURES[1:3]), 6)
+
+
+def controls_constant(method: str) -> Query:
+    """Normalised by controls that agree in one feature."""
+
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        control = F.col("Metadata_DiseaseGroup") == "BUILDING"
+        flat = F.when(control, 7.0).otherwise(F.col(FEATURES[0]))
+        wells = materialize(well_table(spark, sf).withColumn(FEATURES[0], flat), "wells")
+        options = {"method": method, "samples": "Metadata_DiseaseGroup == 'BUILDING'"}
+        scaled = cp.normalize_profiles(wells, features=FEATURES, **options)
+        # What differs from constant controls is huge: only its order of size is comparable.
+        size = "CASE WHEN abs($) > 1e9 THEN sign($) * round(log10(abs($)), 6) ELSE round($, 6) END"
+        return scaled.withColumns({f: F.expr(size.replace("$", f)) for f in FEATURES})
+
+    return query
+
+
 def select_variance(spark: SparkSession, sf: str) -> DataFrame:
     wells = materialize(well_table(spark, sf), "wells")
     return features.value_frequencies(wells, FEATURES)
@@ -249,36 +286,46 @@ def select_variance(spark: SparkSession, sf: str) -> DataFrame:
 def select_correlation(spark: SparkSession, sf: str) -> DataFrame:
     """The correlation matrix the selection works on, one row per ordered pair."""
     wells = materialize(well_table(spark, sf), "wells")
-    matrix = profile.feature_correlation(wells, FEATURES)
-    rows = [
-        (a, b, float(matrix[i, j])) for i, a in enumerate(FEATURES) for j, b in enumerate(FEATURES)
-    ]
-    return rounded(spark.createDataFrame(rows, "a string, b string, r double"), 6)
+    return correlation_rows(wells, FEATURES)
+
+
+def correlation_rows(wells: DataFrame, names: Sequence[str]) -> DataFrame:
+    matrix = profile.feature_correlation(wells, names)
+    rows = [(a, b, float(matrix[i, j])) for i, a in enumerate(names) for j, b in enumerate(names)]
+    return rounded(wells.sparkSession.createDataFrame(rows, "a string, b string, r double"), 6)
+
+
+def select_correlation_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with a feature that is always missing and one that half of the wells lack."""
+    half = F.when(F.col("Metadata_Object_Count") > 1, F.col(FEATURES[0]) * 2)
+    wells = well_table(spark, sf).withColumns(
+        {"Cells_Empty": F.lit(None).cast("double"), "Cells_Half": half}
+    )
+    return correlation_rows(materialize(wells, "wells"), [*FEATURES, "Cells_Empty", "Cells_Half"])
 
 
 def selected_features(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean of every feature that the default selection keeps."""
+    """Whether each default operation of the selection drops each feature."""
     wells = materialize(well_table(spark, sf), "wells")
-    kept = cp.select_features(wells, features=FEATURES)
-    return qc.feature_moments(kept.select(*[f for f in FEATURES if f in kept.columns]), []).select(
-        "feature", "n", F.round("mean", 6).alias("mean")
-    )
+    found = features.drop_decisions(wells, features=FEATURES)
+    rows = [(op, f, f in dropped) for op, dropped in found.items() for f in FEATURES]
+    return spark.createDataFrame(rows, "operation string, feature string, dropped boolean")
 
 
 def consensus_median(spark: SparkSession, sf: str) -> DataFrame:
     wells = well_table(spark, sf)
-    return rounded(cp.consensus_profiles(wells, features=COMPLETE_FEATURES), 6)
+    return rounded(cp.consensus_profiles(wells, features=FEATURES), 6)
 
 
 def consensus_mean(spark: SparkSession, sf: str) -> DataFrame:
     wells = materialize(well_table(spark, sf), "wells")
-    scaled = cp.normalize_profiles(wells, features=COMPLETE_FEATURES)
+    scaled = cp.normalize_profiles(wells, features=FEATURES)
     return rounded(cp.consensus_profiles(scaled, operation="mean"), 6)
 
 
 def consensus_modz(spark: SparkSession, sf: str) -> DataFrame:
     wells = materialize(well_table(spark, sf), "wells")
-    scaled = cp.normalize_profiles(wells, features=COMPLETE_FEATURES)
+    scaled = cp.normalize_profiles(wells, features=FEATURES)
     return rounded(cp.consensus_profiles(scaled, operation="modz"), 6)
 
 
@@ -295,6 +342,13 @@ def patient_profiles(spark: SparkSession, sf: str) -> DataFrame:
 # --- evaluation ----------------------------------------------------------------------
 
 
+def silhouette_many_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Silhouette of labels with a few rows each."""
+    rows = roles.for_spark(spark, sf, roles.EMBEDDINGS).withColumn("label", F.expr("row_id div 4"))
+    data = pairs.prepare_vectors(rows, "embedding", ["label"], "row_id")
+    return rounded(evaluate.silhouette(data, "label"), 6)
+
+
 def vectors(spark: SparkSession, sf: str) -> pairs.Profiles:
     rows = roles.for_spark(spark, sf, roles.EMBEDDINGS)
     return pairs.prepare_vectors(rows, "embedding", ["label", "batch"], "row_id")
@@ -310,7 +364,7 @@ def chance_level(spark: SparkSession, sf: str) -> DataFrame:
 
 def embedding_profiles(spark: SparkSession, sf: str) -> DataFrame:
     rows = roles.for_spark(spark, sf, roles.EMBEDDINGS)
-    width = 64  # dimension of the stored embeddings
+    width = rows.agg(F.max(F.size("embedding"))).first()[0]
     return rows.select(
         F.col("row_id").alias("Metadata_Row"),
         F.col("label").alias("Metadata_DiseaseGroup"),
@@ -346,6 +400,7 @@ QUERIES: dict[str, Query] = {
     "csv_roundtrip": csv_roundtrip,
     "parquet_roundtrip": parquet_roundtrip,
     "cast_to_schema": cast_to_schema,
+    "validate_schema": validate_schema,
     "metadata_projection": lambda s, d: cp.metadata_frame(cells(s, d)),
     "feature_projection": lambda s, d: rounded(cp.feature_frame(cells(s, d)), 4),
     "feature_pick": feature_pick,
@@ -375,7 +430,7 @@ QUERIES: dict[str, Query] = {
     "qc_report": qc_report,
     "well_profiles_median": lambda s, d: rounded(well_table(s, d), 6),
     "well_profiles_mean": lambda s, d: rounded(
-        cp.aggregate_to_wells(cells(s, d), operation="mean", features=FEATURES[:-1]), 6
+        cp.aggregate_to_wells(cells(s, d), operation="mean", features=FEATURES), 9
     ),
     "well_profiles_hot": hot_wells,
     "well_profiles_mixed": mixed_wells,
@@ -383,10 +438,14 @@ QUERIES: dict[str, Query] = {
     "normalize_controls": normalized(samples="Metadata_DiseaseGroup == 'BUILDING'"),
     "normalize_mad": normalized(method="mad_robustize"),
     "normalize_mad_hot": normalized(method="mad_robustize", hot_rows=LOW_HOT_ROWS),
+    "normalize_controls_constant": controls_constant("standardize"),
+    "normalize_controls_constant_mad": controls_constant("mad_robustize"),
     "normalize_spherize": normalize_spherize,
+    "normalize_spherize_pair": normalize_spherize_pair,
     "select_variance": select_variance,
     "select_na": lambda s, d: rounded(cp.missingness(well_table(s, d), FEATURES), 9),
     "select_correlation": select_correlation,
+    "select_correlation_gaps": select_correlation_gaps,
     "selected_features": selected_features,
     "consensus_median": consensus_median,
     "consensus_mean": consensus_mean,
@@ -394,6 +453,7 @@ QUERIES: dict[str, Query] = {
     "patient_profiles": patient_profiles,
     "replicate_map": metric(cp.replicate_reproducibility, "label"),
     "replicate_map_hot": metric(cp.replicate_reproducibility, "label", max_listed=8),
+    "silhouette_many_labels": silhouette_many_labels,
     "silhouette": metric(cp.silhouette, "label"),
     "label_classifiability": metric(cp.label_classifiability, "label"),
     "batch_mixing": metric(cp.batch_mixing, "batch"),

@@ -35,7 +35,6 @@ FEATURES = [
     "Nuclei_AreaShape_Area",
     "Nuclei_Intensity_IntegratedIntensity_DNA",
 ]
-COMPLETE_FEATURES = [f for f in FEATURES if not f.startswith("Cytoplasm")]
 
 #: Raw site table: orders as images, the customer's part as treatment. Urgent orders get a
 #: dose that the lookup does not know.

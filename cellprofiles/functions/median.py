@@ -3,8 +3,9 @@
 Ordinary groups (a well, a patient) are collected and sorted per group, which is bounded and
 faster than Spark's ``median``. Neither can work for a group that holds a large part of a
 big table, because all its values would meet in one task. Such hot groups take another exact
-way: a mergeable quantile sketch brackets the median, values below the bracket are only
-counted, and the few values inside it are counted per value, spread over all tasks.
+way with the same result: a mergeable quantile sketch brackets the median, values below the
+bracket are only counted, the few values inside it are counted per value and per interval of the
+bracket, and only the interval that holds the median is put in order.
 """
 
 from __future__ import annotations
@@ -24,10 +25,17 @@ GROUP_VALUES = 4_000_000
 #: groups take the bracketed way with shuffled joins.
 MAX_HOT_GROUPS = 2_000
 
-#: Accuracy of the sketch, and half width of the bracket in multiples of its rank error.
+#: Brackets (groups times columns) that may be broadcast, some 50 MB.
+BROADCAST_BRACKETS = 500_000
+
+#: Accuracy of the sketch, and half width of the bracket in multiples of its rank error. The
+#: sketch guarantees one such error, so the median always lies inside.
 _SKETCH_ACCURACY = 10_000
 _BRACKET_ERRORS = 5
 
+#: Intervals of a bracket.
+_INTERVALS = 256
+
 
 def grouped_median(
     df: DataFrame,
@@ -53,10 +61,12 @@ def grouped_median(
     if not large:
         return _collected(df, keys, columns, extra)
     if not keys or len(large) > max_hot:
-        return _bracketed(df, keys, columns, extra, few=len(large) <= max_hot)
+        few = len(large) <= max_hot and len(large) * len(columns) <= BROADCAST_BRACKETS
+        return _bracketed(df, keys, columns, extra, few=few)
     hot = group.isin([row["_group"] for row in large])
     cold = _collected(df.where(~hot), keys, columns, extra)
-    return cold.unionByName(_bracketed(df.where(hot), keys, columns, extra, few=True))
+    few = len(large) * len(columns) <= BROADCAST_BRACKETS
+    return cold.unionByName(_bracketed(df.where(hot), keys, columns, extra, few=few))
 
 
 def _collected(
@@ -89,8 +99,8 @@ def _bracketed(
     ends = [0.5 - margin, 0.5 + margin]
     sketches = [
         F.struct(
-            F.percentile_approx(c, ends, _SKETCH_ACCURACY).alias("ends"),
-            F.count(c).alias("n"),
+            F.percentile_approx(quoted(c), ends, _SKETCH_ACCURACY).alias("ends"),
+            F.count(quoted(c)).alias("n"),
         ).alias(f"_b{i}")
         for i, c in enumerate(columns)
     ]
@@ -100,39 +110,62 @@ def _bracketed(
     if keys:
         key = F.struct(*keys).alias("_key")
         side = brackets.select(key, *names)
-        rows = df.select(key, *columns).join(F.broadcast(side) if few else side, "_key")
+        rows = df.select(key, *map(quoted, columns)).join(F.broadcast(side) if few else side, "_key")
     else:
-        rows = df.select(F.lit(0).alias("_key"), *columns).withColumn(
+        rows = df.select(F.lit(0).alias("_key"), *map(quoted, columns)).withColumn(
             "_s", one_row(brackets.select(*names))
         )
-        rows = rows.select("_key", *columns, *[F.col(f"_s.{n}").alias(n) for n in names])
+        rows = rows.select("_key", *map(quoted, columns), *[F.col(f"_s.{n}").alias(n) for n in names])
 
+    low, high = (lambda n, i=i: F.col(n)["ends"][i] for i in (0, 1))
+    below = rows.groupBy("_key").agg(
+        F.array(*[F.count_if(F.col(quoted(c)) < low(n)) for c, n in zip(columns, names)]).alias("_below")
+    )
     entries = [
         F.struct(
             F.lit(i).alias("i"),
-            F.col(c).alias("v"),
-            F.col(n)["ends"][0].alias("low"),
-            F.col(n)["ends"][1].alias("high"),
+            F.col(quoted(c)).alias("v"),
+            low(n).alias("low"),
+            high(n).alias("high"),
             F.col(n)["n"].alias("n"),
         )
         for i, (c, n) in enumerate(zip(columns, names))
     ]
+    inside = F.filter(F.array(*entries), lambda e: (e["v"] >= e["low"]) & (e["v"] <= e["high"]))
+    width = F.col("high") - F.col("low")
+    part = 1 + F.floor((F.col("v") - F.col("low")) / width * (_INTERVALS - 2))
+    interval = (
+        F.when(F.col("v") == F.col("low"), 0)
+        .when(F.col("v") == F.col("high"), _INTERVALS)
+        .when(width < float("inf"), part)
+        .otherwise(1)
+    )
     counted = (
-        rows.select("_key", F.explode(F.array(*entries)).alias("e"))
+        rows.select("_key", F.explode(inside).alias("e"))
         .select("_key", "e.*")
-        .where(F.col("v") <= F.col("high"))
-        .groupBy("_key", "i", "n", F.when(F.col("v") >= F.col("low"), F.col("v")).alias("v"))
+        .groupBy("_key", "i", "n", "v", interval.cast("int").alias("interval"))
         .agg(F.count("*").alias("c"))
     )
-    upto = (
-        Window.partitionBy("_key", "i")
-        .orderBy(F.col("v").asc_nulls_first())
+    # Ranks of the two middle values, and the intervals that hold them.
+    lower, upper = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
+    upto = Window.partitionBy("_key", "i").orderBy("interval")
+    intervals = (
+        counted.groupBy("_key", "i", "n", "interval")
+        .agg(F.sum("c").alias("size"))
+        .join(below, "_key")
+        .withColumn("last", F.sum("size").over(upto) + F.get("_below", F.col("i")))
+        .withColumn("before", F.col("last") - F.col("size"))
+        .where((F.col("before") < upper) & (lower <= F.col("last")))
+        .select("_key", "i", "interval", "before")
+    )
+    order = (
+        Window.partitionBy("_key", "i", "interval")
+        .orderBy("v")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    last = F.sum("c").over(upto)
+    last = F.sum("c").over(order) + F.col("before")
     first = last - F.col("c") + 1
-    lower, upper = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
-    ranked = counted.select(
+    ranked = counted.join(intervals, ["_key", "i", "interval"]).select(
         "_key",
         "i",
         F.when((first <= lower) & (lower <= last), F.col("v")).alias("a"),
@@ -142,9 +175,7 @@ def _bracketed(
     def middle(i: int) -> Column:
         mine = F.col("i") == i
         a, b = F.max(F.when(mine, F.col("a"))), F.max(F.when(mine, F.col("b")))
-        missed = F.max(mine) & (a.isNull() | b.isNull())
-        failure = F.raise_error(F.lit("quantile sketch missed the median")).cast("double")
-        return F.when(missed, failure).otherwise(a + (b - a) / 2)
+        return (a + b) / 2
 
     medians = ranked.groupBy("_key").agg(*[middle(i).alias(f"_m{i}") for i in range(len(columns))])
     found = [F.col(f"_m{i}").alias(c) for i, c in enumerate(columns)]
@@ -155,7 +186,7 @@ def _bracketed(
             # A table with no value at all must still give its one (NULL) row.
             return medians.agg(*[F.max(f"_m{i}").alias(c) for i, c in enumerate(columns)])
         return left.join(medians, "_key", "left").select(
-            *[c for c in left.columns if c != "_key"], *found
+            *[quoted(c) for c in left.columns if c != "_key"], *found
         )
     keyed = left.withColumn("_key", F.struct(*keys))
-    return keyed.join(medians, "_key", "left").select(*left.columns, *found)
+    return keyed.join(medians, "_key", "left").select(*map(quoted, left.columns), *found)

@@ -7,7 +7,7 @@ several metrics share one cleaned and written table.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.missing import hash_draw, one_row
 from ..functions.ranking import bucketed_row_number
+from ..session import materialize
 from .pairs import (
     Block,
     Profiles,
@@ -37,8 +38,15 @@ MIN_SAMPLES = 2
 MIN_SAMPLES_FOR_MAP = 3
 # End of fixed values.
 
-#: Cosine similarities equal to this many decimals count as one threshold.
-SIMILARITY_DECIMALS = 6
+#: Cosine similarities equal to this many decimals count as one threshold. This is the accuracy
+#: of the products, so that copies tie and nothing else does.
+SIMILARITY_DECIMALS = 12
+
+#: Similarities that a task holds while it ranks queries of large replicate groups, 128 MB.
+STRIPE_PAIRS = 16_000_000
+
+#: Labels with more rows are spread over the candidate blocks of the silhouette.
+SPLIT_LABEL_ROWS = 1024
 
 #: Replicate groups with up to this many others are scored from listed similarities.
 LISTED_REPLICATES = 1024
@@ -88,9 +96,10 @@ def replicate_reproducibility(
 
     Precision is needed at a profile's own replicates only. So for replicate groups of up
     to ``max_listed`` others, the similarities to those are listed first (one task holds
-    one such group) and a tile then just counts its candidates per listed threshold.
-    Profiles of larger groups are never gathered: there a tile counts candidates per
-    similarity step, which is as exact and bounded by the number of steps.
+    one such group) and a tile then just counts its candidates per listed threshold: one row
+    per (query, tile). Queries of larger groups are ranked in stripes: a task streams all
+    profiles past a stripe of queries, keeps their similarities and returns one row per query.
+    The profiles are sent once per stripe, n * queries / ``STRIPE_PAIRS`` times.
     """
     data = _prepared(profiles, replicate_col, features, row_id)
     spark = data.table.sparkSession
@@ -101,13 +110,13 @@ def replicate_reproducibility(
     scorable = (F.col("_size") > 1) & (F.col("_size") < data.n_rows)
     few = scorable & (F.col("_size") <= max_listed + 1)
     many = scorable & ~few
-    n_few, n_many = sizes.agg(F.count_if(few), F.count_if(many)).first()
+    n_few, n_many = sizes.agg(F.count_if(few), F.sum(F.when(many, F.col("_size")))).first()
     sized = data.table.withColumn("_key", key).join(sizes, "_key", "left").drop("_key")
     scores = []
     if n_few:
         scores.append(_listed_precision(data, sized, few, replicate_col, decimals))
     if n_many:
-        scores.append(_stepwise_precision(data, sized, many, replicate_col, decimals))
+        scores.append(_striped_precision(data, sized, many, n_many, replicate_col, decimals))
     if not scores:
         return _nan(spark)
     precision = scores[0] if len(scores) == 1 else scores[0].unionByName(scores[1])
@@ -127,21 +136,21 @@ def _listed_precision(
             "_row bigint, _levels array<bigint>, _ranks array<bigint>",
         )
     )
+    listed = materialize(listed, "replicate-levels")
     asking = Profiles(
-        data.table.join(listed, "_row", "left"), data.n_rows, data.n_features, data.labels
+        data.table.join(listed.drop("_ranks"), "_row", "left"), data.n_rows, data.n_features, data.labels
     )
     counted = tiles(
         asking,
         [],
         _counts_above(10**decimals),
-        "_row bigint, _above array<bigint>, _ranks array<bigint>",
-        query_columns=["_levels", "_ranks"],
+        "_row bigint, _above array<bigint>",
+        query_columns=["_levels"],
         queries=F.col("_levels").isNotNull(),
     )
     # One list of counts per tile of the query, added up place by place.
-    lists = counted.groupBy("_row").agg(
-        F.collect_list("_above").alias("_lists"), F.any_value("_ranks").alias("_ranks")
-    )
+    lists = counted.groupBy("_row").agg(F.collect_list("_above").alias("_lists"))
+    lists = lists.join(listed.select("_row", "_ranks"), "_row")
     nothing = F.transform("_ranks", lambda _: F.lit(0).cast("bigint"))
     above = F.aggregate(
         "_lists", nothing, lambda total, one: F.zip_with(total, one, lambda x, y: x + y)
@@ -197,60 +206,77 @@ def _counts_above(scale: int) -> Callable[[Block, Block], pa.Table]:
             {
                 "_row": left.rows,
                 "_above": pa.array(counts, pa.list_(pa.int64())),
-                "_ranks": left.column("_ranks"),
             }
         )
 
     return reduce_tile
 
 
-def _stepwise_precision(
-    data: Profiles, sized: DataFrame, many: Column, label: str, decimals: int
+def _striped_precision(
+    data: Profiles, sized: DataFrame, many: Column, n_queries: int, label: str, decimals: int
 ) -> DataFrame:
-    """Average precision per profile from counts per similarity step."""
-    asking = Profiles(sized, data.n_rows, data.n_features, data.labels)
-    counted = tiles(
-        asking,
-        [label],
-        _similarity_counts(label, 10**decimals),
-        "_row bigint, _level bigint, _same bigint, _all bigint",
-        queries=many,
-    )
-    levels = counted.groupBy("_row", "_level").agg(
-        F.sum("_same").alias("_same"), F.sum("_all").alias("_all")
-    )
-    down = Window.partitionBy("_row").orderBy(F.desc("_level"))
-    down = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at_level = F.sum("_same").over(down) / F.sum("_all").over(down)
-    hits = F.sum(F.col("_same") * F.col("_at")) / F.sum("_same")
-    return (
-        levels.withColumn("_at", at_level).groupBy("_row").agg(hits.alias("_precision"))
-    ).select("_precision")
-
-
-def _similarity_counts(label: str, scale: int) -> Callable[[Block, Block], pa.Table]:
-    width = 4 * scale
-
-    def reduce_tile(left: Block, right: Block) -> pa.Table:
-        own, other, _ = label_codes(left, right, label)
-        parts = []
-        for s in slices(len(left.rows)):
-            level = _levels(left.vectors[s], right.vectors, scale)
-            q, c = np.nonzero(left.rows[s][:, None] != right.rows[None, :])
-            key, where = np.unique(q * width + (level[q, c] + 2 * scale), return_inverse=True)
-            same = (own[s][q] == other[c]).astype(np.int64)
-            parts.append(
-                (
-                    left.rows[s][key // width],
-                    key % width - 2 * scale,
-                    np.bincount(where, weights=same, minlength=len(key)).astype(np.int64),
-                    np.bincount(where, minlength=len(key)),
-                )
-            )
-        columns = [np.concatenate(p) for p in zip(*parts)]
-        return pa.table(dict(zip(("_row", "_level", "_same", "_all"), columns)))
-
-    return reduce_tile
+    """Average precision per profile of large groups, each ranked inside one task."""
+    n_stripes = -(-n_queries * data.n_rows // STRIPE_PAIRS)
+    n_stripes = max(n_stripes, sized.sparkSession.sparkContext.defaultParallelism)
+    code = F.xxhash64(F.struct(label)).alias("_code")
+    own = F.pmod(F.xxhash64("_row"), F.lit(n_stripes)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(n_stripes - 1))
+    queries = sized.where(many).select(own.alias("_stripe"), F.lit(False).alias("_candidate"), "_row", code, "_vec")
+    others = data.table.select(F.explode(every).alias("_stripe"), F.lit(True).alias("_candidate"), "_row", code, "_vec")
+    rows = queries.unionByName(others).repartition(n_stripes, "_stripe")
+    rows = rows.sortWithinPartitions("_stripe", "_candidate")
+    return rows.mapInArrow(_rank_stripes(10**decimals), "_precision double")
+
+
+def _rank_stripes(scale: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Average precisions of stripes that come one after the other, queries first."""
+
+    def precisions(codes: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        level = np.concatenate([f[0] for f in found], axis=1)
+        candidate = np.concatenate([f[1] for f in found])
+        scores = np.empty(len(codes))
+        for i, code in enumerate(codes):
+            order = np.argsort(-level[i], kind="stable")[:-1]  # the last is the query itself
+            ranked, same = level[i][order], (candidate[order] == code).cumsum()
+            last = np.flatnonzero(np.append(ranked[1:] != ranked[:-1], True))
+            hits = np.diff(same[last], prepend=0)
+            scores[i] = (hits * same[last] / (last + 1)).sum() / same[-1]
+        return scores
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stripe, queries, found = None, [], []
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            if queries and found:
+                codes = np.concatenate([q[1] for q in queries])
+                yield pa.record_batch({"_precision": precisions(codes, found)})
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            names = batch.column("_stripe").to_numpy()
+            is_candidate = batch.column("_candidate").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((names[1:] != names[:-1]) | (is_candidate[1:] != is_candidate[:-1])) + 1
+            for start, stop in zip([0, *cuts], [*cuts, len(names)]):
+                if start == stop:
+                    continue
+                if names[start] != stripe:
+                    yield from finish()
+                    stripe, queries, found = names[start], [], []
+                part = table.slice(start, stop - start)
+                rows, codes = (part.column(c).to_numpy() for c in ("_row", "_code"))
+                flat = np.asarray(part.column("_vec").combine_chunks().flatten(), dtype=float)
+                vectors = unit_vectors(flat.reshape(len(rows), -1))
+                if not is_candidate[start]:
+                    queries.append((rows, codes, vectors))
+                elif queries:
+                    asking = np.concatenate([q[2] for q in queries])
+                    level = np.rint(asking @ vectors.T * scale).astype(np.int64)
+                    asked = np.concatenate([q[0] for q in queries])
+                    level[asked[:, None] == rows[None, :]] = -2 * scale  # not itself
+                    found.append((level, codes))
+        yield from finish()
+
+    return run
 
 
 # --- group separation ---------------------------------------------------------------
@@ -263,33 +289,45 @@ def silhouette(
     *,
     row_id: str | None = None,
 ) -> DataFrame:
-    """Mean silhouette (Euclidean). A tile sums its distances per (query, label)."""
+    """Mean silhouette (Euclidean).
+
+    Candidates are dealt to blocks by label, so a tile knows all rows of most labels and is done
+    with them: per query it returns one row with the sum over the own label, if that is in the
+    tile, and the least mean over another. Labels too large for that are spread over blocks, and
+    a tile returns a sum per query for each of them: a table of n rows has n / SPLIT_LABEL_ROWS
+    of these at most, however many labels there are.
+    """
     data = _prepared(profiles, label_col, features, row_id)
     spark = data.table.sparkSession
     sizes = _class_sizes(data, label_col)
     n_labels = sizes.count()
     if data.n_features == 0 or n_labels < MIN_CLASSES or data.n_rows <= n_labels:
         return _nan(spark)
+    key = F.struct(F.col(label_col).alias("l"))
+    sizes = sizes.select(key.alias("_key"), F.col("_size").alias("_label_size"))
+    table = data.table.withColumn("_key", key).join(sizes, "_key").drop("_key")
+    table = table.withColumn("_split", F.col("_label_size") > SPLIT_LABEL_ROWS)
     sums = tiles(
-        data,
-        [label_col],
+        Profiles(table, data.n_rows, data.n_features, data.labels),
+        [label_col, "_split", "_label_size"],
         _label_distances(label_col),
-        "_row bigint, _own boolean, _label string, _sum double",
+        "_row bigint, _place string, _own boolean, _label_size bigint, _sum double, _least double",
+        candidate_key=F.when(F.col("_split"), F.xxhash64("_row")).otherwise(F.xxhash64(key)),
     )
-    sizes = sizes.select(F.struct(F.col(label_col).alias("l")).alias("_key"), "_size")
-    sums = sums.withColumn("_key", F.struct(F.col("_label").alias("l")))
-    totals = sums.groupBy("_row", "_key", "_own").agg(F.sum("_sum").alias("_sum"))
-    own_mean = F.when(F.col("_own"), F.try_divide("_sum", F.col("_size") - 1))
-    other_mean = F.when(~F.col("_own"), F.col("_sum") / F.col("_size"))
-    rows = (
-        totals.join(sizes, "_key")
-        .groupBy("_row")
-        .agg(
-            F.max(own_mean).alias("a"),
-            F.min(other_mean).alias("b"),
-            F.max(F.when(F.col("_own"), F.col("_size"))).alias("_size"),
-        )
+    # What tiles have of one label is added up; _place tells the split labels apart.
+    totals = sums.groupBy("_row", "_place", "_own").agg(
+        F.sum("_sum").alias("_sum"),
+        F.max("_label_size").alias("_label_size"),
+        F.min("_least").alias("_least"),
+    )
+    split_other = (F.col("_place") != "whole") & ~F.col("_own")
+    mean = F.when(split_other, F.col("_sum") / F.col("_label_size"))
+    rows = totals.groupBy("_row").agg(
+        F.max(F.when(F.col("_own"), F.col("_label_size"))).alias("_size"),
+        F.sum(F.when(F.col("_own"), F.col("_sum"))).alias("_own_sum"),
+        F.least(F.min("_least"), F.min(mean)).alias("b"),
     )
+    rows = rows.withColumn("a", F.try_divide("_own_sum", F.col("_size") - 1))
     score = F.coalesce(
         F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)
     )
@@ -297,26 +335,49 @@ def silhouette(
 
 
 def _label_distances(label: str) -> Callable[[Block, Block], pa.Table]:
+    """Per query a row for the labels that are whole in the tile, and one per split label.
+
+    ``_place`` is ``whole`` for the former and names the label of the latter. In the former ``_own`` says
+    whether ``_sum`` is there, the sum over the own label; ``_least`` is the least mean over
+    another label.
+    """
+
     def reduce_tile(left: Block, right: Block) -> pa.Table:
         own, other, names = label_codes(left, right, label)
         order = np.argsort(other, kind="stable")
         present, starts = np.unique(other[order], return_index=True)
         candidates = right.vectors[order]
+        split = right.column("_split").to_numpy(zero_copy_only=False)[order][starts]
+        label_size = right.column("_label_size").to_numpy()[order][starts]
+        own_size = left.column("_label_size").to_numpy()
+        named = names.take(pa.array(present)).to_pylist()
+        place = ["none" if name is None else f"split {name}" for name in named]
         parts = []
         for s in slices(len(left.rows)):
             distances = np.sqrt(squared_distances(left.vectors[s], candidates))
             sums = np.add.reduceat(distances, starts, axis=1)
+            mine = own[s][:, None] == present[None, :]
+            whole_own, n = mine & ~split, len(sums)
+            means = np.where(mine | split, np.inf, sums / label_size)
             parts.append(
                 (
-                    np.repeat(left.rows[s], len(present)),
-                    (own[s][:, None] == present[None, :]).ravel(),
-                    np.tile(present, len(sums)),
-                    sums.ravel(),
+                    left.rows[s],
+                    np.full(n, "whole", dtype=object),
+                    whole_own.any(axis=1),
+                    own_size[s],
+                    np.where(whole_own, sums, 0.0).sum(axis=1),
+                    means.min(axis=1),
                 )
             )
-        row, mine, code, total = (np.concatenate(p) for p in zip(*parts))
-        labels = names.take(pa.array(code))
-        return pa.table({"_row": row, "_own": mine, "_label": labels, "_sum": total})
+            for at in np.flatnonzero(split):
+                sizes = np.full(n, label_size[at])
+                parts.append(
+                    (left.rows[s], np.full(n, place[at], dtype=object), mine[:, at], sizes, sums[:, at], np.full(n, np.inf))
+                )
+        columns = [np.concatenate(p) for p in zip(*parts)]
+        return pa.table(
+            dict(zip(("_row", "_place", "_own", "_label_size", "_sum", "_least"), columns))
+        )
 
     return reduce_tile
 
@@ -485,8 +546,16 @@ def benchmark(
     replicate_col: str = "Metadata_PatientID",
     features: Sequence[str] | None = None,
     row_id: str | None = None,
+    k: int = DEFAULT_K,
+    skip: int = 0,
+    n_splits: int = DEFAULT_CV_SPLITS,
+    seed: int = 0,
 ) -> DataFrame:
-    """Scorecard ``metric, value, interpretation``, five rows over one prepared table."""
+    """Scorecard ``metric, value, interpretation``, five rows over one prepared table.
+
+    ``k`` and ``skip`` are those of :func:`batch_mixing`, ``n_splits`` and ``seed`` those of
+    :func:`label_classifiability`.
+    """
     data = prepare_profiles(profiles, [disease_col, batch_col, replicate_col], features, row_id)
 
     def row(metric: str, value: DataFrame, text: str, chance_of: str | None = None) -> DataFrame:
@@ -512,19 +581,19 @@ def benchmark(
         ),
         row(
             "disease_classifier_balacc",
-            label_classifiability(data, disease_col),
+            label_classifiability(data, disease_col, n_splits=n_splits, seed=seed),
             "higher is better",
             disease_col,
         ),
         row(
             "batch_classifier_balacc",
-            label_classifiability(data, batch_col),
+            label_classifiability(data, batch_col, n_splits=n_splits, seed=seed),
             "lower is better (batch leakage)",
             batch_col,
         ),
         row(
             "batch_mixing_ratio",
-            batch_mixing(data, batch_col),
+            batch_mixing(data, batch_col, k=k, skip=skip),
             "1.0 = mixed, toward 0 = batch-separated",
         ),
     ]

@@ -36,7 +36,7 @@ def value_frequencies(profiles: DataFrame, features: Sequence[str] | None = None
     plain aggregates, so a feature with very many values never sits in one task.
     """
     names = numeric_features(profiles, features)
-    rows = clean_features(profiles.select(*names), names)
+    rows = clean_features(profiles.select(*map(quoted, names)), names)
     entries = [(text(f), quoted(f)) for f in names]
     long = rows.select(tidy(entries, ["feature", "value"]))
     counts = long.groupBy("feature", "value").agg(F.count("*").alias("c"))
@@ -80,13 +80,12 @@ def correlated_features(
     cut: float = CORRELATION_CUT,
 ) -> list[str]:
     """For each pair with |r| above ``cut``, the one with the larger sum of |r| over all
-    features; on equal sums the later name. Rows with a missing value are left out."""
+    features; on equal sums the later name. A pair is judged on the rows that have both."""
     names = numeric_features(profiles, features)
     if len(names) < 2:
         return []
-    matrix = feature_correlation(clean_features(profiles.select(*names), names), names)
-    if matrix is None:
-        return []
+    rows = clean_features(profiles.select(*map(quoted, names)), names)
+    matrix = feature_correlation(rows, names)
     strength = np.abs(matrix)
     totals = strength.sum(axis=0)
     dropped = set()
@@ -113,17 +112,27 @@ _OPERATIONS: dict[str, Callable[..., list[str]]] = {
 }
 
 
-def features_to_drop(
+def drop_decisions(
     profiles: DataFrame,
     operations: Sequence[str] = DEFAULT_FEATURE_SELECT_OPS,
     features: Sequence[str] | None = None,
-) -> list[str]:
-    """Union of what the operations exclude, each judged on all given features."""
+) -> dict[str, list[str]]:
+    """What each operation excludes, judged on all given features."""
     unknown = sorted(set(operations) - _OPERATIONS.keys())
     if unknown:
         raise ValueError(f"unknown operations {unknown}; known are {sorted(_OPERATIONS)}")
     names = numeric_features(profiles, features)
-    return sorted({f for op in operations for f in _OPERATIONS[op](profiles, names)})
+    return {op: _OPERATIONS[op](profiles, names) for op in operations}
+
+
+def features_to_drop(
+    profiles: DataFrame,
+    operations: Sequence[str] = DEFAULT_FEATURE_SELECT_OPS,
+    features: Sequence[str] | None = None,
+) -> list[str]:
+    """Union of what the operations exclude."""
+    found = drop_decisions(profiles, operations, features)
+    return sorted({feature for excluded in found.values() for feature in excluded})
 
 
 def select_features(

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.median import grouped_median
-from ..functions.missing import array_of, clean_features, one_row
+from ..functions.missing import array_of, clean_features, one_row, quoted
 from ..schema import numeric_features
 from ..session import materialize
 
@@ -80,7 +80,7 @@ def prepare_profiles(
         *names,
     )
     if names:
-        filled = rows.withColumn("_m", one_row(grouped_median(rows.select(*names), [], names)))
+        filled = rows.withColumn("_m", one_row(grouped_median(rows.select(*map(quoted, names)), [], names)))
         vector = array_of("coalesce($, _m.$, 0D)", names)
     else:
         filled, vector = rows, F.array().cast("array<double>")
@@ -93,14 +93,20 @@ def prepare_profiles(
 def prepare_vectors(
     rows: DataFrame, vector: str, labels: Sequence[str], row_id: str
 ) -> Profiles:
-    """The same from an array column without gaps, e.g. stored embeddings."""
+    """The same from an array column without gaps, e.g. stored embeddings.
+
+    Vectors of different lengths, and missing ones, are an error.
+    """
     table = rows.select(
         F.col(row_id).cast("long").alias("_row"),
         F.col(row_id).cast("long").alias("_tie"),
         *[F.col(c).cast("string").alias(c) for c in dict.fromkeys(labels)],
         F.col(vector).cast("array<double>").alias("_vec"),
     )
-    n_rows, width = rows.agg(F.count("*"), F.max(F.size(vector))).first()
+    size = F.coalesce(F.size(vector), F.lit(-1))
+    n_rows, least, width = rows.agg(F.count("*"), F.min(size), F.max(size)).first()
+    if least != width or (width or 0) < 0:
+        raise ValueError(f"'{vector}' has vectors of {least} to {width} values")
     return Profiles(table, n_rows, width or 0, tuple(dict.fromkeys(labels)))
 
 
@@ -161,15 +167,19 @@ def tiles(
     *,
     query_columns: Sequence[str] = (),
     queries: Column | None = None,
+    candidate_key: Column | None = None,
 ) -> DataFrame:
     """Run ``reduce_tile(queries, candidates)`` on every tile.
 
     Each row is sent once per block of the other side: n / BLOCK_ROWS copies at scale.
     ``query_columns`` travel with the copies that act as queries only, and ``queries``
-    says which rows act as queries at all.
+    says which rows act as queries at all. Candidates with the same ``candidate_key`` share a
+    block; it must not put more than a small part of a block together.
     """
     n_blocks = profiles.blocks()
     own = F.pmod(F.xxhash64("_row"), F.lit(n_blocks)).cast("int").alias("_own")
+    key = F.xxhash64("_row") if candidate_key is None else candidate_key
+    as_candidate = F.pmod(key, F.lit(n_blocks)).cast("int").alias("_as_candidate")
     other = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("_other")
 
     def place(query: str, candidate: str, is_query: bool) -> Column:
@@ -177,11 +187,11 @@ def tiles(
             F.col(query).alias("_q"), F.col(candidate).alias("_c"), F.lit(is_query).alias("_query")
         )
 
-    sides = F.array(place("_own", "_other", True), place("_other", "_own", False))
+    sides = F.array(place("_own", "_other", True), place("_other", "_as_candidate", False))
     carried = ["_row", "_tie", *columns, "_vec", *query_columns]
     asks = F.lit(True) if queries is None else queries
     rows = (
-        profiles.table.select(*carried, own, asks.alias("_asks"))
+        profiles.table.select(*carried, own, as_candidate, asks.alias("_asks"))
         .select("*", other)
         .select(*carried, "_asks", F.inline(sides))
         .where(~F.col("_query") | F.col("_asks"))

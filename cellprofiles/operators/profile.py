@@ -6,8 +6,6 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,7 +67,7 @@ def aggregate_to_wells(
     and the median or mean of every feature. NULL strata form groups of their own."""
     keys = [c for c in strata if c in cells.columns]
     names = numeric_features(cells, features)
-    rows = clean_features(cells.select(*keys, *names), names)
+    rows = clean_features(cells.select(*map(quoted, [*keys, *names])), names)
     count = F.count("*").alias(OBJECT_COUNT)
     return _collapse(rows, keys, names, operation, [count], hot_rows)
 
@@ -99,25 +97,31 @@ def normalize_profiles(
     samples: str = "all",
     features: Sequence[str] | None = None,
     hot_rows: int | None = None,
+    impute: bool = False,
 ) -> DataFrame:
     """Metadata and normalised features; ``samples`` picks the rows to fit on.
 
-    ``samples`` is ``"all"`` or a Spark SQL predicate, e.g. ``"Metadata_MoA == 'DMSO'"``.
+    ``samples`` is ``"all"`` or a Spark SQL predicate, e.g. ``"Metadata_MoA == 'DMSO'"``. A
+    deviation of 0 divides by 1 when standardising, so rows unlike constant fit rows keep
+    their distance. ``spherize`` mixes features and so needs every value: it raises where
+    one is missing unless ``impute`` puts the mean of the fit rows in its place.
     """
     if method not in NORMALIZE_METHODS:
         raise ValueError(f"method must be one of {NORMALIZE_METHODS}, not '{method}'")
     names = numeric_features(profiles, features)
-    rows = clean_features(profiles.select(*metadata_columns(profiles.columns), *names), names)
+    wanted = [*metadata_columns(profiles.columns), *names]
+    rows = clean_features(profiles.select(*map(quoted, wanted)), names)
     fit = rows if samples == "all" else rows.where(F.expr(samples))
     if method == "spherize":
-        return _spherize(rows, fit.select(*names), names)
+        return _spherize(rows, fit, names, impute)
     if method == "mad_robustize":
-        centers = grouped_median(fit.select(*names), [], names, hot_rows=hot_rows)
-        deviations = fit.select(*names).withColumn("_c", one_row(centers))
+        centers = grouped_median(fit.select(*map(quoted, names)), [], names, hot_rows=hot_rows)
+        deviations = fit.select(*map(quoted, names)).withColumn("_c", one_row(centers))
         deviations = deviations.select(*each("abs($ - _c.$)", names))
         scales = grouped_median(deviations, [], names, hot_rows=hot_rows)
         fitted = rows.withColumns({"_c": one_row(centers), "_s": one_row(scales)})
-        divisor = f"_s.$ * {MAD_TO_SIGMA!r}D + {MAD_EPSILON!r}D"
+        # Fit rows that agree still leave a divisor: what differs from them stands out.
+        divisor = f"(_s.$ * {MAD_TO_SIGMA!r}D + {MAD_EPSILON!r}D)"
     else:
         # Both statistics come from one pass.
         both = fit.agg(
@@ -125,71 +129,96 @@ def normalize_profiles(
         )
         fitted = rows.withColumn("_f", one_row(both))
         fitted = fitted.withColumns({"_c": F.col("_f.c"), "_s": F.col("_f.s")})
-        divisor = "_s.$"
-    constant = "_s.$ = 0D AND $ IS NOT NULL"
-    scaled = f"CASE WHEN {constant} THEN 0D ELSE try_divide($ - _c.$, {divisor}) END"
-    return fitted.select(*metadata_columns(profiles.columns), *each(scaled, names))
+        divisor = "CASE WHEN _s.$ = 0D THEN 1D ELSE _s.$ END"
+    kept = [F.col(quoted(c)) for c in metadata_columns(profiles.columns)]
+    return fitted.select(*kept, *each(f"($ - _c.$) / {divisor}", names))
 
 
-def _spherize(rows: DataFrame, fit: DataFrame, names: list[str]) -> DataFrame:
-    """ZCA whitening fitted on the complete rows of ``fit``.
+def _spherize(rows: DataFrame, fit: DataFrame, names: list[str], impute: bool) -> DataFrame:
+    """Whitening on the correlation scale: standardised values times the inverse root of
+    their correlation, so features of any unit count alike.
 
-    The covariance is aggregated by Spark. Only that matrix, whose size depends on the
-    number of features alone, is decomposed on the driver; the product with it runs on
-    Arrow batches. Rows with a missing feature become all-missing.
+    Means and deviations come from one aggregate and the correlation from one pass after it.
+    What is decomposed on the driver is sized by the number of features alone; the product
+    with it runs on Arrow batches.
     """
     spark = rows.sparkSession
-    mean, covariance = feature_covariance(fit, names)
-    values, vectors = np.linalg.eigh(covariance)
-    values = np.clip(values, 0.0, None)
-    whiten = spark.sparkContext.broadcast(
-        (mean, (vectors / np.sqrt(values + SPHERIZE_EPSILON)) @ vectors.T)
-    )
+    gaps = rows.agg(*each("count_if($ IS NULL)", names)).first()
+    gappy = [name for name, n in zip(names, gaps) if n]
+    if gappy and not impute:
+        raise ValueError(f"spherize found missing values in {gappy}; drop, or impute")
+    mean, deviation, _ = feature_scales(fit, names)
+    values, vectors = np.linalg.eigh(feature_correlation(fit, names))
+    roots = np.sqrt(np.clip(values, 0.0, None) + SPHERIZE_EPSILON)
+    whiten = spark.sparkContext.broadcast((mean, deviation, (vectors / roots) @ vectors.T))
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def transform(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        center, weights = whiten.value
+        center, scale, weights = whiten.value
         for batch in batches:
             matrix = np.stack([np.asarray(v, dtype=float) for v in batch])
-            yield pd.Series(list((matrix - center) @ weights))
+            matrix = np.nan_to_num((matrix - center) / scale, nan=0.0)
+            yield pd.Series(list(matrix @ weights))
 
     kept = metadata_columns(rows.columns)
-    out = rows.select(*kept, transform(array_of(_OR_NAN, names)).alias("_v"))
-    values = [
-        f"nanvl(_v[{i}], CAST(NULL AS DOUBLE)) AS {quoted(f)}" for i, f in enumerate(names)
-    ]
+    picked = [F.col(quoted(c)) for c in kept]
+    out = rows.select(*picked, transform(array_of(_OR_NAN, names)).alias("_v"))
+    values = [f"_v[{i}] AS {quoted(f)}" for i, f in enumerate(names)]
     return out.selectExpr(*[quoted(c) for c in kept], *values)
 
 
-def feature_correlation(rows: DataFrame, names: Sequence[str]) -> np.ndarray | None:
-    """Pearson correlation of the features over complete rows; None below two rows.
-
-    Constant features correlate 0 with all others.
-    """
-    vectors = _vectors(rows, names)
-    if len(vectors.take(2)) < 2:
-        return None
-    matrix = Correlation.corr(vectors, "_v").first()[0].toArray()
-    matrix = np.nan_to_num(matrix, nan=0.0)
-    np.fill_diagonal(matrix, 1.0)
-    return matrix
+def feature_scales(
+    rows: DataFrame, names: Sequence[str]
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, population deviation (1 where it is 0 or unknown) and number of values."""
+    found = rows.agg(
+        F.array(*each("coalesce(avg($), 0D)", names)),
+        F.array(*each("coalesce(stddev_pop($), 0D)", names)),
+        F.array(*each("count($)", names)),
+    ).first()
+    mean, deviation, count = (np.array(v, dtype=float) for v in found)
+    return mean, np.where(deviation > 0, deviation, 1.0), count
 
 
-def feature_covariance(rows: DataFrame, names: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Mean vector and sample covariance over complete rows."""
-    vectors = _vectors(rows, names)
-    correlation = feature_correlation(rows, names)
-    if correlation is None:
-        raise ValueError("spherize needs at least two complete rows to fit on")
-    moments = vectors.select(Summarizer.metrics("mean", "std").summary(F.col("_v")).alias("m"))
-    mean, std = moments.select("m.mean", "m.std").first()
-    std = std.toArray()
-    return mean.toArray(), correlation * np.outer(std, std)
+def feature_correlation(rows: DataFrame, names: Sequence[str]) -> np.ndarray:
+    """Pearson correlation of every two features over the rows that have both.
 
+    Pairs with fewer than two common rows, and features that are constant in them, correlate 0.
+    Each task adds up products of its Arrow batches; the sums of a feature are then added over
+    tasks, so what is shuffled is sized by features and tasks, and the driver gets the matrix.
+    """
+    width = len(names)
+    mean, deviation, _ = feature_scales(rows, names)
+    scales = rows.sparkSession.sparkContext.broadcast((mean, deviation))
 
-def _vectors(rows: DataFrame, names: Sequence[str]) -> DataFrame:
-    assembler = VectorAssembler(inputCols=list(names), outputCol="_v", handleInvalid="skip")
-    return assembler.transform(rows.select(*names)).select("_v")
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        center, scale = scales.value
+        sums = np.zeros((width, 6, width))
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                part = batch["_v"].iloc[at : at + 1024]
+                x = (np.stack([np.asarray(v, dtype=float) for v in part]) - center) / scale
+                m = (~np.isnan(x)).astype(float)
+                x = np.nan_to_num(x, nan=0.0)
+                square = x * x
+                pairs = (m.T @ m, x.T @ m, m.T @ x, square.T @ m, m.T @ square, x.T @ x)
+                sums += np.stack(pairs, axis=1)
+        yield pd.DataFrame({"i": range(width), "sums": [row.ravel() for row in sums]})
+
+    def correlate(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        n, x, y, xx, yy, xy = np.sum(np.stack(list(parts["sums"])), axis=0).reshape(6, width)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            covariance = xy - x * y / n
+            spread = np.maximum(xx - x * x / n, 0) * np.maximum(yy - y * y / n, 0)
+            r = covariance / np.sqrt(spread)
+        r[(n < 2) | ~(spread > 1e-24 * np.maximum(n, 1) ** 2)] = 0.0
+        r[key[0]] = 1.0
+        return pd.DataFrame({"i": [key[0]], "r": [np.clip(r, -1.0, 1.0)]})
+
+    vectors = rows.select(array_of(_OR_NAN, names).alias("_v"))
+    sums = vectors.mapInPandas(products, "i int, sums array<double>")
+    found = sums.groupBy("i").applyInPandas(correlate, "i int, r array<double>").collect()
+    return np.array([row.r for row in sorted(found)]).reshape(width, width)
 
 
 # --- consensus ----------------------------------------------------------------------
@@ -210,7 +239,7 @@ def consensus_profiles(
     """
     keys = [c for c in replicate_columns if c in profiles.columns]
     names = numeric_features(profiles, features)
-    rows = clean_features(profiles.select(*keys, *names), names)
+    rows = clean_features(profiles.select(*map(quoted, [*keys, *names])), names)
     if operation == "modz":
         return _modz(rows, keys, names)
     return _collapse(rows, keys, names, operation, [], hot_rows)

@@ -42,7 +42,7 @@ def feature_moments(
     """
     names = numeric_features(cells, features)
     stats = each("named_struct('n', count($), 'mean', avg($), 'variance', var_pop($))", names)
-    wide = clean_features(cells.select(*by, *names), names)
+    wide = clean_features(cells.select(*map(quoted, [*by, *names])), names)
     wide = wide.groupBy(*by).agg(F.count("*").alias("_rows"), *stats)
     entries = [
         (text(f), "_rows", *[f"{quoted(f)}.{s}" for s in ("n", "mean", "variance")])
@@ -54,7 +54,7 @@ def feature_moments(
 def missingness(cells: DataFrame, features: Sequence[str] | None = None) -> DataFrame:
     """Missing values (NULL or NaN) per feature, worst first, from one pass."""
     names = numeric_features(cells, features)
-    cleaned = clean_features(cells.select(*names), names)
+    cleaned = clean_features(cells.select(*map(quoted, names)), names)
     counts = cleaned.agg(F.count("*").alias("_rows"), *each("count($)", names))
     entries = [(text(f), "_rows", quoted(f)) for f in names]
     return _missing_fractions(counts.select(tidy(entries, ["feature", "rows", "n"])))
@@ -140,16 +140,18 @@ def detect_outliers(
         empty = cells.sparkSession.createDataFrame([], nothing)
         return cells.withColumn(OUTLIER_LABEL, F.lit(False)), empty
 
-    stats = clean_features(cells.select(*present), list(present)).agg(
+    stats = clean_features(cells.select(*map(quoted, present)), list(present)).agg(
         *[
-            F.struct(F.avg(f).alias("mean"), F.stddev_pop(f).alias("std")).alias(f)
+            F.struct(
+                F.avg(quoted(f)).alias("mean"), F.stddev_pop(quoted(f)).alias("std")
+            ).alias(f)
             for f in present
         ]
     )
     center = one_row(stats)
 
     def flag(feature: str, cutoff: float) -> Column:
-        stat = F.col(f"_stats.{feature}")
+        stat = F.col(f"_stats.{quoted(feature)}")
         z = F.try_divide(valid(feature) - stat["mean"], stat["std"])
         return F.coalesce(z < cutoff if cutoff < 0 else z > cutoff, F.lit(False))
 
@@ -160,7 +162,7 @@ def detect_outliers(
         .drop("_stats")
     )
     counts = (
-        cells.select(*present)
+        cells.select(*map(quoted, present))
         .withColumn("_stats", center)
         .agg(F.count("*").alias("_rows"), *[F.count_if(x).alias(f) for f, x in flags.items()])
     )

@@ -111,23 +111,22 @@ def image_table_checks(table: DataFrame) -> DataFrame:
     )
 
 
+def image_table_violations(facts: dict) -> list[tuple[str, int]]:
+    """(rule, violations) from one row of :func:`image_table_checks`; a rule that holds has 0."""
+    rules = [("the table has rows", int(facts["n_rows"] == 0))]
+    rules += [(f"{c} is set", facts[f"null_{c}"]) for c in REQUIRED_NON_NULL]
+    for column, lowest, least in (
+        ("Metadata_Site", facts["min_site"], 1),
+        ("Metadata_Concentration", facts["min_concentration"], 0),
+    ):
+        rules.append((f"{column} is {least} or more", int(lowest is not None and lowest < least)))
+    return rules
+
+
 def validate_image_table(table: DataFrame) -> list[str]:
-    """Problems of a canonical site table; runs one aggregate job."""
-    absent = [c for c in IMAGE_COLUMNS if c not in table.columns]
+    """Broken rules of a canonical site table; one aggregate, and none if columns are absent."""
+    absent = sorted(set(IMAGE_COLUMNS) - set(table.columns))
     if absent:
-        return [f"missing required columns: {absent}"]
-    facts = image_table_checks(table).first()
-    if facts["n_rows"] == 0:
-        return ["image table is empty"]
-    problems = [
-        f"column '{c}' has {facts[f'null_{c}']} null value(s)"
-        for c in REQUIRED_NON_NULL
-        if facts[f"null_{c}"]
-    ]
-    for fact, column, low in (
-        ("min_site", "Metadata_Site", 1),
-        ("min_concentration", "Metadata_Concentration", 0),
-    ):
-        if facts[fact] is not None and facts[fact] < low:
-            problems.append(f"{column} must be >= {low}")
-    return problems
+        return [f"columns absent: {', '.join(absent)}"]
+    facts = image_table_checks(table).first().asDict()
+    return [f"broken {n} time(s): {rule}" for rule, n in image_table_violations(facts) if n]

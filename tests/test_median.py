@@ -58,6 +58,28 @@ def test_median_is_exact_however_groups_are_treated(spark, data, expected, limit
         assert found[key][2] == pytest.approx(y, rel=1e-12) if y is not None else found[key][2] is None
 
 
+def test_both_ways_agree_to_the_last_digit(spark):
+    inf = float("inf")
+    rng = np.random.default_rng(5)
+    groups = {
+        "infinite": [1.0, inf, inf, inf],
+        "both ends": [-inf, -inf, inf, inf, 3.0],
+        "halves": [-inf, inf, 1.0, 2.0],
+        "zeros": [0.0, -0.0, -0.0, 0.0],
+        "one": [0.1] * 7,
+        "thirds": [1 / 3, 2 / 3, 0.1, 0.7],
+        "large": [1.0e308, 1.5e308],
+        "many": [float(v) for v in rng.normal(0, 1, 4000).round(2)],
+        "wide": [float(v) for v in np.exp(rng.normal(0, 20, 3001))],
+        "none": [None, None],
+    }
+    df = spark.createDataFrame([(k, v) for k, own in groups.items() for v in own], "k string, v double")
+    cold = grouped_median(df, ["k"], ["v"]).collect()
+    hot = grouped_median(df, ["k"], ["v"], hot_rows=1).collect()
+    assert len(hot) == len(groups)
+    assert sorted(map(str, cold)) == sorted(map(str, hot))
+
+
 @pytest.mark.parametrize("hot_rows", [None, 10])
 def test_global_median(spark, data, hot_rows):
     df = spark.createDataFrame(data, "a string, b string, x double, y double")

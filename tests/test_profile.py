@@ -99,21 +99,46 @@ def test_constant_features_become_zero_and_gaps_stay(spark, method):
     assert rows["a"][0] == 0.0 and rows["c"][0] is None and rows["b"][1] is None
 
 
+@pytest.mark.parametrize("method", ["standardize", "mad_robustize"])
+def test_rows_unlike_constant_controls_keep_their_distance(spark, method):
+    rows = [("DMSO", 1.0), ("DMSO", 1.0), ("drug", 5.0), ("drug", 9.0)]
+    df = spark.createDataFrame(rows, "Metadata_MoA string, Cells_X double")
+    out = cp.normalize_profiles(df, method=method, samples="Metadata_MoA = 'DMSO'").collect()
+    values = [r.Cells_X for r in out]
+    assert values[:2] == [0.0, 0.0] and values[3] == pytest.approx(2 * values[2])
+    assert values[2] == 4.0 if method == "standardize" else values[2] > 1e15
+
+
+def test_names_with_special_characters(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", 3.0)], "Metadata_Well string, `Cells_A.b` double")
+    assert cp.normalize_profiles(df).collect() == [("a", -1.0), ("b", 1.0)]
+    assert sorted(cp.aggregate_to_wells(df).collect()) == [("a", 1, 1.0), ("b", 1, 3.0)]
+    assert sorted(cp.aggregate_to_wells(df, hot_rows=0).collect()) == [("a", 1, 1.0), ("b", 1, 3.0)]
+    assert cp.missingness(df).first().feature == "Cells_A.b"
+    assert cp.detect_outliers(df, thresholds={"Cells_A.b": 0.5})[1].first().n_outliers == 1
+
+
 def test_spherize_whitens(cells, values):
     out = matrix(cp.normalize_profiles(cells, method="spherize"), by="Metadata_ObjectNumber")
-    assert np.cov(out.T) == pytest.approx(np.eye(N_FEATURES), abs=1e-4)
-    # ZCA: the whitening matrix is the inverse square root of the covariance.
-    eigen, basis = np.linalg.eigh(np.cov(values.T))
-    expected = (values - values.mean(axis=0)) @ (basis / np.sqrt(eigen + 1e-6)) @ basis.T
+    assert np.cov(out.T, ddof=0) == pytest.approx(np.eye(N_FEATURES), abs=1e-4)
+    # Standardised values times the inverse square root of their correlation.
+    eigen, basis = np.linalg.eigh(np.corrcoef(values.T))
+    standard = (values - values.mean(axis=0)) / values.std(axis=0)
+    expected = standard @ (basis / np.sqrt(eigen + 1e-6)) @ basis.T
     assert out == pytest.approx(expected, abs=1e-8)
+    # The unit of a feature does not matter.
+    units = {f: F.col(f) * 10.0 ** (4 * i - 8) for i, f in enumerate(FEATURES)}
+    scaled = cp.normalize_profiles(cells.withColumns(units), method="spherize")
+    assert matrix(scaled, by="Metadata_ObjectNumber") == pytest.approx(out, abs=1e-6)
 
 
 def test_spherize_with_gaps_and_unknown_method(spark, cells):
     gap = F.when(F.col("Metadata_ObjectNumber") != 5, F.col("Cells_F0"))
-    out = cp.normalize_profiles(cells.withColumn("Cells_F0", gap), method="spherize")
-    rows = {r.Metadata_ObjectNumber: r for r in out.collect()}
-    assert all(rows[5][f] is None for f in FEATURES)
-    assert all(rows[6][f] is not None for f in FEATURES)
+    gappy = cells.withColumn("Cells_F0", gap)
+    with pytest.raises(ValueError, match="Cells_F0"):
+        cp.normalize_profiles(gappy, method="spherize")
+    out = cp.normalize_profiles(gappy, method="spherize", impute=True)
+    assert all(r[f] is not None for r in out.collect() for f in FEATURES)
     with pytest.raises(ValueError):
         cp.normalize_profiles(cells, method="magic")
 
@@ -137,8 +162,8 @@ def test_each_selection_operation(trimmed):
     assert missing_features(trimmed) == ["Cells_Empty", "Cells_Gappy"]
     copies = correlated_features(trimmed, [*FEATURES, "Cells_Copy", "Cells_Constant"])
     assert len(copies) == 1 and copies[0] in ("Cells_F0", "Cells_Copy")
-    # With a feature that is always missing no row is complete: nothing can be compared.
-    assert correlated_features(trimmed) == []
+    # Gaps elsewhere change nothing: a pair is judged on the rows that have both.
+    assert correlated_features(trimmed) == copies
 
 
 def test_selection_keeps_metadata_and_good_features(trimmed, wells):

@@ -85,9 +85,9 @@ def test_validation_finds_nulls_ranges_and_structure(spark, raw, moa):
         "Metadata_Concentration - 1 AS Metadata_Concentration",
     )
     assert cp.validate_image_table(bad) == [
-        "column 'Metadata_Well' has 4 null value(s)",
-        "Metadata_Concentration must be >= 0",
+        "broken 4 time(s): Metadata_Well is set",
+        "broken 1 time(s): Metadata_Concentration is 0 or more",
     ]
-    assert cp.validate_image_table(table.limit(0)) == ["image table is empty"]
+    assert cp.validate_image_table(table.limit(0)) == ["broken 1 time(s): the table has rows"]
     missing = cp.validate_image_table(table.drop("Metadata_Site"))
-    assert missing == ["missing required columns: ['Metadata_Site']"]
+    assert missing == ["columns absent: Metadata_Site"]
