@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import cellprofiles as cp
-from cellprofiles.operators import pairs
+from cellprofiles.operators import evaluate, pairs
 
 GROUPS, PER_GROUP, WIDTH = 4, 12, 5
 
@@ -49,7 +49,7 @@ def distances(x):
     return np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
 
 
-def brute_map(x, labels, decimals=6):
+def brute_map(x, labels, decimals=12):
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     unit = x / np.where(norm > 0, norm, 1)
     similarity = np.round(unit @ unit.T, decimals)
@@ -131,6 +131,45 @@ def test_silhouette_equals_brute_force(spark, rows, tiny_blocks):
     assert value(found) == pytest.approx(brute_silhouette(*arrays(single, "group")), abs=1e-9)
 
 
+@pytest.mark.parametrize("split", [1, 5, 11])
+def test_split_labels_give_the_same_silhouette(spark, rows, tiny_blocks, monkeypatch, split):
+    monkeypatch.setattr(evaluate, "SPLIT_LABEL_ROWS", split)
+    for label, column in (("group", "Metadata_DiseaseGroup"), ("patient", "Metadata_PatientID")):
+        found = value(cp.silhouette(frame(spark, rows), column, row_id="Metadata_Row"))
+        assert found == pytest.approx(brute_silhouette(*arrays(rows, label)), abs=1e-9)
+
+
+def test_stripes_give_the_same_retrieval(spark, rows, monkeypatch):
+    want = brute_map(*arrays(rows, "patient"))
+    for stripe in (1, 100, 10**6):
+        monkeypatch.setattr(evaluate, "STRIPE_PAIRS", stripe)
+        df = frame(spark, rows)
+        found = cp.replicate_reproducibility(df, row_id="Metadata_Row", max_listed=0)
+        assert value(found) == pytest.approx(want, abs=1e-9)
+
+
+def test_tiles_return_few_rows_per_query(rows):
+    import pyarrow as pa
+
+    def block(labels):
+        n = len(labels)
+        return pairs.Block(
+            pa.table(
+                {
+                    "_row": np.arange(n),
+                    "_tie": np.arange(n),
+                    "_vec": list(np.random.default_rng(1).normal(size=(n, 3))),
+                    "l": labels,
+                    "_split": np.zeros(n, dtype=bool),
+                    "_label_size": np.full(n, 4),
+                }
+            )
+        )
+
+    many = block([str(i // 4) for i in range(400)])
+    assert len(evaluate._label_distances("l")(many, many)) == 400
+
+
 @pytest.mark.parametrize("k,skip", [(15, 0), (3, 1), (500, 0)])
 def test_mixing_equals_brute_force(spark, rows, tiny_blocks, k, skip):
     found = cp.batch_mixing(frame(spark, rows), k=k, skip=skip, row_id="Metadata_Row")
