@@ -176,7 +176,8 @@ def outliers(table: str, cuts: dict[str, float]) -> str:
 
 def report_rows() -> str:
     parts = [
-        f"SELECT '{name}' AS report, {column} AS entity, CAST(count(*) AS DOUBLE) AS number "
+        f"SELECT '{name}' AS report, {column} AS entity, 'n_cells' AS measure, "
+        "CAST(count(*) AS DOUBLE) AS number "
         f"FROM cells GROUP BY {column}"
         for name, column in (
             ("cell_counts_per_well", "Metadata_Well"),
@@ -186,14 +187,15 @@ def report_rows() -> str:
     ]
     present = {f: 3.0 for f in FEATURES if f in DEFAULT_CUTS}
     tidy = (
-        ("missingness", missing("cells"), "fraction_missing"),
-        ("feature_drift_by_batch", drift("Metadata_Batch"), "drift_score"),
-        ("plate_effects", drift("Metadata_Plate"), "drift_score"),
-        ("outliers", outliers("cells", present), "fraction_outliers"),
+        ("missingness", missing("cells"), ("n_missing", "fraction_missing")),
+        ("feature_drift_by_batch", drift("Metadata_Batch"), ("drift_score",)),
+        ("plate_effects", drift("Metadata_Plate"), ("drift_score",)),
+        ("outliers", outliers("cells", present), ("threshold", "n_outliers", "fraction_outliers")),
     )
     parts += [
-        f"SELECT '{name}', feature, round({value}, 9) + 0.0 FROM ({sql})"
-        for name, sql, value in tidy
+        f"SELECT '{name}', feature, '{value}', round({value}, 9) + 0.0 FROM ({sql})"
+        for name, sql, values in tidy
+        for value in values
     ]
     return " UNION ALL ".join(parts)
 

@@ -204,16 +204,23 @@ def outlier_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def qc_report(spark: SparkSession, sf: str) -> DataFrame:
-    """All seven tables in one tidy frame ``report, entity, number``."""
+    """All columns of all seven tables in one tidy frame ``report, entity, measure, number``."""
     report = cp.qc_report(cells(spark, sf))
     frames = []
     for name, table in report.items():
-        key, value = table.columns[0], table.columns[-1]
+        key, *values = table.columns
+        measures = [
+            F.struct(
+                F.lit(value).alias("measure"),
+                F.round(F.col(value).cast("double"), 9).alias("number"),
+            )
+            for value in values
+        ]
         frames.append(
             table.select(
                 F.lit(name).alias("report"),
                 F.col(key).alias("entity"),
-                F.round(F.col(value).cast("double"), 9).alias("number"),
+                F.inline(F.array(*measures)),
             )
         )
     result = frames[0]
