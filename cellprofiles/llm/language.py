@@ -7,18 +7,22 @@ gradient descent in NumPy on the driver, on a sample of labelled documents whose
 bounded by ``SAMPLE_PER_LANGUAGE`` and ``SAMPLE_BYTES``. Prediction uses every text whole.
 
 Because everything after the lookup is linear, a trained model is one table with a row of
-logits per bucket. Buckets that training never met are zero, so a text in an unknown language
-gets nearly equal logits. The softmax is calibrated by a temperature fitted on documents that
-the descent did not see, and a text is rejected if its calibrated score does not exceed
-the score of a text that tells nothing, one over the number of languages, by ``REJECT_MARGIN``
-of the way to certainty. A text written in two or three of the languages is above that.
+logits per bucket. The softmax is calibrated by a temperature fitted on documents that the
+descent did not see, and a text is rejected if its calibrated score does not exceed the score
+of a text that tells nothing, one over the number of languages, by ``REJECT_MARGIN`` of the
+way to certainty. A text written in two or three of the languages is above that.
+
+The score cannot tell a foreign text whose n-grams are all known. So a text is rejected as well
+if its n-grams are too improbable for the mixture of its languages that fits it best. The bound
+is set on the documents that the descent did not see: they are clean text as they are, foreign
+text to the model of the other languages, and junk with their letters shuffled or redrawn.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -36,6 +40,17 @@ BROADCAST_LANGUAGES = 10_000
 #: Share of the way from chance to certainty that a score must make.
 REJECT_MARGIN = 0.1
 
+#: Share of clean text that the bound on improbable n-grams may reject, and share of foreign and
+#: of junk texts that it shall reject; the first goes first if both cannot be had.
+CLEAN_LOSS, STRANGE_REJECTED = 0.001, 0.95
+
+#: Languages that a text may mix, steps that fit their shares, and share of n-grams that are like
+#: none of the language's.
+MIXED, MIXING_STEPS, UNLIKE = 3, 4, 0.05
+
+#: Different n-grams of a text from which on its mean varies by its subject more than by chance.
+SETTLED = 1000
+
 #: Lengths of the n-grams in bytes, buckets (a power of two) and width of an embedding.
 NGRAMS, BUCKET_BITS, WIDTH = (2, 3, 4), 18, 16
 
@@ -88,19 +103,49 @@ def buckets_of(letters: bytes, start: int = 0, stop: int | None = None) -> np.nd
 
 @dataclass
 class LanguageModel:
-    """``logits`` has a row for each bucket; a text's logits are their mean."""
+    """``logits`` has a row for each bucket; a text's logits are their mean. ``shares`` is the
+    probability of each bucket in each language, ``usual`` the mean surprise of a language's texts
+    and ``bound`` the strangeness from which on a text is rejected."""
 
     languages: list[str]
     logits: np.ndarray
     temperature: float
-
-    def text_logits(self, letters: bytes) -> np.ndarray:
-        total, count = np.zeros(len(self.languages)), 0
+    shares: np.ndarray | None = None
+    usual: np.ndarray | None = None
+    bound: float = float("inf")
+    rates: dict[str, float] = field(default_factory=dict)
+
+    def grams(self, letters: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The different buckets of a text, ascending, and their numbers."""
+        if len(letters) <= CHUNK:
+            return np.unique(buckets_of(letters), return_counts=True)
+        times = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
         for start in range(0, len(letters), CHUNK):
             buckets = buckets_of(letters, start, min(start + CHUNK, len(letters)))
-            total += self.logits[buckets].sum(axis=0, dtype=np.float64)
-            count += len(buckets)
-        return total / max(count, 1)
+            times += np.bincount(buckets, minlength=len(times))
+        own = np.flatnonzero(times)
+        return own, times[own]
+
+    def _mean_logits(self, own: np.ndarray, times: np.ndarray) -> np.ndarray:
+        total = times.astype(np.float64) @ self.logits[own].astype(np.float64)
+        return total / max(int(times.sum()), 1)
+
+    def text_logits(self, letters: bytes) -> np.ndarray:
+        return self._mean_logits(*self.grams(letters))
+
+    def strangeness(
+        self, own: np.ndarray, times: np.ndarray, logits: np.ndarray, without: int | None = None
+    ) -> float:
+        """Surprise per n-gram beyond the usual one, in units of what chance gives a text with so
+        many different n-grams. ``without`` leaves a language out."""
+        order = [k for k in np.argsort(-logits) if k != without][:MIXED]
+        likely, total = self.shares[own][:, order], times.sum()
+        parts = np.full(len(order), 1 / len(order))
+        for _ in range(MIXING_STEPS):
+            held = likely * parts
+            parts = (times / held.sum(axis=1)) @ held / total
+        surprise = -(times @ np.log(likely @ parts)) / total
+        return float((surprise - self.usual[order] @ parts) / np.sqrt(1 / len(own) + 1 / SETTLED))
 
     def predict(self, texts: list[str | None]) -> pd.DataFrame:
         rows = []
@@ -109,10 +154,15 @@ class LanguageModel:
             if not letters or not self.languages:
                 rows.append((UNDETERMINED, 0.0, True))
                 continue
-            chance = _softmax(self.text_logits(letters)[None] / self.temperature)[0]
+            own, times = self.grams(letters)
+            logits = self._mean_logits(own, times)
+            chance = _softmax(logits[None] / self.temperature)[0]
             best = int(chance.argmax())
             score = float(chance[best])
-            rows.append((self.languages[best], score, score < self.least_score()))
+            rejected = score < self.least_score()
+            if self.shares is not None and len(own):
+                rejected = rejected or self.strangeness(own, times, logits) > self.bound
+            rows.append((self.languages[best], score, rejected))
         return pd.DataFrame(rows, columns=["lang_pred", "score", "rejected"])
 
     def least_score(self) -> float:
@@ -165,9 +215,48 @@ def fit(texts: list[str], languages: list[str], seed: int = 7) -> LanguageModel:
             loss = (1 - doubt) * np.log(right + 1e-12) + doubt * np.log(wrong + 1e-12)
             losses.append(-loss.mean())
         model.temperature = TEMPERATURES[int(np.argmin(losses))]
+        counts = np.zeros((size, len(names)), dtype=np.float32)
+        for i in learnt:
+            np.add.at(counts[:, target[i]], grams[i], 1)
+        if counts.any(axis=0).all():
+            counts /= counts.sum(axis=0, dtype=np.float64)
+            model.shares = (1 - UNLIKE) * counts + UNLIKE / size
+            set_bound(model, [letters_of(texts[i]) for i in held], target[held], draw)
     return model
 
 
+def set_bound(
+    model: LanguageModel, clean: list[bytes], target: np.ndarray, draw: np.random.Generator
+) -> None:
+    """Set ``usual``, ``bound`` and ``rates`` by clean texts that the model was not trained on."""
+    model.usual = np.zeros(len(model.languages))
+    read = [model.grams(letters) for letters in clean]
+    logits = [model._mean_logits(*grams) for grams in read]
+    sizes = np.array([len(own) for own, _ in read])
+    own = np.array([model.strangeness(*g, x) for g, x in zip(read, logits, strict=True)])
+    surprise, weight = own * np.sqrt(1 / sizes + 1 / SETTLED), np.minimum(sizes, SETTLED)
+    for k in range(len(model.usual)):
+        rows = target == k if (target == k).any() else np.ones(len(target), dtype=bool)
+        model.usual[k] = np.average(surprise[rows], weights=weight[rows])
+    kinds: dict[str, list[float]] = {"clean": [], "foreign": [], "shuffled": [], "random": []}
+    for letters, grams, x, k in zip(clean, read, logits, target, strict=True):
+        kinds["clean"].append(model.strangeness(*grams, x))
+        if len(model.languages) > 1:
+            kinds["foreign"].append(model.strangeness(*grams, x, int(k)))
+        marks = list(letters.decode())
+        alphabet = sorted(set(marks) - {" "})
+        redrawn = [m if m == " " else alphabet[i] for m, i in zip(marks, draw.integers(0, len(alphabet), len(marks)), strict=True)]
+        for kind, made in (("shuffled", draw.permutation(marks).tolist()), ("random", redrawn)):
+            junk = model.grams(letters_of("".join(made)))
+            if len(junk[0]):
+                kinds[kind].append(model.strangeness(*junk, model._mean_logits(*junk)))
+    least = np.quantile(kinds["clean"], 1 - CLEAN_LOSS, method="higher")
+    most = min(np.quantile(v, 1 - STRANGE_REJECTED) for k, v in kinds.items() if v and k != "clean")
+    least = max(float(least), 0.5)
+    model.bound = float(np.sqrt(least * most)) if most > least else least
+    model.rates = {k: float(np.mean(np.array(v) > model.bound)) for k, v in kinds.items() if v}
+
+
 def training_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> pd.DataFrame:
     """About ``per_language`` labelled documents of each language, drawn by a hash of the text.
 

@@ -85,7 +85,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         (~learnable).alias("held_out"),
         language.predict(F.col("text"), model, docs).alias("found"),
-    ).select("doc_id", "held_out", "found.lang_pred", "found.score")
+    ).select("doc_id", "held_out", "found.lang_pred", "found.score", "found.rejected")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

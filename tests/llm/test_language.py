@@ -49,3 +49,30 @@ def test_empty_and_unlabelled_tables(documents):
     assert language.keep_identified(documents()).count() == 0
     out = language.keep_identified(documents((1, "words", None), (2, "77", None), (3, None, None)))
     assert [r.doc_id for r in out.collect()] == [1]
+
+
+FOREIGN = {
+    301: "kissa istuu ikkunalla ja katselee lintuja kun lumi sataa hiljaa metsan ylle ja jarvi jaatyy yon aikana ",
+    302: "kucing itu duduk di dekat jendela sambil melihat burung yang terbang di atas rumah kami setiap pagi hari ",
+    303: "xqzj wvkpt qqhx zzkf jwvx bqpd kxzq vvjh wqxz pfkq zjxw hqvk ",
+}
+
+
+def test_foreign_texts_and_junk_are_rejected(spark, documents):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    planted = documents(*[(10**9 + i, text * 4) for i, text in FOREIGN.items()])
+    both = docs.select(planted.columns).unionByName(planted)
+    kept = {r.doc_id for r in language.keep_identified(both).select("doc_id").collect()}
+    assert not kept & {10**9 + i for i in FOREIGN}
+    assert len(kept) >= 0.995 * docs.count()
+    assert "rejected" in op6_language(spark, "/root/testdata/sf0.001").columns
+
+
+def test_a_language_left_out_is_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").toPandas()
+    docs = docs[docs.lang.notna()].drop_duplicates("text")
+    other = docs[docs.lang != "fr"]
+    model = language.fit(other.text.tolist(), other.lang.tolist())
+    assert model.rates["clean"] <= 0.01 and model.rates["foreign"] >= 0.9 and model.rates["random"] >= 0.9
+    assert model.predict(docs[docs.lang == "fr"].text.tolist()).rejected.mean() >= 0.9
+    assert model.predict(other.text.tolist()).rejected.mean() <= 0.005
