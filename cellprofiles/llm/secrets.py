@@ -1,6 +1,7 @@
 """Secrets in texts: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of key characters with a digit in it. The forest decides from its length,
+A candidate is a run of key characters that has a digit, a known prefix or great length, or any
+value behind an assignment or a word like ``password``. The forest decides from its length,
 the transitions between kinds of characters, how much of it the dictionary covers, its path
 and the words around it. It is trained from labelled findings: those a caller has, or the
 ones that :func:`made_findings` builds by rule. The dictionary is the corpus itself: words that
@@ -20,8 +21,25 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-#: A run of at least ten key characters that has a digit.
-CANDIDATE = r"(?<![A-Za-z0-9_+/.\-])(?=[A-Za-z_+/.\-]*[0-9])[A-Za-z0-9_+/.\-]{9,}[A-Za-z0-9_+/\-]={0,2}"
+#: First characters of keys of known kinds.
+PREFIX = r"(?:A[KS]IA|gh[pousr]_|github_pat_|glpat-|xox[abeoprs]-|[sr]k[-_]|AIza|ya29\.|eyJ|SG\.|npm_|pypi-|hf_)"
+
+#: What stands before a value: an assignment, or a word that speaks of a secret.
+_LEADS = r"(?<=[=:]\s{0,2}[\"'`]?|(?i:password|passwd|passphrase|pwd|secret|token|bearer|key)(?: is)?\s{1,2}[\"'`]?)"
+
+#: An assigned value of at least six characters: in quotes all up to the closing one, else up to
+#: white space or the next assignment, without marks at its end.
+_VALUE = (
+    r"(?<=[=:\s\"'`])(?=[^\s\"'`]{6})(?!//|[=:])" + _LEADS + r"(?:(?<=[\"'`])[^\s\"'`]{6,}(?=[\"'`])"
+    r"|(?:(?![,;&][A-Za-z_.\-]{1,40}[=:])[^\s\"'`<>]){5,}[A-Za-z0-9_+/\-]={0,2})"
+)
+
+#: A run of at least ten key characters that has a digit, a known prefix or 24 characters.
+_RUN = (
+    r"(?<![A-Za-z0-9_+/.\-])(?=[A-Za-z_+/.\-]*[0-9]|" + PREFIX + r"|[A-Za-z_+/.\-]{24})"
+    r"[A-Za-z0-9_+/.\-]{9,}[A-Za-z0-9_+/\-]={0,2}"
+)
+CANDIDATE = f"{_VALUE}|{_RUN}"
 
 #: Characters before and after a candidate that count as its neighbours.
 NEIGHBOURS = 48
@@ -46,10 +64,13 @@ BENIGN_WORDS = (
 ).split()
 TEST_PATHS = "test tests example examples sample samples mock mocks fixture fixtures doc docs demo"
 CONFIG_PATHS = "config conf cfg settings env secret secrets credentials properties yml yaml ini"
+#: What stands in place of a secret: fillers, and code that fetches one.
+PLACEHOLDERS = r"change_?me|example|placeholder|your|dummy|xxxx|\*\*\*|0000|[({\[]|environ|getenv|redacted"
 
 FEATURES = (
     "length transitions digits upper lower marks distinct_chars hex_only alternating first_run "
-    "dictionary path_test path_config near_secret near_benign assigned quoted mail dotted repeats"
+    "dictionary path_test path_config near_secret near_benign assigned quoted mail dotted repeats "
+    "prefix symbols placeholder"
 ).split()
 
 
@@ -93,9 +114,12 @@ def with_features(found: DataFrame) -> DataFrame:
         "near_benign": _any_word(F.concat_ws(" ", before, F.substring(after, 1, 12)), BENIGN_WORDS),
         "assigned": before.rlike(r"[=:]\s*[\"']?$").cast("double"),
         "quoted": before.rlike(r"[\"']$").cast("double"),
-        "mail": (before.rlike("@$") | after.rlike("^@")).cast("double"),
+        "mail": (before.rlike("@$") | after.rlike("^@") | value.rlike(r"^[\w.+-]+@[\w-]+\.[\w.]+$")).cast("double"),
         "dotted": value.rlike(r"^[0-9.\-/]+$").cast("double"),
         "repeats": value.rlike(r"(.)\1\1\1").cast("double"),
+        "prefix": value.rlike("^" + PREFIX).cast("double"),
+        "symbols": F.length(F.regexp_replace("value", r"[\w+/.=\-]", "")) / size,
+        "placeholder": F.lower("value").rlike(PLACEHOLDERS).cast("double"),
     }
     return found.withColumns({name: words[name].cast("double") for name in FEATURES})
 
@@ -103,8 +127,8 @@ def with_features(found: DataFrame) -> DataFrame:
 def made_findings(spark: SparkSession, rows: int = MADE_FINDINGS) -> DataFrame:
     """Labelled findings by rule: ``value``, ``before``, ``after``, ``path``, ``label``.
 
-    Half are keys of well-known shapes and random strings behind a telling name; half are
-    addresses, numbers, dates, digests, versions, file names and placeholders.
+    Half are keys of well-known shapes, and random strings and phrases behind a telling name; half
+    are addresses, numbers, dates, digests, versions, names, paths, words and placeholders.
     """
     numbers = spark.range(0, rows, 1, 1)
     md5, long = F.md5(F.concat(F.lit("made:"), F.col("id"))), F.sha2(F.concat(F.lit("m:"), F.col("id")), 256)
@@ -119,6 +143,11 @@ def made_findings(spark: SparkSession, rows: int = MADE_FINDINGS) -> DataFrame:
     upper = F.translate(F.upper(F.substring(long, 1, 16)), "01", "QZ")
     word = pick("word", "anther", "ontion", "schtein", "cionla", "eauxment", "readme", "report", "index")
     ip = F.concat_ws(".", *[draw(f"ip{i}", 254) + 1 for i in range(4)])
+    letters = F.translate(F.substring(mixed, 1, 24), "0123456789", "gHkMpRtVxZ")
+    part = ("cor", "rect", "horse", "bat", "ter", "stap", "moon", "ri", "ver", "lan", "dog", "blue", "sum", "gar", "ten")
+    phrase = F.concat(*[pick(f"ph{i}", *part) for i in range(4)], F.substring(letters, 1, 2))
+    lower = F.concat(*[pick(f"lo{i}", *part) for i in range(3)])
+    sign = pick("sign", "!", "#", "@", "$", "%", "^", "&", "*", "?")
     card = F.rpad(F.concat(F.lit("4"), F.abs(F.xxhash64("id")).cast("string")), 16, "7")
     secrets = {
         0: (F.concat(F.lit("AKIA"), upper), pick("b0", "", "key ", "aws_access_key_id = ", "and the ")),
@@ -127,6 +156,10 @@ def made_findings(spark: SparkSession, rows: int = MADE_FINDINGS) -> DataFrame:
         3: (F.concat(F.lit("ghp_"), F.substring(mixed, 1, 34)), pick("b3", "", "token ", "auth: ")),
         4: (F.substring(mixed, 1, 32), pick("b4", "api_key = ", 'secret: "', "Bearer ", "private key ")),
         5: (F.substring(mixed, 1, 14), pick("b5", "password=", "passwd: ", 'login password "', "pwd=")),
+        6: (phrase, pick("b6", "password=", "passwd: ", 'password = "', "pwd=", "passphrase: ", "password is ")),
+        7: (F.concat(F.substring(mixed, 1, 5), sign, F.substring(mixed, 6, 4), sign, F.substring(letters, 3, 3)), pick("b7", "password=", "pwd=", 'passwd: "', 'password: "', "secret = ")),
+        8: (F.concat(F.lit("AKIA"), F.translate(upper, "23456789", "GHJKLMNP")), pick("b8", "", "key ", "aws_access_key_id=", "id ")),
+        9: (F.concat(pick("pre", "xoxb-", "ghp_", "glpat-", "sk_live_"), F.substring(letters, 1, 20)), pick("b9", "", "token ", "auth: ", "slack=")),
     }
     benign = {
         0: (ip, pick("n0", "", "from ", "ip ", "host=", "the ")),
@@ -139,6 +172,12 @@ def made_findings(spark: SparkSession, rows: int = MADE_FINDINGS) -> DataFrame:
         7: (F.concat_ws("-", F.substring(md5, 1, 8), F.substring(md5, 9, 4), F.substring(md5, 13, 4), F.substring(md5, 17, 12)), pick("n7", "uuid ", "id=", "guid: ")),
         8: (F.concat(F.lit("+49-"), draw("f", 900) + 100, F.lit("-"), draw("g", 900000) + 100000), pick("n8", "", "phone ", "tel: ")),
         9: (F.concat(word, word, draw("w", 999)), pick("n9", "", "the ", "of ")),
+        10: (lower, pick("n10", "name=", "title: ", 'class="', "user: ", "type = ", "mode=")),
+        11: (F.concat_ws("/", F.lit(""), pick("d0", "usr", "var", "home", "opt"), word, lower, word), pick("n11", "", "path=", "dir: ", "in ")),
+        12: (F.concat_ws("-", lower, word, lower), pick("n12", "", "slug: ", 'id="', "the ")),
+        13: (pick("p2", "changeme", "yourpassword", "your_token_here", "examplepassword", "xxxxxxxx", "********", "os.environ", "getenv(KEY", "${PASSWORD}", "placeholder"), pick("n13", "password=", "token: ", 'secret = "', "api_key=", "pwd: ")),
+        14: (F.concat(lower, F.lit("@"), word, F.lit(".org")), pick("n14", "mail: ", "user=", "to: ", "login: ")),
+        15: (F.concat(lower, lower), pick("n15", "the ", "", "note: ", "of ")),
     }
 
     def chosen(kinds: dict, salt: str, part: int) -> Column:
