@@ -4,8 +4,9 @@ A candidate is a run of key characters that has a digit, a known prefix or great
 value behind an assignment or a word like ``password``. The forest decides from its length,
 the transitions between kinds of characters, how much of it the dictionary covers, its path
 and the words around it. It is trained from labelled findings: those a caller has, or the
-ones that :func:`made_findings` builds by rule. The dictionary is the corpus itself: words that
-occur ``DICTIONARY_COUNT`` times at least, counted over all texts.
+ones that :func:`made_findings` builds by rule. The dictionary is the corpus itself: words
+that at least ``DICTIONARY_SHARE`` of its different texts have outside of candidates. Training
+findings are looked up in it as well.
 
 Everything is DataFrame and SQL functions and the JVM's forest. Texts are scanned in place;
 only candidates, and word counts after partial sums, are shuffled.
@@ -44,8 +45,12 @@ CANDIDATE = f"{_VALUE}|{_RUN}"
 #: Characters before and after a candidate that count as its neighbours.
 NEIGHBOURS = 48
 
-#: Occurrences from which on a word of four letters or more is in the dictionary.
-DICTIONARY_COUNT = 5
+#: Share of the different texts from which on a word of four letters or more is in the dictionary.
+DICTIONARY_SHARE = 0.001
+
+#: Words of the dictionary that the made findings use, and those they use without one.
+MADE_WORDS = 200
+PLAIN_WORDS = "garden window report index readme letter summary picture station market river table"
 
 #: Trees of the forest, their depth, and its seed.
 TREES, DEPTH, SEED = 40, 8, 5
@@ -124,12 +129,19 @@ def with_features(found: DataFrame) -> DataFrame:
     return found.withColumns({name: words[name].cast("double") for name in FEATURES})
 
 
-def made_findings(spark: SparkSession, rows: int = MADE_FINDINGS) -> DataFrame:
+def made_findings(
+    spark: SparkSession, rows: int = MADE_FINDINGS, words: DataFrame | None = None
+) -> DataFrame:
     """Labelled findings by rule: ``value``, ``before``, ``after``, ``path``, ``label``.
 
     Half are keys of well-known shapes, and random strings and phrases behind a telling name; half
-    are addresses, numbers, dates, digests, versions, names, paths, words and placeholders.
+    are addresses, numbers, dates, digests, versions, names, paths, words and placeholders. Ordinary words are a bounded
+    draw from ``words``, the dictionary, if it is given.
     """
+    known = PLAIN_WORDS.split()
+    if words is not None:
+        drawn = words.filter(F.length("word") <= 12).orderBy(F.xxhash64("word"), "word").limit(MADE_WORDS)
+        known = [row.word for row in drawn.collect()] or known
     numbers = spark.range(0, rows, 1, 1)
     md5, long = F.md5(F.concat(F.lit("made:"), F.col("id"))), F.sha2(F.concat(F.lit("m:"), F.col("id")), 256)
 
@@ -141,12 +153,13 @@ def made_findings(spark: SparkSession, rows: int = MADE_FINDINGS) -> DataFrame:
 
     mixed = F.regexp_replace(F.base64(F.unhex(F.sha2(F.col("id").cast("string"), 256))), "[+/=]", "")
     upper = F.translate(F.upper(F.substring(long, 1, 16)), "01", "QZ")
-    word = pick("word", "anther", "ontion", "schtein", "cionla", "eauxment", "readme", "report", "index")
+    word = pick("word", *known)
     ip = F.concat_ws(".", *[draw(f"ip{i}", 254) + 1 for i in range(4)])
     letters = F.translate(F.substring(mixed, 1, 24), "0123456789", "gHkMpRtVxZ")
     part = ("cor", "rect", "horse", "bat", "ter", "stap", "moon", "ri", "ver", "lan", "dog", "blue", "sum", "gar", "ten")
     phrase = F.concat(*[pick(f"ph{i}", *part) for i in range(4)], F.substring(letters, 1, 2))
     lower = F.concat(*[pick(f"lo{i}", *part) for i in range(3)])
+    lower = F.when(draw("lo", 2) == 0, lower).otherwise(F.rpad(pick("lo9", *known), 6, "s"))
     sign = pick("sign", "!", "#", "@", "$", "%", "^", "&", "*", "?")
     card = F.rpad(F.concat(F.lit("4"), F.abs(F.xxhash64("id")).cast("string")), 16, "7")
     secrets = {
@@ -195,24 +208,31 @@ def made_findings(spark: SparkSession, rows: int = MADE_FINDINGS) -> DataFrame:
         both[0].alias("value"),
         F.concat(context, both[1]).alias("before"),
         pick("after", " and", ".", '" in', " le", "", ", of").alias("after"),
-        F.when(secret, pick("path1", "src0", "src1", "app/config", "app")).otherwise(
-            pick("path0", "src0", "src1", "tests/data", "docs", "app")
+        F.when(secret, pick("path1", "lib/core", "service", "app/config", "app")).otherwise(
+            pick("path0", "lib/core", "service", "tests/data", "docs", "app")
         ).alias("path"),
         secret.cast("double").alias("label"),
     )
 
 
-def train(labelled: DataFrame) -> RandomForestClassificationModel:
+def with_coverage(found: DataFrame, words: DataFrame) -> DataFrame:
+    """Add ``covered``, the characters of ``value`` in dictionary words; NULL if there are none."""
+    parts = found.select("value", F.explode(F.regexp_extract_all(F.lower("value"), F.lit("[a-z]{4,}"), 0)).alias("word"))
+    known = parts.distinct().join(words, "word")
+    covered = known.groupBy("value").agg(F.sum(F.length("word")).alias("covered"))
+    values = found.select("value").distinct().join(covered, "value", "left")
+    return found.join(values, "value")
+
+
+def train(labelled: DataFrame, words: DataFrame | None = None) -> RandomForestClassificationModel:
     """Forest on labelled findings (``value``, ``before``, ``after``, ``path``, ``label`` 0 or 1, and
-    ``covered`` if known).
+    ``covered`` if known; else ``words``, the dictionary, gives it, and without one it is 0).
 
     The findings are a bounded table that people or rules have labelled; it is put in one
     order in one partition so that the forest is the same on every run.
     """
     if "covered" not in labelled.columns:
-        words = r"[aeiou][a-z]{2}[aeiou]|readme|report|index|example|anther|ontion"
-        inside = F.regexp_replace(F.lower("value"), f"(?:{words})[a-z]*", "")
-        labelled = labelled.withColumn("covered", F.length("value") - F.length(inside))
+        labelled = labelled.withColumn("covered", F.lit(0)) if words is None else with_coverage(labelled, words)
     rows = with_features(labelled).select(*FEATURES, F.col("label").cast("double"))
     rows = rows.coalesce(1).sortWithinPartitions(*FEATURES, "label")
     assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
@@ -255,10 +275,16 @@ def candidates(docs: DataFrame, path: Column | None = None) -> DataFrame:
 
 
 def dictionary(docs: DataFrame) -> DataFrame:
-    """``word``: those of four letters or more that occur often enough in ``text``."""
-    words = docs.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word"))
-    words = words.filter(F.length("word") >= 4).groupBy("word").count()
-    return words.filter(F.col("count") >= DICTIONARY_COUNT).select("word")
+    """``word``: those of four letters or more that a large enough share of the different values of
+    ``text`` has outside of candidates. Copies of texts and keys in them change nothing."""
+    texts = docs.select("text").filter(F.col("text").isNotNull()).distinct()
+    plain = F.lower(F.regexp_replace("text", CANDIDATE, " "))
+    own = F.filter(F.split(plain, "[^a-z]+"), lambda w: F.length(w) >= 4)
+    words = texts.select(F.explode(F.array_union(F.array(F.lit("")), own)).alias("word"))
+    counts = materialize(words.groupBy("word").count(), "secret-words")
+    texts = counts.filter("word = ''").head()  # every text counts as one without letters
+    least = DICTIONARY_SHARE * (texts["count"] if texts else 0)
+    return counts.filter((F.col("word") != "") & (F.col("count") >= least)).select("word")
 
 
 def scan_secrets(
@@ -273,12 +299,9 @@ def scan_secrets(
     not matter. An empty table gives no rows.
     """
     found = materialize(candidates(docs, path), "secret-candidates")
-    parts = found.select("value", F.explode(F.regexp_extract_all(F.lower("value"), F.lit("[a-z]{4,}"), 0)).alias("word"))
-    known = parts.distinct().join(dictionary(docs), "word")
-    covered = known.groupBy("value").agg(F.sum(F.length("word")).alias("covered"))
-    values = found.select("value").distinct().join(covered, "value", "left")
-    model = train(made_findings(docs.sparkSession) if labelled is None else labelled)
-    rows = with_features(found.join(values, "value"))
+    words = dictionary(docs)
+    model = train(made_findings(docs.sparkSession, words=words) if labelled is None else labelled, words)
+    rows = with_features(with_coverage(found, words))
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
     scored = model.transform(rows)
     score = vector_to_array("probability")[1]

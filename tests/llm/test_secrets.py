@@ -80,3 +80,14 @@ def test_long_values_and_assignments_in_a_row(documents):
     found = {(r.doc_id, r.value) for r in secrets.candidates(docs).collect()}
     assert {d for d, _ in found} == {1, 3} and {"ab,c3$kd9z", "robert"} <= {v for d, v in found if d == 3}
     assert max(len(v) for d, v in found if d == 1) == 399_999
+
+
+def test_dictionary_by_share_of_different_texts(documents):
+    rows = [(i, f"garden window number{i} station{'s' * (i % 3)}") for i in range(1200)]
+    rows += [(2000 + i, f"house{i} token=qwertzuvkey{i % 2}Zb9 stays") for i in range(8)]
+    docs = documents(*rows, (3000, "rareword " * 9))
+    words = {r.word for r in secrets.dictionary(docs).collect()}
+    assert {"garden", "window", "station", "stationss", "stays"} <= words
+    assert not words & {"rareword", "qwertzuvkey"}
+    copied = docs.unionByName(docs.filter("doc_id >= 2000")).unionByName(docs.filter("doc_id >= 2000"))
+    assert {r.word for r in secrets.dictionary(copied).collect()} == words
