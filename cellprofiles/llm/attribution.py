@@ -70,7 +70,7 @@ def count_sections(
 
 
 def section_tokens(
-    text: Column, docs: DataFrame, tokenizer: str, starts: Column | None = None
+    text: Column, docs: DataFrame, tokenizer: str, starts: Column | None = None, special: bool = False
 ) -> Column:
     """Sections of a text with their tokens: a struct of the arrays ``start``, ``stop``,
     ``n_tokens`` and ``n_crossing``, an entry for each section.
@@ -78,9 +78,10 @@ def section_tokens(
     ``starts`` is an array of the first characters of the sections, ascending from 0 (positions
     count code points); without it every line is a section and keeps its line break.
     ``n_crossing`` counts those tokens of a section that reach into another one. NULL and
-    empty texts have one empty section. ``tokenizer`` is the path of a byte-level BPE file.
+    empty texts have one empty section. ``tokenizer`` is the path of a byte-level BPE file,
+    ``special`` says whether its added tokens are looked for in texts.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(EncoderSource(tokenizer, offsets=True))
+    shared = docs.sparkSession.sparkContext.broadcast(EncoderSource(tokenizer, True, special))
 
     @F.pandas_udf(COUNTED)
     def by_line(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -99,14 +100,15 @@ def section_tokens(
     return by_line(text) if starts is None else by_start(text, starts)
 
 
-def attribute_tokens(docs: DataFrame, tokenizer: str) -> DataFrame:
+def attribute_tokens(docs: DataFrame, tokenizer: str, special: bool = False) -> DataFrame:
     """One row per document and line: ``doc_id``, ``section`` (from 0), ``start``, ``stop``,
     ``n_tokens``, ``n_crossing``.
 
     Needs ``doc_id`` and ``text``; every row of ``docs`` has one section at least, repeated rows
     and NULL ids included. Empty in, empty out.
     """
-    found = docs.select("doc_id", section_tokens(F.col("text"), docs, tokenizer).alias("_found"))
+    counted = section_tokens(F.col("text"), docs, tokenizer, special=special)
+    found = docs.select("doc_id", counted.alias("_found"))
     names = ("start", "stop", "n_tokens", "n_crossing")
     zipped = F.arrays_zip(*[F.col(f"_found.{name}").alias(name) for name in names])
     rows = found.select("doc_id", F.posexplode(zipped).alias("section", "_one"))

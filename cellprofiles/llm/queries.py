@@ -114,13 +114,15 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document, from the encoding of the whole document."""
-    return attribution.attribute_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path())
+    docs = read_table(spark, sf_dir, "documents")
+    return attribution.attribute_tokens(docs, tokenizer_path(), special=True)
 
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place and checksum of the ids of every document, read back from the token files."""
     path = scratch_path(spark, "tokens")
-    token_output.write_tokens(read_table(spark, sf_dir, "documents"), path, tokenizer_path())
+    docs = read_table(spark, sf_dir, "documents")
+    token_output.write_tokens(docs, path, tokenizer_path(), special=True)
     return token_output.read_documents(spark, path)
 
 

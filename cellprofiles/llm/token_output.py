@@ -59,14 +59,16 @@ def _shards(
 
 
 def write_tokens(
-    docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS
+    docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS,
+    special: bool = False,
 ) -> None:
     """Encode ``docs`` (``doc_id`` long, ``text``) to files below ``path``.
 
     Order is by ``doc_id``, NULL first, then by a hash of the text; repeated rows are written
-    each. NULL and empty texts are the end id alone. An empty table writes no record.
+    each. NULL and empty texts are the end id alone. An empty table writes no record. ``special``
+    says whether the tokenizer's added tokens are looked for in texts.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(EncoderSource(tokenizer))
+    shared = docs.sparkSession.sparkContext.broadcast(EncoderSource(tokenizer, special=special))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return _shards(batches, shared.value.encoder(), end_id, shard_tokens)

@@ -52,15 +52,23 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class Encoder:
-    """Encodes texts with a tokenizer given as its JSON; special tokens are ordinary text."""
+    """Encodes texts with a tokenizer given as its JSON.
 
-    def __init__(self, tokenizer_json: str, offsets: bool = False):
+    ``special``: markers like <|endoftext|> in a text are the tokenizer's added tokens, as in the
+    library's own call; else they are ordinary text.
+    """
+
+    def __init__(self, tokenizer_json: str, offsets: bool = False, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        added = list(self.tokenizer.get_added_tokens_decoder().values()) if special else []
+        self.whole = any(a.lstrip or a.rstrip or a.single_word for a in added)
+        names = sorted((re.escape(a.content) for a in added), key=len, reverse=True)
+        self.added = re.compile(f"({'|'.join(names)})") if names else None
         self.words = Tokenizer(self.tokenizer.model)
         self.words.pre_tokenizer = WhitespaceSplit()
         self.alphabet = byte_alphabet()
@@ -78,7 +86,9 @@ class Encoder:
         new: set[str] = set().union(*group).difference(self.ids)
         words, plain, others = [], [], []
         for part in new:
-            if _WORD.fullmatch(part):
+            if self.added and self.added.search(part):
+                others.append(part)
+            elif _WORD.fullmatch(part):
                 words.append(part)
             elif part[0] == " " and part.count(" ") == 1 and len(part) > 1 and part.isprintable():
                 plain.append(part)
@@ -125,10 +135,19 @@ class Encoder:
         data = spans.astype("<i8").tobytes()
         self.spans.update(zip(parts, [data[16 * a : 16 * b] for a, b in slices], strict=True))
 
+    def _parts(self, text: str) -> list[str]:
+        if not self.added or not self.added.search(text):
+            return parts_of(text)
+        if self.whole:
+            return [text]
+        pieces = self.added.split(text)  # every second one is an added token
+        cut = ([p] if i % 2 else parts_of(p) for i, p in enumerate(pieces))
+        return list(itertools.chain.from_iterable(cut))
+
     def _groups(self, texts: Sequence[str | None]) -> Iterator[list[list[str]]]:
         group, size = [], 0
         for text in texts:
-            group.append(parts_of(text or ""))
+            group.append(self._parts(text or ""))
             size += len(text or "")
             if size >= TOGETHER:
                 yield group
@@ -166,15 +185,15 @@ class EncoderSource:
     once and its cache stays warm.
     """
 
-    def __init__(self, path: str, offsets: bool = False):
+    def __init__(self, path: str, offsets: bool = False, special: bool = False):
         with open(path, encoding="utf-8") as file:
             self.json = file.read()
-        self.offsets, self._made = offsets, None
+        self.offsets, self.special, self._made = offsets, special, None
 
     def __getstate__(self) -> dict:
-        return {"json": self.json, "offsets": self.offsets, "_made": None}
+        return {"json": self.json, "offsets": self.offsets, "special": self.special, "_made": None}
 
     def encoder(self) -> Encoder:
         if self._made is None:
-            self._made = Encoder(self.json, self.offsets)
+            self._made = Encoder(self.json, self.offsets, self.special)
         return self._made

@@ -117,3 +117,22 @@ def test_given_sections(documents):
     got = {r.doc_id: list(zip(r.s.start, r.s.stop, r.s.n_tokens, strict=True)) for r in out.collect()}
     assert [g[:2] for g in got[1]] == [(0, 7), (7, 9), (9, 16)]
     assert sum(g[2] for g in got[1]) == len(Tokenizer.from_file(PATH).encode("alpha beta gamma").ids)
+
+
+def test_added_tokens_like_the_library_call(spark, documents, tmp_path):
+    from cellprofiles.llm.queries import op9_token_counts, op10_token_output
+
+    plain = Tokenizer.from_file(PATH)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", " <|endoftext|>é  z", "none <|endof text|>"]
+    encoder = EncoderSource(PATH, offsets=True, special=True).encoder()
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+        spans, _ = next(encoder.encode_spans([text]))
+        assert list(map(tuple, spans.tolist())) == plain.encode(text, add_special_tokens=False).offsets
+    documents(*enumerate(texts)).write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r.doc_id: r for r in op10_token_output(spark, str(tmp_path)).collect()}
+    lines = op9_token_counts(spark, str(tmp_path)).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()
+    for doc, text in enumerate(texts):
+        ids = plain.encode(text, add_special_tokens=False).ids
+        assert out[doc].ids_crc32 == zlib.crc32(np.array([*ids, 2], dtype="<u4").tobytes())
+        assert {r.doc_id: r.n for r in lines}[doc] == len(ids)
