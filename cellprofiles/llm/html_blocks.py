@@ -23,6 +23,9 @@ HIDDEN_TAGS = frozenset(
     "canvas iframe head noscript object script select style svg template textarea title".split()
 )
 
+#: Hidden elements that go on to the end of the page if they are not closed, as in browsers.
+RAW_TAGS = frozenset("script style textarea title".split())
+
 #: Elements that an element of the same row ends if it is open.
 ENDS = {
     "li": {"li"},
@@ -40,6 +43,16 @@ _TAG = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]{0,2000}\"|'[^']{0,2000}'|[^'\">])*+|[^>]*)>",
     re.S,
 )
+#: Where an unclosed head ends, and where another unclosed hidden element does; an option is part
+#: of its select.
+_STARTS = "|".join(sorted(BLOCK_TAGS - {"option"}))
+_HEAD_PARTS = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style|title)(?=[\s/>])[^>]*>.*?(?:</\1\b[^>]*(?:>|\Z)|\Z)"
+    r"|<(noscript|template)(?=[\s/>])[^>]*>(?:(?!</?head\b|<body\b).)*?</\2\b[^>]*>"
+    rf"|(?P<end></head\b[^>]*(?:>|\Z))|(?P<body><(?:body|{_STARTS})(?=[\s/>]))",
+    re.S | re.I,
+)
+_RESUME = re.compile(rf"<(?:/?(?:{_STARTS})|/body|/html)(?=[\s/>])", re.I)
 _NAMES = re.compile(r"\b(class|id|role|data-keep)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 _LETTERS = re.compile(r"[a-z]+")
@@ -139,25 +152,52 @@ class _Parser:
             self.close({tag})
 
 
+def _ends(page: str, tag: str) -> dict[int, int]:
+    """Start of each closed element of a tag, and the end of its end tag."""
+    found, opened = {}, []
+    for mark in re.finditer(rf"<(/?){tag}(?=[\s/>])[^>]*(?:>|\Z)", page, re.I):
+        if not mark[1]:
+            if not mark[0].endswith("/>"):
+                opened.append(mark.start())
+        elif opened:
+            found[opened.pop()] = mark.end()
+    return found
+
+
+def _after_hidden(page: str, tag: str, start: int, at: int, ends: dict[str, dict[int, int]]) -> int:
+    """Where a page goes on after the hidden element that starts at ``start``; ``at`` is the end
+    of its start tag. ``ends`` keeps :func:`_ends` of the page."""
+    if tag in RAW_TAGS:
+        end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+        return end.end() if end else len(page)
+    if tag == "head":
+        for part in _HEAD_PARTS.finditer(page, at):
+            if part["end"]:
+                return part.end()
+            if part["body"]:
+                return part.start()
+        return len(page)
+    if tag not in ends:
+        ends[tag] = _ends(page, tag)
+    if start in ends[tag]:
+        return ends[tag][start]
+    resume = _RESUME.search(page, at)
+    return resume.start() if resume else len(page)
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
     """Blocks of text in page order; white space is one space, references are decoded.
 
     Comments, scripts, styles, the head and the like are no text. ``<br>`` is white space.
-    Unclosed and misplaced tags are put up with; a page without tags is one block.
+    Unclosed and misplaced tags are put up with; a page without tags is one block. An unclosed
+    script, style, textarea or title hides the rest of the page, as in browsers; other unclosed
+    hidden elements end at the next block start or end.
     """
     if not page:
         return []
-    parser, at, hidden = _Parser(), 0, None
+    parser, at = _Parser(), 0
+    ends: dict[str, dict[int, int]] = {}
     while at < len(page):
-        if hidden:
-            end = re.compile(rf"</{hidden}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            if hidden == "head":  # a head may go unclosed
-                body = re.compile(r"<(?:body|article|main|nav|div|p|h1)\b", re.I).search(page, at)
-                if body and (not end or body.start() < end.start()):
-                    at, hidden = body.start(), None
-                    continue
-            at, hidden = end.end() if end else len(page), None
-            continue
         found = _TAG.search(page, at)
         if not found:
             rest = page[at:]
@@ -174,7 +214,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
             parser.close_tag(tag)
         elif tag in HIDDEN_TAGS:
             if not found[3].endswith("/"):
-                hidden = tag
+                at = _after_hidden(page, tag, found.start(), at, ends)
         else:
             parser.open_tag(tag, found[3])
     parser.flush()

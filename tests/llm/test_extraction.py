@@ -107,3 +107,21 @@ def test_long_page_and_segments(labeller, monkeypatch):
 def test_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert pages.select(extraction.main_text(pages.html, pages)).count() == 0
+
+
+@pytest.mark.parametrize("tag", ["noscript", "select", "object", "canvas", "svg", "template", "iframe"])
+def test_unclosed_hidden_elements(tag):
+    def texts(page):
+        return [block.text for block in leaf_blocks(page)]
+
+    assert texts(f"<p>one</p><{tag} x=1>gone<p>two</p><p>three") == ["one", "two", "three"]
+    assert texts(f"<div><{tag}>gone</div>two<p>three</p>") == ["two", "three"]
+    assert texts(f"<{tag}>gone<p>two</p><{tag}><p>gone</p></{tag}>three") == ["two", "three"]
+    assert texts(f"<{tag}>a<{tag}>b</{tag}><p>c</{tag}>three") == ["three"]
+
+
+def test_markup_in_scripts_of_the_head():
+    page = "<head><title>a <p> b</title><script>var t = '<div class=x><nav>no</nav>';</script><style>/*<p>*/</style>"
+    for end in ("</head><body><p>yes</p>", "<body><p>yes</p>", "<p>yes</p>", "<noscript><p>no</p></noscript></head><p>yes"):
+        assert [block.text for block in leaf_blocks(page + end)] == ["yes"]
+    assert leaf_blocks(page + "<script>never closed <p>no") == []
