@@ -106,8 +106,92 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, do
 WHERE rank <= 10
 """
 
+#: CRC-32 is computed from its polynomial; trees are folded level by level, then each shown digest
+#: goes up along its siblings.
+_MERKLE = r"""
+WITH RECURSIVE crc_table AS (
+    SELECT list_transform(range(256), lambda i: list_reduce(
+        list_prepend(i, range(8)),
+        lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+),
+docs AS (
+    SELECT doc_id, lang, text, source, n_chars,
+        xor(4294967295, list_reduce(
+            list_prepend(4294967295, list_transform(
+                string_split(CAST(doc_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+            lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS crc,
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered
+    FROM documents, crc_table
+),
+framed AS (
+    SELECT doc_id, lang, crc,
+        coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-')
+        || coalesce(strlen(source) || ':' || source, '-')
+        || coalesce(strlen(lang) || ':' || lang, '-')
+        || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+        coalesce(strlen(text) || ':' || text, '-') AS body,
+        coalesce(strlen(lowered) || ':' || lowered, '-') AS lowered
+    FROM docs
+),
+leaves AS (
+    SELECT doc_id, lang, sha256(head || body) AS leaf,
+        sha256(head || CASE WHEN crc % 3 = 0 THEN lowered ELSE body END) AS shown,
+        dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree
+    FROM framed
+),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+        count(*) OVER (PARTITION BY tree) AS size
+    FROM leaves
+),
+nodes AS (
+    SELECT tree, 0 AS level, idx, leaf AS digest, size FROM placed
+    UNION ALL
+    SELECT tree, level + 1, idx // 8, sha256(string_agg(digest, '' ORDER BY idx)), (any_value(size) + 7) // 8
+    FROM nodes WHERE size > 1 GROUP BY tree, level, idx // 8
+),
+subroots AS (
+    SELECT tree, max(level) AS height, arg_max(digest, level) AS subroot FROM nodes GROUP BY tree
+),
+upper AS (
+    SELECT 0 AS level, tree AS idx, subroot AS digest, count(*) OVER () AS size FROM subroots
+    UNION ALL
+    SELECT level + 1, idx // 8, sha256(string_agg(digest, '' ORDER BY idx)), (any_value(size) + 7) // 8
+    FROM upper WHERE size > 1 GROUP BY level, idx // 8
+),
+top AS (SELECT arg_max(digest, level) AS root, max(level) AS height FROM upper),
+runs AS (
+    SELECT tree, level, idx // 8 AS run, list(digest ORDER BY idx) AS digests
+    FROM nodes WHERE size > 1 GROUP BY ALL
+    UNION ALL
+    SELECT -1, level, idx // 8, list(digest ORDER BY idx)
+    FROM upper WHERE size > 1 GROUP BY ALL
+),
+fold AS (
+    SELECT doc_id, tree, leaf, 0 AS step, CASE WHEN height = 0 THEN tree ELSE idx END AS idx,
+        shown AS digest, '' AS proof
+    FROM placed JOIN subroots USING (tree)
+    UNION ALL
+    SELECT f.doc_id, f.tree, f.leaf, f.step + 1,
+        CASE WHEN f.step + 1 = s.height THEN f.tree ELSE f.idx // 8 END,
+        sha256(array_to_string(r.digests[:f.idx % 8], '') || f.digest
+            || array_to_string(r.digests[f.idx % 8 + 2:], '')),
+        f.proof || array_to_string(r.digests[:f.idx % 8], '')
+            || array_to_string(r.digests[f.idx % 8 + 2:], '')
+    FROM fold f JOIN subroots s ON f.tree = s.tree
+    JOIN runs r ON r.tree = CASE WHEN f.step < s.height THEN f.tree ELSE -1 END
+        AND r.level = CASE WHEN f.step < s.height THEN f.step ELSE f.step - s.height END
+        AND r.run = f.idx // 8
+)
+SELECT f.doc_id, f.leaf, s.subroot, t.root, sha256(f.proof) AS proof_sha256,
+    f.digest AS folded_root, f.digest = t.root AS verified
+FROM fold f JOIN subroots s ON f.tree = s.tree, top t
+WHERE f.step = s.height + t.height
+"""
+
 ORACLES: dict[str, str] = {
     "op3_search": _SEARCH,
     "op5_mixing": _MIXING,
     "op8_decontamination": _DECONTAMINATION,
+    "op12_merkle": _MERKLE,
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,12 +14,15 @@ from . import (
     decontamination,
     extraction,
     language,
+    language_model,
+    merkle,
     mixing,
     search,
     secrets,
     sharding,
     simhash,
     token_output,
+    whitening,
 )
 from .common import read_table
 
@@ -126,6 +130,49 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_documents(spark, path)
 
 
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document under unigrams and under the interpolated model."""
+    docs = read_table(spark, sf_dir, "documents")
+    learn = language_model.trained_on(F.col("doc_id"))
+    found = language_model.score_documents(docs, learn, ["doc_id"]).withColumn(
+        "doc_id", F.col("row.doc_id")
+    )
+    held_out = (~language_model.trained_on(F.col("doc_id"))).alias("held_out")
+    return found.select(
+        "doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof of every document in the dataset's manifest, checked against texts of which a third
+    has been tampered with."""
+    docs = read_table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    shown = F.when(tampered, merkle.digest_of([*fields[:-1], lowered]))
+    manifest = merkle.build_manifest(
+        docs, F.col("lang"), F.col("doc_id"), fields, ["doc_id"], shown
+    )
+    found = merkle.prove(manifest)
+    return found.select(F.col("row.doc_id"), *found.columns[1:])
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first components of every embedding, whitened."""
+    found = whitening.whiten(read_table(spark, sf_dir, "embeddings"), "embedding", ["vec_id"])
+    found = found.select("*", F.posexplode("whitened").alias("at", "value"))
+    return found.select(
+        F.col("row.vec_id"),
+        (F.col("at") + 1).alias("component"),
+        "n",
+        "deviation",
+        F.col("value").alias("whitened"),
+        F.col("explained")[F.col("at")].alias("explained"),
+        "identity_error",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_sharding": op2_sharding,
@@ -137,4 +184,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_token_counts": op9_token_counts,
     "op10_token_output": op10_token_output,
+    "op11_language_model": op11_language_model,
+    "op12_merkle": op12_merkle,
+    "op13_whitening": op13_whitening,
 }
