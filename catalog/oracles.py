@@ -654,6 +654,9 @@ ORACLES: dict[str, str] = {
         SILHOUETTE.replace(VECTORS, VECTORS.replace("SELECT row_id, label,", "SELECT row_id, row_id // 4 AS label,"))
     )
     + f"SELECT round(({SILHOUETTE_VALUE}), 6) AS value",
+    "replicate_map_ranked": with_tables(COSINE) + f"SELECT round(({MAP_VALUE}), 6) AS value",
+    "silhouette_cut_labels": with_tables(SILHOUETTE)
+    + f"SELECT round(({SILHOUETTE_VALUE}), 6) AS value",
     "silhouette": with_tables(SILHOUETTE) + f"SELECT round(({SILHOUETTE_VALUE}), 6) AS value",
     "label_classifiability": with_tables(VECTORS, classifier("label", "by_label"))
     + "SELECT round(value, 6) + 0.0 AS value FROM by_label",

@@ -460,7 +460,9 @@ QUERIES: dict[str, Query] = {
     "patient_profiles": patient_profiles,
     "replicate_map": metric(cp.replicate_reproducibility, "label"),
     "replicate_map_hot": metric(cp.replicate_reproducibility, "label", max_listed=8),
+    "replicate_map_ranked": metric(cp.replicate_reproducibility, "label", max_listed=0),
     "silhouette_many_labels": silhouette_many_labels,
+    "silhouette_cut_labels": metric(cp.silhouette, "label", chunk_rows=20),
     "silhouette": metric(cp.silhouette, "label"),
     "label_classifiability": metric(cp.label_classifiability, "label"),
     "batch_mixing": metric(cp.batch_mixing, "batch"),

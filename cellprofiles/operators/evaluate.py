@@ -7,12 +7,14 @@ several metrics share one cleaned and written table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.missing import hash_draw, one_row
 from ..functions.ranking import bucketed_row_number
@@ -42,11 +44,19 @@ MIN_SAMPLES_FOR_MAP = 3
 #: of the products, so that copies tie and nothing else does.
 SIMILARITY_DECIMALS = 12
 
-#: Similarities that a task holds while it ranks queries of large replicate groups, 128 MB.
-STRIPE_PAIRS = 16_000_000
+#: Similarities that a task holds while it ranks queries of large replicate groups, 32 MB; a tile
+#: of such queries has as many.
+STRIPE_PAIRS = 4_000_000
+_MIN_SIDE = 16
 
-#: Labels with more rows are spread over the candidate blocks of the silhouette.
-SPLIT_LABEL_ROWS = 1024
+#: Bits of a level inside a bin of the histogram that cuts long rankings.
+_BIN_BITS = 26
+
+#: Labels with more rows, or with more than a candidate block, are cut into chunks.
+SPLIT_LABEL_ROWS = 16_384
+
+#: Labels of less than this part of a candidate block go to blocks by a hash.
+_SMALL_LABELS = 16
 
 #: Replicate groups with up to this many others are scored from listed similarities.
 LISTED_REPLICATES = 1024
@@ -97,9 +107,9 @@ def replicate_reproducibility(
     Precision is needed at a profile's own replicates only. So for replicate groups of up
     to ``max_listed`` others, the similarities to those are listed first (one task holds
     one such group) and a tile then just counts its candidates per listed threshold: one row
-    per (query, tile). Queries of larger groups are ranked in stripes: a task streams all
-    profiles past a stripe of queries, keeps their similarities and returns one row per query.
-    The profiles are sent once per stripe, n * queries / ``STRIPE_PAIRS`` times.
+    per (query, tile). Larger groups need the whole ranking of each query, which tiles pass on as
+    one packed row per (query, tile); a task merges ``STRIPE_PAIRS`` similarities at a time.
+    Vectors are sent once per block of the other side, as for the other metrics.
     """
     data = _prepared(profiles, replicate_col, features, row_id)
     spark = data.table.sparkSession
@@ -116,7 +126,7 @@ def replicate_reproducibility(
     if n_few:
         scores.append(_listed_precision(data, sized, few, replicate_col, decimals))
     if n_many:
-        scores.append(_striped_precision(data, sized, many, n_many, replicate_col, decimals))
+        scores.append(_ranked_precision(data, sized, many, n_many, replicate_col, decimals))
     if not scores:
         return _nan(spark)
     precision = scores[0] if len(scores) == 1 else scores[0].unionByName(scores[1])
@@ -212,71 +222,149 @@ def _counts_above(scale: int) -> Callable[[Block, Block], pa.Table]:
     return reduce_tile
 
 
-def _striped_precision(
+def _ranked_precision(
     data: Profiles, sized: DataFrame, many: Column, n_queries: int, label: str, decimals: int
 ) -> DataFrame:
-    """Average precision per profile of large groups, each ranked inside one task."""
+    """Average precision per profile of large groups, from its whole ranking.
+
+    A tile passes on what it knows of a query's ranking as one packed row: the levels of all
+    candidates, and those of the replicates. A stripe of queries merges its rows. Where
+    a ranking is longer than a stripe, histograms over the tiles cut it into ranges first, and
+    a range knows from them what ranks above it.
+    """
+    side = max(_MIN_SIDE, math.isqrt(STRIPE_PAIRS))
+    asking = Profiles(sized.withColumn("_asks", many), data.n_rows, data.n_features, data.labels)
+    if data.n_rows > STRIPE_PAIRS:
+        cuts = _ranking_cuts(asking, side, label, decimals)
+        cut = asking.table.join(cuts, "_row", "left")
+    else:
+        # One range with nothing above it.
+        nothing = F.array(F.lit(0).cast("bigint"))
+        cut = asking.table.withColumns(
+            {"_cuts": F.array().cast("array<bigint>"), "_own_above": nothing, "_all_above": nothing}
+        )
+    runs = tiles(
+        Profiles(cut, data.n_rows, data.n_features, data.labels),
+        [label],
+        _level_runs(label, 10**decimals),
+        "_row bigint, _range int, _own_above bigint, _all_above bigint, _own binary, _all binary",
+        query_columns=["_cuts", "_own_above", "_all_above"],
+        queries=F.col("_asks"),
+        block_rows=side,
+    )
     n_stripes = -(-n_queries * data.n_rows // STRIPE_PAIRS)
     n_stripes = max(n_stripes, sized.sparkSession.sparkContext.defaultParallelism)
-    code = F.xxhash64(F.struct(label)).alias("_code")
-    own = F.pmod(F.xxhash64("_row"), F.lit(n_stripes)).cast("int")
-    every = F.sequence(F.lit(0), F.lit(n_stripes - 1))
-    queries = sized.where(many).select(own.alias("_stripe"), F.lit(False).alias("_candidate"), "_row", code, "_vec")
-    others = data.table.select(F.explode(every).alias("_stripe"), F.lit(True).alias("_candidate"), "_row", code, "_vec")
-    rows = queries.unionByName(others).repartition(n_stripes, "_stripe")
-    rows = rows.sortWithinPartitions("_stripe", "_candidate")
-    return rows.mapInArrow(_rank_stripes(10**decimals), "_precision double")
-
-
-def _rank_stripes(scale: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Average precisions of stripes that come one after the other, queries first."""
-
-    def precisions(codes: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        level = np.concatenate([f[0] for f in found], axis=1)
-        candidate = np.concatenate([f[1] for f in found])
-        scores = np.empty(len(codes))
-        for i, code in enumerate(codes):
-            order = np.argsort(-level[i], kind="stable")[:-1]  # the last is the query itself
-            ranked, same = level[i][order], (candidate[order] == code).cumsum()
-            last = np.flatnonzero(np.append(ranked[1:] != ranked[:-1], True))
-            hits = np.diff(same[last], prepend=0)
-            scores[i] = (hits * same[last] / (last + 1)).sum() / same[-1]
-        return scores
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stripe, queries, found = None, [], []
-
-        def finish() -> Iterator[pa.RecordBatch]:
-            if queries and found:
-                codes = np.concatenate([q[1] for q in queries])
-                yield pa.record_batch({"_precision": precisions(codes, found)})
-
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            names = batch.column("_stripe").to_numpy()
-            is_candidate = batch.column("_candidate").to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero((names[1:] != names[:-1]) | (is_candidate[1:] != is_candidate[:-1])) + 1
-            for start, stop in zip([0, *cuts], [*cuts, len(names)]):
-                if start == stop:
-                    continue
-                if names[start] != stripe:
-                    yield from finish()
-                    stripe, queries, found = names[start], [], []
-                part = table.slice(start, stop - start)
-                rows, codes = (part.column(c).to_numpy() for c in ("_row", "_code"))
-                flat = np.asarray(part.column("_vec").combine_chunks().flatten(), dtype=float)
-                vectors = unit_vectors(flat.reshape(len(rows), -1))
-                if not is_candidate[start]:
-                    queries.append((rows, codes, vectors))
-                elif queries:
-                    asking = np.concatenate([q[2] for q in queries])
-                    level = np.rint(asking @ vectors.T * scale).astype(np.int64)
-                    asked = np.concatenate([q[0] for q in queries])
-                    level[asked[:, None] == rows[None, :]] = -2 * scale  # not itself
-                    found.append((level, codes))
-        yield from finish()
-
-    return run
+    stripe = F.pmod(F.xxhash64("_row"), F.lit(n_stripes)).alias("_stripe")
+    parts = runs.groupBy(stripe, "_range").applyInArrow(
+        _merge_runs, "_row bigint, _part double, _hits bigint"
+    )
+    whole = parts.groupBy("_row").agg(F.sum("_part").alias("_part"), F.sum("_hits").alias("_hits"))
+    return whole.select((F.col("_part") / F.col("_hits")).alias("_precision"))
+
+
+def _ranking_cuts(asking: Profiles, side: int, label: str, decimals: int) -> DataFrame:
+    """Per query: levels at which its ranking is cut, ascending, and how many replicates and
+    candidates rank above each of the resulting ranges. A range holds ``STRIPE_PAIRS`` candidates and
+    one bin of the histogram at most."""
+    counted = tiles(
+        asking,
+        [label],
+        _level_bins(label, 10**decimals),
+        "_row bigint, _bins array<bigint>, _own array<bigint>, _all array<bigint>",
+        queries=F.col("_asks"),
+        block_rows=side,
+    )
+    bins = (
+        counted.select("_row", F.explode(F.arrays_zip("_bins", "_own", "_all")).alias("b"))
+        .groupBy("_row", F.col("b._bins").alias("_bin"))
+        .agg(F.sum("b._own").alias("_own"), F.sum("b._all").alias("_all"))
+    )
+    above = Window.partitionBy("_row").orderBy(F.desc("_bin"))
+    bins = bins.withColumns({c: F.sum(c).over(above) - F.col(c) for c in ("_own", "_all")})
+    ranges = bins.groupBy("_row", F.floor(F.col("_all") / STRIPE_PAIRS).alias("_r")).agg(
+        F.struct(
+            F.shiftleft(F.min("_bin"), _BIN_BITS).alias("start"),
+            F.min("_own").alias("own"),
+            F.min("_all").alias("all"),
+        ).alias("r")
+    )
+    rows = ranges.groupBy("_row").agg(F.array_sort(F.collect_list("r")).alias("r"))
+    return rows.select(
+        "_row",
+        F.slice("r.start", F.lit(2), F.size("r")).alias("_cuts"),
+        F.col("r.own").alias("_own_above"),
+        F.col("r.all").alias("_all_above"),
+    )
+
+
+def _tile_levels(
+    left: Block, right: Block, label: str, scale: int
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per slice of queries: levels of the candidates, which of these are replicates, and which are
+    others than the query itself."""
+    own, other, _ = label_codes(left, right, label)
+    for s in slices(len(left.rows)):
+        level = _levels(left.vectors[s], right.vectors, scale)
+        others = left.rows[s][:, None] != right.rows[None, :]
+        yield level, others & (own[s][:, None] == other[None, :]), others
+
+
+def _level_bins(label: str, scale: int) -> Callable[[Block, Block], pa.Table]:
+    def reduce_tile(left: Block, right: Block) -> pa.Table:
+        found = []
+        for level, same, others in _tile_levels(left, right, label, scale):
+            for row, mine, there in zip(level >> _BIN_BITS, same, others):
+                bins, place = np.unique(row, return_inverse=True)
+                counts = (np.bincount(place[m], minlength=len(bins)) for m in (mine, there))
+                found.append((bins, *counts))
+        lists = [pa.array(list(x), pa.list_(pa.int64())) for x in zip(*found)]
+        return pa.table(dict(zip(("_row", "_bins", "_own", "_all"), (left.rows, *lists))))
+
+    return reduce_tile
+
+
+def _level_runs(label: str, scale: int) -> Callable[[Block, Block], pa.Table]:
+    """Per query and range the levels of replicates and of all candidates in the tile."""
+
+    def reduce_tile(left: Block, right: Block) -> pa.Table:
+        cuts, own_above, all_above = (
+            left.column(c).to_pylist() for c in ("_cuts", "_own_above", "_all_above")
+        )
+        out, at = [], 0
+        for level, same, others in _tile_levels(left, right, label, scale):
+            for row, mine, there in zip(level, same, others):
+                place = np.searchsorted(cuts[at], row, side="right") if cuts[at] else None
+                for r, above in enumerate(zip(own_above[at], all_above[at])):
+                    here = there if place is None else there & (place == r)
+                    if here.any():
+                        pieces = (row[mine & here].tobytes(), row[here].tobytes())
+                        out.append((left.rows[at], r, *above, *pieces))
+                at += 1
+        names = ("_row", "_range", "_own_above", "_all_above", "_own", "_all")
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        columns = zip(*out) if out else [[]] * len(names)
+        return pa.table({n: pa.array(list(c), k) for n, c, k in zip(names, columns, kinds)})
+
+    return reduce_tile
+
+
+def _merge_runs(runs: pa.Table) -> pa.Table:
+    """Sum of the precisions at the replicates of each query in this range, and their number."""
+    parts: dict[int, list[tuple[int, int, bytes, bytes]]] = {}
+    columns = (runs.column(c).to_pylist() for c in ("_row", "_own_above", "_all_above", "_own", "_all"))
+    for row, *part in zip(*columns):
+        parts.setdefault(row, []).append(part)
+    out = []
+    for row, some in parts.items():
+        own_above, all_above = some[0][:2]
+        mine, whole = (np.frombuffer(b"".join(p[i] for p in some), dtype=np.int64) for i in (2, 3))
+        levels, hits = np.unique(mine, return_counts=True)
+        # Replicates and candidates that are at least as similar as each level.
+        found = own_above + hits[::-1].cumsum()[::-1]
+        place = np.searchsorted(levels, whole, side="right")
+        reached = all_above + np.bincount(place, minlength=len(levels) + 1)[:0:-1].cumsum()[::-1]
+        out.append((row, float((hits * (found / reached)).sum()), len(mine)))
+    return pa.table(dict(zip(("_row", "_part", "_hits"), map(list, zip(*out)))))
 
 
 # --- group separation ---------------------------------------------------------------
@@ -288,14 +376,16 @@ def silhouette(
     features: Sequence[str] | None = None,
     *,
     row_id: str | None = None,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
-    """Mean silhouette (Euclidean).
+    """Mean silhouette (Euclidean). Labels of more than ``chunk_rows`` rows (default:
+    ``SPLIT_LABEL_ROWS``) are cut even if a block could hold them.
 
-    Candidates are dealt to blocks by label, so a tile knows all rows of most labels and is done
+    Candidates are packed into blocks by label, so a tile knows all rows of its labels and is done
     with them: per query it returns one row with the sum over the own label, if that is in the
-    tile, and the least mean over another. Labels too large for that are spread over blocks, and
-    a tile returns a sum per query for each of them: a table of n rows has n / SPLIT_LABEL_ROWS
-    of these at most, however many labels there are.
+    tile, and the least mean over another. Only a label larger than a block is cut, into as few
+    chunks as hold it, each a block of its own, whose tile returns one row with the sum. So there
+    is one row per (query, tile) whatever the sizes of the labels.
     """
     data = _prepared(profiles, label_col, features, row_id)
     spark = data.table.sparkSession
@@ -305,23 +395,29 @@ def silhouette(
         return _nan(spark)
     key = F.struct(F.col(label_col).alias("l"))
     sizes = sizes.select(key.alias("_key"), F.col("_size").alias("_label_size"))
+    capacity = max(1, min(-(-data.n_rows // data.blocks()), chunk_rows or SPLIT_LABEL_ROWS))
+    packed, n_packed, n_hashed = _pack_labels(sizes, capacity)
+    # The packed labels are 16 per block at most.
+    sizes = sizes.join(F.broadcast(packed), "_key", "left")
     table = data.table.withColumn("_key", key).join(sizes, "_key").drop("_key")
-    table = table.withColumn("_split", F.col("_label_size") > SPLIT_LABEL_ROWS)
+    table = table.withColumn("_split", F.coalesce(F.col("_chunks") > 1, F.lit(False)))
+    hashed = n_packed + F.pmod(F.xxhash64(key), F.lit(max(n_hashed, 1)))
+    chunk = F.col("_first") + F.pmod(F.xxhash64("_row"), F.col("_chunks"))
     sums = tiles(
         Profiles(table, data.n_rows, data.n_features, data.labels),
-        [label_col, "_split", "_label_size"],
+        [label_col, "_split", "_label_size", "_first"],
         _label_distances(label_col),
-        "_row bigint, _place string, _own boolean, _label_size bigint, _sum double, _least double",
-        candidate_key=F.when(F.col("_split"), F.xxhash64("_row")).otherwise(F.xxhash64(key)),
+        "_row bigint, _place int, _own boolean, _label_size bigint, _sum double, _least double",
+        candidate_block=(F.coalesce(chunk, hashed), n_packed + n_hashed),
     )
-    # What tiles have of one label is added up; _place tells the split labels apart.
+    # What tiles have of one label is added up; _place tells the cut labels apart.
     totals = sums.groupBy("_row", "_place", "_own").agg(
         F.sum("_sum").alias("_sum"),
         F.max("_label_size").alias("_label_size"),
         F.min("_least").alias("_least"),
     )
-    split_other = (F.col("_place") != "whole") & ~F.col("_own")
-    mean = F.when(split_other, F.col("_sum") / F.col("_label_size"))
+    cut_other = (F.col("_place") >= 0) & ~F.col("_own")
+    mean = F.when(cut_other, F.col("_sum") / F.col("_label_size"))
     rows = totals.groupBy("_row").agg(
         F.max(F.when(F.col("_own"), F.col("_label_size"))).alias("_size"),
         F.sum(F.when(F.col("_own"), F.col("_sum"))).alias("_own_sum"),
@@ -334,49 +430,67 @@ def silhouette(
     return rows.agg(_or_nan(F.avg(F.when(F.col("_size") > 1, score).otherwise(0.0))))
 
 
-def _label_distances(label: str) -> Callable[[Block, Block], pa.Table]:
-    """Per query a row for the labels that are whole in the tile, and one per split label.
-
-    ``_place`` is ``whole`` for the former and names the label of the latter. In the former ``_own`` says
-    whether ``_sum`` is there, the sum over the own label; ``_least`` is the least mean over
-    another label.
+def _pack_labels(sizes: DataFrame, capacity: int) -> tuple[DataFrame, int, int]:
+    """First-fit packing of labels into blocks of ``capacity`` rows: table ``_key, _first, _chunks``
+    of the labels that are packed, number of their blocks, and number of blocks for the small
+    labels, which a hash deals out. The packed labels, 16 per block at most, come to the driver.
     """
+    large = F.col("_label_size") * _SMALL_LABELS > capacity
+    rest = sizes.where(~large).agg(F.coalesce(F.sum("_label_size"), F.lit(0))).first()[0]
+    placed, free, n_blocks = [], [], 0
+    for row in sorted(sizes.where(large).collect(), key=lambda r: (-r["_label_size"], str(r["_key"]))):
+        size, chunks = row["_label_size"], 1
+        first = next((i for i, (_, left) in enumerate(free) if left >= size), None)
+        if size > capacity:
+            chunks, block = -(-size // capacity), n_blocks
+            n_blocks += chunks
+        elif first is None:
+            block = n_blocks
+            free.append((block, capacity - size))
+            n_blocks += 1
+        else:
+            block, left = free[first]
+            free[first] = block, left - size
+        placed.append((row["_key"], block, chunks))
+    schema = T.StructType([sizes.schema["_key"], *T.StructType.fromDDL("_first int, _chunks int")])
+    return sizes.sparkSession.createDataFrame(placed, schema), n_blocks, -(-rest // capacity)
+
+
+def _label_distances(label: str) -> Callable[[Block, Block], pa.Table]:
+    """One row per query: for a chunk of a cut label the sum of the distances to it, with the label's
+    first block as ``_place``; else, with -1, whether the own label is in the tile, the sum over it,
+    and the least mean over another label."""
 
     def reduce_tile(left: Block, right: Block) -> pa.Table:
-        own, other, names = label_codes(left, right, label)
+        own, other, _ = label_codes(left, right, label)
         order = np.argsort(other, kind="stable")
         present, starts = np.unique(other[order], return_index=True)
         candidates = right.vectors[order]
-        split = right.column("_split").to_numpy(zero_copy_only=False)[order][starts]
+        cut = right.column("_split")[0].as_py()
+        place = right.column("_first")[0].as_py() if cut else -1
         label_size = right.column("_label_size").to_numpy()[order][starts]
-        own_size = left.column("_label_size").to_numpy()
-        named = names.take(pa.array(present)).to_pylist()
-        place = ["none" if name is None else f"split {name}" for name in named]
-        parts = []
+        sizes = np.full(len(left.rows), label_size[0]) if cut else left.column("_label_size").to_numpy()
+        found, least, total = [], [], []
         for s in slices(len(left.rows)):
             distances = np.sqrt(squared_distances(left.vectors[s], candidates))
             sums = np.add.reduceat(distances, starts, axis=1)
             mine = own[s][:, None] == present[None, :]
-            whole_own, n = mine & ~split, len(sums)
-            means = np.where(mine | split, np.inf, sums / label_size)
-            parts.append(
-                (
-                    left.rows[s],
-                    np.full(n, "whole", dtype=object),
-                    whole_own.any(axis=1),
-                    own_size[s],
-                    np.where(whole_own, sums, 0.0).sum(axis=1),
-                    means.min(axis=1),
-                )
-            )
-            for at in np.flatnonzero(split):
-                sizes = np.full(n, label_size[at])
-                parts.append(
-                    (left.rows[s], np.full(n, place[at], dtype=object), mine[:, at], sizes, sums[:, at], np.full(n, np.inf))
-                )
-        columns = [np.concatenate(p) for p in zip(*parts)]
+            found.append(mine.any(axis=1))
+            if cut:
+                total.append(sums[:, 0])
+                least.append(np.full(len(sums), np.inf))
+            else:
+                total.append(np.where(mine, sums, 0.0).sum(axis=1))
+                least.append(np.where(mine, np.inf, sums / label_size).min(axis=1))
         return pa.table(
-            dict(zip(("_row", "_place", "_own", "_label_size", "_sum", "_least"), columns))
+            {
+                "_row": left.rows,
+                "_place": np.full(len(left.rows), place, dtype=np.int32),
+                "_own": np.concatenate(found),
+                "_label_size": sizes,
+                "_sum": np.concatenate(total),
+                "_least": np.concatenate(least),
+            }
         )
 
     return reduce_tile

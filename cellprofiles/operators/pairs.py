@@ -44,12 +44,13 @@ class Profiles:
     n_features: int
     labels: tuple[str, ...]
 
-    def blocks(self) -> int:
-        """Enough blocks to bound their size and to give every core a tile."""
+    def blocks(self, most_rows: int | None = None) -> int:
+        """Enough blocks to bound their size (by ``most_rows`` as well) and to give every core a
+        tile."""
         cores = self.table.sparkSession.sparkContext.defaultParallelism
         useful = min(math.ceil(math.sqrt(4 * cores)), math.ceil(self.n_rows / _MIN_BLOCK_ROWS))
         rows = max(_MIN_BLOCK_ROWS, min(BLOCK_ROWS, BLOCK_VALUES // max(self.n_features, 1)))
-        return max(1, useful, math.ceil(self.n_rows / rows))
+        return max(1, useful, math.ceil(self.n_rows / min(rows, most_rows or rows)))
 
 
 def prepare_profiles(
@@ -167,31 +168,38 @@ def tiles(
     *,
     query_columns: Sequence[str] = (),
     queries: Column | None = None,
-    candidate_key: Column | None = None,
+    candidate_block: tuple[Column, int] | None = None,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Run ``reduce_tile(queries, candidates)`` on every tile.
 
     Each row is sent once per block of the other side: n / BLOCK_ROWS copies at scale.
     ``query_columns`` travel with the copies that act as queries only, and ``queries``
-    says which rows act as queries at all. Candidates with the same ``candidate_key`` share a
-    block; it must not put more than a small part of a block together.
+    says which rows act as queries at all. ``candidate_block`` puts candidates into one of a number
+    of blocks (default: by the hash that puts queries into theirs); ``block_rows`` lowers the
+    size of blocks.
     """
-    n_blocks = profiles.blocks()
+    n_blocks = profiles.blocks(block_rows)
     own = F.pmod(F.xxhash64("_row"), F.lit(n_blocks)).cast("int").alias("_own")
-    key = F.xxhash64("_row") if candidate_key is None else candidate_key
-    as_candidate = F.pmod(key, F.lit(n_blocks)).cast("int").alias("_as_candidate")
-    other = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("_other")
+    column, n_candidate = candidate_block or (F.col("_own"), n_blocks)
+    as_candidate = column.cast("int").alias("_as_candidate")
+    other = F.explode(F.sequence(F.lit(0), F.lit(max(n_blocks, n_candidate) - 1))).alias("_other")
 
     def place(query: str, candidate: str, is_query: bool) -> Column:
         return F.struct(
             F.col(query).alias("_q"), F.col(candidate).alias("_c"), F.lit(is_query).alias("_query")
         )
 
-    sides = F.array(place("_own", "_other", True), place("_other", "_as_candidate", False))
+    # A row is a query against every candidate block and a candidate for every query block.
+    sides = F.filter(
+        F.array(place("_own", "_other", True), place("_other", "_as_candidate", False)),
+        lambda side: F.when(side["_query"], side["_c"] < n_candidate).otherwise(side["_q"] < n_blocks),
+    )
     carried = ["_row", "_tie", *columns, "_vec", *query_columns]
     asks = F.lit(True) if queries is None else queries
     rows = (
-        profiles.table.select(*carried, own, as_candidate, asks.alias("_asks"))
+        profiles.table.select("*", own)
+        .select(*carried, "_own", as_candidate, asks.alias("_asks"))
         .select("*", other)
         .select(*carried, "_asks", F.inline(sides))
         .where(~F.col("_query") | F.col("_asks"))
@@ -215,6 +223,7 @@ _ARROW_TYPES = {
     "int": pa.int32(),
     "double": pa.float64(),
     "string": pa.string(),
+    "binary": pa.binary(),
     "boolean": pa.bool_(),
     "array<bigint>": pa.list_(pa.int64()),
 }

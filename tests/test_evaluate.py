@@ -252,3 +252,80 @@ def test_scorecard_reacts_to_batch_strength(spark, tmp_path):
     assert b["batch_classifier_balacc"].value > a["batch_classifier_balacc"].value
     assert b["batch_mixing_ratio"].value < a["batch_mixing_ratio"].value
     assert a["disease_classifier_balacc"].interpretation == "higher is better; chance=0.250"
+
+
+def test_long_rankings_are_cut_into_ranges(spark, rows, monkeypatch):
+    """Rankings longer than a stripe, with bins so wide that ranges hold many copies, and so narrow
+    that most hold one."""
+    want = brute_map(*arrays(rows, "patient"))
+    monkeypatch.setattr(evaluate, "STRIPE_PAIRS", 20)
+    for bits in (41, 36, 10):
+        monkeypatch.setattr(evaluate, "_BIN_BITS", bits)
+        found = cp.replicate_reproducibility(frame(spark, rows), row_id="Metadata_Row", max_listed=0)
+        assert value(found) == pytest.approx(want, abs=1e-9)
+
+
+def test_hot_retrieval_sends_rows_once_per_block(spark, monkeypatch):
+    """Rows of the tiles: every profile once per block of the other side; and one row comes out per
+    query and tile, one per query in the end."""
+    n, side, seen = 300, 64, {}
+    rng = np.random.default_rng(0)
+    rows = [(i, "G", "B", f"P{i % 2}", *map(float, rng.normal(size=WIDTH))) for i in range(n)]
+    monkeypatch.setattr(evaluate, "STRIPE_PAIRS", side * side)
+    monkeypatch.setattr(evaluate, "_MIN_SIDE", 1)
+    original = evaluate.tiles
+
+    def counting(data, *args, **options):
+        seen["blocks"] = data.blocks(options["block_rows"])
+        seen["runs"] = original(data, *args, **options)
+        return seen["runs"]
+
+    monkeypatch.setattr(evaluate, "tiles", counting)
+    data = pairs.prepare_profiles(frame(spark, rows), ["Metadata_PatientID"], row_id="Metadata_Row")
+    found = value(cp.replicate_reproducibility(data, "Metadata_PatientID", max_listed=0))
+    assert found == pytest.approx(brute_map(*arrays(rows, "patient")), abs=1e-9)
+    assert seen["blocks"] == max(-(-n // side), data.blocks())
+    assert seen["runs"].count() == n * seen["blocks"]
+    sent = seen["runs"]._jdf.queryExecution().executedPlan().toString()
+    assert sent.count("Generate explode") <= 2  # tiles and sides, no copy per stripe
+
+
+@pytest.mark.parametrize("sizes", [[1025, 1025, 1025], [3000, 40, 7], [1] * 50 + [2] * 30 + [300, 299, 150, 20]])
+def test_labels_are_packed_into_blocks(spark, sizes):
+    labels = [(str(i), n) for i, n in enumerate(sizes)]
+    table = spark.createDataFrame(labels, "l string, _label_size long")
+    table = table.select(F.struct("l").alias("_key"), "_label_size")
+    capacity = 512
+    packed, n_packed, n_hashed = evaluate._pack_labels(table, capacity)
+    load, size_of = {}, dict(labels)
+    for row in packed.collect():
+        size = size_of[row["_key"]["l"]]
+        assert row["_chunks"] == max(1, -(-size // capacity))
+        for block in range(row["_first"], row["_first"] + row["_chunks"]):
+            load.setdefault(block, []).append(size / row["_chunks"])
+    assert sorted(load) == list(range(n_packed))
+    for parts in load.values():
+        assert sum(parts) <= capacity
+    small = sum(n for n in sizes if n * 16 <= capacity)
+    assert n_hashed == -(-small // capacity)
+    # No more than twice the blocks that the rows need, and one for what is left.
+    assert n_packed + n_hashed <= 2 * -(-sum(sizes) // capacity) + 1
+
+
+def test_silhouette_returns_one_row_per_query_and_tile(spark, monkeypatch):
+    """Labels of 1,025 rows: whole, and cut."""
+    rng = np.random.default_rng(1)
+    rows = [(i, f"G{i // 1025}", "B", "P", *map(float, rng.normal(size=2))) for i in range(2 * 1025 + 30)]
+    expected, seen, original = brute_silhouette(*arrays(rows, "group")), {}, evaluate.tiles
+
+    def counting(data, *args, **options):
+        seen["out"] = original(data, *args, **options)
+        seen["tiles"] = options["candidate_block"][1]
+        return seen["out"]
+
+    monkeypatch.setattr(evaluate, "tiles", counting)
+    for limit in (16_384, 200):
+        monkeypatch.setattr(evaluate, "SPLIT_LABEL_ROWS", limit)
+        found = value(cp.silhouette(frame(spark, rows), row_id="Metadata_Row"))
+        assert found == pytest.approx(expected, abs=1e-9)
+        assert seen["out"].count() <= len(rows) * seen["tiles"]
