@@ -4,15 +4,15 @@ features, never by the number of rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.missing import clean_features, quoted, text, tidy
+from ..functions.missing import clean_features, quoted
+from ..functions.summary import Correlation, Summary, summarize
 from ..schema import numeric_features
-from .profile import feature_correlation
 from .qc import missingness
 
 # Operation names.
@@ -32,29 +32,16 @@ MISSING_CUT = 0.05
 def value_frequencies(profiles: DataFrame, features: Sequence[str] | None = None) -> DataFrame:
     """Per feature: rows, distinct values, count of the most and second most frequent one.
 
-    Counting per (feature, value) combines map-side; the two top counts then come from
-    plain aggregates, so a feature with very many values never sits in one task.
+    One scan; a task counts its values and hands them on packed by feature and range of hashes, so
+    rows shuffled are features times tasks times ranges (of two million rows), not values.
     """
     names = numeric_features(profiles, features)
+    return _summary(profiles, names, values=True, products=False).frequencies()
+
+
+def _summary(profiles: DataFrame, names: Sequence[str], *, values: bool, products: bool) -> Summary:
     rows = clean_features(profiles.select(*map(quoted, names)), names)
-    entries = [(text(f), quoted(f)) for f in names]
-    long = rows.select(tidy(entries, ["feature", "value"]))
-    counts = long.groupBy("feature", "value").agg(F.count("*").alias("c"))
-    used = F.when(F.col("value").isNotNull(), F.col("c"))
-    top = counts.groupBy("feature").agg(
-        F.sum("c").alias("n_rows"), F.count(used).alias("n_distinct"), F.max(used).alias("first")
-    )
-    # One row per feature, so the broadcast is bounded by the width of the table.
-    below = F.when(used < F.col("first"), used)
-    second = (
-        counts.join(F.broadcast(top.select("feature", "first")), "feature")
-        .groupBy("feature")
-        .agg(F.count_if(used == F.col("first")).alias("ties"), F.max(below).alias("next"))
-    )
-    runner_up = F.when(F.col("ties") > 1, F.col("first")).otherwise(F.col("next"))
-    return top.join(F.broadcast(second), "feature").select(
-        "feature", "n_rows", "n_distinct", "first", runner_up.alias("second")
-    )
+    return summarize(rows, names, values=values, products=products)
 
 
 def low_variance_features(
@@ -66,7 +53,12 @@ def low_variance_features(
 ) -> list[str]:
     """(Nearly) constant features: one value only, or the second most frequent value is
     rare next to the first, or there are few distinct values per row."""
-    table = value_frequencies(profiles, features)
+    return _low_variance(value_frequencies(profiles, features), frequency_cut, unique_cut)
+
+
+def _low_variance(
+    table: DataFrame, frequency_cut: float = FREQUENCY_CUT, unique_cut: float = UNIQUE_CUT
+) -> list[str]:
     ratio = F.try_divide(F.col("second").cast("double"), F.col("first"))
     unique = F.try_divide(F.col("n_distinct").cast("double"), F.col("n_rows"))
     low = (F.col("n_distinct") < 2) | (ratio < frequency_cut) | (unique < unique_cut)
@@ -84,9 +76,11 @@ def correlated_features(
     names = numeric_features(profiles, features)
     if len(names) < 2:
         return []
-    rows = clean_features(profiles.select(*map(quoted, names)), names)
-    matrix = feature_correlation(rows, names)
-    strength = np.abs(matrix)
+    return _correlated(_summary(profiles, names, values=False, products=True).correlation(), names, cut)
+
+
+def _correlated(found: Correlation, names: Sequence[str], cut: float = CORRELATION_CUT) -> list[str]:
+    strength = np.abs(found.matrix)
     totals = strength.sum(axis=0)
     dropped = set()
     for i, j in zip(*np.nonzero(np.triu(strength > cut, k=1))):
@@ -105,24 +99,35 @@ def missing_features(
     return sorted(r["feature"] for r in worst.collect())
 
 
-_OPERATIONS: dict[str, Callable[..., list[str]]] = {
-    "variance_threshold": low_variance_features,
-    "correlation_threshold": correlated_features,
-    "drop_na_columns": missing_features,
-}
-
-
 def drop_decisions(
     profiles: DataFrame,
     operations: Sequence[str] = DEFAULT_FEATURE_SELECT_OPS,
     features: Sequence[str] | None = None,
 ) -> dict[str, list[str]]:
-    """What each operation excludes, judged on all given features."""
-    unknown = sorted(set(operations) - _OPERATIONS.keys())
+    """What each operation excludes, judged on all given features.
+
+    One scan feeds them all: value counts, products and presence come from the same pass.
+    """
+    unknown = sorted(set(operations) - set(DEFAULT_FEATURE_SELECT_OPS))
     if unknown:
-        raise ValueError(f"unknown operations {unknown}; known are {sorted(_OPERATIONS)}")
+        raise ValueError(f"unknown operations {unknown}; known are {sorted(DEFAULT_FEATURE_SELECT_OPS)}")
     names = numeric_features(profiles, features)
-    return {op: _OPERATIONS[op](profiles, names) for op in operations}
+    variance, correlation, missing = (op in operations for op in DEFAULT_FEATURE_SELECT_OPS)
+    if not names or not (variance or correlation):
+        return {op: missing_features(profiles, names) if names else [] for op in operations}
+    seen = _summary(profiles, names, values=variance, products=correlation or missing)
+    found = seen.correlation() if correlation or missing else None
+    decided = {}
+    if variance:
+        decided["variance_threshold"] = _low_variance(seen.frequencies())
+    if correlation:
+        decided["correlation_threshold"] = _correlated(found, names)
+    if missing:
+        lacking = (found.n_rows - found.count) / max(found.n_rows, 1)
+        decided["drop_na_columns"] = sorted(
+            name for name, share in zip(names, lacking) if share > MISSING_CUT
+        )
+    return {op: decided[op] for op in operations}
 
 
 def features_to_drop(

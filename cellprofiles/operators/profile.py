@@ -19,6 +19,7 @@ from ..functions.missing import (
     quoted,
     struct_of,
 )
+from ..functions.summary import summarize
 from ..schema import metadata_columns, numeric_features
 
 # Grouping columns, method names and the name of the count.
@@ -138,17 +139,21 @@ def _spherize(rows: DataFrame, fit: DataFrame, names: list[str], impute: bool) -
     """Whitening on the correlation scale: standardised values times the inverse root of
     their correlation, so features of any unit count alike.
 
-    Means and deviations come from one aggregate and the correlation from one pass after it.
-    What is decomposed on the driver is sized by the number of features alone; the product
-    with it runs on Arrow batches.
+    Means, deviations and the correlation come from one pass, and so do gaps if it sees all
+    rows. What is decomposed on the driver is sized by the number of features alone; the
+    product with it runs on Arrow batches.
     """
     spark = rows.sparkSession
-    gaps = rows.agg(*each("count_if($ IS NULL)", names)).first()
-    gappy = [name for name, n in zip(names, gaps) if n]
-    if gappy and not impute:
-        raise ValueError(f"spherize found missing values in {gappy}; drop, or impute")
-    mean, deviation, _ = feature_scales(fit, names)
-    values, vectors = np.linalg.eigh(feature_correlation(fit, names))
+    found = summarize(fit, names).correlation()
+    if not impute:
+        whole = fit is rows
+        present = found.count if whole else rows.agg(*each("count($)", names)).first()
+        n_rows = found.n_rows if whole else rows.count()
+        gappy = [name for name, n in zip(names, present) if n < n_rows]
+        if gappy:
+            raise ValueError(f"spherize found missing values in {gappy}; drop, or impute")
+    mean, deviation = found.mean, found.deviation
+    values, vectors = np.linalg.eigh(found.matrix)
     roots = np.sqrt(np.clip(values, 0.0, None) + SPHERIZE_EPSILON)
     whiten = spark.sparkContext.broadcast((mean, deviation, (vectors / roots) @ vectors.T))
 
@@ -167,58 +172,9 @@ def _spherize(rows: DataFrame, fit: DataFrame, names: list[str], impute: bool) -
     return out.selectExpr(*[quoted(c) for c in kept], *values)
 
 
-def feature_scales(
-    rows: DataFrame, names: Sequence[str]
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mean, population deviation (1 where it is 0 or unknown) and number of values."""
-    found = rows.agg(
-        F.array(*each("coalesce(avg($), 0D)", names)),
-        F.array(*each("coalesce(stddev_pop($), 0D)", names)),
-        F.array(*each("count($)", names)),
-    ).first()
-    mean, deviation, count = (np.array(v, dtype=float) for v in found)
-    return mean, np.where(deviation > 0, deviation, 1.0), count
-
-
 def feature_correlation(rows: DataFrame, names: Sequence[str]) -> np.ndarray:
-    """Pearson correlation of every two features over the rows that have both.
-
-    Pairs with fewer than two common rows, and features that are constant in them, correlate 0.
-    Each task adds up products of its Arrow batches; the sums of a feature are then added over
-    tasks, so what is shuffled is sized by features and tasks, and the driver gets the matrix.
-    """
-    width = len(names)
-    mean, deviation, _ = feature_scales(rows, names)
-    scales = rows.sparkSession.sparkContext.broadcast((mean, deviation))
-
-    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        center, scale = scales.value
-        sums = np.zeros((width, 6, width))
-        for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch["_v"].iloc[at : at + 1024]
-                x = (np.stack([np.asarray(v, dtype=float) for v in part]) - center) / scale
-                m = (~np.isnan(x)).astype(float)
-                x = np.nan_to_num(x, nan=0.0)
-                square = x * x
-                pairs = (m.T @ m, x.T @ m, m.T @ x, square.T @ m, m.T @ square, x.T @ x)
-                sums += np.stack(pairs, axis=1)
-        yield pd.DataFrame({"i": range(width), "sums": [row.ravel() for row in sums]})
-
-    def correlate(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        n, x, y, xx, yy, xy = np.sum(np.stack(list(parts["sums"])), axis=0).reshape(6, width)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            covariance = xy - x * y / n
-            spread = np.maximum(xx - x * x / n, 0) * np.maximum(yy - y * y / n, 0)
-            r = covariance / np.sqrt(spread)
-        r[(n < 2) | ~(spread > 1e-24 * np.maximum(n, 1) ** 2)] = 0.0
-        r[key[0]] = 1.0
-        return pd.DataFrame({"i": [key[0]], "r": [np.clip(r, -1.0, 1.0)]})
-
-    vectors = rows.select(array_of(_OR_NAN, names).alias("_v"))
-    sums = vectors.mapInPandas(products, "i int, sums array<double>")
-    found = sums.groupBy("i").applyInPandas(correlate, "i int, r array<double>").collect()
-    return np.array([row.r for row in sorted(found)]).reshape(width, width)
+    """Pearson correlation of every two features over the rows that have both."""
+    return summarize(rows, names).correlation().matrix
 
 
 # --- consensus ----------------------------------------------------------------------

@@ -19,17 +19,21 @@ from ..operators.profile import (
     normalize_profiles,
 )
 from ..operators.qc import (
-    cell_count_summary,
-    detect_outliers,
+    count_outliers,
+    counts_from_pyramid,
     drift_from_moments,
-    feature_moments,
     missingness_from_moments,
+    moment_pyramid,
+    moments_of,
+    outlier_features,
+    outlier_summary,
 )
 from ..operators.sites import build_dev_subset, validate_image_table
 from ..schema import (
     clinical_schema,
     feature_columns,
     image_schema,
+    numeric_features,
     patient_schema,
     snrna_summary_schema,
 )
@@ -60,28 +64,42 @@ def qc_report(
 ) -> dict[str, DataFrame]:
     """The seven QC tables, written below ``out_dir`` as ``qc_<name>.parquet`` if given.
 
-    Missingness and both drift tables come from one wide scan: moments per batch and
-    plate, stored once. Counts and outliers read a few columns each.
+    The cells are scanned twice: once for a pyramid of moments per batch, plate, well and disease, from
+    which counts, missingness and both drift tables are merged, and once to count the outliers
+    around the merged means.
     """
+    return _report(cells, out_dir, thresholds)[0]
+
+
+def _report(
+    cells: DataFrame, out_dir: str | None, thresholds: Mapping[str, float] | None
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The tables, and the stored one row of cells and outliers."""
     batch, plate = "Metadata_Batch", "Metadata_Plate"
-    moments = materialize(feature_moments(cells, [batch, plate]), "moments")
+    keys = [batch, plate, "Metadata_Well", "Metadata_DiseaseGroup"]
+    names = numeric_features(cells, None)
+    present = outlier_features(cells, thresholds)
+    measured = [*names, *[f for f in present if f not in names]]
+    pyramid = materialize(moment_pyramid(cells, keys, measured), "pyramid")
+    moments = moments_of(pyramid, keys, names)
+    flagged = count_outliers(cells, moments_of(pyramid, keys, list(present)), present)
+    flagged = materialize(flagged, "outliers")
     report = {
-        "cell_counts_per_well": cell_count_summary(cells, "well"),
-        "cell_counts_per_plate": cell_count_summary(cells, "plate"),
-        "cell_counts_per_disease": cell_count_summary(cells, "disease"),
+        "cell_counts_per_well": counts_from_pyramid(pyramid, "well"),
+        "cell_counts_per_plate": counts_from_pyramid(pyramid, "plate"),
+        "cell_counts_per_disease": counts_from_pyramid(pyramid, "disease"),
         "missingness": missingness_from_moments(moments),
         "feature_drift_by_batch": drift_from_moments(moments, batch),
         "plate_effects": drift_from_moments(moments, plate),
-        "outliers": detect_outliers(cells, thresholds=thresholds)[1],
-    }
-    if out_dir is None:
-        return report
-    return {
-        name: cells.sparkSession.read.parquet(
-            write_parquet(table, f"{out_dir}/qc_{name}.parquet")
-        )
-        for name, table in report.items()
+        "outliers": outlier_summary(flagged, present),
     }
+    if out_dir is not None:
+        read = cells.sparkSession.read.parquet
+        report = {
+            name: read(write_parquet(table, f"{out_dir}/qc_{name}.parquet"))
+            for name, table in report.items()
+        }
+    return report, flagged
 
 
 def build_patient_profiles(
@@ -93,8 +111,8 @@ def build_patient_profiles(
 ) -> dict[str, DataFrame]:
     """Cells to well profiles, normalised, selected and per-patient consensus profiles.
 
-    The well profiles are stored (in ``out_dir``, else in the scratch folder) because the
-    selection must run jobs on them before the consensus can be planned.
+    The well profiles (in ``out_dir``, else in the scratch folder) and the normalised ones are
+    stored, because the selection must run a pass over them before the consensus can be planned.
     """
     spark = cells.sparkSession
     wells = aggregate_to_wells(cells)
@@ -103,6 +121,7 @@ def build_patient_profiles(
     else:
         wells = spark.read.parquet(write_parquet(wells, f"{out_dir}/well_profiles.parquet"))
     normalized = normalize_profiles(wells, method=method, samples=normalize_samples)
+    normalized = materialize(normalized, "normalized")
     selected = select_features(normalized)
     patients = consensus_profiles(selected)
     if out_dir is not None:
@@ -131,26 +150,23 @@ class JobConfig:
 
 def run_summary(
     sites: DataFrame,
-    cells: DataFrame,
+    wells: DataFrame,
+    flagged: DataFrame,
     outliers: DataFrame,
     integrated: DataFrame,
     n_features_selected: int,
-    *,
-    thresholds: Mapping[str, float] | None = None,
 ) -> DataFrame:
-    """One row of counts. ``n_outlier_flags`` adds up the thresholds' flags, so a cell that
+    """One row of counts, from stored results alone: ``wells`` has the patients, ``flagged`` the cells
+    (:func:`.qc.count_outliers`). ``n_outlier_flags`` adds up the thresholds' flags, so a cell that
     fails two counts twice; ``n_outlier_cells`` counts cells that fail any."""
-    labeled, _ = detect_outliers(cells, thresholds=thresholds)
     parts = [
         sites.agg(
             F.count_distinct("Metadata_Plate").alias("n_plates"),
             F.count_distinct(F.struct("Metadata_Plate", "Metadata_Well")).alias("n_wells"),
         ),
-        labeled.agg(
-            F.count("*").alias("n_cells"),
-            F.count_distinct("Metadata_PatientID").alias("n_patients"),
-            F.count_if("cqc_is_outlier").alias("n_outlier_cells"),
-        ),
+        flagged.agg(F.max("_rows").alias("n_cells")),
+        wells.agg(F.count_distinct("Metadata_PatientID").alias("n_patients")),
+        flagged.agg(F.max("_any").alias("n_outlier_cells")),
         outliers.agg(F.coalesce(F.sum("n_outliers"), F.lit(0)).alias("n_outlier_flags")),
         integrated.agg(F.count("*").alias("n_integrated_rows")),
     ]
@@ -209,7 +225,7 @@ def run_from_subset(
         partition_by=config.partition_cells_by,
     )
     cells = load_single_cells(spark, out["single_cell"])
-    report = qc_report(cells, out_dir, thresholds=config.outlier_thresholds)
+    report, flagged = _report(cells, out_dir, config.outlier_thresholds)
     profiles = build_patient_profiles(
         cells,
         out_dir,
@@ -224,7 +240,8 @@ def run_from_subset(
     write_parquet(integrated, out["integrated_patient"])
     summary = run_summary(
         subset,
-        cells,
+        profiles["well_profiles"],
+        flagged,
         report["outliers"],
         spark.read.parquet(out["integrated_patient"]),
         len(
@@ -234,7 +251,6 @@ def run_from_subset(
                 if c not in PATIENT_REPLICATE_COLUMNS
             ]
         ),
-        thresholds=config.outlier_thresholds,
     )
     return summary, out
 

@@ -128,3 +128,62 @@ def test_invalid_subset_stops_the_job(spark, tmp_path):
     paths = {"image": str(tmp_path / "image.csv"), "moa": str(tmp_path / "moa.csv")}
     with pytest.raises(ValueError, match="Concentration"):
         cp.prepare_dev_subset(spark, paths, str(tmp_path / "subset"))
+
+
+@pytest.fixture
+def scans(spark, monkeypatch):
+    """How often plans that run scan a stored table with more than its row count."""
+    from pyspark.sql import DataFrame, DataFrameWriter
+
+    plans = []
+
+    def noting(owner, name, frame):
+        original = getattr(owner, name)
+
+        def run(self, *args, **options):
+            plans.append(frame(self)._jdf.queryExecution().executedPlan().toString())
+            return original(self, *args, **options)
+
+        monkeypatch.setattr(owner, name, run)
+
+    noting(DataFrameWriter, "parquet", lambda writer: writer._df)
+    noting(DataFrame, "collect", lambda frame: frame)
+    noting(DataFrame, "first", lambda frame: frame)
+
+    def count(path):
+        lines = [line for plan in plans for line in plan.splitlines()]
+        return sum("FileScan" in line and path in line and "ReadSchema: struct<>" not in line for line in lines)
+
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    yield count
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+def test_report_scans_the_cells_twice(spark, tables, tmp_path, scans):
+    _, out = cp.run_from_subset(spark, **tables, out_dir=str(tmp_path / "job"))
+    cells = spark.read.parquet(out["single_cell"])
+    cells.write.parquet(str(tmp_path / "cells_for_report"))
+    report = cp.qc_report(spark.read.parquet(str(tmp_path / "cells_for_report")), str(tmp_path / "report"))
+    assert scans("cells_for_report") == 2
+    assert {r.Metadata_Plate: r.n_cells for r in report["cell_counts_per_plate"].collect()} == {
+        "Plate1": 36,
+        "Plate2": 36,
+    }
+    direct = cp.detect_outliers(cells)[1].collect()
+    assert report["outliers"].collect() == direct
+
+
+def test_job_scans_the_cells_at_most_four_times(spark, tables, tmp_path, scans):
+    cp.run_from_subset(spark, **tables, out_dir=str(tmp_path))
+    assert 2 <= scans("single_cell.parquet") <= 4
+
+
+def test_selection_scans_the_profiles_once(spark, tables, tmp_path, scans):
+    rows = [(f"P{i}", float(i % 3), float(i), None if i % 2 else 1.0 * i, 2.0 * i) for i in range(60)]
+    path = str(tmp_path / "profiles_to_select")
+    ddl = "Metadata_PatientID string, Cells_A double, Cells_B double, Cells_Gap double, Cells_C double"
+    spark.createDataFrame(rows, ddl).write.parquet(path)
+    found = cp.operators.features.drop_decisions(spark.read.parquet(path))
+    assert found["drop_na_columns"] == ["Cells_Gap"]
+    assert "Cells_C" in found["correlation_threshold"] or "Cells_B" in found["correlation_threshold"]
+    assert scans("profiles_to_select") == 1
