@@ -429,7 +429,8 @@ def job_summary() -> str:
         "(SELECT Metadata_Plate, Metadata_Well, idx % (SELECT count(*) FROM people) AS person "
         "FROM wells)"
     )
-    flagged = "(Cells_AreaShape_Area - m) / s > 1.0"
+    large = "coalesce((Cells_AreaShape_Area - m) / s > 1.0, false)"
+    small = "coalesce((Nuclei_Intensity_MeanIntensity_DNA - nm) / ns < -0.5, false)"
     profiles = (
         f"profiles AS (SELECT {JOB_STRATA}, {columns('median($f) AS $f', JOB_FEATURES)} "
         f"FROM job_cells GROUP BY {JOB_STRATA})"
@@ -448,12 +449,14 @@ def job_summary() -> str:
         + "SELECT (SELECT count(DISTINCT Metadata_Plate) FROM sites) AS n_plates, "
         "(SELECT count(*) FROM pairs) AS n_wells, count(*) AS n_cells, "
         "count(DISTINCT Metadata_PatientID) AS n_patients, "
-        f"count(*) FILTER (WHERE {flagged}) AS n_outlier_cells, "
-        f"count(*) FILTER (WHERE {flagged}) AS n_outlier_flags, "
+        f"count(*) FILTER (WHERE {large} OR {small}) AS n_outlier_cells, "
+        f"count(*) FILTER (WHERE {large}) + count(*) FILTER (WHERE {small}) AS n_outlier_flags, "
         "(SELECT count(*) FROM patients) AS n_integrated_rows, "
         f"{len(JOB_FEATURES)} - (SELECT count(*) FROM dropped) AS n_features_selected "
         "FROM job_cells, (SELECT avg(Cells_AreaShape_Area) AS m, "
-        "stddev_pop(Cells_AreaShape_Area) AS s FROM job_cells)"
+        "stddev_pop(Cells_AreaShape_Area) AS s, "
+        "avg(Nuclei_Intensity_MeanIntensity_DNA) AS nm, "
+        "stddev_pop(Nuclei_Intensity_MeanIntensity_DNA) AS ns FROM job_cells)"
     )
 
 
@@ -644,8 +647,9 @@ ORACLES: dict[str, str] = {
     "patient_profiles": with_tables(CELLS, wells(), normalized(*STANDARD), selection())
     + "SELECT * FROM ("
     + union(
-        "SELECT Metadata_PatientID, '$f' AS feature, round(median($f), 6) + 0.0 AS value "
-        "FROM normalized GROUP BY Metadata_PatientID"
+        "SELECT Metadata_PatientID, Metadata_DiseaseGroup, '$f' AS feature, "
+        "round(median($f), 6) + 0.0 AS value "
+        "FROM normalized GROUP BY Metadata_PatientID, Metadata_DiseaseGroup"
     )
     + ") WHERE feature NOT IN (SELECT feature FROM dropped)",
     "replicate_map": with_tables(COSINE) + f"SELECT round(({MAP_VALUE}), 6) AS value",

@@ -343,7 +343,8 @@ def patient_profiles(spark: SparkSession, sf: str) -> DataFrame:
     entries = [
         F.struct(F.lit(n).alias("feature"), F.round(F.col(n), 6).alias("value")) for n in names
     ]
-    return built["patient_profiles"].select("Metadata_PatientID", F.inline(F.array(*entries)))
+    kept = cp.schema.metadata_columns(built["patient_profiles"].columns)
+    return built["patient_profiles"].select(*kept, F.inline(F.array(*entries)))
 
 
 # --- evaluation ----------------------------------------------------------------------
@@ -398,7 +399,12 @@ def job_summary(spark: SparkSession, sf: str) -> DataFrame:
         roles.for_spark(spark, sf, roles.CLINICAL),
         roles.for_spark(spark, sf, roles.SNRNA),
         scratch_path(spark, "job"),
-        cp.JobConfig(outlier_thresholds={"Cells_AreaShape_Area": 1.0}),
+        cp.JobConfig(
+            outlier_thresholds={
+                "Cells_AreaShape_Area": 1.0,
+                "Nuclei_Intensity_MeanIntensity_DNA": -0.5,
+            }
+        ),
     )
     return summary
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cellprofiles.functions import median
 from cellprofiles.functions.median import grouped_median
 from cellprofiles.functions.missing import clean_features, one_row, tidy
 
@@ -36,6 +37,13 @@ def expected(data):
     }
 
 
+@pytest.fixture(params=["collected", "by interval"])
+def inside(request, monkeypatch):
+    """Both treatments of what lies inside a bracket."""
+    if request.param == "by interval":
+        monkeypatch.setattr(median, "_INSIDE", 1e9)
+
+
 @pytest.mark.parametrize(
     "limits",
     [
@@ -58,7 +66,7 @@ def test_median_is_exact_however_groups_are_treated(spark, data, expected, limit
         assert found[key][2] == pytest.approx(y, rel=1e-12) if y is not None else found[key][2] is None
 
 
-def test_both_ways_agree_to_the_last_digit(spark):
+def test_both_ways_agree_to_the_last_digit(spark, inside):
     inf = float("inf")
     rng = np.random.default_rng(5)
     groups = {
@@ -80,8 +88,30 @@ def test_both_ways_agree_to_the_last_digit(spark):
     assert sorted(map(str, cold)) == sorted(map(str, hot))
 
 
+def test_hot_groups_of_every_kind(spark, data, expected, inside):
+    df = spark.createDataFrame(data, "a string, b string, x double, y double").repartition(7)
+    out = grouped_median(df, ["a", "b"], ["x", "y"], [F.count("*").alias("n")], hot_rows=100)
+    found = {(r.a, r.b): (r.n, r.x, r.y) for r in out.collect()}
+    assert found.keys() == expected.keys()
+    for key, want in expected.items():
+        assert found[key] == pytest.approx(want, rel=1e-12) if None not in want else found[key] == want
+
+
+def test_median_in_a_gap_and_in_heavy_ties(spark, inside):
+    """Two far groups of values with the median between them; and values that are mostly equal."""
+    rng = np.random.default_rng(8)
+    two = np.concatenate([rng.normal(-1e9, 1, 2500), rng.normal(1e9, 1, 2500)])
+    odd = np.append(two, 5.0)
+    ties = np.concatenate([np.full(3000, 1.5), rng.normal(1.5, 1e-9, 3001)])
+    named = {"two": two, "odd": odd, "ties": ties}
+    rows = [(k, float(v)) for k, own in named.items() for v in own]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    for r in grouped_median(df, ["k"], ["v"], hot_rows=10).collect():
+        assert r.v == float(np.median(named[r.k]))
+
+
 @pytest.mark.parametrize("hot_rows", [None, 10])
-def test_global_median(spark, data, hot_rows):
+def test_global_median(spark, data, hot_rows, inside):
     df = spark.createDataFrame(data, "a string, b string, x double, y double")
     df = df.withColumn("nothing", F.lit(None).cast("double"))
     row = grouped_median(df, [], ["x", "y", "nothing"], hot_rows=hot_rows).collect()
