@@ -12,6 +12,7 @@ white space as the only rule, in the byte alphabet of its vocabulary.
 
 from __future__ import annotations
 
+import gc
 import itertools
 import os
 import re
@@ -20,10 +21,10 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 #: Parts in the cache before it is emptied.
-CACHE = 800_000
+CACHE = 1_200_000
 
 #: Parts that are encoded as one text.
-JOINED = 2_000
+JOINED = 8_000
 
 #: Characters of texts whose parts are looked up together.
 TOGETHER = 1 << 21
@@ -81,6 +82,17 @@ class Encoder:
             self.sizes[number] = len(token)
 
     def _learn(self, group: list[list[str]]) -> None:
+        """Encode the parts that the cache lacks. Nothing made here refers to itself, so looking for
+        cycles among so many parts is put off."""
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            self._learn_parts(group)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _learn_parts(self, group: list[list[str]]) -> None:
         if len(self.ids) > CACHE:
             self.ids, self.spans = {}, {}
         new: set[str] = set().union(*group).difference(self.ids)
