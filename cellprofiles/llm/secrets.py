@@ -229,11 +229,14 @@ def train(labelled: DataFrame, words: DataFrame | None = None) -> RandomForestCl
     ``covered`` if known; else ``words``, the dictionary, gives it, and without one it is 0).
 
     The findings are a bounded table that people or rules have labelled; it is put in one
-    order in one partition so that the forest is the same on every run.
+    order in one partition so that the forest is the same on every run. Findings and features
+    are stored, so that the jobs of the forest run small plans.
     """
+    labelled = materialize(labelled, "secret-labels")
     if "covered" not in labelled.columns:
         labelled = labelled.withColumn("covered", F.lit(0)) if words is None else with_coverage(labelled, words)
     rows = with_features(labelled).select(*FEATURES, F.col("label").cast("double"))
+    rows = materialize(rows, "secret-features")
     rows = rows.coalesce(1).sortWithinPartitions(*FEATURES, "label")
     assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, subsamplingRate=0.8)
@@ -284,7 +287,8 @@ def dictionary(docs: DataFrame) -> DataFrame:
     counts = materialize(words.groupBy("word").count(), "secret-words")
     texts = counts.filter("word = ''").head()  # every text counts as one without letters
     least = DICTIONARY_SHARE * (texts["count"] if texts else 0)
-    return counts.filter((F.col("word") != "") & (F.col("count") >= least)).select("word")
+    words = counts.filter((F.col("word") != "") & (F.col("count") >= least)).select("word")
+    return materialize(words, "secret-dictionary")
 
 
 def scan_secrets(
