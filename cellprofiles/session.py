@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -37,8 +38,9 @@ def build_session(
 def scratch_root(spark: SparkSession) -> str:
     """This application's shared folder for intermediate tables.
 
-    It lies below ``spark.checkpoint.dir``; where that is unset, below the warehouse folder,
-    which the executors share as well. The folder is removed when the driver ends;
+    It lies below ``spark.checkpoint.dir``; where that is unset, below the warehouse folder. On a
+    cluster that must not be a folder of one machine, since each executor would write to its
+    own: this raises rather than losing parts. The folder is removed when the driver ends;
     :func:`scratch_scope` removes tables earlier.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -46,6 +48,9 @@ def scratch_root(spark: SparkSession) -> str:
         configured = spark.sparkContext.getCheckpointDir()
     if not configured:
         configured = spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+        alone = re.match(r"local(\[|$)", spark.sparkContext.master)
+        if not alone and not re.match(r"(?!file:)[A-Za-z][\w+.-]*:", configured):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     root = f"{configured.rstrip('/')}/cellprofiles-{spark.sparkContext.applicationId}"
     if root not in _roots:
         _roots.add(root)
