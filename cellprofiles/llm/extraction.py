@@ -1,7 +1,7 @@
 """Main text of web pages by a recurrent labeller of their blocks.
 
-A page is a sequence of leaf blocks. Each block is a vector: the mean embedding of the names
-on its path (elements, classes and ids), the mean hashed embedding of its words, and a few
+A page is a sequence of leaf blocks. Each block is a vector: the mean embedding of the different
+names on its path (elements, classes and ids), the mean hashed embedding of its words, and a few
 counts. A bidirectional LSTM reads the sequence, so the label of each block - article or not -
 depends on the whole page. Embeddings and LSTM are trained together, in NumPy on the driver,
 on pages that :mod:`training_pages` makes by rule; a process trains once and tasks get the
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .html_blocks import Block, bucket, leaf_blocks
+from .html_blocks import Block, Path, bucket, leaf_blocks
 from .training_pages import PageMaker
 
 #: Hash buckets and widths of the embeddings of path names and of words; units per direction.
@@ -47,14 +47,14 @@ N_COUNTS = 8
 
 def _counts(block: Block) -> list[float]:
     text, size = block.text, len(block.text)
-    last = block.path[-1] if block.path else ""
+    last = "".join(block.path.last(1))
     return [
         np.log1p(size) / 5,
         block.link_chars / size,
         np.log1p(text.count(" ")) / 4,
         10 * len(_MARKS.findall(text)) / size,
         float(text[-1] in ".!?"),
-        len(_DIGIT.findall(text, 0, 200)) / min(size, 200),
+        len(_DIGIT.findall(text)) / size,
         float(re.fullmatch("h[1-6]", last) is not None),
         float("©" in text),
     ]
@@ -69,24 +69,51 @@ class _WordBuckets(dict):
 
 
 class Features:
-    """Bags of hashed names and words of blocks, each different one looked up once."""
+    """Hashed names and words of blocks, each different one looked up once."""
 
     def __init__(self) -> None:
         self.words = _WordBuckets()
-        self.paths: dict[tuple[str, ...], list[int]] = {}
+        self.sums: dict[tuple[str, ...], np.ndarray] = {}
 
     def bags(self, block: Block) -> tuple[list[int], list[int], list[float]]:
+        """Buckets of the different names on the path and of the words, and the counts."""
+        names = [*block.path.different(), *_ends(block.path)]
+        return [bucket(n, PATH_BUCKETS) for n in names] or [0], self.word_bag(block), _counts(block)
+
+    def word_bag(self, block: Block) -> list[int]:
         if len(self.words) > 100_000:
             self.words = _WordBuckets()
-        if len(self.paths) > 20_000:
-            self.paths = {}
-        path = self.paths.get(block.path)
-        if path is None:
-            ends = [f"{name}$" for name in block.path[-2:]]
-            path = [bucket(name, PATH_BUCKETS) for name in [*block.path, *ends]] or [0]
-            self.paths[block.path] = path
-        words = list(map(self.words.__getitem__, _WORD.findall(block.text.lower())))
-        return path, words or [0], _counts(block)
+        return list(map(self.words.__getitem__, _WORD.findall(block.text.lower()))) or [0]
+
+    def sum_of(self, names: tuple[str, ...], table: np.ndarray) -> np.ndarray:
+        found = self.sums.get(names)
+        if found is None:
+            if len(self.sums) > 20_000:
+                self.sums = {}
+            rows = [bucket(n, PATH_BUCKETS) for n in names]
+            found = self.sums[names] = table[rows].sum(axis=0, dtype=np.float64)
+        return found
+
+    def summed(self, block: Block, table: np.ndarray) -> tuple[np.ndarray, list[int], list[float]]:
+        """As :meth:`bags`, with the mean embedding of the names in place of their buckets. It is
+        summed downwards, so a path costs what its last element adds."""
+        waiting, at = [], block.path
+        while at is not None and at.total is None:
+            waiting.append(at)
+            at = at.above
+        total = at.total if at is not None else (np.zeros(table.shape[1]), 0)
+        for at in reversed(waiting):
+            if at.fresh:
+                total = total[0] + self.sum_of(at.fresh, table), total[1] + len(at.fresh)
+            at.total = total
+        ends = _ends(block.path)
+        many = total[1] + len(ends)
+        mean = (total[0] + self.sum_of(ends, table)) / many if many else table[0]
+        return mean, self.word_bag(block), _counts(block)
+
+
+def _ends(path: Path) -> tuple[str, ...]:
+    return tuple(f"{name}$" for name in path.last(2))
 
 
 def _mean_rows(table: np.ndarray, bags: list[list[int]]) -> np.ndarray:
@@ -188,8 +215,10 @@ class BlockLabeller:
 
     def inputs(self, bags: list[tuple]) -> np.ndarray:
         paths, words, counts = zip(*bags, strict=True)
-        own = _mean_rows(self.weights["path"], list(paths)), _mean_rows(self.weights["word"], list(words))
-        return np.concatenate([*own, np.array(counts)], axis=1).astype(np.float32)
+        if isinstance(paths[0], list):
+            paths = _mean_rows(self.weights["path"], list(paths))
+        words = _mean_rows(self.weights["word"], list(words))
+        return np.concatenate([np.array(paths), words, np.array(counts)], axis=1).astype(np.float32)
 
     def logits(self, pages: list[list[tuple]]) -> list[np.ndarray]:
         """One value per block; above 0 means article."""
@@ -299,7 +328,8 @@ def extract(pages: list[str | None], model: BlockLabeller, features: Features) -
     for place, page in enumerate(pages):
         blocks = leaf_blocks(page)
         if blocks:
-            waiting.append((place, [b.text for b in blocks], [features.bags(b) for b in blocks]))
+            bags = [features.summed(b, model.weights["path"]) for b in blocks]
+            waiting.append((place, [b.text for b in blocks], bags))
             held += len(blocks)
         if held >= TOGETHER:
             label()

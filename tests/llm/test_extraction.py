@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 
@@ -125,3 +127,81 @@ def test_markup_in_scripts_of_the_head():
     for end in ("</head><body><p>yes</p>", "<body><p>yes</p>", "<p>yes</p>", "<noscript><p>no</p></noscript></head><p>yes"):
         assert [block.text for block in leaf_blocks(page + end)] == ["yes"]
     assert leaf_blocks(page + "<script>never closed <p>no") == []
+
+
+def _texts(page):
+    return [block.text for block in leaf_blocks(page)]
+
+
+def test_attributes_of_any_length():
+    for quote in "\"'":
+        page = f"<p>in <a title={quote}{'y > z ' * 20_000}{quote} href=q>link</a><div data-x={quote}a=b>c{quote}>out</div>"
+        assert _texts(page) == ["in link", "out"]
+    assert _texts("<p don't>one</p><p class=it's>two</p><a href=x'y>z</a>") == ["one", "two", "z"]
+    assert _texts('<p title="never closed>one</p><p>two</p>') == ["one", "two"]
+
+
+def test_whole_paths_and_classes():
+    page = "<div>" * 20 + "<section class='comments'>" + "<div>" * 20 + "<p>x"
+    names = leaf_blocks(page)[0].path.different()
+    assert names == ("div", "section", ".comments", "p")
+    words = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(600)]
+    page = f"<div class='{' '.join(words)} comments'><p>x"
+    assert leaf_blocks(page)[0].path.different() == ("div", *(f".{w}" for w in words), ".comments", "p")
+    assert leaf_blocks("<div class=a><div class=b></div><div class=b>x")[0].path.different() == ("div", ".a", ".b")
+    assert leaf_blocks("x<p id=aB>y")[1].path.last(2) == (".a", ".b") and leaf_blocks("x")[0].path.last(1) == ()
+
+
+def test_deep_open_elements_are_closed():
+    assert _texts("<p>one" + "<b>" * 30 + "two<p>three") == ["onetwo", "three"]
+    deep = leaf_blocks("<ul><li class=one>a" + "<b>" * 30 + "<li>b")
+    assert deep[1].path.different() == ("ul", "li")
+    inner = leaf_blocks("<ul><li>a<ul><li class=in>b</ul>c")
+    assert [b.path.different() for b in inner] == [("ul", "li"), ("ul", "li", ".in"), ("ul", "li")]
+
+
+@pytest.mark.parametrize("depth", [5, 20, 40])
+@pytest.mark.parametrize("kind", ["comments", "cookie-notice", "related", "ad"])
+def test_wrapped_parts_stay_out(labeller, depth, kind):
+    article = "".join(
+        f"<p>The town has {n} new bridges, he said on Monday. It is a long story, of course.</p>"
+        for n in ("two", "three", "four")
+    )
+    wrapped = f"<section class='{kind}'>" + "<div>" * depth + "<p>I like it very much. Thank you.</p>" + "</div>" * depth
+    page = f"<body><article><h1>Ten bridges</h1>{article}</article>{'<div>' * depth}{wrapped}</section>{'</div>' * depth}"
+    text = extraction.extract([page], labeller, extraction.Features())[0]
+    assert text.count("new bridges") == 3 and "Thank you" not in text
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<a href="x ' * 90_000,
+        '<a b="x>" ' * 100_000 + '"',
+        "<head>" + "<noscript>" * 100_000,
+        "<head>" + "<noscript>x</noscript " * 50_000,
+        "<a " * 350_000,
+        "<a " + "= " * 500_000,
+        "<div>x" * 170_000,
+        "<p><table><td>" + "<b>" * 100_000 + "<div>" * 100_000,
+        "<ul>" + "<li>x" * 200_000,
+        "<head>" + "<script " * 125_000,
+        "<svg>" * 200_000,
+        "</noscript " * 90_000 + "<noscript>x",
+        "<" * 1_000_000,
+    ],
+    ids=range(13),
+)
+def test_odd_pages_of_a_megabyte(page):
+    """Each took minutes, or most of an hour, when time grew with the square of the length."""
+    start = time.process_time()
+    leaf_blocks(page)
+    assert time.process_time() - start < 8
+
+
+def test_path_sums_are_means_of_buckets(labeller):
+    page = "<div class='a b'><ul><li>one<li class=c>two</ul><div><div class='d a'>three"
+    blocks, features = leaf_blocks(page), extraction.Features()
+    bags = [features.bags(b) for b in blocks]
+    summed = [features.summed(b, labeller.weights["path"]) for b in blocks]
+    assert np.allclose(labeller.inputs(bags), labeller.inputs(summed), atol=1e-5)
