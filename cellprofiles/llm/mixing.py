@@ -7,8 +7,8 @@ is taken whole as often as it fits before the last epoch is cut.
 
 Only key ranges, source totals and one range per source are ever brought together, so a
 source that holds a third of all rows is spread over as many tasks as there are ranges. The
-decision for a document depends on its source and key alone: applied to the documents it
-needs no shuffle while the table of sources is small enough for Spark to broadcast.
+decision for a document depends on its source and key alone, but for equal documents among
+which a budget ends: applied to the documents it needs no shuffle while the table of sources is small enough for Spark to broadcast.
 """
 
 from __future__ import annotations
@@ -18,12 +18,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import bucketed_row_number
 from ..session import materialize
 from .common import WORD
 
 #: Hex digits of the key that name its range: 4,096 ranges in each source.
 RANGE_DIGITS = 3
 
+#: Buckets in which equal documents are numbered.
+EQUAL_BUCKETS = 512
+
 #: Weights of the sources in order of their names, repeating.
 WEIGHTS = (5, 2, 1)
 
@@ -36,9 +40,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def random_key(doc_id: Column, seed: str) -> Column:
-    """Hash-random sort key of a document, the same on every run."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def random_key(doc_id: Column, text: Column, seed: str) -> Column:
+    """Hash-random sort key of a document, the same on every run. Rows of one id are told apart by
+    their texts; only equal texts of one id have equal keys."""
+    own = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+    return F.concat(own, F.md5(F.coalesce(text, F.lit(""))))
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int], most: int) -> DataFrame:
@@ -69,13 +75,13 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], most: int) -> DataF
 def plan_mix(
     rows: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_REPEATS
 ) -> DataFrame:
-    """What to take from each source: ``source``, ``source_size``, ``target``, ``epochs`` and
-    ``cut``.
+    """What to take from each source: ``source``, ``source_size``, ``target``, ``epochs``, ``cut``,
+    ``part`` and ``of``.
 
     ``rows`` has ``source``, ``key`` and ``size`` and is read three times. Every document of a
-    source is taken ``epochs`` times, and those with a key up to ``cut`` once more. A
-    document on which the budget ends is taken if that comes nearer to the target; documents
-    with equal keys share their fate.
+    source is taken ``epochs`` times, and those with a key below ``cut`` once more; so are ``part``
+    of the ``of`` equal documents whose key is ``cut``. A document on which the budget ends is taken
+    if that comes nearer to the target.
     """
     ranged = rows.select(
         "source", "key", "size", F.substring("key", 1, RANGE_DIGITS).alias("range")
@@ -105,27 +111,59 @@ def plan_mix(
         ranged.alias("d")
         .join(last.alias("l"), F.expr("d.source <=> l.source AND d.range = l.range"))
         .groupBy(F.col("l.source").alias("source"), "key")
-        .agg(F.sum("size").alias("size"), F.first("before").alias("before"), F.first("budget").alias("budget"))
+        .agg(
+            F.sum("size").alias("size"),
+            F.count("*").alias("of"),
+            F.first("before").alias("before"),
+            F.first("budget").alias("budget"),
+        )
     )
     so_far = F.sum("size").over(Window.partitionBy("source").orderBy("key"))
-    middle = F.col("before") + so_far - F.col("size") / 2
-    fits = inside.withColumn("middle", middle).filter("middle <= budget")
-    cuts = fits.groupBy("source").agg(F.max("key").alias("cut"))
+    inside = inside.withColumn("before", F.col("before") + so_far - F.col("size"))
+    fits = inside.withColumn("part", _fitting()).filter("part > 0")
+    cuts = fits.groupBy("source").agg(F.max(F.struct("key", "part", "of")).alias("cut"))
     cuts = (
         last.alias("l")
         .join(cuts.alias("c"), F.expr("l.source <=> c.source"), "left")
-        .select("l.source", F.coalesce("c.cut", "l.range").alias("cut"))
+        .select("l.source", F.coalesce("c.cut.key", "l.range").alias("cut"), "c.cut.part", "c.cut.of")
     )
     return (
         plan.alias("p")
         .join(cuts.alias("c"), F.expr("p.source <=> c.source"), "left")
-        .select("p.source", "source_size", "target", "epochs", "cut")
+        .select("p.source", "source_size", "target", "epochs", "cut", "part", "of")
     )
 
 
-def _times(plan: DataFrame) -> Column:
-    cut = (F.col("_key") <= F.col("_plan.cut")).cast("long")
-    return F.col("_plan.epochs") + F.coalesce(cut, F.lit(0))
+def _fitting() -> Column:
+    """How many of ``of`` equal documents, ``size`` words together, end nearer to the budget."""
+    one = F.col("size") / F.col("of")
+    left = F.col("budget") - F.col("before")
+    some = F.floor(F.try_divide(left, one) + 0.5)
+    return (
+        F.when(one / 2 > left, 0).when(F.col("size") - one / 2 <= left, F.col("of")).otherwise(some)
+    ).cast("long")
+
+
+def _with_times(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Add the columns of the plan, and ``_times``, to rows with ``_source`` and ``_key``.
+
+    Where a budget ends among equal documents, those of that one key are numbered by source,
+    spread over buckets, and the first ``part`` of them are taken. Which they are is open.
+    """
+    joined = rows.join(plan.alias("_plan"), F.expr("_source <=> _plan.source"))
+    whole = (F.col("_key") < F.col("cut")) | ((F.col("_key") == F.col("cut")) & (F.col("part") == F.col("of")))
+    times = F.col("epochs") + F.coalesce(whole.cast("long"), F.lit(0))
+    joined = joined.withColumn("_times", times)
+    if plan.filter("part < of").isEmpty():
+        return joined
+    parted = F.coalesce((F.col("_key") == F.col("cut")) & (F.col("part") < F.col("of")), F.lit(False))
+    equal = joined.filter(parted).withColumn("_place", F.monotonically_increasing_id())
+    equal = materialize(equal, "mix-equal")
+    bucket = F.pmod(F.xxhash64("_place"), F.lit(EQUAL_BUCKETS))
+    numbered = bucketed_row_number(equal, ["_source"], bucket, [F.col("_place")], "_nth")
+    more = (F.col("_nth") <= F.col("part")).cast("long")
+    numbered = numbered.withColumn("_times", F.col("_times") + more).select(joined.columns)
+    return joined.filter(~parted).unionByName(numbered)
 
 
 def mix_counts(docs: DataFrame, seed: str = "mix") -> DataFrame:
@@ -133,30 +171,28 @@ def mix_counts(docs: DataFrame, seed: str = "mix") -> DataFrame:
 
     Needs ``doc_id``, ``text`` and ``source``. Returns ``doc_id``, ``size``, ``source``,
     ``source_size``, ``target``, ``times`` and ``taken`` (words, repeats counted), one row per
-    row. A NULL text has no words; a NULL source is a source, last in order; a NULL
-    ``doc_id`` has a key of its own. An empty table gives no rows.
+    row. A NULL text has no words; a NULL source is a source, last in order; rows with equal or NULL
+    ``doc_id`` are documents of their own, and of equal rows any may be the ones taken. An empty table gives no rows.
     """
     rows = materialize(
         docs.select(
             "doc_id",
             "source",
             word_count(F.col("text")).alias("size"),
-            random_key(F.col("doc_id"), seed).alias("key"),
+            random_key(F.col("doc_id"), F.col("text"), seed).alias("key"),
         ),
         "mix-rows",
     )
     plan = materialize(plan_mix(rows), "mix-plan")
-    joined = rows.withColumnRenamed("key", "_key").alias("_rows").join(
-        plan.alias("_plan"), F.expr("_rows.source <=> _plan.source")
-    )
-    return joined.withColumn("times", _times(plan)).select(
+    keyed = rows.select("doc_id", "size", F.col("source").alias("_source"), F.col("key").alias("_key"))
+    return _with_times(keyed, plan).select(
         "doc_id",
         "size",
-        F.col("_rows.source").alias("source"),
+        F.col("_source").alias("source"),
         "source_size",
         "target",
-        "times",
-        (F.col("times") * F.col("size")).alias("taken"),
+        F.col("_times").alias("times"),
+        (F.col("_times") * F.col("size")).alias("taken"),
     )
 
 
@@ -165,13 +201,17 @@ def mix_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
 
     Same rules as :func:`mix_counts`; other columns pass through, whatever their names.
     """
-    key = random_key(F.col("doc_id"), seed)
+    key = random_key(F.col("doc_id"), F.col("text"), seed)
     rows = materialize(
         docs.select("source", key.alias("key"), word_count(F.col("text")).alias("size")), "mix-rows"
     )
     plan = materialize(plan_mix(rows), "mix-plan")
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    packed = packed.withColumn("_key", random_key(F.col("_row.doc_id"), seed))
-    joined = packed.join(plan.alias("_plan"), F.expr("_row.source <=> _plan.source"))
-    repeated = joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), _times(plan).cast("int"))))
+    packed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        F.col("source").alias("_source"),
+        key.alias("_key"),
+    )
+    repeated = _with_times(packed, plan).withColumn(
+        "_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times").cast("int")))
+    )
     return repeated.select("_row.*")

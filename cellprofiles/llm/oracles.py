@@ -5,7 +5,7 @@ from __future__ import annotations
 #: Keys, levels and cuts as in ``mixing``; the list of weights is the fixed 5, 2, 1.
 _MIXING = r"""
 WITH rows AS (
-    SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key,
+    SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) || md5(coalesce(text, '')) AS key,
            coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size
     FROM documents
 ), sizes AS (
@@ -29,12 +29,11 @@ WITH rows AS (
     FROM targets
 ), summed AS (
     SELECT r.*, b.source_size, b.target, b.epochs, b.target - b.epochs * b.source_size AS budget,
-           sum(r.size) OVER (PARTITION BY r.source ORDER BY r.key) AS upto,
-           sum(r.size) OVER (PARTITION BY r.source, r.key) AS tied
+           sum(r.size) OVER (PARTITION BY r.source ORDER BY r.key ROWS UNBOUNDED PRECEDING) AS upto
     FROM rows r JOIN budgets b ON r.source IS NOT DISTINCT FROM b.source
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(size * (epochs + CASE WHEN budget > 0 AND upto - tied / 2 <= budget THEN 1 ELSE 0 END)
+       CAST(size * (epochs + CASE WHEN budget > 0 AND upto - size / 2 <= budget THEN 1 ELSE 0 END)
             AS BIGINT) AS taken
 FROM summed
 """
