@@ -29,11 +29,15 @@ PREFIX = r"(?:A[KS]IA|gh[pousr]_|github_pat_|glpat-|xox[abeoprs]-|[sr]k[-_]|AIza
 _LEADS = r"(?<=[=:]\s{0,2}[\"'`]?|(?i:password|passwd|passphrase|pwd|secret|token|bearer|key)(?: is)?\s{1,2}[\"'`]?)"
 
 #: An assigned value of at least six characters: in quotes all up to the closing one, else up to
-#: white space or the next assignment, without marks at its end.
+#: white space or the next assignment, without marks at its end. A run that has a key character
+#: among its first five only is none, but is passed over as a whole, so that it is read once.
+_UNQUOTED = r"(?:(?![,;&][A-Za-z_.\-]{1,40}[=:])[^\s\"'`<>])"
 _VALUE = (
-    r"(?<=[=:\s\"'`])(?=[^\s\"'`]{6})(?!//|[=:])" + _LEADS + r"(?:(?<=[\"'`])[^\s\"'`]{6,}(?=[\"'`])"
-    r"|(?:(?![,;&][A-Za-z_.\-]{1,40}[=:])[^\s\"'`<>]){5,}[A-Za-z0-9_+/\-]={0,2})"
+    r"(?<=[=:\s\"'`])(?=[^\s\"'`]{6})(?!//|[=:])" + _LEADS + r"(?:(?<=[\"'`])[^\s\"'`]{6,}+(?=[\"'`])"
+    rf"|{_UNQUOTED}{{5,}}[A-Za-z0-9_+/\-]={{0,2}}|(?<![\"'`]){_UNQUOTED}{{6,}}+)"
 )
+#: Ends of what was passed over: neither behind a quote nor with a key character at its end.
+_PASSED = r"(?<![A-Za-z0-9_+/\-])(?<![A-Za-z0-9_+/\-]={1,2})$"
 
 #: A run of at least ten key characters that has a digit, a known prefix or 24 characters.
 _RUN = (
@@ -267,9 +271,11 @@ def candidates(docs: DataFrame, path: Column | None = None) -> DataFrame:
     upto = Window.partitionBy("_row").orderBy("place")
     length = F.length("one.values")
     start = F.sum(F.col("one.edges.size") + length).over(upto) - length
-    return rows.select(
+    rows = rows.withColumn("start", start.cast("long"))
+    passed = F.col("one.values").rlike(_PASSED) & ~F.col("one.edges.tail").rlike("[\"'`]$")
+    return rows.filter(~passed).select(
         "doc_id",
-        start.cast("long").alias("start"),
+        "start",
         F.col("one.values").alias("value"),
         F.col("one.edges.tail").alias("before"),
         F.col("one.follows.head").alias("after"),

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from cellprofiles.llm import secrets
@@ -91,3 +93,14 @@ def test_dictionary_by_share_of_different_texts(documents):
     assert not words & {"rareword", "qwertzuvkey"}
     copied = docs.unionByName(docs.filter("doc_id >= 2000")).unionByName(docs.filter("doc_id >= 2000"))
     assert {r.word for r in secrets.dictionary(copied).collect()} == words
+
+
+def test_runs_of_marks_are_read_once(documents):
+    """Runs without a key character behind their fifth; each took hours when read anew from every ``=``."""
+    runs = ["=!" * 500_000, ":a!" * 300_000, "x=" + "!=*" * 300_000, "='" * 400_000, "=." * 500_000]
+    docs = documents(*enumerate(runs), (9, "k=ab!!!!!!!!! token=\"ab$!!!!!\" pw=ab3!ZZ9!! next=" + "=!" * 100))
+    start = time.perf_counter()
+    found = {(r.doc_id, r.value, r.start) for r in secrets.candidates(docs).collect()}
+    assert time.perf_counter() - start < 40
+    assert {f for f in found if f[0] == 9} == {(9, "ab$!!!!!", 21), (9, "ab3!ZZ9", 34)}
+    assert not {f for f in found if f[0] in (0, 2, 3, 4)}
