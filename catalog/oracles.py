@@ -489,8 +489,11 @@ ORACLES: dict[str, str] = {
     + ", min(Metadata_Site) AS min_site, min(Metadata_Concentration) AS min_concentration FROM sites",
     "dev_subset": with_tables(canonical(plates=2))
     + "SELECT * FROM sites WHERE Metadata_MoA IS NOT NULL",
+    "dev_subset_from_csv": with_tables(canonical(plates=2))
+    + "SELECT * FROM sites WHERE Metadata_MoA IS NOT NULL",
     "compartment_join": with_tables(JOINED) + "SELECT * FROM joined",
     "attach_sites": with_tables(CANONICAL_CELLS) + "SELECT * FROM canonical",
+    "cells_from_csv": with_tables(CANONICAL_CELLS) + "SELECT * FROM canonical",
     "compartment_split": with_tables(CELLS)
     + "SELECT Metadata_ImageNumber AS ImageNumber, Metadata_ObjectNumber AS ObjectNumber, "
     "Nuclei_AreaShape_Area AS AreaShape_Area, Nuclei_Intensity_IntegratedIntensity_DNA AS "
@@ -565,6 +568,13 @@ ORACLES: dict[str, str] = {
     "missingness": with_tables(CELLS)
     + "SELECT feature, n_missing, round(fraction_missing, 9) + 0.0 AS fraction_missing "
     f"FROM ({missing('cells')})",
+    "feature_parts": with_tables(
+        CELLS,
+        f"m AS ({missing('cells')})",
+        "p AS (SELECT feature, string_split(feature, '_') AS s FROM m)",
+    )
+    + "SELECT m.* REPLACE (round(fraction_missing, 9) + 0.0 AS fraction_missing), s[1] AS compartment, s[2] AS family, s[3] AS measurement, s[4] AS channel "
+    "FROM m JOIN p USING (feature)",
     "feature_drift_batch": with_tables(CELLS)
     + f"SELECT feature, round(drift_score, 9) + 0.0 AS drift_score FROM ({drift('Metadata_Batch')})",
     "plate_effects": with_tables(CELLS)
@@ -664,7 +674,17 @@ ORACLES: dict[str, str] = {
     "silhouette": with_tables(SILHOUETTE) + f"SELECT round(({SILHOUETTE_VALUE}), 6) AS value",
     "label_classifiability": with_tables(VECTORS, classifier("label", "by_label"))
     + "SELECT round(value, 6) + 0.0 AS value FROM by_label",
+    "clean_matrix": with_tables(
+        VECTORS,
+        "width AS (SELECT max(len(e)) AS n FROM v)",
+        "entries AS (SELECT row_id, batch, unnest(range(len(e))) AS position, unnest(e) AS x FROM v)",
+        "gaps AS (SELECT row_id, batch, position, CASE WHEN x >= 0 THEN x END AS x FROM entries "
+        "UNION ALL SELECT row_id, batch, (SELECT n FROM width), NULL FROM v)",
+        "middles AS (SELECT position, median(x) AS m FROM gaps GROUP BY position)",
+    )
+    + "SELECT row_id, batch, position, round(coalesce(x, m, 0.0), 6) AS value FROM gaps JOIN middles USING (position)",
     "scorecard": SCORECARD,
+    "scorecard_from_path": SCORECARD,
     "job_summary": job_summary(),
     "batch_mixing": with_tables(VECTORS, mixing("batch", 0, "mix"))
     + "SELECT round(value, 6) AS value FROM mix",

@@ -122,6 +122,15 @@ def validate_sites(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(sites.image_table_checks(cp.canonicalize_image_table(raw, moa)), 6)
 
 
+def dev_subset_from_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from metadata CSVs, checked and stored."""
+    paths = {}
+    for name, sql in {"image": roles.RAW_SITES, "moa": roles.MOA}.items():
+        paths[name] = scratch_path(spark, f"{name}-csv")
+        roles.for_spark(spark, sf, sql).write.option("header", True).csv(paths[name])
+    return rounded(cp.prepare_dev_subset(spark, paths, scratch_path(spark, "subset"), n_plates=2), 6)
+
+
 def dev_subset(spark: SparkSession, sf: str) -> DataFrame:
     raw, moa = (roles.for_spark(spark, sf, s) for s in (roles.RAW_SITES, roles.MOA))
     return rounded(cp.build_dev_subset(raw, moa, n_plates=2), 6)
@@ -137,6 +146,16 @@ def attach_sites(spark: SparkSession, sf: str) -> DataFrame:
     return cp.canonical_single_cells(joined, assigned)
 
 
+def cells_from_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored single cells, built from the CSV tables of the compartments in one plan."""
+    folder, dest = scratch_path(spark, "compartment-csv"), scratch_path(spark, "cells")
+    for name, table in compartment_tables(spark, sf).items():
+        table.write.option("header", True).csv(f"{folder}/{name}.csv")
+    assigned = roles.for_spark(spark, sf, roles.ASSIGNED_SITES)
+    cp.build_single_cell_parquet(spark, folder, assigned, dest, partition_by="Metadata_Plate")
+    return tables.load_single_cells(spark, dest)
+
+
 def compartment_split(spark: SparkSession, sf: str) -> DataFrame:
     return compartments.compartment_table(cells(spark, sf), "Nuclei")
 
@@ -371,8 +390,12 @@ def chance_level(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def embedding_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """One column per entry of the vectors, which must all have the same length."""
     rows = roles.for_spark(spark, sf, roles.EMBEDDINGS)
-    width = rows.agg(F.max(F.size("embedding"))).first()[0]
+    size = F.coalesce(F.size("embedding"), F.lit(-1))
+    least, width = rows.agg(F.min(size), F.max(size)).first()
+    if least != width or (width or 0) < 0:
+        raise ValueError(f"embeddings have {least} to {width} values")
     return rows.select(
         F.col("row_id").alias("Metadata_Row"),
         F.col("label").alias("Metadata_DiseaseGroup"),
@@ -382,6 +405,40 @@ def embedding_profiles(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def clean_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """The matrix that the metrics work on, of profiles with gaps where an entry is negative, a
+    feature without any value, and dots in the names."""
+    wide = embedding_profiles(spark, sf)
+    names = cp.schema.feature_columns(wide.columns)
+    gaps = [F.when(F.col(n) >= 0, F.col(n)).alias(n.replace("_V", "_V.")) for n in names]
+    empty = F.lit(None).cast("double").alias("Cells_Empty")
+    profiles = wide.select("Metadata_Row", F.col("Metadata_Batch").alias("Metadata_Batch.No"), *gaps, empty)
+    data = pairs.prepare_profiles(profiles, ["Metadata_Batch.No"], row_id="Metadata_Row")
+    rows = data.table.select("_row", F.col("`Metadata_Batch.No`").alias("batch"), F.posexplode("_vec"))
+    return rounded(rows.toDF("row_id", "batch", "position", "value"), 6)
+
+
+def feature_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Missing values of the features, whose names are built from their parts."""
+    parts = [
+        ("Cells", "AreaShape", "Area", None),
+        ("Cells", "Intensity", "MeanIntensity", "DNA"),
+        ("Cytoplasm", "Texture", "Contrast", "Actin"),
+        ("Nuclei", "AreaShape", "Area", None),
+        ("Nuclei", "Intensity", "IntegratedIntensity", "DNA"),
+    ]
+    named = [(cp.feature_name(*part), *part) for part in parts]
+    ddl = "feature string, compartment string, family string, measurement string, channel string"
+    found = rounded(cp.missingness(cells(spark, sf)), 9)
+    return found.join(spark.createDataFrame(named, ddl), "feature")
+
+
+def scorecard_from_path(spark: SparkSession, sf: str) -> DataFrame:
+    """The scorecard of stored profiles."""
+    path = cp.write_parquet(embedding_profiles(spark, sf), scratch_path(spark, "profiles"))
+    return rounded(cp.benchmark_from_path(spark, path, row_id="Metadata_Row"), 6)
+
+
 def scorecard(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(cp.benchmark(embedding_profiles(spark, sf), row_id="Metadata_Row"), 6)
 
@@ -420,8 +477,10 @@ QUERIES: dict[str, Query] = {
     "canonical_sites": canonical_sites,
     "validate_sites": validate_sites,
     "dev_subset": dev_subset,
+    "dev_subset_from_csv": dev_subset_from_csv,
     "compartment_join": compartment_join,
     "attach_sites": attach_sites,
+    "cells_from_csv": cells_from_csv,
     "compartment_split": compartment_split,
     "image_split": image_split,
     "compartment_csv_roundtrip": compartment_csv_roundtrip,
@@ -435,6 +494,7 @@ QUERIES: dict[str, Query] = {
     **{f"cell_counts_{level}": cell_counts(level) for level in cp.operators.select.LEVEL_COLUMN},
     "hierarchy_summary": lambda s, d: cp.hierarchy_summary(cells(s, d)),
     "missingness": lambda s, d: rounded(cp.missingness(cells(s, d)), 9),
+    "feature_parts": feature_parts,
     "feature_drift_batch": lambda s, d: rounded(cp.feature_drift(cells(s, d)), 9),
     "plate_effects": lambda s, d: rounded(cp.feature_drift(cells(s, d), "Metadata_Plate"), 9),
     "top_drift": lambda s, d: rounded(cp.top_drift(cp.feature_drift(cells(s, d)), 3), 9),
@@ -474,6 +534,8 @@ QUERIES: dict[str, Query] = {
     "batch_mixing": metric(cp.batch_mixing, "batch"),
     "batch_mixing_shifted": metric(cp.batch_mixing, "label", skip=1),
     "chance_level": chance_level,
+    "clean_matrix": clean_matrix,
     "scorecard": scorecard,
+    "scorecard_from_path": scorecard_from_path,
     "job_summary": job_summary,
 }

@@ -71,21 +71,21 @@ def prepare_profiles(
         names.remove(row_id)
     labels = tuple(dict.fromkeys(labels))
     if row_id is None:
-        tie, row = F.xxhash64(*profiles.columns), F.monotonically_increasing_id()
+        tie, row = F.xxhash64(*map(quoted, profiles.columns)), F.monotonically_increasing_id()
     else:
-        tie = row = F.col(row_id).cast("long")
+        tie = row = F.col(quoted(row_id)).cast("long")
     rows = clean_features(profiles, names).select(
         row.alias("_row"),
         tie.alias("_tie"),
-        *[F.col(c).cast("string").alias(c) for c in labels],
-        *names,
+        *[F.col(quoted(c)).cast("string").alias(c) for c in labels],
+        *map(quoted, names),
     )
     if names:
         filled = rows.withColumn("_m", one_row(grouped_median(rows.select(*map(quoted, names)), [], names)))
         vector = array_of("coalesce($, _m.$, 0D)", names)
     else:
         filled, vector = rows, F.array().cast("array<double>")
-    table = materialize(filled.select("_row", "_tie", *labels, vector.alias("_vec")), "vectors")
+    table = materialize(filled.select("_row", "_tie", *map(quoted, labels), vector.alias("_vec")), "vectors")
     present = array_of("count($)", names) if names else F.array().cast("array<bigint>")
     n_rows, counts = rows.agg(F.count("*"), present).first()
     return Profiles(table, n_rows, sum(n > 0 for n in counts), labels)

@@ -37,7 +37,7 @@ from ..schema import (
     patient_schema,
     snrna_summary_schema,
 )
-from ..session import materialize
+from ..session import materialize, scratch_scope
 from ..sources.compartments import join_compartments
 from ..sources.tables import as_table, load_metadata_csvs, load_single_cells, write_parquet
 
@@ -66,9 +66,12 @@ def qc_report(
 
     The cells are scanned twice: once for a pyramid of moments per batch, plate, well and disease, from
     which counts, missingness and both drift tables are merged, and once to count the outliers
-    around the merged means.
+    around the merged means. With ``out_dir`` no scratch table is left.
     """
-    return _report(cells, out_dir, thresholds)[0]
+    if out_dir is None:
+        return _report(cells, out_dir, thresholds)[0]
+    with scratch_scope(cells.sparkSession):
+        return _report(cells, out_dir, thresholds)[0]
 
 
 def _report(
@@ -193,10 +196,29 @@ def run_from_subset(
     """Everything downstream of a site subset. Inputs are tables (nothing is simulated);
     each stage is stored below ``out_dir`` and read back by the next one.
 
-    Returns the one-row summary and the output paths.
+    Returns the one-row summary, stored as well, and the output paths. Scratch tables are
+    deleted at the end.
     """
+    with scratch_scope(spark):
+        summary, out = _run(
+            spark, sites, patients, compartments, clinical, snrna, out_dir.rstrip("/"), config
+        )
+        out["summary"] = write_parquet(summary, f"{out_dir.rstrip('/')}/summary.parquet")
+    return spark.read.parquet(out["summary"]), out
+
+
+def _run(
+    spark: SparkSession,
+    sites: DataFrame | str,
+    patients: DataFrame | str,
+    compartments: Mapping[str, DataFrame],
+    clinical: DataFrame | str,
+    snrna: DataFrame | str,
+    out_dir: str,
+    config: JobConfig,
+) -> tuple[DataFrame, dict[str, str]]:
     out = {
-        name: f"{out_dir.rstrip('/')}/{name}.parquet"
+        name: f"{out_dir}/{name}.parquet"
         for name in (
             "dev_subset",
             "single_cell",
