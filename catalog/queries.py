@@ -414,7 +414,7 @@ def clean_matrix(spark: SparkSession, sf: str) -> DataFrame:
     empty = F.lit(None).cast("double").alias("Cells_Empty")
     profiles = wide.select("Metadata_Row", F.col("Metadata_Batch").alias("Metadata_Batch.No"), *gaps, empty)
     data = pairs.prepare_profiles(profiles, ["Metadata_Batch.No"], row_id="Metadata_Row")
-    rows = data.table.select("_row", F.col("`Metadata_Batch.No`").alias("batch"), F.posexplode("_vec"))
+    rows = data.table.select("_row", F.col(pairs.label_column("Metadata_Batch.No")).alias("batch"), F.posexplode("_vec"))
     return rounded(rows.toDF("row_id", "batch", "position", "value"), 6)
 
 

@@ -16,13 +16,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.missing import hash_draw, one_row
+from ..functions.missing import hash_draw, one_row, quoted
 from ..functions.ranking import bucketed_row_number
 from ..session import materialize
 from .pairs import (
     Block,
     Profiles,
     label_codes,
+    label_column,
     prepare_profiles,
     slices,
     squared_distances,
@@ -112,6 +113,7 @@ def replicate_reproducibility(
     Vectors are sent once per block of the other side, as for the other metrics.
     """
     data = _prepared(profiles, replicate_col, features, row_id)
+    replicate_col = label_column(replicate_col)
     spark = data.table.sparkSession
     if data.n_rows < MIN_SAMPLES_FOR_MAP or data.n_features == 0:
         return _nan(spark)
@@ -388,6 +390,7 @@ def silhouette(
     is one row per (query, tile) whatever the sizes of the labels.
     """
     data = _prepared(profiles, label_col, features, row_id)
+    label_col = label_column(label_col)
     spark = data.table.sparkSession
     sizes = _class_sizes(data, label_col)
     n_labels = sizes.count()
@@ -590,6 +593,7 @@ def label_classifiability(
     folds; on equal votes the smallest label. Recall is averaged over labels, then folds.
     """
     data = _prepared(profiles, label_col, features, row_id)
+    label_col = label_column(label_col)
     spark = data.table.sparkSession
     n_classes, smallest = _class_sizes(data, label_col).agg(F.count("*"), F.min("_size")).first()
     folds = min(n_splits, smallest or 0)
@@ -620,8 +624,9 @@ def label_classifiability(
 
 def chance_level(profiles: DataFrame | Profiles, label_col: str) -> DataFrame:
     """``1 / number of classes`` (NULL is none), NaN without classes."""
-    table = profiles.table if isinstance(profiles, Profiles) else profiles
-    return table.agg(_or_nan(F.try_divide(F.lit(1.0), F.count_distinct(label_col))))
+    prepared = isinstance(profiles, Profiles)
+    table, name = (profiles.table, label_column(label_col)) if prepared else (profiles, label_col)
+    return table.agg(_or_nan(F.try_divide(F.lit(1.0), F.count_distinct(quoted(name)))))
 
 
 def batch_mixing(
@@ -636,6 +641,7 @@ def batch_mixing(
     """Share of the ``k`` nearest others that are of another batch, over the share expected
     if batches were mixed. ``skip=1`` leaves out the very nearest one."""
     data = _prepared(profiles, batch_col, features, row_id)
+    batch_col = label_column(batch_col)
     spark = data.table.sparkSession
     sizes = _class_sizes(data, batch_col)
     if data.n_features == 0 or data.n_rows <= MIN_SAMPLES or sizes.count() < MIN_CLASSES:

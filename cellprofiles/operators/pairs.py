@@ -35,9 +35,15 @@ _SLICE = 256
 _MIN_BLOCK_ROWS = 128
 
 
+def label_column(name: str) -> str:
+    """The name of a label in the prepared table, without the marks that column paths use."""
+    return name.replace("%", "%25").replace(".", "%2E").replace("`", "%60")
+
+
 @dataclass(frozen=True)
 class Profiles:
-    """Written table ``_row, _tie, labels..., _vec`` with its size."""
+    """Written table ``_row, _tie, labels..., _vec`` with its size; labels are named as
+    :func:`label_column` has it."""
 
     table: DataFrame
     n_rows: int
@@ -77,7 +83,7 @@ def prepare_profiles(
     rows = clean_features(profiles, names).select(
         row.alias("_row"),
         tie.alias("_tie"),
-        *[F.col(quoted(c)).cast("string").alias(c) for c in labels],
+        *[F.col(quoted(c)).cast("string").alias(label_column(c)) for c in labels],
         *map(quoted, names),
     )
     if names:
@@ -85,7 +91,8 @@ def prepare_profiles(
         vector = array_of("coalesce($, _m.$, 0D)", names)
     else:
         filled, vector = rows, F.array().cast("array<double>")
-    table = materialize(filled.select("_row", "_tie", *map(quoted, labels), vector.alias("_vec")), "vectors")
+    named = map(label_column, labels)
+    table = materialize(filled.select("_row", "_tie", *named, vector.alias("_vec")), "vectors")
     present = array_of("count($)", names) if names else F.array().cast("array<bigint>")
     n_rows, counts = rows.agg(F.count("*"), present).first()
     return Profiles(table, n_rows, sum(n > 0 for n in counts), labels)
@@ -101,7 +108,7 @@ def prepare_vectors(
     table = rows.select(
         F.col(row_id).cast("long").alias("_row"),
         F.col(row_id).cast("long").alias("_tie"),
-        *[F.col(c).cast("string").alias(c) for c in dict.fromkeys(labels)],
+        *[F.col(quoted(c)).cast("string").alias(label_column(c)) for c in dict.fromkeys(labels)],
         F.col(vector).cast("array<double>").alias("_vec"),
     )
     size = F.coalesce(F.size(vector), F.lit(-1))

@@ -54,7 +54,7 @@ def scratch_root(spark: SparkSession) -> str:
     root = f"{configured.rstrip('/')}/cellprofiles-{spark.sparkContext.applicationId}"
     if root not in _roots:
         _roots.add(root)
-        atexit.register(_delete, spark, root)
+        atexit.register(remove_scratch, spark, root)
     return root
 
 
@@ -62,8 +62,8 @@ _roots: set[str] = set()
 _scopes: list[list[str]] = []
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    """Remove a folder through Spark's file system layer, if the session still runs."""
+def remove_scratch(spark: SparkSession, path: str) -> None:
+    """Remove a scratch table, or the whole folder, through Spark's file system layer, if the session still runs."""
     context = spark.sparkContext
     if context._jsc is None or context._jsc.sc().isStopped():
         return
@@ -82,7 +82,7 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _scopes.pop():
-            _delete(spark, path)
+            remove_scratch(spark, path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cellprofiles.llm import decontamination, language, mixing, sharding, simhash
 from cellprofiles.llm.common import document_columns, read_table
 from cellprofiles.llm.queries import N_SHARDS
-from cellprofiles.session import materialize
+from cellprofiles.session import remove_scratch, scratch_path, scratch_scope
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +49,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``, each written and read again before the next one."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages on ``documents``, each written and read again before the next one.
+
+    What a stage leaves in the scratch folder is deleted when its rows are written, and its rows
+    when those of the next stage are; the last stage reads the rows of the one before.
+    """
+    docs, held = read_table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), "stage")
+        path = scratch_path(spark, "stage")
+        with scratch_scope(spark):
+            found = stage(spark, docs, sf_dir)
+            found.write.parquet(path)
+        if held is not None:
+            remove_scratch(spark, held)
+        docs, held = spark.read.schema(found.schema).parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -329,3 +329,29 @@ def test_silhouette_returns_one_row_per_query_and_tile(spark, monkeypatch):
         found = value(cp.silhouette(frame(spark, rows), row_id="Metadata_Row"))
         assert found == pytest.approx(expected, abs=1e-9)
         assert seen["out"].count() <= len(rows) * seen["tiles"]
+
+
+def test_any_column_name(spark):
+    """Dots, spaces and backticks in features, labels and the row's own number change nothing."""
+    import random
+
+    draw = random.Random(5)
+    rows = [(i, "ab"[i % 2], "xyz"[i % 3], *(draw.gauss(i % 2, 1) for _ in range(3))) for i in range(60)]
+    rows = [(*r[:4], None if r[0] % 7 == 0 else r[4], r[5]) for r in rows]
+    plain = ["row", "Metadata_Label", "Metadata_Batch", "Cells_A", "Cells_B", "Cells_C"]
+    odd = ["row no.", "Metadata_Label.x", "Metadata Batch`s", "Cells_A.b", "Cells `B`", "Cells_C.b c"]
+    types = ["long", "string", "string", "double", "double", "double"]
+    scores = []
+    for names in (plain, odd):
+        ddl = ", ".join(f"`{n.replace('`', '``')}` {t}" for n, t in zip(names, types))
+        out = cp.benchmark(
+            spark.createDataFrame(rows, ddl),
+            disease_col=names[1],
+            batch_col=names[2],
+            replicate_col=names[1],
+            features=names[3:],
+            row_id=names[0],
+            n_splits=3,
+        )
+        scores.append({r.metric: r.value for r in out.collect()})
+    assert scores[0] == pytest.approx(scores[1], abs=1e-9) and len(scores[0]) == 5

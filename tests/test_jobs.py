@@ -187,3 +187,22 @@ def test_selection_scans_the_profiles_once(spark, tables, tmp_path, scans):
     assert found["drop_na_columns"] == ["Cells_Gap"]
     assert "Cells_C" in found["correlation_threshold"] or "Cells_B" in found["correlation_threshold"]
     assert scans("profiles_to_select") == 1
+
+
+def scratch_tables(spark):
+    from pathlib import Path
+
+    from cellprofiles.session import scratch_root
+
+    root = Path(scratch_root(spark).removeprefix("file:"))
+    return {p.name for p in root.iterdir()} if root.exists() else set()
+
+
+def test_job_and_report_leave_no_scratch_tables(spark, tables, tmp_path):
+    before = scratch_tables(spark)
+    summary, out = cp.run_from_subset(spark, **tables, out_dir=str(tmp_path))
+    assert scratch_tables(spark) == before
+    assert summary.collect() == spark.read.parquet(out["summary"]).collect() and summary.first().n_cells > 0
+    report = cp.qc_report(spark.read.parquet(out["single_cell"]), str(tmp_path / "report"))
+    assert scratch_tables(spark) == before
+    assert all(table.count() > 0 for table in report.values())
