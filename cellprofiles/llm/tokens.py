@@ -4,7 +4,8 @@ The tokenizer's rule never joins characters across a single space or line break
 non-space characters on both sides: such a space starts a piece, such a line break is one. So
 a text may be cut before these spaces and around these line breaks, and the ids of the text
 are those of the parts, one after the other. Parts are encoded by the tokenizers library, each
-different one once while it is in the cache; new parts that start with a space go to it joined
+different one once while it is in the cache. Texts are cut and equal parts found in Arrow, for many
+texts together, so Python sees each part once; new parts that start with a space go to it joined
 to one text, and the bytes that each id stands for tell where a part ends. Parts that are a
 single word of Latin letters need no cutting into words: they go to the file's BPE model with
 white space as the only rule, in the byte alphabet of its vocabulary.
@@ -19,6 +20,8 @@ import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Parts in the cache before it is emptied.
 CACHE = 1_200_000
@@ -27,22 +30,38 @@ CACHE = 1_200_000
 JOINED = 8_000
 
 #: Characters of texts whose parts are looked up together.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 23
+
+#: Parts whose tokens are put in place together.
+PLACED = 1 << 20
 
 _MARK = "\0"
 _WORD = re.compile(r" [A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")
 _BREAK = re.compile(r"(?<=\S)(?= \S)")
 
 
+def marked(text: str) -> str | None:
+    """Text with a mark between its parts; None if its white space is not single spaces and line
+    breaks between other characters, or a character does not print."""
+    flat = text.replace("\n", " ")
+    if not flat.isprintable() or "  " in flat or flat[:1] in ("", " ") or flat[-1] == " ":
+        return None
+    return text.replace(" ", f"{_MARK} ").replace("\n", f"{_MARK}\n{_MARK}")
+
+
 def parts_of(text: str) -> list[str]:
     """Parts of a text that can be encoded one by one."""
     if not text:
         return []
-    flat = text.replace("\n", " ")
-    if not flat.isprintable() or "  " in flat or flat[0] == " " or flat[-1] == " ":
-        return _BREAK.split(text)  # there is white space besides single spaces and line breaks
-    marked = text.replace(" ", f"{_MARK} ").replace("\n", f"{_MARK}\n{_MARK}")
-    return marked.split(_MARK)
+    shown = marked(text)
+    return _BREAK.split(text) if shown is None else shown.split(_MARK)
+
+
+def placed(starts: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Positions of the runs (start, size) that ``codes`` name, one after the other."""
+    many = sizes[codes]
+    ends = np.cumsum(many)
+    return np.arange(int(many.sum())) + np.repeat(starts[codes] - (ends - many), many)
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -70,6 +89,9 @@ class Encoder:
         self.whole = any(a.lstrip or a.rstrip or a.single_word for a in added)
         names = sorted((re.escape(a.content) for a in added), key=len, reverse=True)
         self.added = re.compile(f"({'|'.join(names)})") if names else None
+        # a text is cut at added tokens, so a part is one or holds none, unless texts stay whole
+        contents = {a.content for a in added}
+        self.holds_added = self.added.search if self.whole else contents.__contains__
         self.words = Tokenizer(self.tokenizer.model)
         self.words.pre_tokenizer = WhitespaceSplit()
         self.alphabet = byte_alphabet()
@@ -81,24 +103,25 @@ class Encoder:
         for token, number in vocabulary.items():  # a character of the vocabulary is a byte
             self.sizes[number] = len(token)
 
-    def _learn(self, group: list[list[str]]) -> None:
-        """Encode the parts that the cache lacks. Nothing made here refers to itself, so looking for
+    def _learn(self, parts: list[str]) -> None:
+        """Encode those of different parts that the cache lacks. Nothing made here refers to itself, so looking for
         cycles among so many parts is put off."""
         collecting = gc.isenabled()
         gc.disable()
         try:
-            self._learn_parts(group)
+            self._learn_parts(parts)
         finally:
             if collecting:
                 gc.enable()
 
-    def _learn_parts(self, group: list[list[str]]) -> None:
+    def _learn_parts(self, parts: list[str]) -> None:
         if len(self.ids) > CACHE:
             self.ids, self.spans = {}, {}
-        new: set[str] = set().union(*group).difference(self.ids)
         words, plain, others = [], [], []
-        for part in new:
-            if self.added and self.added.search(part):
+        for part in parts:
+            if part in self.ids:
+                continue
+            if self.holds_added(part):
                 others.append(part)
             elif _WORD.fullmatch(part):
                 words.append(part)
@@ -156,38 +179,70 @@ class Encoder:
         cut = ([p] if i % 2 else parts_of(p) for i, p in enumerate(pieces))
         return list(itertools.chain.from_iterable(cut))
 
-    def _groups(self, texts: Sequence[str | None]) -> Iterator[list[list[str]]]:
-        group, size = [], 0
-        for text in texts:
-            group.append(self._parts(text or ""))
+    def _groups(self, texts: Sequence[str | None]) -> Iterator[Sequence[str | None]]:
+        at, size = 0, 0
+        for stop, text in enumerate(texts, 1):
             size += len(text or "")
             if size >= TOGETHER:
-                yield group
-                group, size = [], 0
-        yield group
+                yield texts[at:stop]
+                at, size = stop, 0
+        yield texts[at:]
+
+    def _numbered(self, texts: Sequence[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Different parts of some texts, the number of each part among them in the order of the
+        texts, and how many parts each text has."""
+        plain, odd, of_plain = [], [], np.zeros(len(texts), dtype=bool)
+        for i, text in enumerate(texts):
+            shown = marked(text) if text and not (self.added and self.added.search(text)) else None
+            of_plain[i] = shown is not None
+            if shown is None:
+                odd.append(self._parts(text or ""))
+            else:
+                plain.append(shown)
+        split = pc.split_pattern(pa.array(plain, pa.large_string()), _MARK)
+        many = np.zeros(len(texts), dtype=np.int64)
+        many[of_plain] = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+        many[~of_plain] = [len(parts) for parts in odd]
+        rest = pa.array(list(itertools.chain.from_iterable(odd)), pa.large_string())
+        named = pa.concat_arrays([split.flatten(), rest]).dictionary_encode()
+        codes = named.indices.to_numpy(zero_copy_only=False)
+        if odd:  # they were put behind the others
+            order = np.argsort(~of_plain, kind="stable")
+            starts = np.zeros(len(texts), dtype=np.int64)
+            starts[order] = np.cumsum(many[order]) - many[order]
+            codes = codes[placed(starts, many, np.arange(len(texts)))]
+        return named.dictionary.to_pylist(), codes, many
 
     def encode(self, texts: Sequence[str | None]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; none for NULL."""
         for group in self._groups(texts):
-            self._learn(group)
-            for parts in group:
-                yield b"".join(map(self.ids.__getitem__, parts))
+            parts, codes, many = self._numbered(group)
+            self._learn(parts)
+            data = list(map(self.ids.__getitem__, parts))
+            sizes = np.fromiter(map(len, data), dtype=np.int64, count=len(data)) // 4
+            starts, known = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(data), dtype="<u4")
+            blocks = (codes[at : at + PLACED] for at in range(0, len(codes), PLACED))
+            found = [known[placed(starts, sizes, block)] for block in blocks]
+            ids = memoryview(np.concatenate(found or [known]).view(np.uint8))
+            ends = np.append(0, np.cumsum(sizes[codes]))[np.append(0, np.cumsum(many))] * 4
+            for a, b in itertools.pairwise(ends.tolist()):
+                yield bytes(ids[a:b])
 
     def encode_spans(self, texts: Sequence[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Per group of consecutive texts, first and last character (excluded) of each token, and
         where each text starts; positions count through the group, with one between texts."""
         for group in self._groups(texts):
-            self._learn(group)
-            parts = list(itertools.chain.from_iterable(group))
+            parts, codes, many = self._numbered(group)
+            self._learn(parts)
             data = list(map(self.spans.__getitem__, parts))
-            spans = np.frombuffer(b"".join(data), dtype="<i8").reshape(-1, 2)
+            known = np.frombuffer(b"".join(data), dtype="<i8").reshape(-1, 2)
             tokens = np.fromiter(map(len, data), dtype=np.int64, count=len(parts)) // 16
-            sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-            many = np.array([len(own) for own in group], dtype=np.int64)
+            sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))[codes]
             text = np.repeat(np.arange(len(group)), many)
             at = np.cumsum(sizes) - sizes + text
             lengths = np.bincount(text, sizes, len(group)).astype(np.int64) + 1
-            yield spans + np.repeat(at, tokens)[:, None], np.cumsum(lengths) - lengths
+            spans = known[placed(np.cumsum(tokens) - tokens, tokens, codes)]
+            yield spans + np.repeat(at, tokens[codes])[:, None], np.cumsum(lengths) - lengths
 
 
 class EncoderSource:
