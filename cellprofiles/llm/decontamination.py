@@ -1,8 +1,8 @@
 """Benchmark passages in documents, by backward search in an FM-index per shard.
 
 A document word is hit if it lies in an occurrence of a *window*: 13 consecutive words of a
-benchmark item, or a whole item of fewer words. Every task cuts its documents into shards
-(batches of rows), and per shard
+benchmark item, or a whole item of fewer words. Every task cuts its documents into shards of
+a bounded number of bytes (a longer text is one by itself), and per shard
 
 * keeps the stretches of text in which each pair of neighbouring words is also a pair of
   neighbours in some item - an occurrence of a window lies wholly in such a stretch, so
@@ -14,20 +14,24 @@ benchmark item, or a whole item of fewer words. Every task cuts its documents in
 * merges the occurrences to spans.
 
 The work of a row depends on its text alone: there is no shuffle, and hot passages or copies
-change nothing. Windows reach the tasks in blocks of a bounded number of item words.
+change nothing. Windows are broadcast in blocks of a bounded number of item words, one at a time:
+if there are more blocks, the result of each is written and taken up by the pass of the next.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .wavelet import WaveletMatrix
 
 #: Words of a window.
@@ -36,13 +40,17 @@ WINDOW = 13
 #: A document is contaminated from one hit word in so many words on.
 CONTAMINATED = 20
 
-#: Item words in one broadcast block.
-BLOCK_WORDS = 2_000_000
+#: Item words in one broadcast block; eight bytes of text count as one word at least.
+BLOCK_WORDS = 500_000
+
+#: Bytes of text from which on a shard is full, and bytes of a text that are cut into words at once.
+SHARD_BYTES, CHUNK = 1 << 22, 1 << 20
 
 #: Text positions between sampled suffix positions.
 SAMPLE = 16
 
 _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
+_GAP = re.compile(rb"[^0-9a-z\x80-\xff]")
 
 RESULT = (
     "n_words long, n_hit long, items array<long>, spans array<struct<start: long, stop: long>>"
@@ -54,6 +62,18 @@ def words_of(text: bytes | None) -> list[bytes]:
     return _WORDS.findall(text.lower()) if text else []
 
 
+def numbers_of(text: bytes | None, numbers: dict[bytes, int]) -> np.ndarray:
+    """The number of each word of a text, 0 if it has none; the words are not held together."""
+    lowered, found, at = (text or b"").lower(), [], 0
+    while at < len(lowered):
+        gap = _GAP.search(lowered, at + CHUNK)
+        stop = gap.start() if gap else len(lowered)
+        words = _WORDS.findall(lowered, at, stop)
+        found.append(np.fromiter(map(numbers.get, words, itertools.repeat(0)), np.int64, len(words)))
+        at = stop
+    return np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
+
+
 @dataclass
 class WindowBlock:
     """Windows of some items as word numbers (from 1), by window length."""
@@ -164,21 +184,32 @@ def _stretches(numbers: np.ndarray, doc: np.ndarray, block: WindowBlock) -> np.n
     return place
 
 
-def scan_shard(texts: list[bytes | None], blocks: list[WindowBlock]) -> pd.DataFrame:
-    """Words, hit words, items and spans of each text of one shard."""
-    split = [words_of(text) for text in texts]
+def scan_shard(
+    texts: Sequence[bytes | None],
+    blocks: list[WindowBlock],
+    known: Sequence[tuple[Sequence[int], ...]] | None = None,
+) -> pd.DataFrame:
+    """Words, hit words, items and spans of each text of one shard.
+
+    ``known`` has what other blocks have found: per text the items, and the starts and stops of the
+    spans.
+    """
+    split = [numbers_of(text, blocks[0].numbers if blocks else {}) for text in texts]
     sizes = np.array([len(words) for words in split], dtype=np.int64)
     starts = np.cumsum(sizes) - sizes
     doc = np.repeat(np.arange(len(texts)), sizes)
     hits = np.zeros(len(doc) + 1, dtype=np.int64)
     pairs: list[np.ndarray] = []
-    for block in blocks:
+    for text, (items, begins, stops) in enumerate(known or ()):
+        np.add.at(hits, starts[text] + np.asarray(begins, dtype=np.int64), 1)
+        np.add.at(hits, starts[text] + np.asarray(stops, dtype=np.int64), -1)
+        if len(items):
+            pairs.append(np.stack([np.full(len(items), text), np.asarray(items, dtype=np.int64)]))
+    for n, block in enumerate(blocks):
         if not block.windows or not len(doc):
             continue
-        get = block.numbers.get
-        numbers = np.fromiter(
-            (get(word, 0) for words in split for word in words), dtype=np.int64, count=len(doc)
-        )
+        split = [numbers_of(text, block.numbers) for text in texts] if n else split
+        numbers = np.concatenate(split)
         place = _stretches(numbers, doc, block)
         if not len(place):
             continue
@@ -220,37 +251,72 @@ def scan_shard(texts: list[bytes | None], blocks: list[WindowBlock]) -> pd.DataF
     )
 
 
-def window_blocks(benchmark: DataFrame, window: int) -> list:
-    """Broadcast blocks of windows; the driver holds the words of one block at a time."""
-    context, blocks, items, words = benchmark.sparkSession.sparkContext, [], [], 0
+def window_blocks(
+    benchmark: DataFrame, window: int, block_words: int = BLOCK_WORDS
+) -> Iterator[WindowBlock]:
+    """Blocks of windows, one at least. Only the words of one are held at a time; an item of more
+    is cut into pieces that share all but one word of a window."""
+    items, size = [], 0
     rows = benchmark.select("item_id", F.col("text").cast("binary").alias("text"))
     for row in rows.toLocalIterator():
-        items.append((row.item_id, words_of(row.text)))
-        words += len(items[-1][1])
-        if words >= BLOCK_WORDS:
-            blocks.append(context.broadcast(WindowBlock.build(items, window)))
-            items, words = [], 0
-    blocks.append(context.broadcast(WindowBlock.build(items, window)))
-    return blocks
-
-
-def overlap(text: Column, benchmark: DataFrame, window: int = WINDOW) -> Column:
-    """What of a text occurs in the benchmark: ``n_words``, ``n_hit``, ``items``, ``spans``.
-
-    ``benchmark`` has ``item_id`` (long) and ``text``. ``items`` are the ids of items with an
-    occurring window, ascending and each once; ``spans`` are stretches of hit words
-    (start, stop; stop excluded), merged where they touch. NULL and empty texts have no
-    words, on either side. An item without id makes hits but is not listed; equal items are
-    listed both. An empty benchmark hits nothing.
-    """
-    blocks = window_blocks(benchmark, window)
-
+        words = words_of(row.text)
+        for at in range(0, max(len(words) - window + 1, 1), block_words):
+            piece = words[at : at + block_words + window - 1]
+            items.append((row.item_id, piece))
+            size += max(len(piece), sum(map(len, piece)) // 8)
+            if size >= block_words:
+                yield WindowBlock.build(items, window)
+                items, size = [], 0
+    yield WindowBlock.build(items, window)
+
+
+def scan_batch(texts: Sequence[bytes | None], block: WindowBlock, known: list) -> pd.DataFrame:
+    """:func:`scan_shard` for the shards of a batch."""
+    found, at, size = [], 0, 0
+    for stop, text in enumerate(texts, 1):
+        size += len(text or b"")
+        if size >= SHARD_BYTES or stop == len(texts):
+            found.append(scan_shard(texts[at:stop], [block], known[at:stop]))
+            at, size = stop, 0
+    return pd.concat(found, ignore_index=True) if found else scan_shard([], [block])
+
+
+def _overlap(text: Column, known: list[Column], shared: Broadcast) -> Column:
     @F.pandas_udf(RESULT)
-    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield scan_shard(list(batch), [block.value for block in blocks])
+    def scan(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for texts, *earlier in batches:
+            yield scan_batch(list(texts), shared.value, list(zip(*earlier, strict=True)))
+
+    return scan(text.cast("binary"), *known)
+
+
+def overlap(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS
+) -> DataFrame:
+    """What of each text occurs in the benchmark: a struct ``row`` with all columns of ``docs``, and
+    ``found`` with ``n_words``, ``n_hit``, ``items``, ``spans``.
 
-    return scan(text.cast("binary"))
+    ``docs`` needs ``text``; other columns may have any names. ``benchmark`` has ``item_id`` (long)
+    and ``text``. ``items`` are the ids of items with an occurring window, ascending and each once;
+    ``spans`` are stretches of hit words (start, stop; stop excluded), merged where they touch. NULL
+    and empty texts have no words, on either side; texts of any length are read whole, and repeated
+    rows give a row each. An item without id makes hits but is not listed; equal items are
+    listed both. An empty benchmark hits nothing.
+
+    A block of windows is broadcast at a time. All but the last pass are written, with
+    the rows, to the shared folder.
+    """
+    none = F.array().cast("array<long>")
+    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    known, shared = [none, none, none], None
+    for block in window_blocks(benchmark, window, block_words):
+        if shared is not None:
+            found = materialize(found, "overlap")
+            shared.unpersist()
+            known = [F.col(f"found.{c}") for c in ("items", "spans.start", "spans.stop")]
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        found = found.select("row", _overlap(F.col("row.text"), known, shared).alias("found"))
+    return found
 
 
 def contaminated(found: Column) -> Column:
@@ -265,6 +331,5 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Needs ``text``; other columns pass through, whatever their names. Documents with fewer
     hits stay as they are.
     """
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    found = packed.withColumn("_found", overlap(F.col("_row.text"), benchmark))
-    return found.filter(~contaminated(F.col("_found"))).select("_row.*")
+    found = overlap(docs, benchmark)
+    return found.filter(~contaminated(F.col("found"))).select("row.*")

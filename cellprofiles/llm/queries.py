@@ -102,12 +102,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in passages of the benchmark."""
     docs, benchmark = (read_table(spark, sf_dir, name) for name in ("documents", "benchmark"))
-    found = docs.select(
-        "doc_id", decontamination.overlap(F.col("text"), benchmark).alias("found")
-    )
+    found = decontamination.overlap(docs.select("doc_id", "text"), benchmark)
     named = F.array_join(F.array_sort(F.col("found.items").cast("array<string>")), ",")
     return found.select(
-        "doc_id",
+        "row.doc_id",
         "found.n_words",
         "found.n_hit",
         F.size("found.items").cast("long").alias("n_items"),

@@ -80,8 +80,10 @@ def test_documents(spark, documents):
         (8, "filler " * 300 + "short item"),
     ]
     docs = documents(*rows).withColumn("_found", F.lit(1)).withColumn("items", F.lit(2))
-    found = docs.select("doc_id", dec.overlap(F.col("text"), benchmark).alias("f")).collect()
-    got = {r.doc_id: (r.f.n_words, r.f.n_hit, list(r.f["items"])) for r in found}
+    found = dec.overlap(docs, benchmark).collect()
+    got = {r.row.doc_id: (r.found.n_words, r.found.n_hit, list(r.found["items"])) for r in found}
+    passes = dec.overlap(docs, benchmark, block_words=7).collect()  # items in pieces, several blocks
+    assert sorted(map(str, passes)) == sorted(map(str, found))
     assert got[1] == (22, 20, [1]) and got[2] == (4, 2, [2]) and got[3] == (12, 0, [])
     assert got[4] == got[5] == (0, 0, []) and got[6] == (5, 3, []) and got[None] == (20, 20, [1])
     assert got[7][1] == 17 and got[8] == (302, 2, [2])
@@ -90,6 +92,27 @@ def test_documents(spark, documents):
     assert sorted(r.doc_id for r in clean.collect()) == [3, 4, 5, 8]
 
 
+def test_batches_are_cut_by_bytes(monkeypatch):
+    draw = random.Random(5)
+    alphabet = [b"a", b"b", b"c", b"\xc3\xa9"]
+    items = [(i, [draw.choice(alphabet) for _ in range(6)]) for i in range(4)]
+    texts = [b" ".join(draw.choice(alphabet) for _ in range(draw.randint(0, 300))) for _ in range(20)] + [None, b""]
+    block = dec.WindowBlock.build(items, 4)
+    whole = dec.scan_shard(texts, [block])
+    monkeypatch.setattr(dec, "SHARD_BYTES", 700)
+    monkeypatch.setattr(dec, "CHUNK", 11)
+    cut = dec.scan_batch(texts, block, [((), (), ())] * len(texts))
+    assert str(cut.to_dict()) == str(whole.to_dict())
+
+
+def test_long_texts_in_bounded_batches():
+    passage = " ".join(f"w{i}" for i in range(20)).encode()
+    block = dec.WindowBlock.build([(1, dec.words_of(passage))], dec.WINDOW)
+    long = b"filler word " * 80_000 + passage
+    out = dec.scan_batch([long, long], block, [((), (), ())] * 2)
+    assert out.n_hit.tolist() == [20, 20] and out.n_words.tolist() == [160_020] * 2
+
+
 def test_empty_tables(spark, documents):
     nothing = spark.createDataFrame([], "item_id long, text string")
     assert dec.remove_contaminated(documents(), nothing).count() == 0
