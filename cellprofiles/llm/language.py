@@ -3,8 +3,9 @@
 Subwords are the byte n-grams of the letters of a text, words parted by single spaces. Each
 n-gram is hashed to a bucket that has an embedding; a text is the mean of its embeddings, and
 a linear layer with softmax gives the languages. Embeddings and layer are trained by stochastic
-gradient descent in NumPy on the driver, on a sample of labelled documents whose size is
-bounded by ``SAMPLE_PER_LANGUAGE`` and ``SAMPLE_BYTES``. Prediction uses every text whole.
+gradient descent in NumPy on the driver, on a sample of labelled texts. Its size is bounded,
+however many languages there are, by ``SAMPLE_TEXTS`` and ``SAMPLE_BYTES``, and that of the model
+by ``TABLE_ENTRIES``. Prediction uses every text whole.
 
 Because everything after the lookup is linear, a trained model is one table with a row of
 logits per bucket. The softmax is calibrated by a temperature fitted on documents that the
@@ -31,8 +32,16 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-#: Documents per language and their most bytes in the training sample.
-SAMPLE_PER_LANGUAGE, SAMPLE_BYTES = 1500, 50_000
+#: Different texts in the training sample: of a language, of all, and bytes of all, as expected
+#: values of a draw by hash.
+SAMPLE_PER_LANGUAGE, SAMPLE_TEXTS, SAMPLE_BYTES = 1500, 10_000, 100_000_000
+
+#: Of a training text with more bytes than this, so many pieces of so many characters are learnt
+#: from, evenly spread over the whole text.
+LONG_BYTES, PIECES, PIECE = 50_000, 20, 1000
+
+#: Entries of a table with a value per bucket and language; buckets are halved until it holds.
+TABLE_ENTRIES = 1 << 24
 
 #: Up to so many languages their shares go to every task; more are joined by a shuffle.
 BROADCAST_LANGUAGES = 10_000
@@ -114,14 +123,18 @@ class LanguageModel:
     usual: np.ndarray | None = None
     bound: float = float("inf")
     rates: dict[str, float] = field(default_factory=dict)
+    bits: int = BUCKET_BITS
+
+    def buckets(self, letters: bytes, start: int = 0, stop: int | None = None) -> np.ndarray:
+        return buckets_of(letters, start, stop) >> (BUCKET_BITS - self.bits)
 
     def grams(self, letters: bytes) -> tuple[np.ndarray, np.ndarray]:
         """The different buckets of a text, ascending, and their numbers."""
         if len(letters) <= CHUNK:
-            return np.unique(buckets_of(letters), return_counts=True)
-        times = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
+            return np.unique(self.buckets(letters), return_counts=True)
+        times = np.zeros(1 << self.bits, dtype=np.int64)
         for start in range(0, len(letters), CHUNK):
-            buckets = buckets_of(letters, start, min(start + CHUNK, len(letters)))
+            buckets = self.buckets(letters, start, min(start + CHUNK, len(letters)))
             times += np.bincount(buckets, minlength=len(times))
         own = np.flatnonzero(times)
         return own, times[own]
@@ -178,18 +191,20 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
 def fit(texts: list[str], languages: list[str], seed: int = 7) -> LanguageModel:
     """Train and calibrate a model; the same rows in the same order give the same model."""
     names = sorted(set(languages))
-    target = np.array([names.index(name) for name in languages], dtype=np.int64)
+    places = {name: k for k, name in enumerate(names)}
+    target = np.array([places[name] for name in languages], dtype=np.int64)
     draw = np.random.default_rng(seed)
+    bits = min(BUCKET_BITS, (TABLE_ENTRIES // max(len(names), 1)).bit_length() - 1)
     grams = []
     for text in texts:
-        own = buckets_of(letters_of(text))
+        own = buckets_of(letters_of(text)) >> (BUCKET_BITS - bits)
         kept = draw.choice(own, KEPT_GRAMS, replace=False) if len(own) > KEPT_GRAMS else own
         grams.append(kept.astype(np.int32))
     usable = np.array([i for i, g in enumerate(grams) if len(g)], dtype=np.int64)
     draw.shuffle(usable)
     held = usable[: int(len(usable) * CALIBRATION)]
     learnt = usable[len(held) :]
-    size = 1 << BUCKET_BITS
+    size = 1 << bits
     table = draw.uniform(-1 / WIDTH, 1 / WIDTH, (size, WIDTH)).astype(np.float32)
     layer = np.zeros((len(names), WIDTH), dtype=np.float32)
     met = np.zeros(size, dtype=bool)
@@ -205,7 +220,7 @@ def fit(texts: list[str], languages: list[str], seed: int = 7) -> LanguageModel:
         layer -= error.T @ mean
         np.subtract.at(table, drawn.ravel(), np.repeat(back * BATCH / DRAWN, DRAWN, axis=0))
     table[~met] = 0
-    model = LanguageModel(names, table @ layer.T, 1.0)
+    model = LanguageModel(names, table @ layer.T, 1.0, bits=bits)
     if len(held):
         logits = np.stack([model.text_logits(letters_of(texts[i])) for i in held])
         losses, doubt = [], 1 / (len(held) + 2)  # as if one more text had been taken for another
@@ -257,23 +272,43 @@ def set_bound(
     model.rates = {k: float(np.mean(np.array(v) > model.bound)) for k, v in kinds.items() if v}
 
 
-def training_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> pd.DataFrame:
-    """About ``per_language`` labelled documents of each language, drawn by a hash of the text.
+def training_sample(
+    docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, texts: int = SAMPLE_TEXTS
+) -> pd.DataFrame:
+    """About ``per_language`` different texts of each language, about ``texts`` and
+    ``SAMPLE_BYTES`` in all, each language with an equal part of these.
 
-    Rows without text or ``lang``, and texts of over ``SAMPLE_BYTES``, are not drawn. Equal
-    texts are drawn together and kept once for each language.
+    Texts are drawn by a hash, so equal ones together, and kept once for each language; copies do
+    not change the share. Rows without text or ``lang`` are not drawn. Of a text of over
+    ``LONG_BYTES`` pieces from start to end are taken.
     """
-    labelled = docs.filter(
-        F.col("lang").isNotNull() & F.octet_length("text").between(1, SAMPLE_BYTES)
-    ).select("text", "lang")
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    counts = labelled.groupBy("lang").count()
-    share = F.lit(float(per_language * (1 << 30))) / F.col("count")
-    shares = materialize(counts.select("lang", share.alias("_share")), "language-shares")
-    if shares.count() <= BROADCAST_LANGUAGES:
+    labelled = docs.filter(F.col("lang").isNotNull() & (F.octet_length("text") > 0)).select(
+        "lang", "text", F.xxhash64("text").alias("_hash")
+    )
+    size = F.least(F.octet_length("text"), F.lit(LONG_BYTES)).alias("_size")
+    different = labelled.select("lang", "_hash", size).distinct()
+    counts = different.groupBy("lang").agg(F.count("*").alias("_n"), F.avg("_size").alias("_mean"))
+    counts = materialize(counts, "language-counts")
+    languages = counts.count()
+    if not languages:
+        return pd.DataFrame({"lang": [], "text": []}, dtype=object)
+    most = F.least(
+        F.lit(float(per_language)), F.lit(texts / languages), F.lit(SAMPLE_BYTES / languages) / F.col("_mean")
+    )
+    shares = counts.select("lang", (most * (1 << 30) / F.col("_n")).alias("_share"))
+    if languages <= BROADCAST_LANGUAGES:
         shares = F.broadcast(shares)
     drawn = labelled.join(shares, "lang")
-    drawn = drawn.filter(draw < F.col("_share")).select("text", "lang").distinct()
+    drawn = drawn.filter(F.pmod("_hash", F.lit(1 << 30)) < F.col("_share"))
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.lit(PIECES - 1)),
+        lambda i: F.substr(
+            "text", (i * F.char_length("text") / PIECES).cast("int") + 1, F.lit(PIECE)
+        ),
+    )
+    long = F.octet_length("text") > LONG_BYTES
+    text = F.when(long, F.concat_ws(" ", pieces)).otherwise(F.col("text")).alias("text")
+    drawn = drawn.select("lang", "text").distinct().select("lang", text)
     return drawn.toPandas().sort_values(["lang", "text"], ignore_index=True)
 
 

@@ -51,6 +51,32 @@ def test_empty_and_unlabelled_tables(documents):
     assert [r.doc_id for r in out.collect()] == [1]
 
 
+def test_copies_and_long_texts_are_learnt(spark, documents, monkeypatch):
+    rows = [(i, f"the cat number{i % 3} and the dog", "en") for i in range(3000)]
+    rows += [(5000 + i, f"der hund und die katze gehen {'ab'[i % 2]}{chr(97 + i % 26)}{i} haus", "de") for i in range(300)]
+    long = "el perro y la casa del rey con una mesa " * 25_000
+    rows += [(9000 + i, f"{long} {i}", "es") for i in range(5)]
+    docs = documents(*rows, (1, None, "en"), (2, "", "de"), (None, "no label", None))
+    sample = language.training_sample(docs, per_language=60)
+    counts = sample.groupby("lang").size().to_dict()
+    assert counts["en"] == 3 and counts["es"] == 5 and 30 <= counts["de"] <= 90
+    assert sample[sample.lang == "es"].text.str.len().max() <= language.PIECES * (language.PIECE + 1)
+    assert len(language.training_sample(docs, texts=3)) < 15
+    model = language.fit(sample.text.tolist(), sample.lang.tolist())
+    assert model.predict([long]).lang_pred.tolist() == ["es"]
+    assert model.predict(["the dog and the cat"] * 2).lang_pred.tolist() == ["en"] * 2
+
+
+def test_many_languages_make_no_larger_model(documents):
+    names = [f"l{k:03d}" for k in range(500)]
+    rows = [(k * 10 + i, f"{chr(97 + k % 26)}{chr(97 + k // 26)}xo qua{chr(97 + i)}", name) for k, name in enumerate(names) for i in range(8)]
+    sample = language.training_sample(documents(*rows), texts=1500)
+    assert 1000 <= len(sample) <= 2000
+    model = language.fit([r[1] for r in rows], [r[2] for r in rows])
+    assert len(model.languages) == 500 and model.logits.size <= language.TABLE_ENTRIES
+    assert model.shares is None or model.shares.size <= language.TABLE_ENTRIES
+
+
 FOREIGN = {
     301: "kissa istuu ikkunalla ja katselee lintuja kun lumi sataa hiljaa metsan ylle ja jarvi jaatyy yon aikana ",
     302: "kucing itu duduk di dekat jendela sambil melihat burung yang terbang di atas rumah kami setiap pagi hari ",
