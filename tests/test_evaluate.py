@@ -355,3 +355,55 @@ def test_any_column_name(spark):
         )
         scores.append({r.metric: r.value for r in out.collect()})
     assert scores[0] == pytest.approx(scores[1], abs=1e-9) and len(scores[0]) == 5
+
+
+def test_products_give_the_squares_of_differences():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 7)) + 1e6
+    x[40:50] = x[:10]
+    x[50:55] = x[:5] + 1e-7
+    x[59, 2] = np.nan
+    squares, want = pairs.Squares(x), ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    part = slice(20, 60)
+    found = squares.of(x, squares.queries(x), part)
+    np.testing.assert_allclose(found, want[:, part], rtol=1e-9, equal_nan=True)
+    assert (found[range(10), range(20, 30)] == 0).all()
+    bound = squares.at_least(squares.queries(x), part)
+    assert not (bound > want[:, part]).any()
+
+
+def test_large_tables_have_few_blocks(spark):
+    """Rows are sent once per block, so 600,000 rows of 64 values go to no more blocks than cores need."""
+    large = pairs.Profiles(spark.range(1), 600_000, 64, ())
+    cores = spark.sparkContext.defaultParallelism
+    assert large.blocks() <= max(5, math.ceil(math.sqrt(4 * cores)))
+
+
+def test_short_chunks_make_no_more_tiles(spark, rows, tiny_blocks, monkeypatch):
+    """Labels cut into chunks of two rows: as few blocks as the rows need, and the same silhouette."""
+    seen, original = {}, evaluate.tiles
+
+    def counting(data, *args, **options):
+        seen["blocks"], seen["candidate"] = data.blocks(), options["candidate_block"][1]
+        return original(data, *args, **options)
+
+    monkeypatch.setattr(evaluate, "tiles", counting)
+    found = value(cp.silhouette(frame(spark, rows), row_id="Metadata_Row", chunk_rows=2))
+    assert found == pytest.approx(brute_silhouette(*arrays(rows, "group")), abs=1e-9)
+    assert seen["candidate"] <= 2 * seen["blocks"] + 1
+
+
+def test_queries_of_large_groups_take_turns(spark, rows, tiny_blocks, monkeypatch):
+    """One block of queries at a time, every block once, and the same retrieval."""
+    seen, original = [], evaluate.tiles
+
+    def counting(data, *args, **options):
+        seen.append((*options["query_blocks"], data.blocks(options["block_rows"])))
+        return original(data, *args, **options)
+
+    monkeypatch.setattr(evaluate, "tiles", counting)
+    monkeypatch.setattr(evaluate, "WAVE_PAIRS", 1)
+    found = cp.replicate_reproducibility(frame(spark, rows), row_id="Metadata_Row", max_listed=0)
+    assert value(found) == pytest.approx(brute_map(*arrays(rows, "patient")), abs=1e-9)
+    n_blocks = seen[0][2]
+    assert n_blocks > 1 and [s[:2] for s in seen] == [(i, i + 1) for i in range(n_blocks)]
