@@ -91,3 +91,39 @@ def test_validation_finds_nulls_ranges_and_structure(spark, raw, moa):
     assert cp.validate_image_table(table.limit(0)) == ["broken 1 time(s): the table has rows"]
     missing = cp.validate_image_table(table.drop("Metadata_Site"))
     assert missing == ["columns absent: Metadata_Site"]
+
+
+def test_repeated_lookups_and_sites_are_numbered_row_by_row(spark, raw, moa):
+    """Every entry of the lookup gives a row; images, then the other columns, order the numbers. Copies
+    of a site and entries of a treatment are numbered before they become rows."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from cellprofiles.operators import sites
+
+    more = [("DMSO", 0.0, "A"), ("DMSO", 0.0, "DMSO"), ("DMSO", 0.0, None), ("taxol", 0.3, "Tubulin")]
+    lookup = moa.union(spark.createDataFrame(more, moa.schema))
+    extra = [(1, None, "PlateA", "A01", 1, "DMSO", 0.0), (2, 9, "PlateA", "A01", 1, "taxol", 0.3)]
+    images = raw.union(raw.where("ImageNumber % 3 = 0")).union(spark.createDataFrame(extra, RAW))
+    table = cp.canonicalize_image_table(images, lookup)
+    rest = [c for c in table.columns if c not in ("Metadata_Site", "Metadata_ImageNumber", "Metadata_MoA")]
+    order = Window.partitionBy("Metadata_Plate", "Metadata_Well").orderBy(
+        F.asc_nulls_last("Metadata_ImageNumber"), *rest, "Metadata_MoA"
+    )
+    number = F.when(F.col("Metadata_ImageNumber").isNotNull(), F.row_number().over(order))
+    want = table.withColumn("Metadata_Site", number.cast("int"))
+    joined = images.join(
+        lookup,
+        (images.Image_Metadata_Compound == lookup.compound)
+        & (images.Image_Metadata_Concentration == lookup.concentration),
+        "left",
+    )
+    assert table.count() == joined.count()
+    assert sorted(map(str, table.collect())) == sorted(map(str, want.collect()))
+    distinct = images.distinct().count()
+    assert sites._numbered(images, lookup).count() == distinct < joined.count()
+    subset = cp.build_dev_subset(images, lookup, n_plates=1).collect()
+    places = [(r.Metadata_Well, r.Metadata_Site or 0) for r in subset]
+    assert places == sorted(places) and all(r.Metadata_MoA for r in subset)
+    kept = table.where("Metadata_Plate = 'PlateA' AND Metadata_MoA IS NOT NULL").collect()
+    assert sorted(map(str, subset)) == sorted(map(str, kept))
