@@ -407,3 +407,27 @@ def test_queries_of_large_groups_take_turns(spark, rows, tiny_blocks, monkeypatc
     assert value(found) == pytest.approx(brute_map(*arrays(rows, "patient")), abs=1e-9)
     n_blocks = seen[0][2]
     assert n_blocks > 1 and [s[:2] for s in seen] == [(i, i + 1) for i in range(n_blocks)]
+
+
+@pytest.mark.parametrize("at_a_time", [1, 200, 10**6])
+def test_rankings_that_one_block_holds_leave_no_tile(spark, rows, tiny_blocks, monkeypatch, at_a_time):
+    """One block of candidates, one number per query from its tile, and the same retrieval, also of
+    rows that share an identity."""
+    seen, original = [], evaluate.tiles
+
+    def counting(data, *args, **options):
+        seen.append((options["candidate_block"][1], original(data, *args, **options)))
+        return seen[-1][1]
+
+    want = brute_map(*arrays(rows, "patient"))
+    again = frame(spark, rows + rows[:7])
+    twice = evaluate.prepare_profiles(again, ["Metadata_PatientID"], row_id="Metadata_Row")
+    tiled = value(cp.replicate_reproducibility(twice, "Metadata_PatientID", max_listed=0))
+    monkeypatch.setattr(evaluate, "tiles", counting)
+    monkeypatch.setattr(evaluate, "TILED_PAIRS", 0)
+    monkeypatch.setattr(evaluate, "STRIPE_PAIRS", at_a_time)
+    found = cp.replicate_reproducibility(frame(spark, rows), row_id="Metadata_Row", max_listed=0)
+    assert value(found) == pytest.approx(want, abs=1e-9)
+    assert [n for n, _ in seen] == [1] and set(seen[0][1].columns) == {"_row", "_part", "_hits"}
+    found = cp.replicate_reproducibility(twice, "Metadata_PatientID", max_listed=0)
+    assert value(found) == pytest.approx(tiled, abs=1e-12)
