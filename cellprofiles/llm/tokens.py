@@ -8,7 +8,8 @@ different one once while it is in the cache. Texts are cut and equal parts found
 texts together, so Python sees each part once; new parts that start with a space go to it joined
 to one text, and the bytes that each id stands for tell where a part ends. Parts that are a
 single word of Latin letters need no cutting into words: they go to the file's BPE model with
-white space as the only rule, in the byte alphabet of its vocabulary.
+white space as the only rule, in the byte alphabet of its vocabulary. The bytes of each id give the
+characters that a token stands for as well, so the cache has ids alone but for added tokens.
 """
 
 from __future__ import annotations
@@ -32,6 +33,9 @@ JOINED = 8_000
 #: Characters of texts whose parts are looked up together.
 TOGETHER = 1 << 23
 
+#: The same where the characters of all tokens are asked for, which take some 100 bytes a token.
+TOGETHER_SPANS = 1 << 21
+
 #: Parts whose tokens are put in place together.
 PLACED = 1 << 20
 
@@ -97,7 +101,7 @@ class Encoder:
         self.alphabet = byte_alphabet()
         self.offsets = offsets
         self.ids: dict[str, bytes] = {}
-        self.spans: dict[str, bytes] = {}
+        self.spans: dict[str, np.ndarray] = {}  # of parts with added tokens
         vocabulary = self.tokenizer.get_vocab()
         self.sizes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, number in vocabulary.items():  # a character of the vocabulary is a byte
@@ -117,12 +121,12 @@ class Encoder:
     def _learn_parts(self, parts: list[str]) -> None:
         if len(self.ids) > CACHE:
             self.ids, self.spans = {}, {}
-        words, plain, others = [], [], []
+        words, plain, others, named = [], [], [], []
         for part in parts:
             if part in self.ids:
                 continue
             if self.holds_added(part):
-                others.append(part)
+                named.append(part)
             elif _WORD.fullmatch(part):
                 words.append(part)
             elif part[0] == " " and part.count(" ") == 1 and len(part) > 1 and part.isprintable():
@@ -133,11 +137,14 @@ class Encoder:
             self._learn_joined(words[at : at + JOINED], True)
         for at in range(0, len(plain), JOINED):
             self._learn_joined(plain[at : at + JOINED], False)
-        encode = self.tokenizer.encode_batch if self.offsets else self.tokenizer.encode_batch_fast
+        encode = self.tokenizer.encode_batch_fast
         for part, found in zip(others, encode(others, add_special_tokens=False), strict=True):
             self.ids[part] = np.array(found.ids, dtype="<u4").tobytes()
+        encode = self.tokenizer.encode_batch if self.offsets else encode
+        for part, found in zip(named, encode(named, add_special_tokens=False), strict=True):
+            self.ids[part] = np.array(found.ids, dtype="<u4").tobytes()
             if self.offsets:
-                self.spans[part] = np.array(found.offsets, dtype="<i8").tobytes()
+                self.spans[part] = np.array(found.offsets, dtype="<i8").reshape(-1, 2)
 
     def _learn_joined(self, parts: list[str], words: bool) -> None:
         """``words``: each part is a space and letters."""
@@ -152,23 +159,42 @@ class Encoder:
         ids = np.array(found[0].ids, dtype="<u4")
         data, ends = ids.tobytes(), np.cumsum(self.sizes[ids])
         stops = np.cumsum([len(p) for p in parts])
-        leads = None
         if len(raw) != len(joined):
             leads = np.frombuffer(raw, dtype=np.uint8) & 0xC0 != 0x80
-            byte_stops = np.append(np.flatnonzero(leads), len(raw))[stops]
-        cuts = np.searchsorted(ends, stops if leads is None else byte_stops) + 1
-        slices = list(zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True))
+            stops = np.append(np.flatnonzero(leads), len(raw))[stops]
+        cuts = np.searchsorted(ends, stops) + 1
+        slices = zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)
         self.ids.update(zip(parts, [data[4 * a : 4 * b] for a, b in slices], strict=True))
-        if not self.offsets:
-            return
-        spans = np.stack([ends - self.sizes[ids], ends], axis=1)
+
+    def _spans(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """First and last character (excluded) within its part of each token of some parts, and the
+        number of tokens of each part."""
+        data = list(map(self.ids.__getitem__, parts))
+        tokens = np.fromiter(map(len, data), dtype=np.int64, count=len(data)) // 4
+        of_token = self.sizes[np.frombuffer(b"".join(data), dtype="<u4")]
+        joined = "".join(parts)
+        raw = joined.encode()
+        starts = np.cumsum([0, *map(len, parts)])[:-1]
+        leads, byte_starts = None, starts
+        if len(raw) != len(joined):
+            leads = np.frombuffer(raw, dtype=np.uint8) & 0xC0 != 0x80
+            byte_starts = np.append(np.flatnonzero(leads), len(raw))[starts]
+        ends = np.cumsum(of_token)
+        before = np.append(0, ends)[np.cumsum(tokens) - tokens]  # bytes of the tokens of earlier parts
+        ends += np.repeat(byte_starts - before, tokens)
+        spans = np.stack([ends - of_token, ends], axis=1)
         if leads is not None:  # from bytes to the characters that hold them
             place = np.cumsum(leads) - 1
-            first = place[np.minimum(spans[:, 0], len(raw) - 1)]
-            spans = np.stack([first, place[ends - 1] + 1], axis=1)
-        spans -= np.repeat(stops - [len(p) for p in parts], np.diff([0, *cuts]))[:, None]
-        data = spans.astype("<i8").tobytes()
-        self.spans.update(zip(parts, [data[16 * a : 16 * b] for a, b in slices], strict=True))
+            last = len(raw) - 1
+            first = place[np.minimum(spans[:, 0], last)]
+            spans = np.stack([first, place[np.minimum(ends - 1, last)] + 1], axis=1)
+        spans -= np.repeat(starts, tokens)[:, None]
+        if self.spans:
+            stops = np.cumsum(tokens)
+            for i, part in enumerate(parts):
+                if part in self.spans:
+                    spans[stops[i] - tokens[i] : stops[i]] = self.spans[part]
+        return spans, tokens
 
     def _parts(self, text: str) -> list[str]:
         if not self.added or not self.added.search(text):
@@ -179,11 +205,11 @@ class Encoder:
         cut = ([p] if i % 2 else parts_of(p) for i, p in enumerate(pieces))
         return list(itertools.chain.from_iterable(cut))
 
-    def _groups(self, texts: Sequence[str | None]) -> Iterator[Sequence[str | None]]:
+    def _groups(self, texts: Sequence[str | None], together: int) -> Iterator[Sequence[str | None]]:
         at, size = 0, 0
         for stop, text in enumerate(texts, 1):
             size += len(text or "")
-            if size >= TOGETHER:
+            if size >= together:
                 yield texts[at:stop]
                 at, size = stop, 0
         yield texts[at:]
@@ -215,7 +241,7 @@ class Encoder:
 
     def encode(self, texts: Sequence[str | None]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; none for NULL."""
-        for group in self._groups(texts):
+        for group in self._groups(texts, TOGETHER):
             parts, codes, many = self._numbered(group)
             self._learn(parts)
             data = list(map(self.ids.__getitem__, parts))
@@ -231,12 +257,10 @@ class Encoder:
     def encode_spans(self, texts: Sequence[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Per group of consecutive texts, first and last character (excluded) of each token, and
         where each text starts; positions count through the group, with one between texts."""
-        for group in self._groups(texts):
+        for group in self._groups(texts, TOGETHER_SPANS):
             parts, codes, many = self._numbered(group)
             self._learn(parts)
-            data = list(map(self.spans.__getitem__, parts))
-            known = np.frombuffer(b"".join(data), dtype="<i8").reshape(-1, 2)
-            tokens = np.fromiter(map(len, data), dtype=np.int64, count=len(parts)) // 16
+            known, tokens = self._spans(parts)
             sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))[codes]
             text = np.repeat(np.arange(len(group)), many)
             at = np.cumsum(sizes) - sizes + text

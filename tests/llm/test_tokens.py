@@ -136,3 +136,16 @@ def test_added_tokens_like_the_library_call(spark, documents, tmp_path):
         ids = plain.encode(text, add_special_tokens=False).ids
         assert out[doc].ids_crc32 == zlib.crc32(np.array([*ids, 2], dtype="<u4").tobytes())
         assert {r.doc_id: r.n for r in lines}[doc] == len(ids)
+
+
+def test_cache_holds_ids_alone(monkeypatch):
+    """Characters of tokens come from the bytes of their ids, for groups of any size; only added
+    tokens have theirs in the cache."""
+    texts = [*TEXTS, "ein <|endoftext|>zwei"] * 3
+    found = []
+    for together in (1, 1 << 21):
+        monkeypatch.setattr("cellprofiles.llm.tokens.TOGETHER_SPANS", together, raising=False)
+        encoder = EncoderSource(PATH, offsets=True, special=True).encoder()
+        found.append(attribution.count_sections(encoder, texts, [attribution.line_starts(t) for t in texts]))
+        assert set(encoder.spans) == {"<|endoftext|>"} and len(encoder.ids) > 10
+    assert found[0].map(list).equals(found[1].map(list))
