@@ -23,8 +23,8 @@ from .missing import array_of, text
 _OR_NAN = "coalesce($, CAST('NaN' AS DOUBLE))"
 
 #: Different values that a task keeps before it hands them on, and rows per range of hashes.
-HELD_VALUES = 4_000_000
-RANGE_ROWS = 2_000_000
+HELD_VALUES = 1_000_000
+RANGE_ROWS = 500_000
 
 _SLICE = 1024
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -215,10 +215,11 @@ def _packed(held: list[list], n_ranges: int) -> pa.RecordBatch:
         with np.errstate(over="ignore"):
             mixed = values.view(np.uint64) * _MIX
             part = ((mixed ^ (mixed >> np.uint64(32))) * _MIX >> np.uint64(33)) % np.uint64(n_ranges)
-        for p in np.unique(part):
-            mine = part == p
+        order = np.argsort(part, kind="stable")
+        names, starts = np.unique(part[order], return_index=True)
+        for p, mine in zip(names.tolist(), np.split(order, starts[1:])):
             features.append(i)
-            parts.append(int(p))
+            parts.append(p)
             found.append(values[mine].tobytes())
             counts.append(counted[mine].tobytes())
     return _table([_VALUES] * len(features), features, parts, None, found, counts)

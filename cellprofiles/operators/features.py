@@ -33,7 +33,7 @@ def value_frequencies(profiles: DataFrame, features: Sequence[str] | None = None
     """Per feature: rows, distinct values, count of the most and second most frequent one.
 
     One scan; a task counts its values and hands them on packed by feature and range of hashes, so
-    rows shuffled are features times tasks times ranges (of two million rows), not values.
+    rows shuffled are features times tasks times ranges (of half a million rows), not values.
     """
     names = numeric_features(profiles, features)
     return _summary(profiles, names, values=True, products=False).frequencies()

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cellprofiles.functions import summary
@@ -64,3 +66,22 @@ def test_empty_table(frame):
     seen = summary.summarize(frame.limit(0), NAMES, values=True)
     assert [r.n_distinct for r in seen.frequencies().collect()] == [0] * len(NAMES)
     assert seen.correlation().n_rows == 0
+
+
+def test_a_task_holds_little_whatever_it_scans():
+    """Peak of a task over three million different values, and the values it hands on."""
+    draw, seen = np.random.default_rng(5), [0, 0]
+
+    def batches():
+        for _ in range(60):
+            values = pa.array(draw.random(50_000))
+            yield pa.record_batch([pa.ListArray.from_arrays(np.arange(0, 50_001, 5, dtype=np.int32), values)], ["_v"])
+
+    tracemalloc.start()
+    for found in summary._scan(5, False, True, 7)(batches()):
+        counts = [np.frombuffer(c, dtype=np.int64) for c in found.column("counts").to_pylist()]
+        seen = [seen[0] + sum(map(len, counts)), seen[1] + sum(c.sum() for c in counts)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == [3_000_000, 3_000_000]
+    assert peak < 100e6
