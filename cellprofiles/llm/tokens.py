@@ -8,8 +8,10 @@ different one once while it is in the cache. Texts are cut and equal parts found
 texts together, so Python sees each part once; new parts that start with a space go to it joined
 to one text, and the bytes that each id stands for tell where a part ends. Parts that are a
 single word of Latin letters need no cutting into words: they go to the file's BPE model with
-white space as the only rule, in the byte alphabet of its vocabulary. The bytes of each id give the
-characters that a token stands for as well, so the cache has ids alone but for added tokens.
+white space as the only rule, in the byte alphabet of its vocabulary. The rule always cuts between
+such a word and ASCII marks behind it (an apostrophe aside), so a word with marks has the ids of the
+word and those of the marks. The bytes of each id give the characters that a token stands for as
+well, so the cache has ids alone but for added tokens.
 """
 
 from __future__ import annotations
@@ -41,6 +43,7 @@ PLACED = 1 << 20
 
 _MARK = "\0"
 _WORD = re.compile(r" [A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")
+_ENDED = re.compile(rf"({_WORD.pattern})([!-&(-/:-@\[-`{{-~]+)")
 _BREAK = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -121,7 +124,7 @@ class Encoder:
     def _learn_parts(self, parts: list[str]) -> None:
         if len(self.ids) > CACHE:
             self.ids, self.spans = {}, {}
-        words, plain, others, named = [], [], [], []
+        words, ended, plain, others, named = [], [], [], [], []
         for part in parts:
             if part in self.ids:
                 continue
@@ -129,10 +132,14 @@ class Encoder:
                 named.append(part)
             elif _WORD.fullmatch(part):
                 words.append(part)
+            elif cut := _ENDED.fullmatch(part):
+                ended.append((part, *cut.groups()))
             elif part[0] == " " and part.count(" ") == 1 and len(part) > 1 and part.isprintable():
                 plain.append(part)
             else:
                 others.append(part)
+        words = list(dict.fromkeys([*words, *(word for _, word, _ in ended if word not in self.ids)]))
+        others = list(dict.fromkeys([*others, *(marks for *_, marks in ended if marks not in self.ids)]))
         for at in range(0, len(words), JOINED):
             self._learn_joined(words[at : at + JOINED], True)
         for at in range(0, len(plain), JOINED):
@@ -140,6 +147,7 @@ class Encoder:
         encode = self.tokenizer.encode_batch_fast
         for part, found in zip(others, encode(others, add_special_tokens=False), strict=True):
             self.ids[part] = np.array(found.ids, dtype="<u4").tobytes()
+        self.ids.update([(part, self.ids[word] + self.ids[marks]) for part, word, marks in ended])
         encode = self.tokenizer.encode_batch if self.offsets else encode
         for part, found in zip(named, encode(named, add_special_tokens=False), strict=True):
             self.ids[part] = np.array(found.ids, dtype="<u4").tobytes()
