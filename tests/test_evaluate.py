@@ -431,3 +431,34 @@ def test_rankings_that_one_block_holds_leave_no_tile(spark, rows, tiny_blocks, m
     assert [n for n, _ in seen] == [1] and set(seen[0][1].columns) == {"_row", "_part", "_hits"}
     found = cp.replicate_reproducibility(twice, "Metadata_PatientID", max_listed=0)
     assert value(found) == pytest.approx(tiled, abs=1e-12)
+
+
+def test_rankings_over_several_blocks_leave_no_tile(spark, rows, tiny_blocks, monkeypatch):
+    """Candidates of more than one block, in many batches: one number per query comes out, and the same
+    retrieval, also of missing labels and of vectors with infinite entries."""
+    seen, original = [], evaluate.tiles
+
+    def counting(data, *args, **options):
+        seen.append(original(data, *args, **options))
+        return seen[-1]
+
+    labels = [None if r[3] == "P3" else r[3] for r in rows]
+    vectors = [(i, l, [*map(float, r[4:])]) for i, (l, r) in enumerate(zip(labels, rows))]
+    vectors[7][2][1], vectors[30][2][0] = float("inf"), float("-inf")
+    table = spark.createDataFrame(vectors, "id long, l string, v array<double>")
+    odd = pairs.prepare_vectors(table, "v", ["l"], "id")
+    ranked = value(cp.replicate_reproducibility(odd, "l", max_listed=0))
+    monkeypatch.setattr(evaluate, "tiles", counting)
+    monkeypatch.setattr(evaluate, "TILED_PAIRS", 0)
+    monkeypatch.setattr(evaluate, "BLOCK_ROWS", 20, raising=False)
+    monkeypatch.setattr(pairs, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(evaluate, "RANKED_PAIRS", 1000, raising=False)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = value(cp.replicate_reproducibility(frame(spark, rows), row_id="Metadata_Row", max_listed=0))
+        whole = value(cp.replicate_reproducibility(odd, "l", max_listed=0))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == pytest.approx(brute_map(*arrays(rows, "patient")), abs=1e-9)
+    assert whole == pytest.approx(ranked, abs=1e-12)
+    assert [set(s.columns) for s in seen] == [{"_row", "_part", "_hits"}] * 2
