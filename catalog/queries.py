@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 import cellprofiles as cp
 from cellprofiles.operators import evaluate, features, pairs, profile, qc, sites
 from cellprofiles.plans import jobs
-from cellprofiles.session import materialize, scratch_path
+from cellprofiles.session import materialize, materialize_in_turn, scratch_path, scratch_scope
 from cellprofiles.sources import compartments, tables
 
 from . import roles
@@ -166,10 +166,15 @@ def image_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def compartment_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    joined = materialize(attach_sites(spark, sf), "cells")
+    """The joins are stored one by one, and what is no longer read is removed, to bound the disk."""
     path = scratch_path(spark, "compartments")
-    cp.write_compartment_csvs(joined, roles.for_spark(spark, sf, roles.ASSIGNED_SITES), path)
-    return cp.join_compartments(cp.read_compartment_csvs(spark, path))
+    assigned = roles.for_spark(spark, sf, roles.ASSIGNED_SITES)
+    with scratch_scope(spark):
+        tables = compartment_tables(spark, sf)
+        joined = cp.join_compartments(tables, file_names=False, staged=True)
+        cells = materialize_in_turn(spark, [cp.canonical_single_cells(joined, assigned)], "cells")
+        cp.write_compartment_csvs(cells, assigned, path, compression="lz4")
+    return cp.join_compartments(cp.read_compartment_csvs(spark, path), staged=True)
 
 
 def assignment(confounding: float) -> Query:

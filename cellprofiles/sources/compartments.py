@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import CHANNELS, COMPARTMENTS, feature_columns
+from ..session import materialize_in_turn, shuffles_deleted
 
 # Bookkeeping columns of the compartment tables.
 IMAGE_KEY = "ImageNumber"
@@ -38,14 +39,15 @@ def read_compartment_csvs(
 
 
 def join_compartments(
-    tables: Mapping[str, DataFrame], *, file_names: bool = True
+    tables: Mapping[str, DataFrame], *, file_names: bool = True, staged: bool = False
 ) -> DataFrame:
     """One row per cytoplasm with its cell, its nucleus and the file names of its image.
 
     All joins are left joins from the cytoplasm. Cells and nuclei match on (image, parent
     object); the two-part key also spreads an image with very many objects over tasks.
     Without ``file_names`` the image table is not needed, which saves a shuffle of the
-    joined rows.
+    joined rows. ``staged`` stores the rows after each compartment, so that the disk holds the shuffle
+    files of one join and not of all.
     """
     image, parent = "Metadata_ImageNumber", "_parent"
 
@@ -70,13 +72,17 @@ def join_compartments(
     )
     for name, reference in PARENT_COLUMNS.items():
         side = renamed(name).withColumnRenamed(parent, reference)
+        # Stored and compressed tables look smaller than they are, so that Spark would broadcast them.
+        side = side.hint("merge") if staged else side
         joined = joined.join(side, [image, reference], "left")
+        if staged:
+            joined = materialize_in_turn(joined.sparkSession, [joined], "joined")
     joined = joined.drop(*PARENT_COLUMNS.values())
     files = []
     if file_names:
         files = [c for c in tables["Image"].columns if c.startswith("Image_FileName_")]
         images = tables["Image"].select(F.col(IMAGE_KEY).alias(image), *files)
-        joined = joined.join(images, image, "left")
+        joined = joined.join(images.hint("merge") if staged else images, image, "left")
     measured = [c for name in COMPARTMENTS for c in joined.columns if c.startswith(f"{name}_")]
     return joined.select(image, "Metadata_ObjectNumber", *files, *measured)
 
@@ -131,12 +137,18 @@ def image_table(cells: DataFrame, sites: DataFrame) -> DataFrame:
     )
 
 
-def write_compartment_csvs(cells: DataFrame, sites: DataFrame, out_dir: str) -> dict[str, str]:
-    """Write ``Image.csv`` and one CSV folder per compartment; returns their paths."""
+def write_compartment_csvs(
+    cells: DataFrame, sites: DataFrame, out_dir: str, *, compression: str | None = None
+) -> dict[str, str]:
+    """Write ``Image.csv`` and one CSV folder per compartment; returns their paths.
+
+    ``compression`` is a codec of Spark's CSV writer, e.g. ``gzip``; its reader tells it by the names of the files.
+    """
     tables = {"Image": image_table(cells, sites)}
     tables.update({name: compartment_table(cells, name) for name in COMPARTMENTS})
     written = {}
     for name, table in tables.items():
         written[name] = f"{out_dir.rstrip('/')}/{name}.csv"
-        table.write.mode("overwrite").option("header", True).csv(written[name])
+        with shuffles_deleted(cells.sparkSession):
+            table.write.mode("overwrite").csv(written[name], header=True, compression=compression)
     return written

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 
 import cellprofiles as cp
@@ -104,3 +106,30 @@ def test_missing_compartments_leave_nulls(spark):
     )
     rows = {r.Metadata_ObjectNumber: (r.Cells_A, r.Nuclei_A) for r in joined.collect()}
     assert rows == {1: (20.0, 5.0), 2: (10.0, None)}
+
+
+def test_staged_joins_leave_no_shuffle_files(spark, cells, sites, tmp_path):
+    """The same rows, joins that shuffle, compressed tables, and no more shuffle files than before."""
+
+    def shuffle_files():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {str(files.apply(i)) for i in range(files.size()) if "shuffle" in str(files.apply(i))}
+
+    def rows(df):
+        return sorted(map(str, df.collect()))
+
+    plain, packed = str(tmp_path / "plain"), str(tmp_path / "packed")
+    cp.write_compartment_csvs(cells, sites, plain)
+    want = rows(cp.join_compartments(cp.read_compartment_csvs(spark, plain)))
+    before = shuffle_files()
+    written = cp.write_compartment_csvs(cells, sites, packed, compression="lz4")
+    tables = cp.read_compartment_csvs(spark, packed)
+    # Without file names the last join is stored as well, and nothing is left to be shuffled.
+    joined = cp.join_compartments(tables, file_names=False, staged=True)
+    assert shuffle_files() <= before
+    assert joined.count() == 8 and len(want) == 8
+    staged = cp.join_compartments(tables, staged=True)
+    assert "Broadcast" not in staged._jdf.queryExecution().executedPlan().toString()
+    assert rows(staged) == want
+    assert all(list(Path(path).glob("*.csv.lz4")) for path in written.values())
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
