@@ -462,3 +462,38 @@ def test_rankings_over_several_blocks_leave_no_tile(spark, rows, tiny_blocks, mo
     assert found == pytest.approx(brute_map(*arrays(rows, "patient")), abs=1e-9)
     assert whole == pytest.approx(ranked, abs=1e-12)
     assert [set(s.columns) for s in seen] == [{"_row", "_part", "_hits"}] * 2
+
+
+@pytest.mark.parametrize("size", [1.0, 1e-30, 1e-9, 1e10, 1e25, 1e160])
+def test_bounds_are_below_the_squares_and_near_them(size):
+    """Small, large and very different vectors: no bound is above, and a limit passes over no such pair."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 12)) * size
+    x[100:120] *= 1e-6
+    x[120:125] = x[:5]
+    queries = np.concatenate([x, x[:20] * 1e12])
+    with np.errstate(over="ignore", invalid="ignore"):
+        want = ((queries[:, None] - x[None]) ** 2).sum(axis=2)
+        squares = pairs.Squares(x)
+        bound = squares.at_least(squares.queries(queries), slice(0, 300))
+        for column in (0, 110, 122):
+            limit = want[:, column]
+            assert not (bound[:, column] > squares.limits(limit)).any()
+        there = np.isfinite(bound)
+        assert not (bound[there] > want[there] * (1 + 1e-6)).any()
+    if size == 1.0:
+        plain = bound[:300][want[:300] > 1]
+        assert (plain > 0.999 * want[:300][want[:300] > 1]).all() and bound.dtype == np.float32
+
+
+def test_few_queries_are_compared_pair_by_pair():
+    """Squares of far pairs come from one product, without a second table of their sums of lengths."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 16))
+    x[399] = x[0]
+    squares, asked = pairs.Squares(x), []
+    original = squares.exact
+    squares.exact = lambda v, q, c: asked.append(len(q)) or original(v, q, c)
+    found = squares.of(x[:50], squares.queries(x[:50]), slice(50, 400))
+    np.testing.assert_allclose(found, ((x[:50, None] - x[None, 50:]) ** 2).sum(axis=2), rtol=1e-10)
+    assert asked == [1] and found[0, -1] == 0 and squares.wide.shape == (18, 400)
