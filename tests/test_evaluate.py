@@ -497,3 +497,18 @@ def test_few_queries_are_compared_pair_by_pair():
     found = squares.of(x[:50], squares.queries(x[:50]), slice(50, 400))
     np.testing.assert_allclose(found, ((x[:50, None] - x[None, 50:]) ** 2).sum(axis=2), rtol=1e-10)
     assert asked == [1] and found[0, -1] == 0 and squares.wide.shape == (18, 400)
+
+
+@pytest.mark.parametrize("width", [1, 9, 64, 300])
+def test_a_pair_has_one_distance(width, monkeypatch):
+    """Whatever else is measured with it, whichever side asks, and with few values held at a time."""
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(40, width)), rng.normal(size=(40, width))
+    whole = pairs.paired_squares(a, b)
+    assert (pairs.paired_squares(b, a) == whole).all() and not pairs.paired_squares(a, a).any()
+    assert [pairs.paired_squares(a[i : i + 1], b[i : i + 1])[0] for i in range(40)] == whole.tolist()
+    monkeypatch.setattr(pairs, "_CLOSE_VALUES", 3 * width)
+    seen, original = [], pairs.paired_squares
+    monkeypatch.setattr(pairs, "paired_squares", lambda q, c: seen.append(q.size) or original(q, c))
+    assert (pairs.Squares(b).exact(a, np.arange(40), np.arange(40)) == whole).all()
+    assert max(seen) <= 3 * width
